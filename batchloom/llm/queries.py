@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import superkmers, urlfilter, vafile
+from batchloom.llm import langid, superkmers, toxicity, urlfilter, vafile
 from batchloom.llm.textblocks import documents
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows kept away from training."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents outside the held-out fifth."""
+    docs = documents(spark, sf_dir)
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out()).select("text", "lang")))
+    return out.select("doc_id", held_out().alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text by a model of the labelled documents outside the held-out fifth."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=~held_out())
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.size("tox_sentences").alias("n_sentences"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     out = urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))

@@ -64,7 +64,7 @@ def noisy_or(chance: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, weights=np.log1p(-np.minimum(chance, 1 - 1e-13)), minlength=docs))
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 80, rate: float = 0.1, decay: float = 2e-3, least_docs: int = 8) -> tuple[np.ndarray, float]:
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 60, rate: float = 0.1, decay: float = 4e-3, least_docs: int = 12) -> tuple[np.ndarray, float]:
     """Weights of the slots and the bias, by full-batch Adam on the documents' log-likelihood. A slot needs ``least_docs`` documents; weights shrink by soft thresholding, so that words without evidence get none."""
     weights, bias = np.zeros(DIMENSIONS), -5.0
     if not len(labels):
