@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import langid, superkmers, toxicity, urlfilter, vafile
+from batchloom.llm import contamination, langid, superkmers, toxicity, urlfilter, vafile
 from batchloom.llm.textblocks import documents
 
 
@@ -21,6 +21,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each benchmark item it contains."""
+    found = contamination.contained_items(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text by a model of the labelled documents outside the held-out fifth."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -83,4 +89,17 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_decontamination": r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t
+), g AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0
+), n AS (
+  SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id
+), s AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM g d JOIN g i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY d.id, i.id
+)
+SELECT doc_id, item_id, CAST(n.n AS INTEGER) AS n_item, CAST(s.n AS INTEGER) AS n_shared FROM s JOIN n ON n.id = s.item_id WHERE 10 * s.n >= 8 * n.n""",
 }
