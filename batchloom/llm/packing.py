@@ -21,10 +21,10 @@ def key_count(spark: SparkSession) -> int:
 
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
-    """Arrays and byte strings as one compressed value, read again by ``unpack``."""
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
+    """Arrays and byte strings as one compressed value, read again by ``unpack``. Numbers are stored byte plane by byte plane."""
+    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(np.ravel(p)).view(np.uint8).reshape(-1, p.itemsize).T.tobytes() for p in parts]
     head = np.array([len(raw), *map(len, raw)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(raw))
 
 
 def unpack(value: bytes, *kinds: str) -> list:
@@ -35,7 +35,7 @@ def unpack(value: bytes, *kinds: str) -> list:
     out, at = [], 8 * (n + 1)
     for size, kind in zip(sizes, kinds, strict=True):
         part = raw[at : at + size]
-        out.append(part if kind == "bytes" else np.frombuffer(part, kind))
+        out.append(part if kind == "bytes" else np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
         at += size
     return out
 

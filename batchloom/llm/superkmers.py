@@ -10,8 +10,8 @@ that a large part of the texts share) is not sent to one place: its windows are
 doc id of each digest come from an aggregation that combines before it shuffles, and only digests with two documents are joined
 back to their occurrences (an equi-join whose large partitions adaptive execution may split).
 
-Scale. Three shuffles, each in proportion to the text: packed super-k-mers (about 3 words for each window before compression),
-spans, and the texts once for the final join. A worker holds a block of texts or the rows of one key.
+Scale. Shuffled are packed super-k-mers (about 3 words for each window before compression), spans, and those texts that a bit set of
+fixed size cannot rule out as unchanged; the others are passed on where they are read. A worker holds a block of texts or the rows of one key.
 
 Defined results. Null text: no words. Null id: the row is passed through unchanged. Fewer than k words: nothing is removed.
 A window that repeats only inside its own document, or in rows with the same id, stays. Rows with equal id are told apart by text.
@@ -25,16 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from batchloom.llm import packing
+from batchloom.llm.durable import id_filter, may_be_in, written
 from batchloom.llm.textblocks import BLOCK_BYTES, Words, arrow_limits, mix, window_hashes
 
 _U = np.uint64
 BUCKETS = 1 << 14
-SPANS = "sk_id long, sk_text long, sk_start int, sk_end int"
+SPANS = "sk_id long, sk_text int, sk_start int, sk_end int"
+
+
+def text_key(text: str) -> Column:
+    """32 bits that tell apart rows with one id and different texts."""
+    return F.shiftright(F.xxhash64(text), 32).cast("int")
 
 
 def _least(g: np.ndarray, w: int) -> np.ndarray:
@@ -72,14 +78,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         for i, t, h in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
             t = t or b""
             if texts and held + len(t) > BLOCK_BYTES:
-                yield np.array(ids, np.int64), np.array(keys, np.int64), texts
+                yield np.array(ids, np.int64), np.array(keys, np.int32), texts
                 ids, keys, texts, held = [], [], [], 0
             ids.append(i)
             keys.append(h)
             texts.append(t)
             held += len(t)
     if texts:
-        yield np.array(ids, np.int64), np.array(keys, np.int64), texts
+        yield np.array(ids, np.int64), np.array(keys, np.int32), texts
 
 
 def _single_spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -136,10 +142,10 @@ def _send(keys: int, common: frozenset[int], k: int, m: int):
             to: list[int] = []
             out: list[bytes] = []
             for key, at in packing.split_by(bucket % keys):
-                at = at[np.argsort(bucket[at], kind="stable")]
                 text = b"\n".join([flat[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)])
                 to.append(key)
-                out.append(packing.pack(ids[doc[at]], texts_key[doc[at]], (first[at] - words.first[doc[at]]).astype(np.int32), count[at].astype(np.int32), text))
+                here, times = np.unique(doc[at], return_counts=True)  # super-k-mers stand in document order
+                out.append(packing.pack(np.diff(ids[here], prepend=0), texts_key[here], times.astype(np.int32), (first[at] - words.first[doc[at]]).astype(np.int32), count[at].astype(np.int32), text))
             yield packing.rows(to, out)
 
     return send
@@ -174,9 +180,11 @@ def _repeats(raw: bytes, begin: np.ndarray, finish: np.ndarray, h: np.ndarray, d
 
 def _receive(k: int):
     def receive(values: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = [packing.unpack(v, "int64", "int64", "int32", "int32", "bytes") for v in values]
-        ids, keys, at, count = (np.concatenate([g[i] for g in got]) for i in range(4))
-        words = Words([g[4] for g in got])
+        got = [packing.unpack(v, "int64", "int32", "int32", "int32", "int32", "bytes") for v in values]
+        ids = np.concatenate([np.repeat(np.cumsum(g[0]), g[2]) for g in got])
+        keys = np.concatenate([np.repeat(g[1], g[2]) for g in got])
+        at, count = (np.concatenate([g[i] for g in got]) for i in (3, 4))
+        words = Words([g[5] for g in got])
         h = window_hashes(words.hashes(), k)
         base = np.concatenate(([0], np.cumsum(count.astype(np.int64) + k - 1)[:-1]))  # first word of each super-k-mer
         total = int(count.sum())
@@ -229,11 +237,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_limits(spark)
     keys = packing.key_count(spark)
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), text_key(text_col).alias("h"))
     common = _common_buckets(texts, k, m, keys)
     spans = packing.exchange(texts.mapInArrow(_send(keys, common, k, m), "key int, packed binary"), _receive(k), SPANS)
     if common:
-        windows = texts.mapInArrow(_common_windows(common, k, m), "digest binary, sk_id long, sk_text long, sk_start int")
+        windows = texts.mapInArrow(_common_windows(common, k, m), "digest binary, sk_id long, sk_text int, sk_start int")
         least = windows.groupBy("digest").agg(F.min("sk_id").alias("least"), F.max("sk_id").alias("most")).where("least < most").drop("most")
         again = windows.join(least.hint("merge"), "digest").where("sk_id > least")
         spans = spans.unionByName(again.select("sk_id", "sk_text", "sk_start", (F.col("sk_start") + k).alias("sk_end")))
@@ -254,12 +262,14 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
 
 def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3) -> DataFrame:
     """All rows and columns of ``docs``, with columns sk_kept (kept words joined by one space), sk_words and sk_removed."""
-    spans = repeated_spans(docs, id_col, text_col, k, m)
+    spans = written(repeated_spans(docs, id_col, text_col, k, m))
     own = docs.columns
     names = [f"c{i}" for i in range(len(own))]
     plain = docs.toDF(*names)
     i, t = names[own.index(id_col)], names[own.index(text_col)]
-    joined = plain.withColumn("sk_id", F.col(i).cast("long")).withColumn("sk_text", F.xxhash64(t)).join(spans.hint("shuffle_hash"), ["sk_id", "sk_text"], "left")
+    plain = may_be_in(plain, i, written(id_filter(spans, "sk_id")), "sk_some")
+    joined = plain.where("sk_some").withColumn("sk_id", F.col(i).cast("long")).withColumn("sk_text", text_key(t)).join(spans.hint("shuffle_hash"), ["sk_id", "sk_text"], "left")
+    joined = joined.select(*names, "spans").unionByName(plain.where("not sk_some").select(*names, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     at, schema = len(own), joined.select(*names).schema
 
     def cut(batches):
