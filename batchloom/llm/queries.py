@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import contamination, jaccard, langid, superkmers, toxicity, urlfilter, vafile
+from batchloom.llm import contamination, jaccard, langid, pieces, superkmers, tokenfiles, toxicity, urlfilter, vafile
 from batchloom.llm.textblocks import documents
 
 
@@ -21,12 +21,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_rejected").alias("rejected"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by count and checksum, and whether decoding gives the text back."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def crc(ids):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in ids])
+
+    out = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    same = F.col("sp_text") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return out.select("doc_id", F.size("sp_ids").cast("long").alias("n_tokens"), crc("sp_ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with each benchmark item it contains."""
     found = contamination.contained_items(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared")
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from the written files."""
+    files = tokenfiles.write(tokenfiles.tokenised(documents(spark, sf_dir).select("doc_id", "text")))
+    return tokenfiles.documents_of(files).withColumnRenamed("id", "doc_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text by a model of the labelled documents outside the held-out fifth."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
