@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import contamination, jaccard, langid, pieces, superkmers, tokenfiles, toxicity, urlfilter, vafile
+from batchloom.llm import contamination, jaccard, langid, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
 from batchloom.llm.textblocks import documents
 
 
@@ -14,6 +14,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with the turn it replies to, its thread and depth, and its own text without quotes."""
+    out = quotes.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    digest = F.sha2("q_body", 256).alias("body_sha256")
+    return out.select("conv_id", "turn", "role", F.col("q_level").alias("max_level"), F.col("q_passages").alias("n_linked"), F.col("q_parent").alias("parent_turn"), F.col("q_root").alias("root_turn"), F.col("q_depth").alias("depth"), digest)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents outside the held-out fifth."""
     docs = documents(spark, sf_dir)
@@ -148,4 +155,38 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) c ON c.x = d.doc_id""",
+    "op1_quotation_linking": r"""
+WITH RECURSIVE m AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations
+), l AS MATERIALIZED (
+  SELECT k, conv_id, turn, i, len(ls) AS n, regexp_extract(ls[i], '^(?:[ \t]{0,3}>)+[ \t]?') AS lead, ls[i] AS line FROM m, unnest(range(1, len(ls) + 1)) AS u(i)
+), p AS MATERIALIZED (
+  SELECT k, conv_id, turn, i, len(regexp_replace(lead, '[^>]', '', 'g')) AS level, substr(line, len(lead) + 1) AS rest FROM l
+), g AS (
+  SELECT *, sum(d) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY k ORDER BY i) THEN 1 ELSE 0 END AS d FROM p)
+), a AS (
+  SELECT k, conv_id, turn, any_value(level) AS level, string_agg(rest, chr(10) ORDER BY i) AS t FROM g GROUP BY k, conv_id, turn, run
+  UNION ALL SELECT k, conv_id, turn, level, rest FROM p
+), s AS MATERIALIZED (
+  SELECT DISTINCT k, conv_id, turn, level, trim(lower(regexp_replace(t, '[^\p{L}\p{N}]+', ' ', 'g'))) AS t FROM a
+), q AS (
+  SELECT x.k, x.conv_id, x.turn, x.level, len(x.t) AS n, min(o.turn) AS source FROM s x JOIN s o ON o.conv_id = x.conv_id AND o.t = x.t AND o.level = 0
+  WHERE x.level > 0 AND x.t <> '' GROUP BY x.k, x.conv_id, x.turn, x.level, x.t HAVING min(o.turn) < x.turn
+), c AS (
+  SELECT k, conv_id, turn, source, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS n, count(*) AS links FROM q GROUP BY ALL
+), f AS MATERIALIZED (
+  SELECT k, conv_id, turn, CAST(sum(links) AS BIGINT) AS n_linked, arg_max(source, (n, source)) FILTER (n > 0) AS parent FROM c GROUP BY ALL
+), h AS (
+  SELECT conv_id, turn, min(parent) AS up FROM f WHERE parent IS NOT NULL GROUP BY ALL
+), r AS (
+  SELECT conv_id, turn, up, 1 AS depth FROM h UNION ALL SELECT r.conv_id, r.turn, h.up, r.depth + 1 FROM r JOIN h ON h.conv_id = r.conv_id AND h.turn = r.up
+), e AS (
+  SELECT conv_id, turn, min(up) AS root, max(depth) AS depth FROM r GROUP BY ALL
+), b AS (
+  SELECT k, max(level) AS max_level, coalesce(string_agg(rest, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (coalesce(after > 0, false) AND regexp_matches(rest, '(?i)^(on\b.{1,200}\bwrote|.{1,200}\b(a écrit|schrieb|escribió))[ \t]*:[ \t]*$'))), '') AS body
+  FROM (SELECT *, lead(level) OVER (PARTITION BY k ORDER BY i) AS after FROM p) GROUP BY k
+)
+SELECT m.conv_id, m.turn, m.role, CAST(max_level AS INTEGER) AS max_level, coalesce(n_linked, 0) AS n_linked, parent AS parent_turn, coalesce(root, m.turn) AS root_turn, coalesce(depth, 0) AS depth,
+  sha256(trim(body, chr(32) || chr(9) || chr(10) || chr(13))) AS body_sha256
+FROM m JOIN b USING (k) LEFT JOIN f USING (k) LEFT JOIN e ON e.conv_id = m.conv_id AND e.turn = m.turn""",
 }
