@@ -1,11 +1,14 @@
-"""The registry of queries over the test tables, each with the DuckDB SQL that must give the same rows."""
+"""All queries over the test tables, each with the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from batchloom.plans import step_queries, summary_queries  # noqa: F401  they register their queries
+from batchloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

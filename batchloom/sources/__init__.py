@@ -1 +1,89 @@
+"""Reading and writing datasets: libraries, CSV import and export, append, text with uncertain encoding, and table statistics."""
 
+from __future__ import annotations
+
+import fnmatch
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Encodings tried in order.
+ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
+
+
+class Library:
+    """A name for a place of datasets: a folder of Parquet datasets or a catalog schema."""
+
+    def __init__(self, spark: SparkSession, place: str, catalog: bool = False):
+        self.spark, self.place, self.catalog = spark, place.rstrip("/"), catalog
+
+    def path(self, member: str) -> str:
+        return f"{self.place}.{member}" if self.catalog else f"{self.place}/{member.lower()}.parquet"
+
+    def read(self, member: str) -> DataFrame:
+        return self.spark.read.table(self.path(member)) if self.catalog else self.spark.read.parquet(self.path(member))
+
+    def write(self, df: DataFrame, member: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
+        """Overwrites by default, so a job can run again. A sort of the whole frame is not kept."""
+        writer = df.write.mode(mode).option("overwriteSchema", "true").partitionBy(*partition_by)
+        writer.saveAsTable(self.path(member)) if self.catalog else writer.parquet(self.path(member))
+
+    def append(self, df: DataFrame, member: str, key: Sequence[str]) -> None:
+        """Adds the rows whose key the dataset doesn't have, so a repeated run adds nothing."""
+        self.write(df.dropDuplicates(list(key)).join(self.read(member).select(*key), list(key), "left_anti"), member, "append")
+
+
+def import_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, schema: str | None = None, encoding: str = "utf-8") -> DataFrame:
+    """PROC IMPORT DBMS=CSV. With a schema the file is read once; without, types are inferred by a first pass."""
+    reader = spark.read.option("header", header).option("sep", delimiter).option("encoding", encoding)
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
+def export_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True) -> None:
+    df.write.mode("overwrite").option("header", header).option("sep", delimiter).csv(path)
+
+
+def decode(data: bytes) -> tuple[str, str]:
+    """Text and the encoding that fitted."""
+    for name in ENCODINGS:
+        try:
+            return data.decode(name), name
+        except UnicodeDecodeError:
+            continue
+    raise AssertionError("latin-1 decodes everything")
+
+
+def program_files(root: str, exclude: Sequence[str] = (), skip: str = "autoexec*") -> Iterator[tuple[str, str]]:
+    """(name, text) of the program files in a folder or zip archive, sorted, without excluded globs and start-up files."""
+    path = Path(root)
+    if zipfile.is_zipfile(path):
+        with zipfile.ZipFile(path) as z:
+            found = [(n, z.read(n)) for n in sorted(z.namelist())]
+    elif path.is_file():
+        found = [(path.name, path.read_bytes())]
+    else:
+        found = [(str(p.relative_to(path)), p.read_bytes()) for p in sorted(path.rglob("*")) if p.is_file()]
+    for name, data in found:
+        base = name.rsplit("/", 1)[-1].lower()
+        if base.endswith(".sas") and not fnmatch.fnmatch(base, skip) and not any(fnmatch.fnmatch(name, g) for g in exclude):
+            yield name, decode(io.BytesIO(data).getvalue())[0]
+
+
+def table_statistics(df: DataFrame) -> DataFrame:
+    """One row a column: name, type, rows, missing and distinct values (approximate), in one pass."""
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(df.columns):
+        aggs += [F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"m{i}"), F.approx_count_distinct(f"`{c}`").alias(f"d{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("n").alias("rows"), F.col(f"m{i}").alias("missing"), F.col(f"d{i}").alias("distinct")) for i, (c, t) in enumerate(df.dtypes)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def contents(df: DataFrame) -> DataFrame:
+    """PROC CONTENTS: position, name, type and format of each variable."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.metadata.get("format")) for i, f in enumerate(df.schema.fields, 1)]
+    return df.sparkSession.createDataFrame(rows, "num int, name string, type string, format string")
