@@ -15,9 +15,11 @@ language that sorts first.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
@@ -126,29 +128,25 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     df, n = document_frequency(known.select("t"))
     if not n:
         return None
-    from pyspark.sql import Window
-
     langs = sorted(r.l for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect())
     short = known.where(F.octet_length("t").between(1, FIT_TEXT) & F.col("l").isin(langs) & F.col("t").rlike(r"\p{L}"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     keys = short.select("l", F.xxhash64("t").alias("h")).withColumn("r", first).where(F.col("r") <= FIT_PER_LANG).select("l", "h").distinct()
     rows = short.withColumn("h", F.xxhash64("t")).join(keys, ["l", "h"]).dropDuplicates(["l", "h"]).orderBy("l", "h")
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    texts: dict[str, list[bytes]] = {}
-    for r in rows.select("l", "t").toLocalIterator():
-        texts.setdefault(r.l, []).append(r.t.encode())
-    langs = [x for x in langs if x in texts]
-    if not langs:
+    known_langs, found, limits = [], [], []
+    for lang, group in itertools.groupby(rows.select("l", "t").toLocalIterator(), key=lambda r: r.l):  # one language at a time in memory
+        texts = [r.t.encode() for r in group]
+        v = weighted(counts(texts), idf)
+        centroids = k_means(v, CENTROIDS)
+        far = 1 - (v @ centroids.T).max(axis=1)
+        size = _length_class(np.array([len(t) for t in texts], dtype=np.int64))
+        known_langs.append(lang)
+        found.append(centroids)
+        limits.append([min(1.0, np.quantile(far[size == s] if (size == s).sum() >= 20 else far, 0.995) + _MARGIN) for s in range(10)])
+    if not found:
         return None
-    found = [k_means(weighted(counts(texts[x]), idf), CENTROIDS) for x in langs]
-    model = Model(langs, np.concatenate(found), np.repeat(np.arange(len(langs)), [len(c) for c in found]), idf, np.ones((len(langs), 10)))
-    for j, x in enumerate(langs):
-        far = 1 - (weighted(counts(texts[x]), idf) @ found[j].T).max(axis=1)
-        size = _length_class(np.array([len(t) for t in texts[x]], dtype=np.int64))
-        for s in range(10):
-            near = far[size == s]
-            model.limit[j, s] = min(1.0, np.quantile(near if len(near) >= 20 else far, 0.995) + _MARGIN)
-    return model
+    return Model(known_langs, np.concatenate(found), np.repeat(np.arange(len(found)), [len(c) for c in found]), idf, np.array(limits))
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
