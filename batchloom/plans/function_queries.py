@@ -45,7 +45,7 @@ def fn_find(t: Tables):
     return t.part.select("p_partkey", x.find(F.col("p_name"), "A", "i", 2).alias("found"), x.find(F.col("p_name"), "a", "", -8).alias("back"))
 
 
-@query("""SELECT c_custkey, abs(c_acctbal) AS abs, ceil(c_acctbal) AS ceil, floor(c_acctbal) AS floor, round(c_acctbal, 0) AS r0, round(fmod(c_acctbal, 7), 6) AS mod, trunc(c_acctbal) AS int, CAST(sign(c_acctbal) AS DOUBLE) AS sign, round(CASE WHEN c_acctbal >= 0 THEN sqrt(c_acctbal) END, 6) AS sqrt,
+@query("""SELECT c_custkey, abs(c_acctbal) AS abs, ceil(c_acctbal) AS ceil, floor(c_acctbal) AS floor, round(c_acctbal, 0) AS r0, round(c_acctbal - 7 * trunc(c_acctbal / 7), 6) AS mod, trunc(c_acctbal) AS int, CAST(sign(c_acctbal) AS DOUBLE) AS sign, round(CASE WHEN c_acctbal >= 0 THEN sqrt(c_acctbal) END, 6) AS sqrt,
  round(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END, 6) AS log, round(CASE WHEN c_acctbal > 0 THEN log10(c_acctbal) END, 6) AS log10, round(exp(c_acctbal / 10000), 6) AS exp FROM customer""")
 def fn_numeric(t: Tables):
     b = F.col("c_acctbal")
