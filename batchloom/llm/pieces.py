@@ -2,8 +2,8 @@
 
 Method. Spaces become the mark U+2581 and a text is cut before each run of marks, so every unit is a marked word; no piece spans
 two units. The distinct units of a block are sorted, which is the depth-first order of their trie: the Viterbi forward scores of a unit
-are kept as a stack, and the next unit reuses those of the prefix it shares with the one before. Each new character tries the pieces that
-end there (longest first) and keeps the best sum of piece scores; a character that no piece covers costs the unknown score and becomes its
+are kept as a stack, and the next unit reuses those of the prefix it shares with the one before. Each new character walks back through a trie of
+reversed pieces, so only pieces that end there are tried, and keeps the best sum of piece scores; a character that no piece covers costs the unknown score and becomes its
 UTF-8 byte pieces. Results are kept for later blocks of the task (at most CACHE units), so a common word is scored once.
 
 The segmentation is the one of greatest total score (ties: the longest last piece), which is what the file's scores mean under a
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +93,17 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(self.pieces)}
         self.byte = [self.id[f"<0x{b:02X}>"] for b in range(256)]
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte)}
-        #: Lengths of pieces by their last character, longest first.
-        ends: dict[str, set[int]] = {}
-        for p in self.score:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
+        #: Pieces by their characters from the last to the first; a node's score stands under the empty string.
+        self.ends: dict = {}
+        for p, score in self.score.items():
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = score
+        raw = [self.bytes_of.get(i) or p.encode() for i, p in enumerate(self.pieces)]
+        self.raw_size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -107,7 +114,7 @@ class Pieces:
 
     def encode_units(self, units: list[str]) -> dict[str, bytes]:
         """The ids of each unit as little-endian int32. ``units`` are distinct."""
-        score, ends, ids, unknown, lowest = self.score, self.ends, self.id, self.unknown, float("-inf")
+        ends, ids, unknown = self.ends, self.id, self.unknown
         best, back = [0.0], [0]
         before, out = "", {}
         for unit in sorted(units):
@@ -116,14 +123,21 @@ class Pieces:
                 same += 1
             del best[same + 1 :], back[same + 1 :]
             for e in range(same, len(unit)):
-                top, length = lowest, 0
-                for n in ends.get(unit[e], ()):
-                    if n <= e + 1:
-                        s = score.get(unit[e + 1 - n : e + 1])
-                        if s is not None and (s := s + best[e + 1 - n]) > top:
-                            top, length = s, n
-                if unit[e] not in score and (s := unknown + best[e]) > top:
-                    top, length = s, -1
+                node = ends.get(unit[e])
+                top = None if node is None else node.get("")
+                if top is None:
+                    top, length = unknown + best[e], -1
+                else:
+                    top, length = top + best[e], 1
+                j = e - 1
+                while node is not None and j >= 0:
+                    node = node.get(unit[j])
+                    if node is None:
+                        break
+                    s = node.get("")
+                    if s is not None and s + best[j] >= top:  # longer pieces come later and win ties
+                        top, length = s + best[j], e + 1 - j
+                    j -= 1
                 best.append(top)
                 back.append(length)
             found, e = [], len(unit)
@@ -135,14 +149,23 @@ class Pieces:
                 else:
                     found.append(ids[unit[e - n : e]])
                     e -= n
-            out[unit] = np.array(found[::-1], dtype="<i4").tobytes()
+            found.reverse()
+            out[unit] = array("i", found).tobytes()
             before = unit
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join([self.bytes_of.get(i) or self.pieces[i].encode() for i in ids])
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids."""
+        n = self.raw_size[ids]
+        end = np.cumsum(n)
+        raw = self.raw[np.repeat(self.raw_at[ids] - (end - n), n) + np.arange(int(n.sum()))].tobytes()
+        stop = np.concatenate(([0], end))[np.cumsum(sizes)].tolist() if len(sizes) else []
+        out, a = [], 0
+        for z in stop:
+            text = raw[a:z].decode("utf-8", "replace").replace(MARK, " ")
+            out.append(text[1:] if self.dummy_prefix and text.startswith(" ") else text)
+            a = z
+        return out
 
 
 class Encoder:
@@ -151,13 +174,22 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces, self.kept = pieces, {}
 
+    def units(self, text: str) -> list[str]:
+        """The units of a text; one mark at the start of a unit is left out, so plain texts are just split at spaces. Other units get two marks more than they have."""
+        p = self.pieces
+        if p.dummy_prefix and text and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        found = _UNIT.findall(p.normalise(text))
+        return [u[1:] if u[0] == MARK and u[1:2] != MARK and len(u) > 1 else MARK + MARK + u for u in found]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [_UNIT.findall(self.pieces.normalise(t)) for t in texts]
-        new = set().union(*units) - self.kept.keys()
+        units = [self.units(t) for t in texts]
+        every = set().union(*units)
+        new = every - self.kept.keys()
         if len(self.kept) + len(new) > CACHE:
-            new = set().union(*units)
-            self.kept = {}
-        self.kept.update(self.pieces.encode_units(list(new)))
+            self.kept, new = {}, every
+        whole = {(u[2:] if u.startswith(MARK + MARK) else MARK + u): u for u in new}
+        self.kept.update({whole[k]: ids for k, ids in self.pieces.encode_units(list(whole)).items()})
         get = self.kept.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
@@ -204,6 +236,14 @@ def decode(docs: DataFrame, ids_col: str = "sp_ids", model: str | bytes | None =
     """All rows and columns with sp_text; null ids give null."""
 
     def each(state, column):
-        return [pa.array([None if x is None else state.pieces.decode(x) for x in column.to_pylist()], pa.string())]
+        sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        ids, at, out, a = column.flatten().to_numpy(), 0, [], 0
+        while a < len(sizes):  # about a million ids at a time
+            z = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 1 << 20, "right")) + a)
+            n = int(sizes[a:z].sum())
+            out += state.pieces.decode(ids[at : at + n].astype(np.int64), sizes[a:z])
+            at, a = at + n, z
+        valid = column.is_valid().to_pylist()
+        return [pa.array([x if v else None for x, v in zip(out, valid, strict=True)], pa.string())]
 
     return _transform(docs, ids_col, model or default_model(), [("sp_text", StringType())], each)
