@@ -72,7 +72,7 @@ def _passages(parsed: DataFrame, key: list[str]) -> DataFrame:
 def linked_passages(parsed: DataFrame) -> DataFrame:
     """(c, t, m, level, n, source): quoted passages with the turn of their original. Expects columns c, t, m (conversation, turn, message hash)."""
     quoting = parsed.where(F.col("q_level") > 0)
-    quoted = _passages(quoting, ["c", "t", "m"]).where("level > 0")
+    quoted = _passages(quoting, ["c", "t", "m"]).where("level > 0").distinct()  # repeated rows are one message
     wanted = quoted.select("c", "hash").distinct()
     own = _passages(parsed.join(quoting.select("c").distinct(), "c", "left_semi"), ["c", "t"]).where("level = 0").groupBy("c", "hash").agg(F.min("t").alias("source"))
     return quoted.join(own.join(wanted, ["c", "hash"], "left_semi"), ["c", "hash"]).where("source < t").select("c", "t", "m", "level", "n", "source")

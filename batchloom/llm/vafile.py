@@ -10,7 +10,8 @@ Scale. The search is the stated query set against all rows, in blocks: work grow
 
 Defined results. Vectors that are null or hold null or non-finite components take no part. Only vectors of the same length are compared.
 With fewer than k candidates a query gets all of them; a query without candidates has no rows. Components are clipped to 64-bit integers.
-Rows with one id count as that many candidates, but never for a query with the same id.
+Repeated rows count as that many candidates, but never for a query with the same id; equal query rows are one query, and
+query rows with one id and different vectors share one list.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     good = vectors.where(F.col(id_col).isNotNull() & usable(vector_col))
     picked = F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")
-    asked = good.where(queries)
+    asked = good.where(queries).select(id_col, vector_col).distinct()
     parts = max(1, -(-asked.count() // QUERY_ROWS))
     blocks = good.select(*picked).mapInArrow(_blocks_of(BLOCK_ROWS), "d int, packed binary")
     blocks = blocks.select("d", "packed", F.pmod(F.xxhash64("packed"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
