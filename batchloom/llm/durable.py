@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 FILTER_BITS = 1 << 23
+FOREST_LINKS = 1_000_000
 
 
 def id_filter(ids: DataFrame, id_col: str) -> DataFrame:
@@ -41,21 +43,72 @@ def may_be_in(df: DataFrame, id_col: str, bits: DataFrame, flag: str) -> DataFra
     return seen.withColumn(flag, hit).drop("f_x", "f_word", "f_bits")
 
 
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``ids`` (one column); rows with a null id stay. Only rows that the bit set cannot rule out are shuffled."""
+    ids = written(ids.toDF("gone").where("gone is not null").distinct())
+    names = [f"c{i}" for i in range(len(df.columns))]
+    key = names[df.columns.index(id_col)]
+    seen = may_be_in(df.toDF(*names), key, written(id_filter(ids, "gone")), "f_hit")
+    checked = seen.where("f_hit").join(ids, F.col(key) == F.col("gone"), "left_anti")
+    return seen.where("not f_hit").unionByName(checked).select(*names).toDF(*df.columns)
+
+
+def _forest(batches):
+    """A spanning forest of each run of up to FOREST_LINKS links; connected components stay the same."""
+
+    def reduced(a: list[int], b: list[int]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        u, v = [], []
+        for x, y in zip(a, b, strict=True):
+            if (rx := find(x)) != (ry := find(y)):
+                root[max(rx, ry)] = min(rx, ry)
+                u.append(x)
+                v.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    a: list[int] = []
+    b: list[int] = []
+    for batch in batches:
+        a += batch.column(0).to_pylist()
+        b += batch.column(1).to_pylist()
+        if len(a) >= FOREST_LINKS:
+            yield reduced(a, b)
+            a, b = [], []
+    yield reduced(a, b)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id reachable from each id that has a link. Nothing but a count per round reaches the driver.
 
-    Each round every id takes the least label among its own and its neighbours', then its label's label (pointer jumping), so chains
-    need a logarithmic number of rounds in practice. Joins are equi-joins that adaptive execution can split; minima combine before shuffling.
+    Links that repeat a connection inside a task go first. Each round draws a random order (a hash), points every node at its first
+    neighbour in that order, follows the pointers one step, and contracts the links to what the ends point at. A constant part of the nodes
+    goes each round whatever the shape (stars, chains), so links shrink geometrically. Joins are equi-joins that adaptive execution can
+    split; minima combine before they are shuffled.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = written(edges.union(edges.select("v", "u")).distinct())
-    label = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")))
-    while True:
-        near = edges.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        least = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        up = label.select(F.col("id").alias("l"), F.col("l").alias("j"))
-        new = written(least.join(up, "l", "left").select("id", "old", F.least("l", F.coalesce("j", "l")).alias("l")))
-        changed = new.where("l <> old").limit(1).count()
-        label = new.select("id", "l")
-        if not changed:
-            return label.select("id", F.col("l").alias("component"))
+    edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    edges = written(edges.mapInArrow(_forest, "u long, v long").distinct())
+    steps: list[DataFrame] = []
+    while edges.limit(1).count() or not steps:
+
+        def place(x: str, n: int = len(steps)):
+            return F.struct(F.xxhash64(F.col(x), F.lit(n)).alias("h"), F.col(x).alias("x"))
+
+        both = edges.union(edges.select("v", "u"))
+        to = both.groupBy("u").agg(F.min(place("v")).alias("m")).select(F.col("u").alias("id"), F.least(place("u"), F.col("m"))["x"].alias("p"))
+        up = to.select(F.col("id").alias("p"), F.col("p").alias("q"))
+        to = written(to.join(up, "p").select("id", F.col("q").alias("p")))
+        steps.append(to)
+        ends = edges.join(to.select(F.col("id").alias("u"), F.col("p").alias("pu")), "u").join(to.select(F.col("id").alias("v"), F.col("p").alias("pv")), "v")
+        edges = written(ends.select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long").distinct())
+    label = steps[0]
+    for step in steps[1:]:
+        label = label.join(step.select(F.col("id").alias("p"), F.col("p").alias("q")), "p", "left").select("id", F.coalesce("q", "p").alias("p"))
+    label = written(label)
+    return label.join(label.groupBy("p").agg(F.min("id").alias("component")), "p").select("id", "component")

@@ -6,12 +6,12 @@
 * Common shingles. A sketch of CELLS counters, filled over all texts, ranks shingles: rare first, common last. The ranking is one fixed
   total order of shingles, so the prefix theorem holds: two sets within T share a shingle among the first n - ceil(0.8 n) + 1 of each.
 * Pivots and regions, for the parts of the corpus where documents crowd (sets made mostly of common shingles): up to PIVOTS random
-  representatives become pivots. Every set of the crowd learns its distance to all pivots. Within T of a pivot it is linked to it and
-  settled in the Voronoi region of its nearest pivot. By the triangle inequality everything within T of a document settled at p lies
-  within 2T of p, so each document within that window of p that is not yet known to be connected with p is replicated into p's region,
-  and compared there with the settled documents whose distance to p differs by at most T. A region is split into blocks by its counted size.
-  The documents left unsettled are treated the same way again, with new pivots, until a round settles little.
-* Whatever is unsettled has no crowd around it (almost all sets are at distance 1 from each other, where pivots cannot tell them apart) and joins
+  representatives become pivots. Every set of the crowd learns its distance to all pivots. Within T of a pivot it is linked to it. Within 2T it
+  is at home in the Voronoi cell of its nearest pivot; cells of pivots that share a document within T form one region. By the triangle
+  inequality whatever lies within T of a document at home with p lies within 3T of p, so each document in that window is replicated into the
+  region and compared there with the documents at home, but for pairs known to be connected. A region is split into blocks by its counted
+  size. Documents at home are then closed; the others are joined the same way again, with new pivots, until a round closes few.
+* Whatever is still open has no crowd around it (almost all sets are at distance 1 from each other, where pivots cannot tell them apart) and joins
   by prefix shingles: pairs that share one, pass the size filter and a bound from the number of shared prefix shingles are candidates;
   coarse components of candidates become the last, small regions, in which pairs are verified exactly and connected pairs skipped.
 
@@ -34,18 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm import packing
-from batchloom.llm.durable import components, id_filter, may_be_in, written
+from batchloom.llm.durable import components, id_filter, may_be_in, without_ids, written
 from batchloom.llm.textblocks import Words, arrow_limits, blocks, mix, shingle_sets
 
 _U = np.uint64
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 COMMON_CELLS = 1 << 16
+_CHUNKS = 1024
 PIVOTS = 256
 PIVOT_SHINGLES = 20_000
 REGION_ROWS = 512
 SIMILAR = (80, 100)
-ROUNDS = 4
+ROUNDS = 6
+#: A pivot's set is common to this part. What lies within 3T of it then has at least (1 - 3T - (1 - PIVOT_COMMON)) * (1 - 3T) common shingles.
+PIVOT_COMMON = 0.85
+CROWD = 0.1
 _T, _EPS = 0.2, 1e-9
 
 
@@ -63,26 +67,32 @@ def prefix_size(n: int) -> int:
 
 
 def _common_cells(texts: DataFrame, k: int) -> np.ndarray:
-    """A rank from 0 (rare) for each cell of shingles, from counts over all texts. Each task reports the cells that stand out."""
+    """A rank from 0 (rare) for each cell of shingles, from counts over all texts; cells that stand out from the mean count as common."""
 
     def count(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(CELLS, dtype=np.int32)
         for _, block in blocks(batches):
-            sets = shingle_sets(Words(block, lower=True), k)
-            total += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+            total += np.bincount(_cell(np.concatenate(shingle_sets(Words(block, lower=True), k))), minlength=CELLS).astype(np.int32)
+        yield packing.rows(list(range(_CHUNKS)), [packing.pack(x) for x in total.reshape(_CHUNKS, -1)])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // _CHUNKS, dtype=np.int64)
+        for value in table.column("packed").to_pylist():
+            total += packing.unpack(value, "int32")[0]
         mean = total.mean()
         at = np.flatnonzero(total > mean + 6 * math.sqrt(mean) + 3)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.maximum(total[at] - mean, 1).astype(np.int64))], ["cell", "n"])
+        cell = at + int(table.column("key")[0].as_py()) * (CELLS // _CHUNKS)
+        return pa.table([pa.array(cell.astype(np.int32)), pa.array(np.maximum(total[at] - mean, 1).astype(np.int64))], names=["cell", "n"])
 
-    top = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(COMMON_CELLS)
+    counts = texts.mapInArrow(count, "key int, packed binary").groupBy("key").applyInArrow(add, "cell int, n long")
     rank = np.zeros(CELLS, dtype=np.uint8)
-    for r in top.toLocalIterator():
+    for r in counts.orderBy(F.desc("n"), "cell").limit(COMMON_CELLS).toLocalIterator():
         rank[r.cell] = 1 + min(60, int(math.log2(r.n + 1)))
     return rank
 
 
 def _signatures(texts: DataFrame, rank: np.ndarray, k: int) -> DataFrame:
-    """id, n, digest of the set, prefix in rank order, and for sets of the crowd (a quarter common) the whole set."""
+    """id, n, digest of the set, prefix in rank order, and for sets of the crowd the whole set."""
 
     def sign(batches):
         for ids, block in blocks(batches):
@@ -95,7 +105,7 @@ def _signatures(texts: DataFrame, rank: np.ndarray, k: int) -> DataFrame:
                 p = prefix_size(len(s))
                 first = s[np.argsort(r, kind="stable")[:p]] if r.any() else s[:p]  # s ascends, so ties of rank stand in hash order
                 common = float((r > 0).mean())
-                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first.tobytes(), s.tobytes() if common >= 0.24 else None, common))
+                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first.tobytes(), s.tobytes() if common >= CROWD else None, common))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "n", "digest", "prefix", "whole", "common"])
@@ -124,7 +134,7 @@ class Pivots:
 
 
 def _pivot_distances(crowd: DataFrame, pivots: Pivots) -> DataFrame:
-    """id, n, whole, and the pivots within 2T with their distances, nearest first."""
+    """id, n, whole, and the pivots within 3T with their distances, nearest first."""
     shared = crowd.sparkSession.sparkContext.broadcast(pivots)
 
     def each(batches):
@@ -133,7 +143,7 @@ def _pivot_distances(crowd: DataFrame, pivots: Pivots) -> DataFrame:
             near, far = [], []
             for w in b.column(2).to_pylist():
                 d = p.distances(np.frombuffer(w, _U))
-                at = np.flatnonzero(d <= 2 * _T + _EPS)
+                at = np.flatnonzero(d <= 3 * _T + _EPS)
                 at = at[np.argsort(d[at], kind="stable")]
                 near.append(at.tolist())
                 far.append(d[at].tolist())
@@ -159,20 +169,31 @@ def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _region(table: pa.Table) -> pa.Table:
-    """Links between a part of a region's settled documents and a part of its window."""
-    settled, ids = np.array(table.column("settled").to_pylist()), table.column("id").to_numpy()
-    far = table.column("d").to_numpy()
+    """Links between a part of a region's own documents and a part of those to be compared with them, as a spanning forest."""
+    side, ids = np.array(table.column("side").to_pylist()), table.column("id").to_pylist()
+    settled = table.column("settled").to_pylist()
     sets = [np.frombuffer(w, _U) for w in table.column("whole").to_pylist()]
-    inside, window = np.flatnonzero(settled), np.flatnonzero(~settled)
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     a, b = [], []
-    if len(inside):
-        keys, owner, size = _index([sets[i] for i in inside])
-        for y in window.tolist():
-            found = _similar_rows(sets[y], keys, owner, size)
-            found = found[np.abs(far[inside[found]] - far[y]) <= _T + _EPS]  # always true; states the triangle inequality
-            if len(found):  # all settled documents of a region are connected through its pivot: one link is enough
-                a.append(int(ids[y]))
-                b.append(int(ids[inside[found[0]]]))
+    if len(own):
+        keys, owner, size = _index([sets[i] for i in own])
+        anchors = [i for i in own.tolist() if settled[i]]  # connected through the region's pivots
+        for x in anchors[1:]:
+            root[find(ids[x])] = find(ids[anchors[0]])
+        for y in other.tolist():
+            for x in own[_similar_rows(sets[y], keys, owner, size)].tolist():
+                if (rx := find(ids[x])) != (ry := find(ids[y])):
+                    root[ry] = rx
+                    a.append(ids[y])
+                    b.append(ids[x])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -190,35 +211,58 @@ def _roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+def _connected_pivots(core: DataFrame, pivots: int) -> list[int]:
+    """A root for each pivot; pivots that share a document within T are connected. Each task reports at most one link for each pivot."""
+
+    def each(batches):
+        pairs = []
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                pairs += [(c[0], x) for x in c[1:]]
+            pairs = [(i, r) for i, r in enumerate(_roots(pivots, pairs)) if i != r]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int32()), pa.array([y for _, y in pairs], pa.int32())], ["x", "y"])
+
+    return _roots(pivots, [(r.x, r.y) for r in core.mapInArrow(each, "x int, y int").distinct().collect()])
+
+
 def _settle(crowd: DataFrame, pivots: Pivots) -> tuple[DataFrame, DataFrame, int]:
-    """Links of this round, the documents left unsettled (id, n, whole), and how many were settled."""
+    """Links of this round, the documents left open (id, n, whole), and how many were closed."""
     spark = crowd.sparkSession
     near = written(_pivot_distances(crowd, pivots))
-    ids = F.array(*[F.lit(i) for i in pivots.ids])
-    core = F.filter(F.arrays_zip("near", "far"), lambda x: x["far"] <= _T + _EPS)
-    near = near.withColumn("core", F.transform(core, lambda x: x["near"])).withColumn("settled", F.size("core") > 0)
-    to_pivot = near.where("settled").select(F.col("id").alias("a"), F.explode("core").alias("p")).select("a", F.get(ids, F.col("p")).alias("b"))
-    # pivots known to be connected: at most PIVOTS squared pairs
-    pairs = near.where(F.size("core") > 1).select(F.col("core")[0].alias("x"), F.explode("core").alias("y")).where("x <> y").distinct().collect()
-    root = _roots(len(pivots.ids), [(r.x, r.y) for r in pairs])
-    rootcol = F.array(*[F.lit(r) for r in root])
-    own = near.where("settled").select("id", "whole", F.col("near")[0].alias("p"), F.col("far")[0].alias("d"), F.lit(True).alias("settled"))
-    window = near.select("id", "whole", "settled", F.when(F.col("settled"), F.get(rootcol, F.col("near")[0])).alias("r"), F.explode(F.arrays_zip("near", "far")).alias("x"))
-    window = window.select("id", "whole", "r", F.col("x.near").alias("p"), F.col("x.far").alias("d")).where(F.col("r").isNull() | (F.get(rootcol, F.col("p")) != F.col("r")))
-    inside = {r.p: r["count"] for r in own.groupBy("p").count().collect()}
-    around = {r.p: r["count"] for r in window.groupBy("p").count().collect()}
-    parts = [(p, max(1, -(-inside.get(p, 0) // REGION_ROWS)), max(1, -(-around.get(p, 0) // REGION_ROWS))) for p in range(len(pivots.ids))]
-    rows_of, cols_of = F.array(*[F.lit(x[1]) for x in parts]), F.array(*[F.lit(x[2]) for x in parts])
-    live = [p for p in inside if around.get(p)]
-    found = to_pivot.where("a <> b")
+    core = F.transform(F.filter(F.arrays_zip("near", "far"), lambda x: x["far"] <= _T + _EPS), lambda x: x["near"])
+    root = _connected_pivots(near.select(core.alias("core")).where(F.size("core") > 1), len(pivots.ids))
+    root_of = F.array(*[F.lit(r) for r in root])
+    nearest = F.coalesce(F.get("far", F.lit(0)), F.lit(1.0))
+    near = near.withColumns({"settled": nearest <= _T + _EPS, "home": nearest <= 2 * _T + _EPS})
+    # the region of connected pivots is the union of their Voronoi cells; a document's cell is that of its nearest pivot
+    near = near.withColumn("r", F.when(F.col("home"), F.get(root_of, F.get("near", F.lit(0)))))
+    around = F.filter(F.array_distinct(F.transform("near", lambda p: F.get(root_of, p))), lambda x: F.coalesce(x != F.col("r"), F.lit(True)))
+    near = near.withColumn("around", F.when(F.col("home") & ~F.col("settled"), F.concat(around, F.array("r"))).otherwise(around))
+    to_pivot = near.where("settled").select(F.col("id").alias("a"), F.get(F.array(*[F.lit(i) for i in pivots.ids]), F.get("near", F.lit(0))).alias("b"))
+    between = spark.createDataFrame([(pivots.ids[i], pivots.ids[r]) for i, r in enumerate(root)], "a long, b long")
+    found = to_pivot.unionByName(between).where("a <> b")
+    inside = {r.r: r["count"] for r in near.where("home").groupBy("r").count().collect()}
+    outside = {r.w: r["count"] for r in near.select(F.explode("around").alias("w")).groupBy("w").count().collect()}
+    live = [r for r in inside if outside.get(r)]
     if live:
-        i, j = F.pmod(F.xxhash64("id"), F.get(rows_of, F.col("p"))).cast("int"), F.pmod(F.xxhash64("id"), F.get(cols_of, F.col("p"))).cast("int")
-        left = own.where(F.col("p").isin(live)).select("p", i.alias("i"), F.explode(F.sequence(F.lit(0), F.get(cols_of, F.col("p")) - 1)).alias("j"), "id", "whole", "d", "settled")
-        right = window.where(F.col("p").isin(live)).select("p", F.explode(F.sequence(F.lit(0), F.get(rows_of, F.col("p")) - 1)).alias("i"), j.alias("j"), "id", "whole", "d", F.lit(False).alias("settled"))
-        found = found.unionByName(left.unionByName(right).groupBy("p", "i", "j").applyInArrow(_region, "a long, b long"))
-    found = written(found)
-    rest = written(near.where("not settled").select("id", "n", "whole"))
-    return found, rest, sum(inside.values())
+
+        def blocks_of(sizes):
+            return F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // REGION_ROWS))) for p in range(len(pivots.ids))])
+
+        rows_of, cols_of = blocks_of(inside), blocks_of(outside)
+
+        def place(count):
+            return F.pmod(F.xxhash64("id"), F.get(count, F.col("r"))).cast("int")
+
+        def every(count):
+            return F.explode(F.sequence(F.lit(0), F.get(count, F.col("r")) - 1))
+
+        left = near.where(F.col("home") & F.col("r").isin(live)).select("r", place(rows_of).alias("i"), every(cols_of).alias("j"), "id", "whole", "settled", F.lit(0).alias("side"))
+        right = near.select("id", "whole", "settled", F.explode("around").alias("r")).where(F.col("r").isin(live))
+        right = right.select("r", every(rows_of).alias("i"), place(cols_of).alias("j"), "id", "whole", "settled", F.lit(1).alias("side"))
+        found = found.unionByName(left.unionByName(right).groupBy("r", "i", "j").applyInArrow(_region, "a long, b long"))
+    rest = written(near.where("not home").select("id", "n", "whole"))
+    return written(found), rest, sum(inside.values())
 
 
 def _send_prefixes(keys: int):
@@ -314,23 +358,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     alone = written(signed.where("n > 0").join(first, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "prefix", "whole", "common"))
     links = []
-    crowd, settled_ids = alone.where("whole is not null").select("id", "n", "whole", "common"), None
-    crowded = crowd.where((F.col("common") >= 0.8) & (F.col("n") <= PIVOT_SHINGLES)).select("id")
+    crowd, closed = alone.where("whole is not null").select("id", "n", "whole", "common"), False
+    crowded = crowd.where((F.col("common") >= PIVOT_COMMON) & (F.col("n") <= PIVOT_SHINGLES)).select("id")
     rest = crowd.select("id", "n", "whole")
     for r in range(ROUNDS):
         rows = rest.join(crowded, "id", "left_semi").orderBy(F.xxhash64("id", F.lit(r))).limit(PIVOTS).select("id", "whole").collect()
         if len(rows) < 2:
             break
         before = rest.count()
-        found, rest, settled = _settle(rest, Pivots([x.id for x in rows], [np.frombuffer(x.whole, _U) for x in rows]))
+        found, rest, gone = _settle(rest, Pivots([x.id for x in rows], [np.frombuffer(x.whole, _U) for x in rows]))
         links.append(found)
-        settled_ids = True
-        if settled < max(2 * len(rows), before // 20):
+        closed = True
+        if gone < max(2 * len(rows), before // 20):
             break
     open_ = alone.select("id", "n", "prefix", "whole")
-    if settled_ids:
+    if closed:
         open_ = open_.where("whole is null").unionByName(open_.join(rest.select("id"), "id", "left_semi"))
-    sent = open_.select("id", "n", "prefix").mapInArrow(_send_prefixes(packing.key_count(spark)), "key int, packed binary")
+    sent = open_.select("id", "n", "prefix").mapInArrow(_send_prefixes(max(1, packing.key_count(spark) // 4)), "key int, packed binary")
     pairs = packing.exchange(sent, _candidates, "a long, b long, na int, nb int, shared long")
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     need = F.ceil(SIMILAR[0] * (F.col("na") + F.col("nb")) / sum(SIMILAR))
@@ -351,5 +395,5 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """The rows of ``docs`` less those whose component has a smaller id; rows without id or shingles stay."""
-    gone = similar_components(docs, id_col, text_col, k).where("component < id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = similar_components(docs, id_col, text_col, k).where("component < id").select("id")
+    return without_ids(docs, id_col, gone)
