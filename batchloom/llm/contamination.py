@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.durable import without_ids
 from batchloom.llm.textblocks import Words, arrow_limits, blocks, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -137,6 +138,5 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows with a null id stay. Only the ids found are shuffled besides the texts."""
-    found = contained_items(docs, items, id_col, text_col, **more).select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    """The rows of ``docs`` that contain no item; rows with a null id stay. Texts are not shuffled, but for those that a bit set of the ids found cannot rule out."""
+    return without_ids(docs, id_col, contained_items(docs, items, id_col, text_col, **more).select("doc"))
