@@ -51,6 +51,17 @@ def _plain_number(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _fixed(x: Column, width: int | None, d: int) -> Column:
+    """w.d: right-aligned. What does not fit loses decimals, then goes to an exponent, as BESTw. does; else asterisks."""
+    if width is None:
+        return F.format_string(f"%1.{d}f", x)
+    tries = [F.format_string(f"%.{q}f", x) for q in range(d, -1, -1)]
+    for q in range(max(0, width - 4), -1, -1):
+        tries.append(F.regexp_replace(F.regexp_replace(F.format_string(f"%.{q}E", x), r"(\.\d*?)0*E", "$1E"), r"\.?E(?:\+|(-))0*", "E$1"))
+    fitting = F.coalesce(*[F.when(F.length(text) <= width, text) for text in tries], F.lit("*" * width))
+    return F.lpad(fitting, width, " ")
+
+
 def put(x, fmt: str) -> Column:
     """A value as text; missing values give missing (numbers: a dot is left to the caller)."""
     x = col(x)
@@ -76,8 +87,8 @@ def put(x, fmt: str) -> Column:
         "PERCENT": lambda: F.when(number < 0, F.format_string(f"(%.{d}f%%)", -number * 100)).otherwise(F.format_string(f"%.{d}f%%", number * 100)),
         "BEST": lambda: _plain_number(number),
         "Z": lambda: F.format_string(f"%0{width or 1}.{d}f" if d else f"%0{width or 1}d", number if d else number.cast("long")),
-        "F": lambda: F.format_string(f"%{width or 1}.{d}f", number),
-        "": lambda: F.format_string(f"%{width or 1}.{d}f", number),
+        "F": lambda: _fixed(number, width, d),
+        "": lambda: _fixed(number, width, d),
         "E": lambda: F.upper(F.format_string(f"%.{max(1, (width or 12) - 7)}e", number)),
         "PVALUE": lambda: F.when(number < 10.0**-(d or 4), f"<{'.' + '0' * ((d or 4) - 1) + '1'}").otherwise(F.format_string(f"%.{d or 4}f", number)),
         "BINARY": lambda: F.lpad(F.bin(number.cast("long")), width or 8, "0"),

@@ -92,7 +92,7 @@ def fn_put_dates(t: Tables):
 @query("""SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS dollar, format('{:,.2f}', o_totalprice) AS comma, printf('%.1f%%', 100 * (o_orderkey % 8) / 8.0) AS pct, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS z8, CAST(o_orderkey AS VARCHAR) AS best, substr(o_orderpriority, 1, 3) AS chr3, lpad(CAST(o_orderkey AS VARCHAR), 6, ' ') AS f6 FROM orders WHERE o_orderkey < 1000000""")
 def fn_put_numeric(t: Tables):
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
-    return t.orders.where("o_orderkey < 1000000").select("o_orderkey", put(p, "DOLLAR12.2").alias("dollar"), put(p, "COMMA12.2").alias("comma"), put((k % 8) / 8, "PERCENT8.1").alias("pct"), put(k, "Z8.").alias("z8"), put(k, "BEST12.").alias("best"), put(F.col("o_orderpriority"), "$CHAR3.").alias("chr3"), put(k, "6.").alias("f6"))
+    return t.orders.select("o_orderkey", put(p, "DOLLAR12.2").alias("dollar"), put(p, "COMMA12.2").alias("comma"), put((k % 8) / 8, "PERCENT8.1").alias("pct"), put(k, "Z8.").alias("z8"), put(k, "BEST12.").alias("best"), put(F.col("o_orderpriority"), "$CHAR3.").alias("chr3"), put(k, "6.").alias("f6"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders) SELECT o_orderkey, d AS a, d AS b, d AS c, d AS e, d AS any_, CAST(d AS TIMESTAMP) AS ts FROM d""")

@@ -56,3 +56,19 @@ def test_registry():
     with pytest.raises(ValueError):
         call("nosuch", 1)
     assert parse("DOLLAR12.2") == ("DOLLAR", 12, 2) and parse("$CHAR3.") == ("$CHAR", 3, 0) and parse("DATE9.") == ("DATE", 9, 0)
+
+
+def test_numbers_that_do_not_fit_their_width(spark):
+    cases = [(999999.0, "6.", "999999"), (1000000.0, "6.", "   1E6"), (1234567.0, "6.", "1.23E6"), (-1234567.0, "6.", "-1.2E6"), (12345.678, "6.2", " 12346"), (1234567.0, "2.", "**"), (42.0, "6.", "    42"), (1.5, "6.2", "  1.50")]
+    for number, fmt, want in cases:
+        assert value(spark, put(F.lit(number), fmt)) == want, (number, fmt)
+    assert value(spark, put(F.lit(None).cast("double"), "6.")) is None
+
+
+def test_put_numeric_keeps_large_keys(spark, tmp_path):
+    from batchloom.plans import catalogue
+
+    rows = [(999999, 10.5, "1-URGENT"), (1000000, 2.0, "5-LOW"), (1234567, 3.0, "5-LOW")]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: (r.z8, r.best, r.f6) for r in catalogue.queries()["fn_put_numeric"](spark, str(tmp_path)).collect()}
+    assert got == {999999: ("00999999", "999999", "999999"), 1000000: ("01000000", "1000000", "   1E6"), 1234567: ("01234567", "1234567", "1.23E6")}
