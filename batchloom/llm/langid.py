@@ -6,7 +6,7 @@ the greatest cosine. It is rejected when its cosine distance exceeds that langua
 of like length from their own language, plus a margin.
 
 Document frequencies come from all training texts (one pass, a vector of DIMENSIONS counts from each task, combined before the shuffle).
-Centroids are fitted on the driver on at most FIT_PER_LANG texts of each of at most MAX_LANGS languages (those with the least hash of
+Centroids are fitted on the driver on at most FIT_PER_LANG distinct texts of each of at most MAX_LANGS languages (those with the least hash of
 their text); whole texts of up to FIT_TEXT bytes are eligible. Prediction is one narrow pass without a shuffle.
 
 Defined results. Null text or no letter: ``und``, score 0, not rejected. No training rows: every text is ``und``. Equal cosines: the
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     langs = sorted(r.l for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect())
     short = known.where(F.octet_length("t").between(1, FIT_TEXT) & F.col("l").isin(langs) & F.col("t").rlike(r"\p{L}"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    keys = short.select("l", F.xxhash64("t").alias("h")).withColumn("r", first).where(F.col("r") <= FIT_PER_LANG).select("l", "h").distinct()
+    keys = short.select("l", F.xxhash64("t").alias("h")).distinct().withColumn("r", first).where(F.col("r") <= FIT_PER_LANG).select("l", "h")
     rows = short.withColumn("h", F.xxhash64("t")).join(keys, ["l", "h"]).dropDuplicates(["l", "h"]).orderBy("l", "h")
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     known_langs, found, limits = [], [], []

@@ -5,7 +5,7 @@ beginnings); a document's is the noisy-or of its sentences, 1 - prod(1 - p). Tra
 likelihood by Adam over whole bags, so blame settles on the sentences that explain the labels. The model then scores every sentence
 of every document and names the offending ones.
 
-Fitting uses at most FIT_ROWS labelled documents (those with the least hash of their text), at most FIT_BYTES of text,
+Fitting uses at most FIT_ROWS labelled texts (those with the least hash; copies with one label count once), at most FIT_BYTES of text,
 no text over a hundredth of that; the sample is
 the only thing that reaches the driver and its bound does not grow. Scoring is one narrow pass over whole texts without a shuffle.
 
@@ -99,9 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     known = docs.where(F.col(text_col).isNotNull() & (F.lit(True) if where is None else where)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     known = known.where(F.octet_length("t") <= FIT_BYTES // 100)
-    keys = known.select("i", F.xxhash64("t").alias("h")).join(marked, "i").orderBy("h", "i", "y").limit(FIT_ROWS)  # texts stay where they are
-    found = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(keys), ["i", "h"])
-    rows = found.orderBy("h", "i", "y").select("t", "y", F.octet_length("t").alias("n"))
+    keys = known.select("i", F.xxhash64("t").alias("h")).join(marked, "i").groupBy("h", "y").agg(F.min("i").alias("i")).orderBy("h", "y").limit(FIT_ROWS)  # texts stay where they are
+    found = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(keys), ["i", "h"]).dropDuplicates(["h", "y"])
+    rows = found.orderBy("h", "y").select("t", "y", F.octet_length("t").alias("n"))
     texts, y, held = [], [], 0
     for r in rows.toLocalIterator():
         held += r.n

@@ -115,6 +115,14 @@ def test_language_identification(spark):
     assert held.where("lid_lang = lang").count() > 0.98 * len(rows) and held.where("lid_rejected").count() < 0.05 * len(rows)
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    fitted, k_means = [], langid.k_means
+    monkeypatch.setattr(langid, "FIT_PER_LANG", 10)
+    monkeypatch.setattr(langid, "k_means", lambda v, k: (fitted.append(v.shape[0]), k_means(v, k))[1])
+    langid.fit(spark.createDataFrame([(i, prose(i % 12, 20), "aa") for i in range(240)], "doc_id long, text string, lang string"))
+    assert fitted == [10]
+
+
 # 3 SentencePiece
 def best_score(p, unit):
     best = [0.0]
@@ -243,6 +251,18 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.fit(df, lab.limit(0))).where("tox_score >= 0.5").count() == 0
 
 
+def test_toxicity_sample_counts_copies_once(spark, monkeypatch):
+    """Texts 0 to 11, each with 20 ids and one label; text 0 has both labels, and one row stands twice."""
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: list(zip(texts, y.tolist(), strict=True)))
+    df = docs(spark, [(i, prose(i % 12, 20)) for i in range(240)] + [(1, prose(1, 20))])
+    lab = spark.createDataFrame([(i, int(i == 12 or i % 3 == 1)) for i in range(240)], "doc_id long, toxic int")
+    want = {(prose(t, 20).encode(), int(t % 3 == 1)) for t in range(12)} | {(prose(0, 20).encode(), 1)}
+    rows = toxicity.fit(df, lab)
+    assert len(rows) == 13 and set(rows) == want
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 10)
+    assert len(set(toxicity.fit(df, lab))) == 10
+
+
 # 7 Jaccard join
 def brute_components(rows):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
