@@ -2,7 +2,7 @@
 
 1 - Jaccard is a metric. The join returns the connected components of "similarity at least 0.8" (distance T = 0.2), exactly.
 
-* Equal sets collapse first: only the least id of each set (its representative) goes on.
+* Equal sets collapse first: each set goes on once, under a number of its own (an id may stand on rows with different sets).
 * Common shingles. A sketch of CELLS counters, filled over all texts, ranks shingles: rare first, common last. The ranking is one fixed
   total order of shingles, so the prefix theorem holds: two sets within T share a shingle among the first n - ceil(0.8 n) + 1 of each.
 * Pivots and regions, for the parts of the corpus where documents crowd (sets made mostly of common shingles): up to PIVOTS random
@@ -20,7 +20,8 @@ Broadcast: the sketch's common cells (at most CELLS bytes), the pivots (at most
 Large regions are split into blocks of pairs of parts; a component is never collected.
 
 Defined results. A null, empty or wordless text has no shingles and is linked with nothing. Rows with a null id are left out. Fewer than k words:
-the whole sequence is one shingle. Rows with one id count as copies of each other only if their sets link.
+the whole sequence is one shingle. Rows with one id count as copies of each other only if their sets link; a component is named by its
+least id, so two components can bear one name where that id stands on different texts.
 """
 
 from __future__ import annotations
@@ -53,6 +54,10 @@ CROWD = 0.1
 _T, _EPS = 0.2, 1e-9
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> _U(64 - CELL_BITS)).astype(np.int64)
 
@@ -105,7 +110,7 @@ def _signatures(texts: DataFrame, rank: np.ndarray, k: int) -> DataFrame:
                 p = prefix_size(len(s))
                 first = s[np.argsort(r, kind="stable")[:p]] if r.any() else s[:p]  # s ascends, so ties of rank stand in hash order
                 common = float((r > 0).mean())
-                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first.tobytes(), s.tobytes() if common >= CROWD else None, common))
+                out.append((i, len(s), _digest(s), first.tobytes(), s.tobytes() if common >= CROWD else None, common))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "n", "digest", "prefix", "whole", "common"])
@@ -315,15 +320,15 @@ def _candidates(values: list[bytes]):
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, whole) for the ids and some others, from the texts again: a bit set of the ids skips most other texts."""
+    """(id, digest, whole) for the ids and some others, from the texts again: a bit set of the ids skips most other texts."""
 
     def each(batches):
         for found, block in blocks(batches):
             sets = shingle_sets(Words(block, lower=True), k)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "whole"])
 
     wanted = may_be_in(texts, "id", written(id_filter(ids, "id")), "hit").where("hit").select("id", "t")
-    return wanted.mapInArrow(each, "id long, whole binary")
+    return wanted.mapInArrow(each, "id long, digest binary, whole binary")
 
 
 def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -349,14 +354,17 @@ def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, n_shingles, component): one row for each row of ``docs`` with an id."""
+def _row_components(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, n, digest, component): one row for each row of ``docs`` with an id."""
     spark = docs.sparkSession
     arrow_limits(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     signed = written(_signatures(texts, _common_cells(texts, k), k))
     first = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    alone = written(signed.where("n > 0").join(first, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "prefix", "whole", "common"))
+    sets = signed.where("n > 0").join(first, ["digest", "id"]).dropDuplicates(["id", "digest"])
+    # from here to the components, id is the number of a set; it holds once it is written
+    numbered = written(sets.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("doc"), "digest", "n", "prefix", "whole", "common"))
+    alone, owner = numbered.drop("doc", "digest"), numbered.select("id", "doc", "digest")
     links = []
     crowd, closed = alone.where("whole is not null").select("id", "n", "whole", "common"), False
     crowded = crowd.where((F.col("common") >= PIVOT_COMMON) & (F.col("n") <= PIVOT_SHINGLES)).select("id")
@@ -381,19 +389,42 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     beyond = F.greatest(*[F.floor(F.lit(SIMILAR[0]) * F.col(c) / SIMILAR[1]) for c in ("na", "nb")])  # most shingles outside a prefix
     pairs = written(pairs.where(F.col("shared") + beyond >= need - 1e-6).select("a", "b"))
     coarse = written(components(pairs))
-    whole = _sets_of(texts, coarse.select("id"), k).join(coarse, "id").dropDuplicates(["id"])
+    wanted = written(coarse.join(owner, "id"))
+    again = _sets_of(texts, wanted.select(F.col("doc").alias("id")), k).withColumnRenamed("id", "doc")
+    whole = again.join(wanted, ["doc", "digest"]).dropDuplicates(["id"]).select("id", "whole", "component")
     checked = pairs.join(coarse.select(F.col("id").alias("a"), F.col("component").alias("c")), "a")
     links.append(written(whole.groupBy("component").cogroup(checked.groupBy("c")).applyInArrow(_verify, "a long, b long")))
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)
-    joined = components(every)
-    named = first.join(joined, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    joined = written(components(every).join(owner, "id"))
+    least = joined.groupBy("component").agg(F.min("doc").alias("least"))
+    named = first.withColumnRenamed("id", "doc").join(joined.join(least, "component").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "doc").alias("component"))
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return out.select("id", "n", "digest", F.coalesce("component", "id").alias("component"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """(id, n_shingles, component): one row for each row of ``docs`` with an id."""
+    return _row_components(docs, id_col, text_col, k).select("id", F.col("n").cast("long").alias("n_shingles"), "component")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """The rows of ``docs`` less those whose component has a smaller id; rows without id or shingles stay."""
-    gone = similar_components(docs, id_col, text_col, k).where("component < id").select("id")
-    return without_ids(docs, id_col, gone)
+    found = written(_row_components(docs, id_col, text_col, k))
+    gone = found.where("component < id").select("id", "digest")
+    mixed = written(gone.select("id").distinct().join(found.where("component >= id"), "id", "left_semi"))  # ids of which only some rows go
+    if not mixed.limit(1).count():
+        return without_ids(docs, id_col, gone.select("id"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+
+    def digest(t):
+        s = shingle_sets(Words([(t or "").encode()], lower=True), k)[0]
+        return _digest(s) if len(s) else None
+
+    seen = may_be_in(docs.toDF(*names), key, written(id_filter(mixed, "id")), "m_hit")
+    plain = without_ids(seen.where("not m_hit").select(*names), key, gone.select("id"))
+    told = seen.where("m_hit").withColumn("m_digest", F.udf(digest, "binary")(text))
+    told = told.join(gone.toDF("g_id", "g_digest"), (F.col(key) == F.col("g_id")) & (F.col("m_digest") == F.col("g_digest")), "left_anti")
+    return plain.unionByName(told.select(*names)).toDF(*docs.columns)

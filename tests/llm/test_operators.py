@@ -297,6 +297,16 @@ def test_jaccard_join(spark):
     assert jaccard.similar_components(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_join_with_one_id_on_different_texts(spark):
+    """Id 7 stands on texts A and B, with a near copy of each; id 8 on a near copy of C and on a text of its own."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(7, a), (7, b), (1, edited(a, 1, 1)), (2, edited(b, 2, 1)), (3, c), (8, edited(c, 3, 1)), (8, prose(4, 80)), (9, None)]
+    got = {(r.id, r.component) for r in jaccard.similar_components(docs(spark, rows)).collect()}
+    assert got == {(1, 1), (7, 1), (2, 2), (7, 2), (3, 3), (8, 3), (8, 8), (9, 9)}
+    kept = jaccard.without_copies(docs(spark, rows))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in (rows[2], rows[3], rows[4], rows[6], rows[7]))
+
+
 def test_jaccard_join_with_crowds(spark, monkeypatch):
     """Small limits, so that pivots, several regions and blocks all take part."""
     monkeypatch.setattr(jaccard, "PIVOTS", 6)
