@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from batchloom.llm import packing
 from batchloom.llm.durable import id_filter, may_be_in, written
-from batchloom.llm.textblocks import BLOCK_BYTES, Words, arrow_limits, mix, window_hashes
+from batchloom.llm.textblocks import Words, arrow_limits, keyed_blocks, mix, window_hashes
 
 _U = np.uint64
 BUCKETS = 1 << 14
@@ -68,26 +68,6 @@ def _super_kmers(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray,
     return first, count, least[first]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Blocks of (ids, text keys, texts) from columns (id, text, key of the text)."""
-    ids: list[int] = []
-    keys: list[int] = []
-    texts: list[bytes] = []
-    held = 0
-    for b in batches:
-        for i, t, h in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-            t = t or b""
-            if texts and held + len(t) > BLOCK_BYTES:
-                yield np.array(ids, np.int64), np.array(keys, np.int32), texts
-                ids, keys, texts, held = [], [], [], 0
-            ids.append(i)
-            keys.append(h)
-            texts.append(t)
-            held += len(t)
-    if texts:
-        yield np.array(ids, np.int64), np.array(keys, np.int32), texts
-
-
 def _single_spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The block's words with one space after each, and where each word starts and ends in it."""
     size = words.end - words.start
@@ -107,7 +87,7 @@ def bucket_sizes(texts: DataFrame, k: int, m: int) -> DataFrame:
 
     def count(batches):
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for _, _, block in _blocks(batches):
+        for _, _, block in keyed_blocks(batches):
             _, n, least = _super_kmers(Words(block), k, m)
             total += np.bincount((mix(least) % _U(BUCKETS)).astype(np.int64), weights=n + k - 1, minlength=BUCKETS).astype(np.int64)
         at = np.flatnonzero(total)
@@ -128,7 +108,7 @@ def _send(keys: int, common: frozenset[int], k: int, m: int):
     mark[list(common)] = True
 
     def send(batches):
-        for ids, texts_key, texts in _blocks(batches):
+        for ids, texts_key, texts in keyed_blocks(batches):
             words = Words(texts)
             first, count, least = _super_kmers(words, k, m)
             bucket = (mix(least) % _U(BUCKETS)).astype(np.int64)
@@ -145,7 +125,7 @@ def _send(keys: int, common: frozenset[int], k: int, m: int):
                 text = b"\n".join([flat[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)])
                 to.append(key)
                 here, times = np.unique(doc[at], return_counts=True)  # super-k-mers stand in document order
-                out.append(packing.pack(np.diff(ids[here], prepend=0), texts_key[here], times.astype(np.int32), (first[at] - words.first[doc[at]]).astype(np.int32), count[at].astype(np.int32), text))
+                out.append(packing.pack(np.diff(ids[here], prepend=0), texts_key[here].astype(np.int32), times.astype(np.int32), (first[at] - words.first[doc[at]]).astype(np.int32), count[at].astype(np.int32), text))
             yield packing.rows(to, out)
 
     return send
@@ -213,7 +193,7 @@ def _common_windows(common: frozenset[int], k: int, m: int):
     mark[list(common)] = True
 
     def each(batches):
-        for ids, texts_key, texts in _blocks(batches):
+        for ids, texts_key, texts in keyed_blocks(batches):
             words = Words(texts)
             first, count, least = _super_kmers(words, k, m)
             hot = mark[(mix(least) % _U(BUCKETS)).astype(np.int64)]
@@ -225,7 +205,7 @@ def _common_windows(common: frozenset[int], k: int, m: int):
             digest = [hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(start[window].tolist(), end[window + k - 1].tolist(), strict=True)]
             doc = words.doc[window]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array(ids[doc]), pa.array(texts_key[doc]), pa.array((window - words.first[doc]).astype(np.int32))],
+                [pa.array(digest, pa.binary()), pa.array(ids[doc]), pa.array(texts_key[doc].astype(np.int32)), pa.array((window - words.first[doc]).astype(np.int32))],
                 ["digest", "sk_id", "sk_text", "sk_start"],
             )
 

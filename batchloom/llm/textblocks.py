@@ -58,6 +58,26 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield np.array(ids, dtype=np.int64), texts
 
 
+def keyed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Blocks of (ids, text keys, texts) from columns (id, text, key of the text)."""
+    ids: list[int] = []
+    keys: list[int] = []
+    texts: list[bytes] = []
+    held = 0
+    for b in batches:
+        for i, t, h in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            t = t or b""
+            if texts and held + len(t) > BLOCK_BYTES:
+                yield np.array(ids, np.int64), np.array(keys), texts
+                ids, keys, texts, held = [], [], [], 0
+            ids.append(i)
+            keys.append(h)
+            texts.append(t)
+            held += len(t)
+    if texts:
+        yield np.array(ids, np.int64), np.array(keys), texts
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=_U)
     if n > 1:

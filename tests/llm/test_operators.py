@@ -308,13 +308,43 @@ def test_jaccard_join_with_one_id_on_different_texts(spark):
 
 
 def test_jaccard_join_with_crowds(spark, monkeypatch):
-    """Small limits, so that pivots, several regions and blocks all take part."""
-    monkeypatch.setattr(jaccard, "PIVOTS", 6)
-    monkeypatch.setattr(jaccard, "REGION_ROWS", 16)
+    """Small limits, so that pivots, large regions, cells and blocks all take part."""
+    monkeypatch.setattr(jaccard, "SHORT", 3)
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", 3000)
+    across = []
+    monkeypatch.setattr(jaccard, "_across_parts", lambda *a, f=jaccard._across_parts: across.append(f(*a)) or across[-1])
     a, b = prose(1, 150), prose(2, 90)
     rows = [(i, edited(a, i, int(i % 9))) for i in range(260)] + [(1000 + i, edited(b, i, int(i % 6))) for i in range(200)] + [(2000 + i, prose(50 + i, 100)) for i in range(30)]
     got = sorted((r.id, r.n_shingles, r.component) for r in jaccard.similar_components(docs(spark, rows, False)).collect())
     assert got == brute_components(rows)
+    assert across and across[0].count() > 100
+
+
+def test_jaccard_meetings_do_not_grow_with_the_square(spark):
+    """A family of f near copies makes a row for each document and key, and one for each bucket."""
+    for f in (50, 200):
+        values = [packing.pack(np.arange(20, dtype=np.uint64), np.array([i]), np.array([100], np.int32), np.array([20], np.int32), np.ones(20, np.int32)) for i in range(f)]
+        assert sum(b.num_rows for b in jaccard._meetings(values, 4)) == f - 1 + 4
+
+
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=1, max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_joined_sets_are_a_spanning_forest(sets):
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    pairs, pivot = jaccard.joined(arrays)
+    assert 0 <= pivot < len(sets)
+    root = {i: i for i in range(len(sets))}
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if jaccard.linked(len(a & b), len(a), len(b)) and a & b:
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {i: i for i in range(len(sets))}
+    for _ in sets:
+        for x, y in pairs:
+            assert jaccard.linked(len(sets[x] & sets[y]), len(sets[x]), len(sets[y]))
+            got[x] = got[y] = min(got[x], got[y])
+    assert got == root and len(pairs) == len(sets) - len(set(root.values()))
 
 
 @given(st.sets(st.integers(0, 30), min_size=1), st.sets(st.integers(0, 30), min_size=1))
