@@ -11,7 +11,7 @@ _PLAIN = {
     numbers: "CEIL FLOOR MOD SIGN SQRT LOG LOG10 EXP N NMISS CMISS MEAN USS CSS STD COALESCE COALESCEC IFN IFC MISSING",
     dates: "INTCK INTNX DATEPART TIMEPART TODAY DATETIME MDY YMD YEAR QTR MONTH DAY WEEKDAY HOUR MINUTE SECOND DHMS HMS DATDIF",
 }
-FUNCTIONS = _RENAMED | {name: getattr(module, name.lower()) for module, names in _PLAIN.items() for name in names.split()} | {"DATE": dates.today, "TIME": dates.datetime}
+FUNCTIONS = _RENAMED | {name: getattr(module, name.lower()) for module, names in _PLAIN.items() for name in names.split()} | {"DATE": dates.today, "TIME": dates.time}
 
 
 def call(name: str, *args):

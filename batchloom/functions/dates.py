@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,12 +76,21 @@ def timepart(ts) -> Column:
     return (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("double")
 
 
+#: The moment that TODAY(), DATE(), DATETIME() and TIME() give; None is the session's clock.
+RUN_AT: ContextVar[str | None] = ContextVar("run_at", default=None)
+
+
 def today() -> Column:
-    return F.current_date()
+    return datetime().cast("date")
 
 
 def datetime() -> Column:
-    return F.current_timestamp()
+    return F.lit(RUN_AT.get()).cast("timestamp") if RUN_AT.get() else F.current_timestamp()
+
+
+def time() -> Column:
+    """Seconds of the day."""
+    return timepart(datetime())
 
 
 def mdy(m, d, y) -> Column:
@@ -133,6 +144,14 @@ def hms(h, m, s) -> Column:
     return (col(h) * 3600 + col(m) * 60 + col(s)).cast("double")
 
 
-def datdif(start, end) -> Column:
-    """Actual days from start to end."""
-    return F.datediff(col(end), col(start))
+def datdif(start, end, basis: str = "ACT/ACT") -> Column:
+    """Days from start to end: actual ones (ACT/ACT, ACT/360, ACT/365), or of months of 30 days (30/360)."""
+    a, b = col(start), col(end)
+    basis = {"ACTUAL": "ACT/ACT", "360": "30/360"}.get(basis.upper(), basis.upper())
+    if basis.startswith("ACT/"):
+        return F.datediff(b, a)
+    if basis != "30/360":
+        raise ValueError(f"unknown basis {basis}")
+    first = F.least(F.dayofmonth(a), F.lit(30))
+    last = F.when((F.dayofmonth(b) == 31) & (first == 30), 30).otherwise(F.dayofmonth(b))
+    return (F.year(b) - F.year(a)) * 360 + (F.month(b) - F.month(a)) * 30 + last - first

@@ -62,6 +62,38 @@ def _fixed(x: Column, width: int | None, d: int) -> Column:
     return F.lpad(fitting, width, " ")
 
 
+def _best(x: Column, width: int) -> Column:
+    """BESTw.: as many significant digits as fit the width, without trailing zeros; an exponent where a plain number would lose more. Not padded."""
+    size = F.when(x == 0, 0.0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")  # of the first digit
+    sign = F.when(x < 0, 1).otherwise(0)
+    out = F.lit("*" * width)
+
+    def trimmed(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    for q in range(width):  # plain numbers: the most decimals that fit
+        text = trimmed(F.format_string(f"%.{min(q, 15)}f", x))
+        out = F.when((F.length(text) <= width) & (F.format_string(f"%.{min(q, 15)}f", x).rlike("[1-9]") | (x == 0)), text).otherwise(out)
+    scientific = F.lit("*" * width)
+    for q in range(max(0, min(width - 5, 14)) + 1):
+        text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{q}E", x), r"(\.\d*?)0*E", "$1E"), r"\.?E(?:\+|(-))0*", "E$1")
+        scientific = F.when(F.length(text) <= width, text).otherwise(scientific)
+    # a plain small number loses its leading digits to zeros: it has width - 1 decimals at most
+    small = (x != 0) & (size < -4) & (F.length(trimmed(F.format_string("%.15f", x))) > width - sign)
+    return F.when(small | out.startswith("*") | ~out.rlike("[1-9]") & (x != 0), scientific).otherwise(out)
+
+
+def _fraction(x: Column) -> Column:
+    """FRACTw.: the fraction of least denominator up to 1000 that equals the number to 1e-6; else the plain number."""
+    whole, rest = F.floor(F.abs(x)), F.abs(x) - F.floor(F.abs(x))
+    q = F.expr("sequence(1, 1000)")
+    found = F.get(F.filter(q, lambda k: F.abs(rest * k - F.round(rest * k)) < 1e-6 * k), F.lit(0))
+    top = F.round(rest * found).cast("long")
+    text = F.when(found == 1, (whole + top).cast("string")).when(whole == 0, F.concat(top.cast("string"), F.lit("/"), found.cast("string")))
+    text = text.otherwise(F.concat(whole.cast("string"), F.lit("+"), top.cast("string"), F.lit("/"), found.cast("string")))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(text, _plain_number(F.abs(x))))
+
+
 def put(x, fmt: str) -> Column:
     """A value as text; missing values give missing (numbers: a dot is left to the caller)."""
     x = col(x)
@@ -72,10 +104,13 @@ def put(x, fmt: str) -> Column:
         text = F.date_format(x, pattern)
         return F.upper(text) if upper else text
     number = x.cast("double") if not base.startswith("$") else x
-    if base in ("TIME", "HHMM"):
-        seconds = x.try_cast("double") if base == "TIME" or base == "HHMM" else x
+    if base in ("TIME", "HHMM", "TOD"):
+        # a number is seconds; of a timestamp the clock time counts
+        as_text = x.cast("string")
+        clock = F.hour(as_text.try_cast("timestamp")) * 3600 + F.minute(as_text.try_cast("timestamp")) * 60 + F.second(as_text.try_cast("timestamp"))
+        seconds = F.coalesce(as_text.try_cast("double"), clock.cast("double"))
         h, m, s = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600.0)) / 60), F.floor(F.pmod(seconds, F.lit(60.0)))
-        return F.format_string("%02d:%02d:%02d", h, m, s) if base == "TIME" else F.format_string("%02d:%02d", h, m)
+        return F.format_string("%02d:%02d:%02d", h, m, s) if base != "HHMM" else F.format_string("%02d:%02d", h, m)
     made = {
         "DOLLAR": lambda: F.concat(F.when(number < 0, "-").otherwise(""), F.lit("$"), F.format_string(f"%,.{d}f", F.abs(number))),
         "COMMA": lambda: F.format_string(f"%,.{d}f", number),
@@ -85,7 +120,8 @@ def put(x, fmt: str) -> Column:
         "NLNUM": lambda: F.format_string(f"%,.{d}f", number),
         "NLMNY": lambda: F.format_string(f"$%,.{d}f", number),
         "PERCENT": lambda: F.when(number < 0, F.format_string(f"(%.{d}f%%)", -number * 100)).otherwise(F.format_string(f"%.{d}f%%", number * 100)),
-        "BEST": lambda: _plain_number(number),
+        "BEST": lambda: _best(number, width or 12),
+        "FRACT": lambda: _fraction(number),
         "Z": lambda: F.format_string(f"%0{width or 1}.{d}f" if d else f"%0{width or 1}d", number if d else number.cast("long")),
         "F": lambda: _fixed(number, width, d),
         "": lambda: _fixed(number, width, d),
@@ -106,6 +142,12 @@ def put(x, fmt: str) -> Column:
     return F.when(x.isNotNull(), made[base]())
 
 
+def _ebcdic(x: Column) -> Column:
+    """Text whose characters stand for the bytes of code page 037, as the characters those bytes mean."""
+    chars = [(chr(b), bytes([b]).decode("cp037")) for b in range(1, 256)]
+    return F.translate(x, "".join(a for a, _ in chars), "".join(b for _, b in chars))
+
+
 def input_(x, informat: str) -> Column:
     """Text as a value; text that doesn't fit gives missing."""
     x = F.trim(col(x).cast("string"))
@@ -131,6 +173,9 @@ def input_(x, informat: str) -> Column:
         p = F.split(x, ":")
         at = lambda i: F.get(p, F.lit(i)).try_cast("double")
         return at(0) * 3600 + at(1) * 60 + F.coalesce(at(2), F.lit(0.0))
+    if base == "$EBCDIC":
+        raw = _ebcdic(col(x))
+        return F.substring(raw, 1, width) if width else raw
     if base in ("$CHAR", "$", "$VARYING", "$ASCII"):
         return F.substring(col(x), 1, width) if width else x
     raise ValueError(f"unknown informat {informat}")

@@ -39,6 +39,8 @@ class DataStep:
         self.outputs: list[tuple[str | None, DataFrame, Column | None]] = []
         self.index: dict[str, int] = {}
         self.guards = 0
+        self.inside = False
+        self.hashes: dict[str, dict[str, list[str] | str]] = {}
         self.order: list[str] = []
         self.df: DataFrame | None = None
 
@@ -67,7 +69,7 @@ class DataStep:
                     if names[0]:
                         self.df = self.df.withColumn(names[0], F.lit(1))
                     for (df, _, _), f in zip(opened[1:], names[1:], strict=True):
-                        self.df = merging.merge(self.df, df.withColumn(f, F.lit(1)) if f else df, plain)
+                        self.df = self.merged(self.df, df.withColumn(f, F.lit(1)) if f else df, plain, opened)
                     flags = [n for n in names if n]
                     self.df = self.df.fillna(0, flags) if flags else self.df
                 else:
@@ -87,6 +89,15 @@ class DataStep:
                     self.df = self.df.withColumn(f"_{which}_{name}", (F.row_number().over(w) == 1).cast("int"))
                     self.temporary.add(f"_{which}_{name}")
 
+    def merged(self, left, right, by: list[str], opened: list):
+        """MERGE with BY: a join where the keys of one side are unique, else the dialect's pairing row by row, which needs both orders."""
+        if not merging.duplicate_keys(right, by).limit(1).count() or not merging.duplicate_keys(left, by).limit(1).count():
+            return merging.merge(left, right, by)
+        if len(opened) > 2 or not all(order for _, order, _ in opened):
+            raise UnsupportedConstruct("MERGE with repeated keys on both sides needs two sorted datasets")
+        orders = [shaping.keys([k for k in order if k.lstrip("-") not in by] or by) for _, order, _ in opened]
+        return merging.merge_sequential(left, right, by, *orders)
+
     def rest_of_order(self, part: list[str]) -> list[str]:
         rest = [k for k in [*self.by, *self.order] if k.lstrip("-") not in part]
         rest = list(dict.fromkeys(rest))
@@ -117,7 +128,18 @@ class DataStep:
         return F.col(name)
 
     def value(self, text: str) -> Value:
-        return Parser(text, self.resolve, self.arrays, self.index).parse()
+        return Parser(text, self.resolve, self.arrays, self.index, self.p.formats, self.lagged).parse()
+
+    def lagged(self, name: str, inner: Value, text: str) -> Value:
+        """LAGn and DIFn of an unconditional assignment: the value n rows before in the BY group. Inside IF the dialect's queue has no column form."""
+        if self.inside:
+            raise UnsupportedConstruct(f"{name.upper()}{text} inside IF: only the rows that reach it would count")
+        n = int(re.sub(r"\D", "", name) or 1)
+        if not self.by:
+            raise UnsupportedConstruct(f"{name.upper()}{text} without BY needs all rows in one order; name a BY group")
+        w = self.window([k.lstrip("-") for k in self.by][:1])
+        before = F.lag(inner.number, n).over(w)
+        return Value(before if name.startswith("lag") else inner.number - before)
 
     # statements
     def run(self) -> None:
@@ -154,6 +176,11 @@ class DataStep:
 
     def block(self, statements: list[str], guard: str | None, first_of: str | None = None) -> None:
         """Runs statements under a guard column; ``first_of`` names the key when the guard is exactly FIRST.key."""
+        outside, self.inside = self.inside, guard is not None
+        self.statements(statements, guard, first_of)
+        self.inside = outside
+
+    def statements(self, statements: list[str], guard: str | None, first_of: str | None) -> None:
         i, last = 0, None  # last: the guard of the IF before, for ELSE
         while i < len(statements):
             s = statements[i]
@@ -247,6 +274,8 @@ class DataStep:
     def simple(self, s: str, guard: str | None, first_of: str | None) -> None:
         word = re.match(r"\w+", s)
         word = word[0].lower() if word else ""
+        if self.hash_statement(s, guard):
+            return
         if m := re.fullmatch(r"(\w+)\s*\+\s*(.+)", s, re.S):
             self.accumulate(m[1].lower(), m[2], guard, True)
         elif m := re.fullmatch(r"(\w+(?:\s*[\[{(][^=]*[\]})])?)\s*=\s*(.+)", s, re.S):
@@ -289,6 +318,30 @@ class DataStep:
         elif word not in ("end", "run", "stop", "return", ""):
             raise UnsupportedConstruct(s)
 
+    def hash_statement(self, s: str, guard: str | None) -> bool:
+        """DECLARE HASH with DATASET:, defineKey, defineData, defineDone, and ``rc = h.find()``: a lookup of the first row of each key."""
+        if m := re.fullmatch(r"declare\s+hash\s+(\w+)\s*(?:\(\s*dataset\s*:\s*['\"]([\w.]+)['\"]\s*\))?", s, re.I):
+            self.hashes[m[1].lower()] = {"dataset": m[2] or "", "key": [], "data": []}
+            return True
+        m = re.fullmatch(r"(?:(\w+)\s*=\s*)?(\w+)\.(definekey|definedata|definedone|find)\s*\((.*)\)", s, re.I | re.S)
+        if not m or m[2].lower() not in self.hashes:
+            return False
+        table, what = self.hashes[m[2].lower()], m[3].lower()
+        names = [x.lower() for x in re.findall(r"['\"](\w+)['\"]", m[4])]
+        if what == "definekey":
+            table["key"] = names
+        elif what == "definedata":
+            table["data"] = names
+        elif what == "find":
+            if guard or m[4].strip():
+                raise UnsupportedConstruct(f"{s}: find() under a condition or with KEY:")
+            d = self.p.dataset(table["dataset"])
+            self.df = merging.hash_lookup(self.df.drop(*[c for c in table["data"] if c in self.df.columns]), d.frame, table["key"], table["data"], shaping.keys(d.order) if d.order else (), found="_hash_found_")
+            if m[1]:
+                self.df = self.df.withColumn(m[1].lower(), F.when(F.col("_hash_found_") == 1, 0).otherwise(1))
+            self.df = self.df.drop("_hash_found_")
+        return True
+
     def assign(self, target: str, text: str, guard: str | None, first_of: str | None) -> None:
         m = re.fullmatch(r"(\w+)\s*[\[{(](.*)[\]})]", target, re.S)
         name = self.arrays[m[1].lower()][self.value(m[2]).literal - 1] if m else target.lower()

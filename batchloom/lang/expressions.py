@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from batchloom import functions, missing
+from batchloom.operators import summaries
 
 _TOKEN = re.compile(
     r"\s*(?:(?P<lit>'(?:[^']|'')*'(?:dt|d|t)?|\"(?:[^\"]|\"\")*\"(?:dt|d|t)?)|(?P<num>\d+\.?\d*(?:e[-+]?\d+)?|\.\d+)|(?P<name>(?:first|last)\.\w+|[A-Za-z_]\w*)|(?P<fmt>\$\w+\.\d*)|(?P<op>\*\*|\|\||<=|>=|\^=|~=|<>|[-+*/=<>(),{}\[\]&|^~.$]))",
@@ -59,7 +60,8 @@ def tokens(text: str) -> list[tuple[str, str]]:
 class Parser:
     """Recursive-descent parser over a column resolver; ``arrays`` maps array names to their member columns."""
 
-    def __init__(self, text: str, resolve: Callable[[str], Column], arrays: dict[str, list[str]] | None = None, index: dict[str, int] | None = None):
+    def __init__(self, text: str, resolve: Callable[[str], Column], arrays: dict[str, list[str]] | None = None, index: dict[str, int] | None = None, formats: dict[str, dict] | None = None, call: Callable[[str, str], Value] | None = None):
+        self.formats, self.special = formats or {}, call
         self.t, self.i, self.resolve, self.arrays, self.index = tokens(text), 0, resolve, arrays or {}, index or {}
 
     def peek(self) -> str:
@@ -213,6 +215,14 @@ class Parser:
         return self.arrays[name][at - 1]
 
     def call(self, name: str) -> Value:
+        if name in ("lag", "dif") or re.fullmatch(r"(lag|dif)\d+", name):
+            if self.special is None:
+                raise ValueError(f"{name.upper()} works in a DATA step only")
+            start = self.i
+            self.expect("(")
+            inner = self.either()
+            self.expect(")")
+            return self.special(name, inner, " ".join(w for _, w in self.t[start : self.i]))
         self.expect("(")
         args: list[object] = []
         if self.take("of"):
@@ -237,6 +247,8 @@ class Parser:
             args[0] = args[0] if isinstance(args[0], Column) else F.lit(args[0])
         if name == "dim":
             raise ValueError("DIM needs an array name")
+        if name == "put" and (found := user_format(args[1], self.formats)):
+            return Value(summaries.format_value(args[0] if isinstance(args[0], Column) else F.lit(args[0]), **found))
         return Value(functions.call(name, *args))
 
     def format_name(self) -> str:
@@ -247,6 +259,12 @@ class Parser:
         return out
 
 
+def user_format(name: str, formats: dict[str, dict]) -> dict | None:
+    """The user format of a name like ``band.`` or ``$seg8.``."""
+    base = name.lower().lstrip("$").split(".")[0]
+    return formats.get(base) or formats.get(base.rstrip("0123456789"))
+
+
 def _literal(word: str) -> Value:
     m = re.fullmatch(r"(['\"])(.*)\1(dt|d|t)?", word, re.I | re.S)
     text, kind = m[2].replace(m[1] * 2, m[1]), (m[3] or "").lower()

@@ -6,17 +6,25 @@ key: it is what order-sensitive steps (BY groups, RETAIN, FIRSTOBS) order by, an
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.lang.expressions import Parser
+from batchloom.lang.expressions import Parser, user_format
 from batchloom.lang.sql import run_sql
 from batchloom.lang.statements import Macros, UnsupportedConstruct, split_statements, without_comments
 from batchloom.operators import datastep, merging, shaping, summaries
+from batchloom.functions import dates
 from batchloom.sources import Library, contents, export_csv, import_csv
+from batchloom.stored import stored
+
+
+#: Most columns that PROC TABULATE makes of a class variable.
+TABULATE_COLUMNS = 1000
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 @dataclass
@@ -37,8 +45,9 @@ def _words(text: str) -> list[str]:
 
 
 class Program:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.macros = spark, Macros()
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, run_at: str | None = None):
+        """``run_at`` is the moment that TODAY() and DATETIME() give, so that a run can be repeated."""
+        self.spark, self.macros, self.run_at = spark, Macros(), run_at
         self.data: dict[str, Dataset] = {}
         self.libraries: dict[str, Library] = {}
         self.formats: dict[str, dict] = {}
@@ -54,7 +63,11 @@ class Program:
         self.data[key] = Dataset(frame, order or [])
         self.last = key
         if lib and lib != "work" and lib in self.libraries:
-            self.libraries[lib].write(frame, member)
+            library = self.libraries[lib]
+            for name, d in self.data.items():  # steps before this one have read the version that goes now
+                if name != key and library.holds(d.frame, member):
+                    self.data[name] = Dataset(stored(d.frame), d.order)
+            library.write(frame, member)
             self.data[key] = Dataset(self.libraries[lib].read(member), order or [])
 
     @staticmethod
@@ -94,11 +107,17 @@ class Program:
                 raise ValueError(f"variable {name} is not in the step: {text}")
             return F.col(f"`{name.lower()}`" if name.lower() in df.columns else name)
 
-        return Parser(text, resolve, **more).parse()
+        return Parser(text, resolve, formats=self.formats, **more).parse()
 
     # program
     def run(self, text: str) -> Program:
-        statements = split_statements(self.macros.expand(without_comments(text)))
+        token = dates.RUN_AT.set(self.run_at)
+        try:
+            return self.steps(split_statements(self.macros.expand(without_comments(text))))
+        finally:
+            dates.RUN_AT.reset(token)
+
+    def steps(self, statements: list[str]) -> Program:
         i = 0
         while i < len(statements):
             head = statements[i]
@@ -132,70 +151,118 @@ class Program:
         run = getattr(self, f"proc_{name}", None)
         if run is None:
             raise UnsupportedConstruct(f"PROC {name.upper()}")
-        run(_options(re.sub(r"^\s*proc\s+\w+", "", head, flags=re.I)), body)
+        rest = re.sub(r"^\s*proc\s+\w+", "", head, flags=re.I)
+        run({"data": re.sub(r"^\s*data\s*=", "", rest, flags=re.I)} if name == "delete" else _options(rest), body)
 
     def proc_sql(self, options: dict[str, str], body: list[str]) -> None:
         for statement in body:
-            run_sql(self, statement)
+            run_sql(self, statement, {k: int(v) for k, v in options.items() if k in ("outobs", "inobs")})
 
     def proc_sort(self, o: dict[str, str], body: list[str]) -> None:
-        df, order, _ = self._input(o)
+        df, order, _ = self._input(o, body, "by")
         by = _by(_statement(body, "by"))
         plain = [k.lstrip("-") for k in by]
         if "nodupkey" in o:
-            df = shaping.nodupkey(df, by, order or sorted(df.columns))
+            if not order:
+                raise UnsupportedConstruct("NODUPKEY needs a dataset sorted before, to say which row of a key is first")
+            df = shaping.nodupkey(df, by, order)
         elif "noduprecs" in o or "nodup" in o:
             df = shaping.noduprecs(df)
         rest = [k for k in order if k.lstrip("-") not in plain] or [c for c in df.columns if c not in plain]
-        self.bind(o.get("out", o.get("data", self.last)).split("(")[0], df, by + rest)
-
-    def _input(self, o: dict[str, str]):
-        name, options = _datasets(o.get("data", self.last))[0]
-        return self.opened(name, options)
+        name, options = _datasets(o.get("out") or o.get("data") or self.last)[0]
+        self.bind(name, self._output(df, options if "out" in o else ""), by + rest)
+
+    def result(self, o: dict[str, str], df: DataFrame, order: list[str]) -> None:
+        """Binds a procedure's result to OUT= with its options, or to DATA=."""
+        name, options = _datasets(o.get("out") or o.get("data") or self.last)[0]
+        self.bind(name, self._output(df, options if "out" in o else ""), order)
+
+    def _input(self, o: dict[str, str], body: list[str], *handled: str):
+        """The input of a procedure after its WHERE statement. A statement that the procedure does not handle raises."""
+        name, options = _datasets(o.get("data") or self.last)[0]
+        df, order, flag = self.opened(name, options)
+        for s in body:
+            word = re.match(r"\w*", s)[0].lower()
+            if word not in (*handled, "where", "format", "label", "title", "footnote", ""):
+                raise UnsupportedConstruct(s)
+        where = _statement(body, "where")
+        return (df.where(self.expression(where, df).test) if where else df), order, flag
+
+    def formatted(self, df: DataFrame, body: list[str], names: list[str]) -> DataFrame:
+        """Classification variables with the user formats of a FORMAT statement: groups are those of the formatted values."""
+        pending: list[str] = []
+        for w in _statement(body, "format").split():
+            if "." not in w:
+                pending.append(w.lower())
+                continue
+            if found := user_format(w, self.formats):
+                df = df.withColumns({c: summaries.format_value(c, **found) for c in pending if c in names})
+            pending = []
+        return df
 
     def proc_means(self, o: dict[str, str], body: list[str]) -> None:
-        df, _, _ = self._input(o)
-        where = _statement(body, "where")
-        df = df.where(self.expression(where, df).test) if where else df
-        var, cls = _words(_statement(body, "var").lower()), _words(_statement(body, "class").lower() or _statement(body, "by").lower())
-        for f in _words(_statement(body, "format")):
-            pass  # display only
-        out = _statement(body, "output")
-        if not out:
-            self.log.append(f"MEANS of {var} by {cls}")
-            return
-        found = _options(out)
-        stats: dict[str, object] = {}
-        for k, v in found.items():
-            base = k.split("(")[0].upper()
-            if base in summaries.STATISTICS:
-                names = _words(v)
-                stats[base] = [n.lower() for n in names] if names else [f"{x}" for x in var]
-        freq = found.get("_freq_", "_freq_").lower()
-        result = summaries.means(df, var, stats, cls, nway="nway" in o or bool(_statement(body, "by")), missing="missing" in o, freq=freq, type_="_type_")
-        target = _datasets(found["out"])[0]
-        self.bind(target[0], self._output(result, target[1]), cls)
+        df, _, _ = self._input(o, body, "var", "class", "by", "output", "weight", "freq", "types", "ways")
+        by, cls = [k.lstrip("-") for k in _by(_statement(body, "by"))], _words(_statement(body, "class").lower())
+        weight, count = _statement(body, "weight").lower() or None, _statement(body, "freq").lower() or None
+        used = {*by, *cls, weight, count}
+        var = _words(_statement(body, "var").lower()) or [c for c, t in df.dtypes if c not in used and t in _NUMBERS]
+        df = self.formatted(df, body, cls)
+        types = None
+        if spec := _statement(body, "types"):
+            types = [[] if x.strip("()") == "" else [c for c in cls if c in x.lower().split("*")] for x in spec.split()]
+        elif spec := _statement(body, "ways"):
+            types = [list(c) for n in spec.split() for c in itertools.combinations(cls, int(n))]
+        nway, missing = "nway" in o and types is None, "missing" in o
+        asked = {k.upper(): None for k in o if k.upper() in summaries.STATISTICS} or dict.fromkeys(("N", "MEAN", "STD", "MIN", "MAX"))
+        more = {"nway": nway, "types": types, "missing": missing, "by": by, "weight": weight, "count": count, "type_": "_type_"}
+        self.bind("_means_", summaries.means(df, var, asked, cls, freq="_freq_", **more), [*by, *cls])
+        for out in [s for s in body if re.match(r"output\b", s, re.I)]:
+            found = _options(re.sub(r"^output\s*", "", out, flags=re.I))
+            stats: dict[str, object] = {}
+            for k, v in found.items():
+                base = k.split("(")[0].upper()
+                if base in summaries.STATISTICS or base == "SUMWGT":
+                    names = _words(v)
+                    stats[base] = [n.lower() for n in names] if names else [f"{x}" for x in var]
+            result = summaries.means(df, var, stats, cls, freq=found.get("_freq_", "_freq_").lower(), **more)
+            target = _datasets(found["out"])[0]
+            self.bind(target[0], self._output(result, target[1]), [*by, *cls])
 
     proc_summary = proc_means
 
     def _output(self, df: DataFrame, options: str) -> DataFrame:
+        """Options of an output dataset: WHERE= sees the names before RENAME= and KEEP=."""
         found = _options(options)
+        if "where" in found:
+            df = df.where(self.expression(found["where"], df).test)
         return datastep.options(df, keep=_words(found.get("keep", "").lower()), drop=_words(found.get("drop", "").lower()), rename=_renames(found.get("rename", "")))
 
     def proc_freq(self, o: dict[str, str], body: list[str]) -> None:
-        df, _, _ = self._input(o)
+        df, _, _ = self._input(o, body, "tables", "table", "weight", "by")
+        by, weight = [k.lstrip("-") for k in _by(_statement(body, "by"))], _statement(body, "weight").lower() or None
         for tables in [s for s in body if re.match(r"tables?\b", s, re.I)]:
             spec, _, flags = re.sub(r"^tables?\s+", "", tables, flags=re.I).partition("/")
             f = _options(flags)
             for one in re.findall(r"\w+(?:\s*\*\s*\w+)*", spec):
                 vars_ = [v.strip().lower() for v in one.split("*")]
-                if len(vars_) > 2:
-                    raise UnsupportedConstruct(f"TABLES {one}")
-                out = summaries.frequencies(df, vars_[0], "nocum" not in f) if len(vars_) == 1 else summaries.chi_square(df, *vars_) if "chisq" in f else summaries.crosstab(df, *vars_, sparse="sparse" in f, percents="nopercent" not in f)
-                self.bind(f.get("out", f"freq_{'_'.join(vars_)}"), out)
+                d = self.formatted(df, body, vars_)
+                if len(vars_) == 1:
+                    out = summaries.frequencies(d, vars_[0], "nocum" not in f, "missing" in f, by, weight)
+                elif "chisq" in f:
+                    if by or weight or len(vars_) > 2:
+                        raise UnsupportedConstruct(f"{tables} with BY or WEIGHT")
+                    out = summaries.chi_square(d, *vars_)
+                elif len(vars_) == 2:
+                    out = summaries.crosstab(d, *vars_, sparse="sparse" in f, percents="nopercent" not in f, by=by, weight=weight)
+                else:
+                    out = summaries.nway_frequencies(d, vars_, by, weight)
+                target = _datasets(f.get("out") or f"freq_{'_'.join(vars_)}")[0]
+                self.bind(target[0], self._output(out, target[1]), [*by, *vars_])
 
     def proc_transpose(self, o: dict[str, str], body: list[str]) -> None:
-        df, order, _ = self._input(o)
+        df, order, _ = self._input(o, body, "var", "by", "id", "copy")
+        if _statement(body, "copy"):
+            raise UnsupportedConstruct("COPY in PROC TRANSPOSE")
         var, by, id_ = _words(_statement(body, "var").lower()), [k.lstrip("-") for k in _by(_statement(body, "by"))], _statement(body, "id").lower() or None
         name, options = _datasets(o["out"])[0]
         out = shaping.transpose(df, var, by, id_, prefix=o.get("prefix", ""), name="_name_", order=order or var, let="let" in o)
@@ -219,33 +286,50 @@ class Program:
             self.formats[name.lower().strip("$")] = {"mapping": mapping, "ranges": ranges, "other": other}
 
     def proc_report(self, o: dict[str, str], body: list[str]) -> None:
-        df, _, _ = self._input(o)
+        """The report's rows go to OUT=, or to the dataset ``_report_``."""
+        df, _, _ = self._input(o, body, "column", "columns", "define", "break", "rbreak")
         group, analysis = [], {}
         for s in [s for s in body if re.match(r"define\b", s, re.I)]:
             m = re.match(r"define\s+(\w+)\s*/\s*(.*)", s, re.I | re.S)
-            use = m[2].lower().split()
+            use = re.sub(r"(['\"]).*?\1", "", m[2]).lower().split()
             if "group" in use or "order" in use:
                 group.append(m[1].lower())
             elif "analysis" in use:
                 analysis[m[1].lower()] = next((u.upper() for u in use if u.upper() in summaries.STATISTICS), "SUM")
-        if "out" in o:
-            self.bind(o["out"], summaries.report(df, group, analysis, totals=any(re.match(r"rbreak|break", s, re.I) for s in body), order=False))
+            elif "computed" in use or "across" in use:
+                raise UnsupportedConstruct(s)
+        df = self.formatted(df, body, group)
+        target = _datasets(o.get("out") or "_report_")[0]
+        out = summaries.report(df, group, analysis, totals=any(re.match(r"rbreak|break", s, re.I) for s in body), order=False)
+        self.bind(target[0], self._output(out, target[1]), group)
 
     def proc_tabulate(self, o: dict[str, str], body: list[str]) -> None:
-        raise UnsupportedConstruct("PROC TABULATE statements; use operators.summaries.tabulate")
+        """TABLE row, column*var*statistic: a column for each value of the column class (a class variable has few), and for ALL over all."""
+        df, _, _ = self._input(o, body, "class", "var", "table", "keylabel")
+        cls, var = _words(_statement(body, "class").lower()), _words(_statement(body, "var").lower())
+        m = re.fullmatch(r"\(?\s*(\w+)(\s+all)?\s*\)?\s*,\s*(\(?\s*(\w+)(\s+all)?\s*\)?)\s*\*\s*(\w+)\s*(?:\*\s*(\w+))?", _statement(body, "table"), re.I)
+        if not m or m[2] or m[1].lower() not in cls or m[4].lower() not in cls or m[6].lower() not in var:
+            raise UnsupportedConstruct(f"TABLE {_statement(body, 'table')}; use operators.summaries.tabulate")
+        df = self.formatted(df, body, cls).dropna(subset=cls)
+        values = [r[0] for r in df.select(m[4].lower()).distinct().limit(TABULATE_COLUMNS + 1).collect()]
+        if len(values) > TABULATE_COLUMNS:
+            raise UnsupportedConstruct(f"PROC TABULATE with more than {TABULATE_COLUMNS} columns")
+        out = summaries.tabulate(df, m[1].lower(), m[4].lower(), sorted(values), m[6].lower(), (m[7] or "SUM").upper(), "all" if m[5] else None)
+        target = _datasets(o.get("out") or "_tabulate_")[0]
+        self.bind(target[0], self._output(out, target[1]), [m[1].lower()])
 
     def proc_rank(self, o: dict[str, str], body: list[str]) -> None:
-        df, order, _ = self._input(o)
+        df, order, _ = self._input(o, body, "var", "ranks", "by")
         var, names = _words(_statement(body, "var").lower()), _words(_statement(body, "ranks").lower())
         by = [k.lstrip("-") for k in _by(_statement(body, "by"))]
         for v, n in zip(var, names or var, strict=True):
             df = shaping.rank(df, v, n, by, "descending" in o, o.get("ties", "MEAN"), int(o["groups"]) if "groups" in o else None)
-        self.bind(o.get("out", o.get("data")), df, order)
+        self.result(o, df, order)
 
     def proc_standard(self, o: dict[str, str], body: list[str]) -> None:
-        df, order, _ = self._input(o)
+        df, order, _ = self._input(o, body, "var", "by")
         out = shaping.standardize(df, _words(_statement(body, "var").lower()), [k.lstrip("-") for k in _by(_statement(body, "by"))], float(o.get("mean", 0)), float(o.get("std", 1)))
-        self.bind(o.get("out", o.get("data")), out, order)
+        self.result(o, out, order)
 
     def proc_append(self, o: dict[str, str], body: list[str]) -> None:
         base = self.key(o["base"])
@@ -257,25 +341,53 @@ class Program:
         self.bind(o["out"], import_csv(self.spark, path, o.get("delimiter", ",").strip("'\""), (_statement(body, "getnames").lstrip("= ") or "yes").lower() != "no"))
 
     def proc_export(self, o: dict[str, str], body: list[str]) -> None:
-        export_csv(self._input(o)[0], o["outfile"].strip("'\""), o.get("delimiter", ",").strip("'\""))
+        export_csv(self._input(o, body)[0], o["outfile"].strip("'\""), o.get("delimiter", ",").strip("'\""))
 
     def proc_print(self, o: dict[str, str], body: list[str]) -> None:
-        self.log.append(f"PRINT {o.get('data', self.last)}")
+        """The rows to be printed are the dataset ``_print_``; nothing is collected."""
+        df, order, _ = self._input(o, body, "var", "by", "id", "sum")
+        var = _words(_statement(body, "var").lower())
+        self.log.append(f"PRINT {o.get('data') or self.last}")
+        last = self.last
+        self.bind("_print_", df.select(*var) if var else df, order)
+        self.last = last
+
+    def proc_copy(self, o: dict[str, str], body: list[str]) -> None:
+        """IN= and OUT= are libraries; SELECT names the members, or all datasets of IN= that the program knows."""
+        source, target = o["in"].lower(), o["out"].lower()
+        names = _words(_statement(body, "select").lower()) or [k.split(".")[-1] for k in self.data if (k.rpartition(".")[0] or "work") == source]
+        gone = _words(_statement(body, "exclude").lower())
+        for n in names:
+            if n not in gone:
+                d = self.dataset(f"{source}.{n}")
+                self.bind(f"{target}.{n}", d.frame, d.order)
+
+    def proc_delete(self, o: dict[str, str], body: list[str]) -> None:
+        """Forgets datasets; a permanent one is deleted from its library."""
+        for n in _words(o["data"].lower()):
+            self.forget(n)
+
+    def forget(self, name: str) -> None:
+        key = self.key(name)
+        self.data.pop(key, None)
+        lib, _, member = key.rpartition(".")
+        if lib in self.libraries:
+            self.libraries[lib].delete(member)
 
     def proc_contents(self, o: dict[str, str], body: list[str]) -> None:
-        self.bind(o.get("out", "_contents_"), contents(self._input(o)[0]))
+        self.bind(o.get("out", "_contents_"), contents(self._input(o, body)[0]))
 
     def proc_datasets(self, o: dict[str, str], body: list[str]) -> None:
         for s in body:
             word, *names = s.replace("/", " ").split()
             if word.lower() == "delete":
                 for n in names:
-                    self.data.pop(self.key(n), None)
+                    self.forget(f"{o['lib']}.{n}" if o.get("lib") else n)
             else:
                 self.log.append(s)  # MODIFY, INDEX CREATE: no effect on results
 
     def proc_univariate(self, o: dict[str, str], body: list[str]) -> None:
-        df, _, _ = self._input(o)
+        df, _, _ = self._input(o, body, "var", "class", "output")
         self.bind(o.get("out", "_univariate_"), summaries.univariate(df, _words(_statement(body, "var").lower())[0], _words(_statement(body, "class").lower())))
 
 

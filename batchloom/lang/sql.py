@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom import functions
+from batchloom.lang.expressions import user_format
 from batchloom.lang.statements import UnsupportedConstruct
+from batchloom.operators import datastep, merging, shaping, summaries
 from batchloom.operators.datastep import concatenate
 
 if TYPE_CHECKING:
@@ -16,12 +19,10 @@ if TYPE_CHECKING:
 
 #: Months of date literals.
 _MONTHS = {m: i for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split(), 1)}
-#: Dialect functions as Spark SQL; arguments are numbered.
-_SQL_FUNCTIONS = {
-    "mean": "avg({0})", "upcase": "upper({0})", "lowcase": "lower({0})", "strip": "trim({0})", "trim": "rtrim({0})", "left": "ltrim({0})", "datepart": "cast({0} as date)", "today": "current_date()",
-    "tranwrd": "replace({0}, {1}, {2})", "index": "instr({0}, {1})", "propcase": "initcap({0})", "int": "(signum({0}) * floor(abs({0})))", "mod": "try_mod(cast({0} as double), {1})", "missing": "(({0}) IS NULL)",
-    "mdy": "make_date({2}, {0}, {1})", "compress": "replace({0}, ' ', '')", "std": "stddev_samp({0})", "nmiss": "count(CASE WHEN ({0}) IS NULL THEN 1 END)", "n": "count({0})", "range": "(max({0}) - min({0}))",
-}
+#: Aggregates of one argument under their dialect names; with more arguments the names are functions of a row.
+_AGGREGATES = {"mean": "avg({0})", "avg": "avg({0})", "sum": "sum({0})", "min": "min({0})", "max": "max({0})", "std": "stddev_samp({0})", "var": "var_samp({0})", "n": "count({0})", "freq": "count({0})", "nmiss": "count(CASE WHEN ({0}) IS NULL THEN 1 END)", "range": "(max({0}) - min({0}))", "uss": "sum(({0}) * ({0}))", "css": "(var_pop({0}) * count({0}))", "count": "count({0})"}
+#: Names that mean the same in Spark and take part in its grammar.
+_PLAIN = {"coalesce", "count", "cast", "in", "and", "or", "not", "case", "when", "then", "else", "on", "where", "values", "exists", "select", "from", "as", "over", "union", "nullif", "distinct"}
 
 
 def arguments(text: str, i: int) -> tuple[list[str], int]:
@@ -46,46 +47,69 @@ def arguments(text: str, i: int) -> tuple[list[str], int]:
     raise UnsupportedConstruct("a parenthesis does not close")
 
 
-def _function(name: str, a: list[str], order: list[str]) -> str | None:
+def _function(name: str, a: list[str], program: Program) -> str | None:
+    """A call as Spark SQL: aggregates by their names, all other dialect functions through the same columns as in DATA steps."""
     if name == "monotonic":
-        if not order:
-            raise UnsupportedConstruct("MONOTONIC() needs a sorted dataset")
-        return f"row_number() OVER (ORDER BY {', '.join(k.lstrip('-') + (' DESC' if k[0] == '-' else '') for k in order)})"
-    if name in ("catx", "cats", "catt", "cat"):
-        parts = a[1:] if name == "catx" else a
-        if name == "catx":
-            return f"concat_ws({a[0]}, {', '.join(f'nullif(trim({p}), {chr(39)}{chr(39)})' for p in parts)})"
-        trim = {"cats": "trim", "catt": "rtrim", "cat": ""}[name]
-        return f"concat({', '.join(f'coalesce({trim}({p}), {chr(39)}{chr(39)})' for p in parts)})"
-    if name == "scan":
-        cls = f"[{re.escape(a[2][1:-1])}]+" if len(a) > 2 else "[ !$%&()*+,./;<^|-]+"
-        return f"try_element_at(filter(split({a[0]}, '{cls}'), t -> t <> ''), {a[1]})"
-    if name == "intck":
-        unit = a[0].strip("'\"").upper()
-        day = f"datediff({a[2]}, {a[1]})"
-        month = f"((year({a[2]}) - year({a[1]})) * 12 + month({a[2]}) - month({a[1]}))"
-        found = {"DAY": day, "MONTH": month, "YEAR": f"(year({a[2]}) - year({a[1]}))", "QTR": f"((year({a[2]}) - year({a[1]})) * 4 + quarter({a[2]}) - quarter({a[1]}))"}
-        if unit not in found:
-            raise UnsupportedConstruct(f"INTCK {unit} in SQL")
-        return found[unit]
-    if name == "intnx":
-        unit, align = a[0].strip("'\"").upper(), (a[3].strip("'\"").upper() if len(a) > 3 else "B")[0]
-        n = {"MONTH": 1, "QTR": 3, "YEAR": 12}.get(unit)
-        if unit == "DAY":
-            return f"date_add({a[1]}, {a[2]})"
-        if n is None:
-            raise UnsupportedConstruct(f"INTNX {unit} in SQL")
-        moved = f"add_months({a[1]}, ({a[2]}) * {n})"
-        first = f"trunc({moved}, '{ {1: 'MM', 3: 'QUARTER', 12: 'YEAR'}[n] }')"
-        return {"S": moved, "B": first, "E": f"date_sub(add_months({first}, {n}), 1)"}[align]
-    if name == "sum" and len(a) == 1 and re.search(r"[^<>]=|<|>", a[0]) and "case" not in a[0].lower():
-        return f"sum(cast({a[0]} as int))"
-    if name in _SQL_FUNCTIONS:
-        return _SQL_FUNCTIONS[name].format(*a)
-    return None
-
-
-def rewrite(text: str, order: list[str] | None = None) -> str:
+        return "_monotonic_"
+    if name in _PLAIN and not (name == "count"):
+        return None
+    if name in _AGGREGATES and len(a) == 1:
+        if name == "sum" and re.search(r"[^<>]=|<|>", a[0]) and "case" not in a[0].lower():
+            return f"sum(cast({a[0]} as int))"
+        return _AGGREGATES[name].format(*a)
+    if name.upper() not in functions.FUNCTIONS and name != "put":
+        return None
+    values: list[object] = []
+    for i, x in enumerate(a):
+        if name in ("put", "input") and i == 1:
+            values.append(x.replace(" ", ""))
+        elif re.fullmatch(r"'(?:\\'|[^'])*'", x):
+            values.append(x[1:-1].replace("\\'", "'"))
+        elif re.fullmatch(r"-?\d+", x):
+            values.append(int(x))
+        elif re.fullmatch(r"-?\d*\.\d+", x):
+            values.append(float(x))
+        else:
+            values.append(F.col(f"_a{i}_"))
+    try:
+        found = user_format(values[1], program.formats) if name == "put" else None
+        column = summaries.format_value(values[0] if isinstance(values[0], Column) else F.lit(values[0]), **found) if found else functions.call(name, *values)
+    except TypeError as e:
+        raise UnsupportedConstruct(f"{name.upper()}({', '.join(a)}): {e}") from None
+    sql = program.spark._jsparkSession.expression(column._jc).sql()
+    sql = re.sub(r"lambdafunction\((.*?), (x_\d+)\)", r"\2 -> \1", sql) if sql.count("lambdafunction") == 1 else sql
+    if "lambdafunction" in sql:
+        raise UnsupportedConstruct(f"{name.upper()}({', '.join(a)}) in SQL")
+    sql = re.sub(r"(?<![\w`])(or|and)\(", r"`\1`(", sql)
+    return re.sub(r"_a(\d+)_", lambda m: f"({a[int(m[1])]})", sql)
+
+
+#: An operand of a comparison that stands alone: a name or a number.
+_OPERAND = r"(?:[A-Za-z_]\w*(?:\.\w+)?|\d+(?:\.\d+)?)"
+_WORDS = {"and", "or", "not", "when", "then", "else", "where", "on", "having", "between", "in", "is", "null", "select", "case", "end", "as", "by", "like"}
+
+
+def with_missing(text: str) -> str:
+    """Comparisons of names and numbers with the dialect's rule: a missing value is less than every number, and unequal to it."""
+
+    def test(m: re.Match) -> str:
+        a, sign, b = m["a"], m["sign"], m["b"]
+        if {a.lower(), b.lower()} & _WORDS or a[0].isdigit() and b[0].isdigit():
+            return m[0]
+        if sign in (">", ">="):
+            a, b, sign = b, a, sign.replace(">", "<")
+        whole = f"{a} {sign} {b}"
+        if sign == "<>":
+            return f"(NOT ({a} <=> {b}))"
+        if a[0].isdigit():
+            return f"coalesce({whole}, false)"
+        return f"coalesce({whole}, {a} IS NULL{'' if b[0].isdigit() or sign == '<=' else f' AND {b} IS NOT NULL'})"
+
+    pattern = rf"(?<![\w.'+*/\-)`])(?P<a>{_OPERAND})\s*(?P<sign><=|>=|<>|<|>)\s*(?P<b>{_OPERAND})(?![\w.('`]|\s*[-+*/(])(?<!\bdate)(?<!\btimestamp)"
+    return re.sub(pattern, test, text, flags=re.I)
+
+
+def rewrite(text: str, program: Program) -> str:
     """Dialect SQL as Spark SQL."""
     held: list[str] = []
 
@@ -114,6 +138,7 @@ def rewrite(text: str, order: list[str] | None = None) -> str:
         return f"nullif(trim({m[1]}), '') IS {'NULL' if m[2] == '=' else 'NOT NULL'}" if not held[int(m[3])].strip("'").strip() else m[0]
 
     text = re.sub(r"([\w.]+)\s*(=|<>)\s*\x00(\d+)\x00", blank, text)
+    text = with_missing(text)
     text = re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
     out, i = [], 0
     call = re.compile(r"'(?:\\'|[^'])*'|\b([A-Za-z_]\w*)\s*\(")
@@ -123,38 +148,124 @@ def rewrite(text: str, order: list[str] | None = None) -> str:
             i = m.end()
             continue
         args, end = arguments(text, m.end() - 1)
-        done = [rewrite_calls(a, order or []) for a in args]
-        made = _function(m[1].lower(), done, order or [])
+        done = [rewrite_calls(a, program) for a in args]
+        made = _function(m[1].lower(), done, program)
         out.append(text[i : m.start()] + (made if made is not None else f"{m[1]}({', '.join(done)})"))
         i = end
     return "".join(out) + text[i:]
 
 
-def rewrite_calls(text: str, order: list[str]) -> str:
+def rewrite_calls(text: str, program: Program) -> str:
     """Function calls inside an argument."""
     m = re.search(r"\b([A-Za-z_]\w*)\s*\(", text)
     if not m:
         return text
     args, end = arguments(text, m.end() - 1)
-    done = [rewrite_calls(a, order) for a in args]
-    made = _function(m[1].lower(), done, order)
-    return text[: m.start()] + (made if made is not None else f"{m[1]}({', '.join(done)})") + rewrite_calls(text[end:], order)
+    done = [rewrite_calls(a, program) for a in args]
+    made = _function(m[1].lower(), done, program)
+    return text[: m.start()] + (made if made is not None else f"{m[1]}({', '.join(done)})") + rewrite_calls(text[end:], program)
 
 
 _FROM = re.compile(r"\b(from|join|into\s+table)\s+([A-Za-z_]\w*(?:\.\w+)?)((?:\s+(?:as\s+)?(?!where\b|on\b|group\b|order\b|left\b|right\b|inner\b|full\b|cross\b|join\b|having\b|union\b|limit\b)\w+)?(?:\s*,\s*[A-Za-z_]\w*(?:\.\w+)?(?:\s+(?:as\s+)?(?!where\b|group\b|order\b)\w+)?)*)", re.I)
 
 
-def select(program: Program, text: str) -> DataFrame:
+def _clauses(text: str) -> dict[str, str]:
+    """Top-level clauses of one SELECT: select, from, where, group by, having, order by."""
+    found, level, quote, last, start = {}, 0, "", "select", 6
+    words = re.compile(r"(from|where|group\s+by|having|order\s+by)\b", re.I)
+    i = 6
+    while i < len(text):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "()":
+            level += 1 if c == "(" else -1
+        elif not level and not text[i - 1].isalnum() and text[i - 1] not in "_." and (m := words.match(text, i)):
+            found[last] = text[start:i].strip()
+            last, start, i = re.sub(r"\s+", " ", m[1].lower()), m.end(), m.end() - 1
+        i += 1
+    found[last] = text[start:].strip()
+    return found
+
+
+_CALL = re.compile(r"\b(mean|avg|sum|min|max|std|var|n|nmiss|range|count|uss|css)\s*\(", re.I)
+
+
+def _aggregates(text: str) -> list[tuple[int, int]]:
+    """Places of aggregate calls (of one argument)."""
+    out, i = [], 0
+    while m := _CALL.search(text, i):
+        args, end = arguments(text, m.end() - 1)
+        if len(args) == 1 and not re.match(r"\s*over\b", text[end:], re.I):
+            out.append((m.start(), end))
+            i = end
+        else:
+            i = m.end()
+    return out
+
+
+def _over(text: str, keys: str) -> str:
+    for a, b in reversed(_aggregates(text)):
+        text = f"{text[:b]} OVER (PARTITION BY {keys})" + text[b:] if keys else f"{text[:b]} OVER (PARTITION BY 1)" + text[b:]
+    return text
+
+
+def remerged(text: str) -> str:
+    """A SELECT that mixes aggregates with columns outside GROUP BY gets the group's statistics beside every row: aggregates become windows."""
+    if re.search(r"\bunion\b|\bdistinct\b|\bintersect\b|\bexcept\b", text, re.I):
+        return text
+    c = _clauses(text.strip())
+    items = arguments(f"({c['select']})", 0)[0]
+    keys = {re.sub(r"\s+", " ", k.strip().lower().rsplit(".", 1)[-1]) for k in c.get("group by", "").split(",") if k.strip()}
+    keys = {re.sub(r"^calculated ", "", k) for k in keys}
+    named = [(re.sub(r"\s+as\s+\w+$", "", x, flags=re.I).strip(), m[1].lower() if (m := re.search(r"\s+as\s+(\w+)$", x, re.I)) else "") for x in items]
+    some = any(_aggregates(x) for x, _ in named)
+
+    def free(x: str, alias: str) -> bool:
+        outside = x
+        for a, b in reversed(_aggregates(x)):
+            outside = outside[:a] + outside[b:]
+        outside = re.sub(r"'[^']*'|\"[^\"]*\"", "", outside)
+        names = {w.lower() for w in re.findall(r"\b[A-Za-z_]\w*\b(?!\s*[.(])", outside)} - _WORDS - {"calculated"}
+        aliases = {n for _, n in named}
+        return "*" in outside and not names or alias not in keys and bool(names - keys - (aliases if "calculated" in x.lower() else set()))
+
+    if not some or not any(free(x, a) for x, a in named):
+        return text
+    by = c.get("group by", "")
+    made = ", ".join(_over(x, by) for x in items)
+    out = f"select {made}" + (f", ({_over(c['having'], by)}) as _having_" if "having" in c else "") + f" from {c['from']}" + (f" where {c['where']}" if "where" in c else "")
+    if "having" in c:
+        out = f"select * except (_having_) from ({out}) _remerged_ where _having_"
+    return out + (f" order by {c['order by']}" if "order by" in c else "")
+
+
+def select(program: Program, text: str, inobs: int | None = None) -> DataFrame:
     """The frame of a SELECT."""
+    parts = re.split(r"\bouter\s+union\s+corr(?:esponding)?\b", text, flags=re.I)
+    if len(parts) > 1:
+        return merging.outer_union_corr(*[select(program, p, inobs) for p in parts])
+    text = remerged(text)
     frames: dict[str, DataFrame] = {}
-    order: list[str] = []
+    monotonic = bool(re.search(r"\bmonotonic\s*\(", text, re.I))
 
-    def one(name: str) -> str:
+    def one(name: str):
         d = program.dataset(name)
         alias = "t_" + re.sub(r"\W", "_", program.key(name))
-        frames[alias] = d.frame
-        if not order:
-            order.extend(d.order)
+        frame = d.frame
+        if inobs is not None or monotonic:
+            if not d.order:
+                raise UnsupportedConstruct(f"{'MONOTONIC()' if monotonic else 'INOBS='} needs a sorted dataset, not {name}")
+            frame = frame.orderBy(*shaping.keys(d.order)).limit(inobs) if inobs is not None else frame
+        if monotonic:
+            if frames:
+                raise UnsupportedConstruct("MONOTONIC() over a join; store the join first")
+            c = _clauses(text.strip())
+            frame = frame.where(rewrite(c["where"], program)) if "where" in c else frame  # the rows that pass are numbered
+            frame = datastep.numbered(frame, shaping.keys(d.order), "_monotonic_")
+        frames[alias] = frame
         short = name.rsplit(".", 1)[-1]
         return "{" + alias + "}", short
 
@@ -166,22 +277,52 @@ def select(program: Program, text: str) -> DataFrame:
             out.append(f"{ref} {' '.join(words[1:]) or short}")
         return f"{m[1]} {', '.join(out)}"
 
-    text = re.sub(r"[{}]", lambda m: m[0] * 2, text)
-    text = _FROM.sub(source, text)
-    text = re.sub(r"\bouter\s+union\s+corr(?:esponding)?\b", "UNION ALL", text, flags=re.I)
-    return program.spark.sql(rewrite(text, order), **frames)
+    made = _FROM.sub(source, re.sub(r"[{}]", lambda m: m[0] * 2, text))
+    conf = program.spark.conf
+    ansi = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")  # division by zero and impossible dates are missing; the plan keeps what held when it was made
+    try:
+        df = program.spark.sql(rewrite(made, program), **frames)
+    finally:
+        conf.set("spark.sql.ansi.enabled", ansi)
+    stored_ = {c.lower() for f in frames.values() for c, kind in f.dtypes if kind == "boolean"}
+    numbers = {c: F.col(f"`{c}`").cast("int") for c, kind in df.dtypes if kind == "boolean" and c.lower() not in stored_}
+    return df.withColumns(numbers) if numbers else df  # a condition is 0 or 1
+
+
+def _sort_keys(text: str, columns: list[str]) -> list[str]:
+    """ORDER BY items as sort keys; a number is the place of a column."""
+    out = []
+    for k in text.split(","):
+        name = k.split()[0].rsplit(".", 1)[-1].lower()
+        name = k.split()[1].lower() if name == "calculated" else name
+        out.append(("-" if re.search(r"\bdesc", k, re.I) else "") + (columns[int(name) - 1].lower() if name.isdigit() else name))
+    return out
+
+
+def ordered(program: Program, text: str, limits: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """A SELECT's frame without its final sort, and the sort key; OUTOBS= keeps the first rows by it (or by the dataset's order)."""
+    keys = re.search(r"\border\s+by\s+([\w.,\s]+)$", text, re.I)
+    df = select(program, text[: keys.start()] if keys else text, limits.get("inobs"))
+    order = _sort_keys(keys[1], df.columns) if keys else []
+    missing = [k for k in order if k.lstrip("-") not in {c.lower() for c in df.columns}]
+    if keys and missing:  # sorted by columns that are not selected
+        if "outobs" in limits:
+            df = select(program, text, limits.get("inobs")).limit(limits["outobs"])
+        return df, [k for k in order if k not in missing]
+    if "outobs" in limits:
+        by = order or [k for m in re.finditer(r"\bfrom\s+([\w.]+)", text, re.I) for k in program.dataset(m[1]).order if k.lstrip("-") in df.columns]
+        if not by:
+            raise UnsupportedConstruct("OUTOBS= needs ORDER BY or a sorted dataset")
+        df = df.orderBy(*shaping.keys(by)).limit(limits["outobs"])
+    return df, order
 
 
-def run_sql(program: Program, statement: str) -> None:
-    s = statement.strip()
+def run_sql(program: Program, statement: str, limits: dict[str, int] | None = None) -> None:
+    s, limits = statement.strip(), limits or {}
     if m := re.fullmatch(r"create\s+(?:table|view)\s+([\w.]+)\s*(?:\([^)]*\)\s*)?as\s+(.*)", s, re.I | re.S):
-        body = m[2]
-        keys = re.search(r"\border\s+by\s+([\w.,\s]+)$", body, re.I)
-        order = []
-        if keys:
-            body = body[: keys.start()]  # a stored table keeps its sort key, not a sort
-            order = [("-" if re.search(r"\bdesc", k, re.I) else "") + k.split()[0].rsplit(".", 1)[-1].lower() for k in keys[1].split(",")]
-        program.bind(m[1], select(program, body), order)
+        df, order = ordered(program, m[2], limits)
+        program.bind(m[1], df, order)
     elif m := re.fullmatch(r"select\s+(.*?)\s+into\s+(:.*?)\s+(from\b.*)", s, re.I | re.S):
         df = select(program, f"select {m[1]} {m[3]}")
         if sep := re.search(r"separated\s+by\s+['\"](.*?)['\"]", m[2], re.I):
@@ -197,19 +338,19 @@ def run_sql(program: Program, statement: str) -> None:
         program.bind(m[1], concatenate(program.frame(m[1]), new.toDF(*program.frame(m[1]).columns)))
     elif m := re.fullmatch(r"delete\s+from\s+([\w.]+)(?:\s+where\s+(.*))?", s, re.I | re.S):
         d = program.dataset(m[1])
-        program.bind(m[1], d.frame.where(f"NOT coalesce({rewrite(m[2])}, false)") if m[2] else d.frame.limit(0), d.order)
+        program.bind(m[1], d.frame.where(f"NOT coalesce({rewrite(m[2], program)}, false)") if m[2] else d.frame.limit(0), d.order)
     elif m := re.fullmatch(r"update\s+([\w.]+)\s+set\s+(.*?)(?:\s+where\s+(.*))?", s, re.I | re.S):
         d = program.dataset(m[1])
         changes = {}
         for part in arguments(f"({m[2]})", 0)[0]:
             name, _, value = part.partition("=")
-            new = F.expr(rewrite(value))
-            changes[name.strip()] = F.when(F.expr(rewrite(m[3])), new).otherwise(F.col(name.strip())) if m[3] else new
+            new = F.expr(rewrite(value, program))
+            changes[name.strip()] = F.when(F.expr(rewrite(m[3], program)), new).otherwise(F.col(name.strip())) if m[3] else new
         program.bind(m[1], d.frame.withColumns(changes), d.order)
     elif m := re.fullmatch(r"drop\s+(?:table|view)\s+(.*)", s, re.I | re.S):
         for name in m[1].split(","):
-            program.data.pop(program.key(name.strip()), None)
+            program.forget(name.strip())
     elif re.match(r"select\b", s, re.I):
-        program.bind("_select_", select(program, s))
+        program.bind("_select_", *ordered(program, s, limits))
     else:
         raise UnsupportedConstruct(s)

@@ -8,11 +8,13 @@ costs one shuffle and one sort.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from batchloom.missing import col
+from batchloom.stored import stored
 
 
 def options(df: DataFrame, where: Column | str | None = None, keep: Sequence[str] = (), drop: Sequence[str] = (), rename: dict[str, str] | None = None, obs: int | None = None, firstobs: int | None = None, order: Sequence[str | Column] = ()) -> DataFrame:
@@ -96,6 +98,10 @@ def interleave(frames: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     return concatenate(*tagged).orderBy(*by, "_source_").drop("_source_")
 
 
+#: Rows that ``recurrence`` folds at a time.
+RUN_ROWS = 4096
+
+
 def spec(by: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     if not order:
         raise ValueError("an order-sensitive operator needs a declared order")
@@ -146,25 +152,52 @@ def dif(x: str, w: WindowSpec, n: int = 1) -> Column:
 
 
 def recurrence(df: DataFrame, by: Sequence[str], order: Sequence[str], inputs: Sequence[str], start: Column, step: Callable[[Column, Column], Column], out: str) -> DataFrame:
-    """General RETAIN: state = step(state, row) along each group, kept for every row. Groups are folded in one expression, so a group must fit in a row's memory."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[i for i in inputs if i not in order])))
-    grouped = df.groupBy(*by).agg(rows.alias("_rows_"))
-    kind = F.struct(start.alias("s"), F.array().cast(f"array<{df.select(start.alias('s')).schema['s'].dataType.simpleString()}>").alias("a"))
+    """General RETAIN: state = step(state, row) along each group, kept for every row.
+
+    A group is cut into runs of RUN_ROWS rows by its order. Each pass folds one run of every group from the state the run before ended in, so a state
+    array is copied at most RUN_ROWS times a row and no row holds more than one run; there are as many passes as the longest group has runs.
+    """
+    names = list(dict.fromkeys([*by, *order, *inputs]))
+    rows = df.select(*names).withColumn("_run_", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / RUN_ROWS).cast("int"))
+    row = F.struct(*order, *[i for i in inputs if i not in order])
+    runs = rows.groupBy(*by, "_run_").agg(F.array_sort(F.collect_list(row)).alias("_rows_"))
+    most = 0
+    if df.take(1):
+        runs = stored(runs)
+        most = runs.agg(F.max("_run_")).first()[0]
+    kind = df.select(start.alias("s")).schema["s"].dataType.simpleString()
 
     def fold(acc: Column, row: Column) -> Column:
         s = step(acc["s"], row)
         return F.struct(s.alias("s"), F.concat(acc["a"], F.array(s)).alias("a"))
 
-    folded = grouped.withColumn("_states_", F.aggregate("_rows_", kind, fold, lambda acc: acc["a"]))
-    return folded.select(*by, F.explode(F.arrays_zip("_rows_", "_states_")).alias("x")).select(*by, "x._rows_.*", F.col("x._states_").alias(out))
+    done, state = None, None
+    for n in range(most + 1):
+        now = runs.where(F.col("_run_") == n)
+        if state is None:
+            now = now.withColumn("_s_", start)
+        else:
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], F.lit(True))
+            now = now.join(state, same).drop(*[f"_k_{k}" for k in by])
+        first = F.struct(F.col("_s_").alias("s"), F.array().cast(f"array<{kind}>").alias("a"))
+        folded = now.withColumn("_states_", F.aggregate("_rows_", first, fold, lambda acc: acc["a"]))
+        folded = stored(folded) if most else folded
+        state = folded.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.element_at("_states_", -1).alias("_s_"))
+        part = folded.select(*by, F.explode(F.arrays_zip("_rows_", "_states_")).alias("x")).select(*by, "x._rows_.*", F.col("x._states_").alias(out))
+        done = part if done is None else done.unionByName(part)
+    return done
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_n_") -> DataFrame:
-    """MONOTONIC() / _N_ by a declared order over all rows without a single-partition window: rows are range-partitioned and sorted, partitions counted, and offsets added."""
+    """MONOTONIC() / _N_ by a declared order over all rows without a single-partition window.
+
+    Rows are range-partitioned, sorted and written once with their place in the partition; the partitions are counted from what was written
+    and offsets added. Written once, since range boundaries come from a sample: two runs could draw two different ones.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = df.columns
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m_", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_p_": F.shiftright("_m_", 33), "_k_": F.col("_m_").bitwiseAND((1 << 33) - 1)})
-    counts = ranged.groupBy("_p_").agg(F.count("*").alias("_c_"))
+    placed = stored(ranged.select(*own, F.shiftright("_m_", 33).alias("_p_"), F.col("_m_").bitwiseAND((1 << 33) - 1).alias("_k_")))
+    counts = placed.groupBy("_p_").agg(F.count("*").alias("_c_"))  # one row a partition
     before = counts.select("_p_", F.coalesce(F.sum("_c_").over(Window.orderBy("_p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b_"))
-    return ranged.join(F.broadcast(before), "_p_").select(*own, (F.col("_b_") + F.col("_k_") + 1).alias(name))
+    return placed.join(F.broadcast(before), "_p_").select(*own, (F.col("_b_") + F.col("_k_") + 1).alias(name))

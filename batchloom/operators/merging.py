@@ -89,12 +89,13 @@ def update(master: DataFrame, transactions: DataFrame, by: Sequence[str], order:
 
 
 HASH_ROWS = 1_000_000
+HASH_BYTES = 64 << 20
 
 
-def hash_lookup(df: DataFrame, table: DataFrame, by: Sequence[str], data: Sequence[str], order: Sequence[str] = (), found: str | None = None) -> DataFrame:
+def hash_lookup(df: DataFrame, table: DataFrame, by: Sequence[str], data: Sequence[str], order: Sequence = (), found: str | None = None) -> DataFrame:
     """Hash object find(): data columns of the table's first row of each key (by the declared order), missing if absent.
 
-    The table is broadcast only if it has at most HASH_ROWS rows (counted); larger ones are joined by shuffle.
+    The table is broadcast only if it has at most HASH_ROWS rows and HASH_BYTES of values (counted); larger ones are joined by shuffle.
     """
     if order:
         first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -102,7 +103,9 @@ def hash_lookup(df: DataFrame, table: DataFrame, by: Sequence[str], data: Sequen
     else:
         table = table.dropDuplicates(list(by))
     table = table.select(*by, *data, F.lit(1).alias("_found_"))
-    small = table.limit(HASH_ROWS + 1).count() <= HASH_ROWS
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (*by, *data)), F.lit(0))
+    size = table.limit(HASH_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    small = size.n <= HASH_ROWS and size.b <= HASH_BYTES
     right = F.broadcast(table) if small else table
     out = df.join(right, _on(df, table, by), "left")
     cols = [df[c] for c in df.columns if c not in data] + [table[c] for c in data]

@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.operators.summaries import running_total
+
+
+#: Most columns that TRANSPOSE makes.
+ID_VALUES = 10_000
+
 
 def keys(by: Sequence[str]) -> list[Column]:
     """Sort keys from names; ``-name`` is descending. Missing values are least."""
@@ -54,7 +60,10 @@ def transpose(df: DataFrame, var: Sequence[str], by: Sequence[str] = (), id_: st
         df = df.withColumn("_c_", F.row_number().over(Window.partitionBy(*by).orderBy(*keys(order))))
         id_, prefix = "_c_", prefix or "COL"
     if values is None:
-        values = sorted(r[0] for r in df.select(id_).where(F.col(id_).isNotNull()).distinct().collect())
+        found = df.select(id_).where(F.col(id_).isNotNull()).distinct().limit(ID_VALUES + 1).collect()
+        if len(found) > ID_VALUES:
+            raise ValueError(f"TRANSPOSE would make more than {ID_VALUES} columns of {id_}")
+        values = sorted(r[0] for r in found)
     long = df.select(*by, id_, *[F.col(v).cast(kind) for v in var], *[o.lstrip("-") for o in order if let and o.lstrip("-") not in (*by, id_, *var)])
     long = long.unpivot([c for c in long.columns if c not in var], list(var), name, "_v_")
 
@@ -75,6 +84,8 @@ def stack(df: DataFrame, ids: Sequence[str], var: Sequence[str], name: str = "_N
 
 def rank(df: DataFrame, var: str, out: str, by: Sequence[str] = (), descending: bool = False, ties: str = "MEAN", groups: int | None = None) -> DataFrame:
     """PROC RANK: ties get their MEAN, LOW, HIGH or DENSE rank; GROUPS=k gives floor(rank * k / (n + 1)). Missing values get no rank."""
+    if not by:
+        return _rank_all(df, var, out, descending, ties.upper(), groups)
     key = F.col(var).desc() if descending else F.col(var).asc()
     part = [*by, F.col(var).isNull()]
     low = F.rank().over(Window.partitionBy(*part).orderBy(key)).cast("double")
@@ -85,6 +96,23 @@ def rank(df: DataFrame, var: str, out: str, by: Sequence[str] = (), descending:
     return df.withColumn(out, F.when(F.col(var).isNotNull(), value))
 
 
+def _rank_all(df: DataFrame, var: str, out: str, descending: bool, ties: str, groups: int | None) -> DataFrame:
+    """Ranks over all rows: rows are counted by value, the counts summed in order over range partitions, and joined back."""
+    counts = df.where(F.col(var).isNotNull()).groupBy(F.col(var).alias("_v_")).agg(F.count("*").alias("_c_"))
+    counts = running_total(counts.withColumn("_one_", F.lit(1)), "_v_", "_c_", "_upto_")
+    counts = running_total(counts, "_v_", "_one_", "_place_")
+    total = counts.agg(F.max("_upto_").alias("_n_"), F.max("_place_").alias("_k_"))  # one row
+    counts = counts.join(F.broadcast(total))
+    low = F.col("_n_") - F.col("_upto_") + 1 if descending else F.col("_upto_") - F.col("_c_") + 1
+    dense = F.col("_k_") - F.col("_place_") + 1 if descending else F.col("_place_")
+    low, same = low.cast("double"), F.col("_c_")
+    value = {"LOW": low, "HIGH": low + same - 1, "MEAN": low + (same - 1) / 2, "DENSE": dense.cast("double")}[ties]
+    if groups:
+        value = F.floor(value * groups / (F.col("_n_") + 1)).cast("double")
+    ranks = counts.select("_v_", value.alias("_rank_"))
+    return df.join(ranks, F.col(var) == F.col("_v_"), "left").select(*[F.col(c) for c in df.columns if c != out], F.col("_rank_").alias(out))
+
+
 def standardize(df: DataFrame, var: Sequence[str], by: Sequence[str] = (), mean: float = 0.0, std: float = 1.0) -> DataFrame:
     """PROC STANDARD: values scaled to a mean and standard deviation. The statistics are aggregated first and joined, so no row order or single partition is needed."""
     stats = [F.avg(v).alias(f"_m_{v}") for v in var] + [F.stddev_samp(v).alias(f"_s_{v}") for v in var]

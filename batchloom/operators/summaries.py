@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.stored import stored
+
 
 def _percentile(p: float):
     return lambda x: F.percentile(x, F.lit(p))
@@ -33,12 +36,33 @@ STATISTICS = {
 }
 
 
-def means(df: DataFrame, var: Sequence[str], stats: dict[str, Sequence[str] | str | None] | Sequence[str], by_class: Sequence[str] = (), nway: bool = True, types: Sequence[Sequence[str]] | None = None, missing: bool = False, freq: str | None = "_FREQ_", type_: str | None = "_TYPE_", weights: None = None) -> DataFrame:
+#: Statistics that WEIGHT and FREQ variables change, from x, its weight and its count; MIN, MAX, RANGE stay as they are.
+WEIGHTED = ("N", "NMISS", "SUM", "SUMWGT", "MEAN", "USS", "CSS", "VAR", "STD", "CV", "MIN", "MAX", "RANGE")
+
+
+def weighted(keyword: str, v: str, weight: str | None, count: str | None) -> Column:
+    """A statistic of ``v`` with a weight and a count for each row."""
+    if keyword not in WEIGHTED:
+        raise ValueError(f"{keyword} with WEIGHT or FREQ")
+    x = F.col(v).cast("double")
+    f = F.floor(count).cast("double") if count else F.lit(1.0)
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    here = F.when(x.isNotNull(), f)
+    n, total, sums, squares = F.sum(here), F.sum(here * w), F.sum(f * w * x), F.sum(f * w * x * x)
+    css = squares - F.try_divide(sums * sums, total)
+    var = F.when(n > 1, css / (n - 1))
+    made = {"N": n.cast("long"), "NMISS": F.sum(F.when(x.isNull(), f).otherwise(0)).cast("long"), "SUM": sums, "SUMWGT": total, "MEAN": F.try_divide(sums, total), "USS": squares, "CSS": css, "VAR": var, "STD": F.sqrt(var), "CV": F.try_divide(F.sqrt(var) * 100, F.try_divide(sums, total))}
+    return made[keyword] if keyword in made else STATISTICS[keyword](F.col(v))
+
+
+def means(df: DataFrame, var: Sequence[str], stats: dict[str, Sequence[str] | str | None] | Sequence[str], by_class: Sequence[str] = (), nway: bool = True, types: Sequence[Sequence[str]] | None = None, missing: bool = False, freq: str | None = "_FREQ_", type_: str | None = "_TYPE_", by: Sequence[str] = (), weight: str | None = None, count: str | None = None) -> DataFrame:
     """PROC MEANS / SUMMARY with OUTPUT.
 
     ``stats`` maps a keyword to output names, one for each variable (a text with ``{}`` is filled with the variable; None gives
     ``var_KEYWORD``). Without ``nway`` every subset of the class variables is summarised, or those in ``types``. ``_TYPE_`` has a bit for each
-    class variable, the first one highest. Rows with a missing class value are left out unless ``missing``.
+    class variable, the first one highest. Rows with a missing class value are left out unless ``missing``. ``by`` groups stand beside the
+    class variables and are part of every row. ``count`` names a FREQ variable (a row counts that often; below 1 or missing: not at all),
+    ``weight`` a WEIGHT variable (below 0 or missing counts as 0); both only with the statistics in WEIGHTED.
     """
     if not isinstance(stats, dict):
         stats = dict.fromkeys(stats)
@@ -48,23 +72,26 @@ def means(df: DataFrame, var: Sequence[str], stats: dict[str, Sequence[str] | st
     for keyword, names in stats.items():
         names = [f"{v}_{keyword.lower()}" for v in var] if names is None else [names.format(v) for v in var] if isinstance(names, str) else list(names)
         for v, name in zip(var, names, strict=False):
-            aggs.append(STATISTICS[keyword.upper()](F.col(v)).alias(name))
+            aggs.append((weighted(keyword.upper(), v, weight, count) if weight or count else STATISTICS[keyword.upper()](F.col(v))).alias(name))
+    if count:
+        df = df.where(F.col(count) >= 1)
     if freq:
-        aggs.append(F.count("*").alias(freq))
+        aggs.append((F.sum(F.floor(count)) if count else F.count("*")).cast("long").alias(freq))
     k = len(by_class)
     every = (1 << k) - 1
     if not by_class:
-        out = df.agg(*aggs)
+        out = df.groupBy(*by).agg(*aggs)
         return out.withColumn(type_, F.lit(0).cast("long")) if type_ else out
     if nway:
-        out = df.groupBy(*by_class).agg(*aggs)
+        out = df.groupBy(*by, *by_class).agg(*aggs)
         return out.withColumn(type_, F.lit(every).cast("long")) if type_ else out
     level = (F.lit(every) - F.grouping_id()).cast("long").alias(type_ or "_TYPE_")
-    if types is None:
+    if types is None and not by:
         out = df.cube(*by_class).agg(level, *aggs)
     else:
-        cols = [F.col(c) for c in by_class]
-        out = df.groupingSets([[F.col(c) for c in t] for t in types], *cols).agg(level, *aggs)
+        types = types if types is not None else [c for n in range(k + 1) for c in itertools.combinations(by_class, n)]
+        cols = [F.col(c) for c in (*by, *by_class)]  # the by columns are in every set, so their bits of the grouping id are 0
+        out = df.groupingSets([[F.col(c) for c in (*by, *t)] for t in types], *cols).agg(level, *aggs)
     return out if type_ else out.drop("_TYPE_")
 
 
@@ -74,38 +101,75 @@ def remerged(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFram
     return df.withColumns({k: v.over(w) for k, v in aggregates.items()})
 
 
-def frequencies(df: DataFrame, column: str, cumulative: bool = True, missing: bool = False) -> DataFrame:
-    """One-way table: COUNT, PERCENT and, unless NOCUM, CUM_FREQ and CUM_PCT in order of the values. Totals and running sums are over the counts, one row a value."""
+def _count(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count("*")
+
+
+def _with_totals(df: DataFrame, by: Sequence[str], **sums: tuple[str, ...]) -> DataFrame:
+    """Sums of COUNT by groups beside each row. Totals are aggregated (partial sums first) and joined, so no window holds all rows."""
+    for name, keys in sums.items():
+        keys = (*by, *keys)
+        total = df.groupBy(*keys).agg(F.sum("COUNT").alias(name))
+        if keys:
+            total = total.toDF(*[f"_k{i}_" for i in range(len(keys))], name)
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}_")) for i, c in enumerate(keys)])
+            df = df.join(total, same).drop(*[f"_k{i}_" for i in range(len(keys))])
+        else:
+            df = df.join(F.broadcast(total))  # one row
+    return df
+
+
+def running_total(df: DataFrame, column: str, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Sum of ``value`` so far in order of ``column``. Without groups the rows are range-partitioned, and the sums of the partitions before are added."""
+    if by:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(parts, F.col(column).asc_nulls_first()).withColumn("_p_", F.spark_partition_id()))
+    sums = placed.groupBy("_p_").agg(F.sum(value).alias("_s_"))  # one row a partition
+    before = sums.select("_p_", F.coalesce(F.sum("_s_").over(Window.orderBy("_p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b_"))
+    inside = placed.withColumn("_i_", F.sum(value).over(Window.partitionBy("_p_").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return inside.join(F.broadcast(before), "_p_").withColumn(out, F.col("_b_") + F.col("_i_")).drop("_p_", "_i_", "_b_")
+
+
+def frequencies(df: DataFrame, column: str, cumulative: bool = True, missing: bool = False, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """One-way table: COUNT (with ``weight`` its sum), PERCENT and, unless NOCUM, CUM_FREQ and CUM_PCT in order of the values, in each group of ``by``."""
     if not missing:
         df = df.where(F.col(column).isNotNull())
-    out = df.groupBy(column).agg(F.count("*").alias("COUNT"))
-    total = F.sum("COUNT").over(Window.partitionBy())
-    out = out.withColumn("PERCENT", F.col("COUNT") * 100 / total)
+    out = _with_totals(df.groupBy(*by, column).agg(_count(weight).alias("COUNT")), by, _t_=())
+    out = out.withColumn("PERCENT", F.try_divide(F.col("COUNT") * 100, F.col("_t_")))
     if cumulative:
-        w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("CUM_FREQ", F.sum("COUNT").over(w)).withColumn("CUM_PCT", F.col("CUM_FREQ") * 100 / total)
-    return out
+        out = running_total(out, column, "COUNT", "CUM_FREQ", by)
+        out = out.withColumn("CUM_PCT", F.try_divide(F.col("CUM_FREQ") * 100, F.col("_t_")))
+    return out.drop("_t_")
+
+
+def nway_frequencies(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """TABLES a*b*c: COUNT and PERCENT of the total of each combination that occurs."""
+    df = df.dropna(subset=list(columns))
+    out = _with_totals(df.groupBy(*by, *columns).agg(_count(weight).alias("COUNT")), by, _t_=())
+    return out.withColumn("PERCENT", F.try_divide(F.col("COUNT") * 100, F.col("_t_"))).drop("_t_")
 
 
-def crosstab(df: DataFrame, rows: str, cols: str, sparse: bool = False, percents: bool = True) -> DataFrame:
+def crosstab(df: DataFrame, rows: str, cols: str, sparse: bool = False, percents: bool = True, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Two-way table: COUNT and percents of the total, the row and the column. ``sparse`` adds cells without observations."""
     df = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
-    out = df.groupBy(rows, cols).agg(F.count("*").alias("COUNT"))
+    out = df.groupBy(*by, rows, cols).agg(_count(weight).alias("COUNT"))
     if sparse:  # the values of two class variables, each distinct
+        if by:
+            raise ValueError("SPARSE with BY groups")
         every = out.select(rows).distinct().crossJoin(out.select(cols).distinct())
         out = every.join(out, [rows, cols], "left").fillna(0, ["COUNT"])
     if percents:
-        total, by_row, by_col = (F.sum("COUNT").over(Window.partitionBy(*k)) for k in ((), (rows,), (cols,)))
-        out = out.withColumns({"PERCENT": F.col("COUNT") * 100 / total, "PCT_ROW": F.try_divide(F.col("COUNT") * 100, by_row), "PCT_COL": F.try_divide(F.col("COUNT") * 100, by_col)})
+        out = _with_totals(out, by, _t_=(), _r_=(rows,), _c_=(cols,))
+        out = out.withColumns({k: F.try_divide(F.col("COUNT") * 100, F.col(v)) for k, v in (("PERCENT", "_t_"), ("PCT_ROW", "_r_"), ("PCT_COL", "_c_"))}).drop("_t_", "_r_", "_c_")
     return out
 
 
 def chi_square(df: DataFrame, rows: str, cols: str) -> DataFrame:
     """CHISQ and MEASURES of a two-way table: N, DF, CHISQ, PHI, CONTINGENCY and CRAMER_V, in one row."""
     cells = crosstab(df, rows, cols, sparse=True, percents=False)
-    total, by_row, by_col = (F.sum("COUNT").over(Window.partitionBy(*k)) for k in ((), (rows,), (cols,)))
-    expected = F.try_divide(by_row * by_col, total)
-    cells = cells.withColumns({"_e_": expected, "_n_": total})
+    cells = _with_totals(cells, (), _n_=(), _r_=(rows,), _c_=(cols,))
+    cells = cells.withColumn("_e_", F.try_divide(F.col("_r_") * F.col("_c_"), F.col("_n_")))
     out = cells.agg(F.sum(F.try_divide((F.col("COUNT") - F.col("_e_")) ** 2, F.col("_e_"))).alias("CHISQ"), F.max("_n_").alias("N"), F.countDistinct(rows).alias("r"), F.countDistinct(cols).alias("c"))
     phi = F.sqrt(F.try_divide(F.col("CHISQ"), F.col("N")))
     return out.select(

@@ -32,9 +32,9 @@ def ds_array_unroll(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", *arr).withColumns(d.over_array(arr, lambda c, i: c * i))
 
 
-@query("SELECT p_partkey, CAST(i AS INTEGER) AS i, round(p_retailprice * i, 2) AS price FROM part, unnest(range(1, 4)) AS u(i) WHERE p_size <= 10")
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS i, round(p_retailprice * i, 2) AS price FROM part, unnest(range(1, 4)) AS u(i)")
 def ds_do_output_explode(t: Tables):
-    return d.output_each(t.part.where("p_size <= 10"), 1, 3).select("p_partkey", "i", F.round(F.col("p_retailprice") * F.col("i"), 2).alias("price"))
+    return d.output_each(t.part, 1, 3).select("p_partkey", "i", F.round(F.col("p_retailprice") * F.col("i"), 2).alias("price"))
 
 
 @query("SELECT 'open' AS target, count(*) AS n FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'big', count(*) FROM orders WHERE o_totalprice > 200000")
@@ -55,10 +55,10 @@ def ds_set_concat(t: Tables):
     return d.concatenate(a, b)
 
 
-@query("SELECT k, name, row_number() OVER (ORDER BY k, src, name) AS n FROM (SELECT c_custkey AS k, c_name AS name, 0 AS src FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier WHERE s_suppkey < 50)")
+@query("SELECT k, name, row_number() OVER (ORDER BY k, src, name) AS n FROM (SELECT c_custkey AS k, c_name AS name, 0 AS src FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier)")
 def ds_set_interleave(t: Tables):
-    a = t.customer.where("c_custkey < 50").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-    b = t.supplier.where("s_suppkey < 50").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    b = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     return d.numbered(d.interleave([a.withColumn("src", F.lit(0)), b.withColumn("src", F.lit(1))], ["k"]), ["k", "src", "name"], "n").drop("src")
 
 
@@ -85,12 +85,13 @@ def ds_date_literals(t: Tables):
     return t.orders.where("o_orderdate >= DATE'1998-01-01' AND o_orderdate < TIMESTAMP'1998-03-01 00:00:00'").select("o_orderkey", "o_orderdate")
 
 
-_CUST = "(SELECT c_custkey AS k, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0)"
+_CUST = "(SELECT c_custkey + 10 AS k, c_name, c_acctbal FROM customer)"
 _ORD = "(SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1)"
 
 
 def _customers(t: Tables):
-    return t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), "c_name", "c_acctbal")
+    """Keys are moved by ten, so that some on either side have no match."""
+    return t.customer.select((F.col("c_custkey") + 10).alias("k"), "c_name", "c_acctbal")
 
 
 def _totals(t: Tables):
@@ -132,18 +133,18 @@ def merge_both_flags(t: Tables):
     return j.merge(_customers(t), _totals(t), ["k"], flags=("ina", "inb"))
 
 
-@query("""WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation), b AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS p FROM region) SELECT n_name, r_name FROM a FULL JOIN b USING (p)""")
+@query("""WITH a AS (SELECT c_name, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS p FROM customer), b AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS p FROM orders) SELECT c_name, c_acctbal, o_orderkey, o_totalprice FROM a FULL JOIN b USING (p)""")
 def merge_one_to_one(t: Tables):
-    out = j.merge_one_to_one(t.nation, t.region, ["n_nationkey"], ["r_regionkey"])
-    return out.select("n_name", "r_name")
+    out = j.merge_one_to_one(t.customer, t.orders, ["c_acctbal", "c_custkey"], ["o_totalprice", "o_orderkey"])
+    return out.select("c_name", "c_acctbal", "o_orderkey", "o_totalprice")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey < 100),
+@query("""WITH a AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
 b AS (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
 g AS (SELECT coalesce(x.k, y.k) AS k, x.n AS na, y.n AS nb, unnest(range(1, greatest(coalesce(x.n, 0), coalesce(y.n, 0)) + 1)) AS i FROM (SELECT DISTINCT k, n FROM a) x FULL JOIN (SELECT DISTINCT k, n FROM b) y ON x.k = y.k)
 SELECT g.k, c_custkey, s_suppkey FROM g LEFT JOIN a ON a.k = g.k AND a.i = least(g.i, na) LEFT JOIN b ON b.k = g.k AND b.i = least(g.i, nb)""")
 def merge_sequential(t: Tables):
-    a = t.customer.where("c_custkey < 100").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    a = t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey")
     b = t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey")
     return j.merge_sequential(a, b, ["k"], ["c_custkey"], ["s_suppkey"])
 
@@ -239,9 +240,9 @@ def lag_dif(t: Tables):
     return e.select("event_id", d.lag("value", w).alias("lag1"), d.lag("value", w, 2).alias("lag2"), d.dif("value", w).alias("dif1"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
 def monotonic(t: Tables):
-    return d.numbered(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], "n").select("o_orderkey", "n")
+    return d.numbered(t.orders, ["o_orderdate", "o_orderkey"], "n").select("o_orderkey", "o_orderpriority", "n")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
@@ -312,9 +313,9 @@ def transpose_no_id(t: Tables):
     return h.transpose(t.nation.select("n_regionkey", "n_nationkey"), ["n_nationkey"], ["n_regionkey"], order=["n_nationkey"], values=[1, 2, 3, 4, 5])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, v.n AS _NAME_, v.x AS COL1 FROM lineitem, (VALUES ('q', l_quantity), ('d', l_discount)) AS v(n, x) WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, v.n AS _NAME_, v.x AS COL1 FROM lineitem, (VALUES ('q', l_quantity), ('d', l_discount)) AS v(n, x)")
 def transpose_wide_long(t: Tables):
-    x = t.lineitem.where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
     return h.stack(x, ["l_orderkey", "l_linenumber", "l_partkey"], ["q", "d"])
 
 
@@ -348,13 +349,13 @@ def distinct(t: Tables):
     return t.customer.select("c_mktsegment", "c_nationkey").distinct()
 
 
-@query("""WITH cur AS (SELECT c_custkey AS k, c_mktsegment AS seg, DATE '2020-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to FROM customer WHERE c_custkey % 4 <> 0),
-inc AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg FROM customer)
-SELECT k, seg, valid_from, CASE WHEN k % 3 = 0 AND seg <> 'CHANGED' THEN DATE '2024-01-01' END AS valid_to FROM cur UNION ALL
+@query("""WITH cur AS (SELECT c_custkey AS k, c_mktsegment AS seg, DATE '2020-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to FROM customer),
+inc AS (SELECT c_custkey + 10 AS k, CASE WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg FROM customer)
+SELECT cur.k, cur.seg, valid_from, CASE WHEN inc.k IS NOT NULL AND inc.seg <> cur.seg THEN DATE '2024-01-01' END AS valid_to FROM cur LEFT JOIN inc ON inc.k = cur.k UNION ALL
 SELECT inc.k, inc.seg, DATE '2024-01-01', NULL FROM inc LEFT JOIN cur ON cur.k = inc.k AND cur.seg = inc.seg WHERE cur.k IS NULL""")
 def scd2(t: Tables):
-    cur = t.customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.lit("2020-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    inc = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "CHANGED").otherwise(F.col("c_mktsegment")).alias("seg"))
+    cur = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.lit("2020-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    inc = t.customer.select((F.col("c_custkey") + 10).alias("k"), F.when(F.col("c_custkey") % 3 == 0, "CHANGED").otherwise(F.col("c_mktsegment")).alias("seg"))
     return j.scd2(cur, inc, ["k"], ["seg"], "2024-01-01")
 
 

@@ -80,10 +80,10 @@ def freq_crosstab(t: Tables):
     return rounded(s.crosstab(t.orders, "o_orderstatus", "o_orderpriority"), 6)
 
 
-@query("""WITH r AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 5000), c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM r GROUP BY ALL)
+@query("""WITH r AS (SELECT c_nationkey, c_mktsegment FROM customer), c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM r GROUP BY ALL)
 SELECT a.c_nationkey, b.c_mktsegment, coalesce(n, 0) AS COUNT FROM (SELECT DISTINCT c_nationkey FROM r) a CROSS JOIN (SELECT DISTINCT c_mktsegment FROM r) b LEFT JOIN c ON c.c_nationkey = a.c_nationkey AND c.c_mktsegment = b.c_mktsegment""")
 def freq_sparse(t: Tables):
-    return s.crosstab(t.customer.where("c_acctbal > 5000"), "c_nationkey", "c_mktsegment", sparse=True, percents=False)
+    return s.crosstab(t.customer, "c_nationkey", "c_mktsegment", sparse=True, percents=False)
 
 
 @query("""WITH c AS (SELECT o_orderstatus r, o_orderpriority c, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY r) * sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS e FROM c), x AS (SELECT sum((n - e) * (n - e) / e) AS q, max(t) AS t FROM e)

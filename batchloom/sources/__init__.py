@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from batchloom.stored import exists, move, remove, stored
+
 #: Encodings tried in order.
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
 
@@ -29,12 +33,47 @@ class Library:
 
     def write(self, df: DataFrame, member: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
         """Overwrites by default, so a job can run again. A sort of the whole frame is not kept."""
-        writer = df.write.mode(mode).option("overwriteSchema", "true").partitionBy(*partition_by)
-        writer.saveAsTable(self.path(member)) if self.catalog else writer.parquet(self.path(member))
-
-    def append(self, df: DataFrame, member: str, key: Sequence[str]) -> None:
-        """Adds the rows whose key the dataset doesn't have, so a repeated run adds nothing."""
-        self.write(df.dropDuplicates(list(key)).join(self.read(member).select(*key), list(key), "left_anti"), member, "append")
+        path = self.path(member)
+        if mode != "overwrite":
+            writer = df.write.mode(mode).partitionBy(*partition_by)
+            writer.saveAsTable(path) if self.catalog else writer.parquet(path)
+            return
+        # the frame may read the dataset it replaces: the new version is written beside it, then takes its place
+        new = f"{path}__new_{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(*partition_by)
+        if self.catalog:
+            writer.saveAsTable(new)
+            self.spark.sql(f"DROP TABLE IF EXISTS {path}")
+            self.spark.sql(f"ALTER TABLE {new} RENAME TO {path}")
+            return
+        writer.parquet(new)
+        old = f"{path}__old_{uuid.uuid4().hex}"
+        if exists(self.spark, path):
+            move(self.spark, path, old)
+        move(self.spark, new, path)
+        remove(self.spark, old)
+        self.spark.catalog.refreshByPath(path)
+
+    def delete(self, member: str) -> None:
+        if self.catalog:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.path(member)}")
+        else:
+            remove(self.spark, self.path(member))
+
+    def holds(self, df: DataFrame, member: str) -> bool:
+        """Whether a frame's plan reads this dataset."""
+        return not self.catalog and any(f"/{member.lower()}.parquet/" in f and self.place in f for f in df.inputFiles())
+
+    def append(self, df: DataFrame, member: str, key: Sequence[str], order: Sequence[str] = ()) -> None:
+        """Adds the rows whose key the dataset doesn't have, so a repeated run adds nothing. Keys match null-safely.
+
+        Of rows with one key the first by ``order`` counts (by all columns without one).
+        """
+        place = Window.partitionBy(*key).orderBy(*(order or [c for c in df.columns if c not in key] or key))
+        first = df.withColumn("_r_", F.row_number().over(place)).where("_r_ = 1").drop("_r_")
+        here = self.read(member).select(*[F.col(k).alias(f"_k_{k}") for k in key])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key])
+        self.write(stored(first.join(here, same, "left_anti")), member, "append")
 
 
 def import_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, schema: str | None = None, encoding: str = "utf-8") -> DataFrame:
@@ -83,6 +122,23 @@ def table_statistics(df: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def described(df: DataFrame) -> DataFrame:
+    """Count, mean, standard deviation, least and greatest value of each column as text, one row a column, in one pass."""
+    aggs = []
+    for i, (c, t) in enumerate(df.dtypes):
+        x = F.col(f"`{c}`")
+        number = t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")
+        plain = F.lit(None).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), (F.avg(x) if number else F.max(plain)).alias(f"m{i}"), (F.stddev_samp(x) if number else F.max(plain)).alias(f"s{i}"), F.min(x).cast("string").alias(f"l{i}"), F.max(x).cast("string").alias(f"h{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(name) for k, name in zip("nmslh", ("count", "mean", "std", "min", "max"), strict=True)]) for i, c in enumerate(df.columns)])
+    return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*")
+
+
+def sample(df: DataFrame, n: int = 5) -> list[dict]:
+    """The first rows that a read gives, as dictionaries: a look at a table, not a random sample."""
+    return [r.asDict() for r in df.limit(n).collect()]
+
+
 def contents(df: DataFrame) -> DataFrame:
     """PROC CONTENTS: position, name, type and format of each variable."""
     rows = [(i, f.name, f.dataType.simpleString(), f.metadata.get("format")) for i, f in enumerate(df.schema.fields, 1)]

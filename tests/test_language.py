@@ -74,7 +74,7 @@ def test_procedures(spark, people):
     proc freq data=p; tables g / nocum out=fr; run;
     proc rank data=p out=rk; var x; ranks r; run;
     proc transpose data=p out=tr prefix=c; id id; var x; run;
-    proc sort data=p nodupkey out=u; by g; run;
+    proc sort data=p out=sorted; by g id; run; proc sort data=sorted nodupkey out=u; by g; run;
     proc append base=all data=p; run; proc append base=all data=p; run;
     proc datasets; delete u; quit;"""
     p = Program(spark, {"p": people}).run(text)
