@@ -1,36 +1,26 @@
 """Cutting lineage, and connected components.
 
 ``written`` stores a frame as Parquet in the shared folder named by ``spark.checkpoint.dir`` and reads it back: lost executors then cost a
-re-read, not a recomputation. Where the setting is absent (tests on one machine) a folder below the warehouse is used.
+re-read, not a recomputation. Where the setting is absent, a folder below the warehouse is used on a local master; any other master raises.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+from batchloom.stored import remove, stored
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes the folders of frames that ``written`` made, once nothing reads them any more."""
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            remove(df.sparkSession, path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+written = stored
 
 
 FILTER_BITS = 1 << 23

@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR1"
-BLOCK_IDS = 1 << 12
+BLOCK_IDS = 1 << 11
 _SLOTS = 1 << 12
 _CONFIDENCE = 8
 _ONE = 1 << 12  # chances are in 1/4096
@@ -207,7 +207,7 @@ def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarr
     return out
 
 
-LANES = 256
+LANES = 1024
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:

@@ -54,7 +54,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's ids, read back from the written files."""
-    files = tokenfiles.write(tokenfiles.tokenised(documents(spark, sf_dir).select("doc_id", "text")))
+    files = tokenfiles.write(documents(spark, sf_dir).select("doc_id", "text"))
     return tokenfiles.documents_of(files).withColumnRenamed("id", "doc_id")
 
 

@@ -1,18 +1,21 @@
 """Token-ID files: tokenise texts, write their ids in ascending id order as checksummed blocks, and read them back.
 
-Texts are tokenised with a ``tokenizers`` file. The file's pre-tokenizer never joins across white space, so distinct white-space words
-are encoded once and kept (at most CACHE words a task); strings of special tokens inside a text are found as the library finds them, since a
-text that holds one is encoded whole. Ids are range-partitioned and sorted by document id; each partition becomes blocks of at most
-``idcoder.BLOCK_IDS`` ids, written as rows of a Parquet folder by Spark's committer, so a lost executor costs a task. The place of a
-partition's first id needs the number of ids of each partition: that many numbers reach the driver.
-
-Defined results. Null text: as empty, only the end id. Null document ids come first; rows with equal ids follow each other in order of their ids' hash.
+Texts are range-partitioned and sorted by document id; then one task tokenises them, codes the ids in blocks of at most ``idcoder.BLOCK_IDS``
+and writes the blocks as rows of a Parquet folder by Spark's committer, so a lost executor costs a task. The tokenizer's pre-tokenizer never
+joins across ASCII white space, so the distinct words between it are encoded once and kept (at most CACHE words a task), and a block of texts
+is looked up at once by the words' hashes; a text that holds the string of a special token is encoded whole, as the library finds it.
+Reading back needs no shuffle of ids: a task sums up the documents' pieces in its blocks, and the few pieces of a document that
+ends in another task are joined by their checksums. The place of a partition's first id needs the number of ids of each partition:
+that many numbers reach the driver.
+
+Defined results. Null text: as empty, only the end id. Null document ids come first; rows with equal ids follow each other in order of their
+texts' hash. An empty table gives no blocks and no rows. Ids of 65536 and above raise. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +26,13 @@ from pyspark.sql import functions as F
 
 from batchloom.llm import idcoder
 from batchloom.llm.durable import written
-from batchloom.llm.textblocks import arrow_limits
+from batchloom.llm.textblocks import Words, arrow_limits
 
-CACHE = 300_000
+CACHE = 1_000_000
 BATCH_BLOCKS = idcoder.LANES
+TEXT_BYTES = 1 << 20
+LONG_WORD = 64
 FILES = "part int, seq int, n_ids long, block binary"
-_SPACE = re.compile(r"\s+")
 
 
 def default_tokenizer() -> str:
@@ -38,47 +42,85 @@ def default_tokenizer() -> str:
 
 
 class Tokens:
-    def __init__(self, spec: str):
+    """Encodes texts word by word; the ids of known words stand one after the other in ``flat``."""
+
+    def __init__(self, spec: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
-        self.kept: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
+        self.special = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
+        self.end = np.zeros(0, np.int64) if end_id is None else np.array([end_id], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.start, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word; words not seen before are encoded."""
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        for w, ids in zip(new, self.whole(new), strict=True):
+            n, at = len(known), self.used
+            if at + len(ids) > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros(max(len(self.flat), len(ids)), np.int64))
+            if n + 2 > len(self.start):
+                self.start = np.append(self.start, np.zeros_like(self.start))
+            self.flat[at : at + len(ids)] = ids
+            self.used = self.start[n + 1] = at + len(ids)
+            known[w] = n
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
         plain = [not any(s in t for s in self.special) for t in texts]
-        words = [_SPACE.split(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = set().union(*words) - self.kept.keys()
-        if len(self.kept) + len(new) > CACHE:
-            self.kept, new = {}, set().union(*words)
-        new = sorted(new)
-        self.kept.update(zip(new, self._whole(new), strict=True))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, w)) if p else self._whole([t])[0] for t, w, p in zip(texts, words, plain, strict=True)]
-
-
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """(id, ids): ids of each text and the end id, as packed little-endian uint16 (ids below 65536)."""
-    arrow_limits(docs.sparkSession, 2)
-    spec = open(tokenizer or default_tokenizer()).read()
-    tail = np.array([end_id], dtype="<u4").tobytes()
-
-    def each(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        state = Tokens(spec)
-        for b in batches:
-            found = [np.frombuffer(x + tail, "<u4") for x in state.encode([t or "" for t in b.column(1).to_pylist()])]
-            if max((int(x.max()) for x in found), default=0) > 65535:
+        if len(self.known) > CACHE:
+            self.clear()
+        w = Words([t if p else b"" for t, p in zip(texts, plain, strict=True)])
+        size = w.end - w.start
+        _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        word = self.numbers([w.raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])[which]
+        if len(at := np.flatnonzero(size > LONG_WORD)):  # equal hashes of different long words can be constructed
+            word[at] = self.numbers([w.raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        n = self.start[word + 1] - self.start[word]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.start[word] - upto[:-1], n) + np.arange(int(upto[-1]))]
+        cut = upto[w.first].tolist()
+        out = [np.concatenate((ids[a:b], self.end)) for a, b in itertools.pairwise(cut)]
+        for i in [i for i, p in enumerate(plain) if not p]:
+            out[i] = np.concatenate((self.whole([texts[i]])[0], self.end))
+        return out
+
+
+def tokenised(batches: Iterator[pa.RecordBatch], spec: str, end_id: int | None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(document id, ids) for batches of (id, text), in their order."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    state = Tokens(spec, end_id)
+    docs: list[int | None] = []
+    texts: list[bytes] = []
+    held = 0
+
+    def flush():
+        for doc, ids in zip(docs, state.encode(texts), strict=True):
+            if len(ids) and int(ids.max()) > 65535:
                 raise ValueError("ids above 65535 do not fit the file format")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u2").tobytes() for x in found], pa.binary())], ["id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(each, "id long, ids binary")
+            yield doc, ids
+
+    for b in batches:
+        for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            docs.append(doc)
+            texts.append(t or b"")
+            held += len(texts[-1])
+            if held > TEXT_BYTES:
+                yield from flush()
+                docs, texts, held = [], [], 0
+    if docs:
+        yield from flush()
 
 
 def _blocks(rows: Iterator[tuple[int | None, np.ndarray]]):
@@ -103,17 +145,18 @@ def _blocks(rows: Iterator[tuple[int | None, np.ndarray]]):
         yield np.concatenate(ids), first, np.array(docs, np.int64), np.array(sizes, np.int64)
 
 
-def write(tokens: DataFrame) -> DataFrame:
-    """Writes (id, ids) as blocks in ascending id order; returns the files' rows (part, seq, n_ids, block)."""
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("ids"))
+def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 2) -> DataFrame:
+    """Tokenises the texts and writes their ids as blocks in ascending id order; returns the files' rows (part, seq, n_ids, block)."""
+    arrow_limits(docs.sparkSession, 2)
+    spec = open(tokenizer or default_tokenizer()).read()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    ordered = texts.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("t"))
 
     def each(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        rows = ((i, np.frombuffer(x, "<u2").astype(np.int64)) for b in batches for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        held = []
+        part, seq, held = TaskContext.get().partitionId(), 0, []
 
         def flush():
             nonlocal seq
@@ -123,7 +166,7 @@ def write(tokens: DataFrame) -> DataFrame:
             seq += len(out)
             return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array(range(seq - len(out), seq), pa.int32()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["part", "seq", "n_ids", "block"])
 
-        for block in _blocks(rows):
+        for block in _blocks(tokenised(batches, spec, end_id)):
             held.append(block)
             if len(held) == BATCH_BLOCKS:
                 yield flush()
@@ -133,27 +176,89 @@ def write(tokens: DataFrame) -> DataFrame:
     return written(ordered.mapInArrow(each, FILES))
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(part, seq, ids, first row, document ids, sizes) of each block of (part, seq, block), decoded BATCH_BLOCKS at a time."""
+    held: list[tuple[int, int, bytes]] = []
+
+    def flush():
+        for (part, seq, _), block in zip(held, idcoder.unpack_blocks([x[2] for x in held]), strict=True):
+            yield part, seq, *block
+        held.clear()
+
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            held.append(row)
+            if len(held) == BATCH_BLOCKS:
+                yield from flush()
+    if held:
+        yield from flush()
+
+
+def _doc_id(d: int) -> int | None:
+    return None if d == np.iinfo(np.int64).min else d
+
+
 def read(files: DataFrame) -> DataFrame:
     """(part, seq, row, id, ids): the documents' pieces, row numbering the documents of a part in order; ids are packed little-endian uint32."""
     arrow_limits(files.sparkSession, 1)
 
     def each(batches):
-        for b in batches:
-            parts, seqs, values = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for a in range(0, len(values), BATCH_BLOCKS):
-                out = []
-                for part, seq, (ids, first, docs, sizes) in zip(parts[a:], seqs[a:], idcoder.unpack_blocks(values[a : a + BATCH_BLOCKS]), strict=False):
-                    raw, at = ids.astype("<u4").tobytes(), 0
-                    for j, (d, n) in enumerate(zip(docs.tolist(), sizes.tolist(), strict=True)):
-                        out.append((part, seq, first + j, None if d == np.iinfo(np.int64).min else d, raw[at : at + 4 * n]))
-                        at += 4 * n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "row", "id", "ids"])
+        for part, seq, ids, first, docs, sizes in _unpacked(batches):
+            raw, cut = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(sizes.astype(np.int64) * 4))).tolist()
+            out = [(part, seq, first + j, _doc_id(d), raw[cut[j] : cut[j + 1]]) for j, d in enumerate(docs.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "row", "id", "ids"])
 
     return files.select("part", "seq", "block").mapInArrow(each, "part int, seq int, row long, id long, ids binary")
 
 
+def _sums(batches):
+    """(part, row, id, seq, n, crc) of the run of consecutive blocks of this task that hold a document."""
+    out: list[list] = []
+    for part, seq, ids, first, docs, sizes in _unpacked(batches):
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for j, (d, n) in enumerate(zip(docs.tolist(), sizes.tolist(), strict=True)):
+            piece = raw[at : at + 4 * n]
+            at += 4 * n
+            if not j and out and out[-1][0] == part and out[-1][1] == first and out[-1][6] == seq - 1:
+                out[-1][4:] = [out[-1][4] + n, zlib.crc32(piece, out[-1][5]), seq]
+            else:
+                out.append([part, first + j, _doc_id(d), seq, n, zlib.crc32(piece), seq])
+        if len(out) > 10_000:
+            yield _sum_rows(out[:-1])
+            out = out[-1:]
+    if out:
+        yield _sum_rows(out)
+
+
+def _sum_rows(rows: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "row", "id", "seq", "n", "crc"])
+
+
+def joined_crc(first: int, second: int, size: int) -> int:
+    """The crc32 of two byte strings after each other, from theirs and the second's size: a zero bit is a linear map of the checksum."""
+    step = [0xEDB88320] + [1 << i for i in range(31)]
+
+    def apply(table: list[int], x: int) -> int:
+        out = 0
+        for column in table:
+            if x & 1:
+                out ^= column
+            x >>= 1
+        return out
+
+    bits = 8 * size
+    while bits:
+        if bits & 1:
+            first = apply(step, first)
+        step = [apply(step, column) for column in step]
+        bits >>= 1
+    return first ^ second
+
+
 def documents_of(files: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32): start counts the ids of all documents before; every value is taken from the blocks read back."""
+    arrow_limits(files.sparkSession, 1)
     sums = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     total, starts = 0, []
     for part, n in sums:
@@ -163,19 +268,15 @@ def documents_of(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def crc(pieces):
-        import pandas as pd
+        import functools
 
-        def one(found):
-            value = 0
-            for p in found:
-                value = zlib.crc32(p["ids"], value)
-            return value
+        import pandas as pd
 
-        return pd.Series([one(p) for p in pieces])
+        return pd.Series([functools.reduce(lambda a, p: (joined_crc(a[0], p["crc"], 4 * p["n"]), 0), found[1:], (found[0]["crc"], 0))[0] for found in pieces])
 
-    pieces = read(files).select("part", "row", "id", F.struct("seq", "ids").alias("x"))
-    docs = pieces.groupBy("part", "row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("x")).alias("x"))
-    docs = docs.select("part", "row", "id", crc("x").alias("ids_crc32"), (F.expr("aggregate(x, 0L, (s, p) -> s + octet_length(p.ids))") / 4).cast("long").alias("n_tokens"))
+    pieces = files.select("part", "seq", "block").mapInArrow(_sums, "part int, row long, id long, seq int, n long, crc long")
+    docs = pieces.groupBy("part", "row").agg(F.first("id").alias("id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("x"))
+    docs = docs.select("part", "row", "id", "n_tokens", crc("x").alias("ids_crc32"))
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     found = docs.withColumn("b", F.coalesce(before, F.lit(0))).join(F.broadcast(starts), "part")
     return found.select("id", (F.col("before") + F.col("b")).alias("start"), "n_tokens", "ids_crc32")

@@ -213,7 +213,7 @@ def test_token_files(spark):
     tokenizers = pytest.importorskip("tokenizers")
     texts = ["Hello  WORLD, it's 42\n\u00a0été", "", None, "a" * 300, "x <|endoftext|> y", prose(3, 9000), "hello", "hello"]
     rows = [(30 - i, t) for i, t in enumerate(texts)] + [(24, "tie"), (24, "tie")]
-    files = tokenfiles.write(tokenfiles.tokenised(docs(spark, rows)))
+    files = tokenfiles.write(docs(spark, rows))
     got = [(r.id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.documents_of(files).orderBy("start").collect()]
     tk = tokenizers.Tokenizer.from_file(tokenfiles.default_tokenizer())
     coded = [(i, tk.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows]
@@ -224,7 +224,40 @@ def test_token_files(spark):
         at += g[2]
     assert [g[1] for g in got] == starts
     assert sorted((g[0], g[2], g[3]) for g in got) == sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in coded)
-    assert tokenfiles.documents_of(tokenfiles.write(tokenfiles.tokenised(docs(spark, rows).limit(0)))).count() == 0
+    assert tokenfiles.documents_of(tokenfiles.write(docs(spark, rows).limit(0))).count() == 0
+
+
+def test_tokens_at_every_space_and_control_character():
+    """Each character that Python or Unicode counts as space, separator or control, between, before and after words."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import unicodedata
+
+    spec = open(tokenfiles.default_tokenizer()).read()
+    tk, state = tokenizers.Tokenizer.from_str(spec), tokenfiles.Tokens(spec, 2)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc", "Cf"))]
+    texts = [f"abc{c}def {c}{c}x e{c}\u0301" for c in chars] + ["", " ", "w" * 70 + " " + "w" * 70 + "v", "x <|startoftext|>y", "don't  STOP", "e\u0301 \u0301e"]
+    for t, ids in zip(texts, state.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == tk.encode(t, add_special_tokens=False).ids + [2], repr(t)
+
+
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=5))
+def test_checksums_join(parts):
+    value, whole = zlib.crc32(parts[0]), parts[0]
+    for p in parts[1:]:
+        value, whole = tokenfiles.joined_crc(value, zlib.crc32(p), len(p)), whole + p
+    assert value == zlib.crc32(whole)
+
+
+def test_token_files_in_many_pieces(spark, monkeypatch):
+    """Blocks of few ids, dealt to several tasks, so that documents end in other tasks."""
+    monkeypatch.setattr(idcoder, "BLOCK_IDS", 50)
+    rows = [(i, prose(i, 30 + 40 * (i % 5))) for i in range(40)]
+    files = tokenfiles.write(docs(spark, rows))
+    whole = sorted((r.id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.documents_of(files).collect())
+    dealt = tokenfiles.documents_of(files.repartition(7, "seq").sortWithinPartitions("part", "seq"))
+    assert sorted((r.id, r.start, r.n_tokens, r.ids_crc32) for r in dealt.collect()) == whole
+    back = tokenfiles.read(files).groupBy("id").agg(F.sum(F.length("ids")).alias("n")).collect()
+    assert {r.id: r.n // 4 for r in back} == {i: n for i, _, n, _ in whole}
 
 
 # 6 toxicity
