@@ -1,17 +1,20 @@
 """Benchmark decontamination: MinHash containment search with size partitions, verified by exact shingle containment.
 
 A text contains an item when at least ``threshold`` of the item's distinct 5-word shingles are among the text's. Whole long texts and short
-items have a tiny Jaccard similarity, so a text is first reduced to the shingles that any item has (a sorted table of the items' shingles);
-what is left, R, is small. Texts are then partitioned by the size of R (powers of two). In the partition of sizes up to u, containment of an
-item of n shingles means a Jaccard similarity with R of at least t*n / (u + n - t*n), so the number of MinHash functions for that
-partition is the least with a chance below MISS of finding no equal minimum; where that is not less than u, all of R is looked up, which cannot
-miss. Candidates are verified against the whole text's shingles.
+items have a tiny Jaccard similarity, so both sides are partitioned by size. Items form classes by their number of shingles (powers of two). For each
+class a text is reduced to the shingles that items of the class have (a sorted table); what is left, R, is small, and texts fall into partitions
+by the size of R. In the partition of sizes up to u, containment of an item of n shingles means a Jaccard similarity with R of at least
+t*n / (u + n - t*n), so class and partition together tell how many MinHash functions leave a chance below MISS of finding no equal minimum. In
+partitions where that is fewer than R has shingles, items are found by equal minima; in the others (items of a few shingles, or long texts that
+share shingles with many items) R's shingles are looked up one by one, which cannot miss. An R of fewer than t * n shingles is not searched.
+Candidates are verified against the whole text's shingles.
 
 The items' shingles go to every executor. Their number is checked: more than ITEM_SHINGLES are searched in parts of the items (by
 hash of the item id), one pass over the texts for each part. The search is one narrow pass without a shuffle.
 
-Defined results. Words: as in ``textblocks`` with A-Z lower-cased. A null, empty or wordless text or item matches nothing. An item of fewer
-than five words is one shingle and is contained only in a text of just those words. Null ids take no part. Equal items each give a row.
+Defined results. Words: as in ``textblocks`` with A-Z lower-cased. A null, empty or wordless text or item matches nothing; so do empty tables. An item of
+fewer than five words is one shingle and is contained only in a text of just those words. Null ids take no part. Equal items each give a
+row, and so do repeated rows of a text. Shingles are compared by 64-bit hashes. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from batchloom.llm.durable import without_ids
 from batchloom.llm.textblocks import Words, arrow_limits, blocks, mix, shingle_sets
 
 THRESHOLD = 0.8
-MISS = 1e-12
+#: Chance that MinHash misses an item that a text contains. The recall of the search is at least 1 - MISS.
+MISS = 1e-9
 ITEM_SHINGLES = 4_000_000
 _U = np.uint64
 
 
 def functions_needed(n: int, u: int, threshold: float = THRESHOLD) -> int:
-    """MinHash functions for items of n shingles and reduced texts of up to u; u or more stands for all shingles."""
+    """MinHash functions for items of at least n shingles and reduced texts of up to u."""
     j = min(1.0, threshold * n / (u + n - threshold * n))
     return 1 if j >= 1 else math.ceil(math.log(MISS) / math.log1p(-j))
 
@@ -42,20 +46,67 @@ def _seeds(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
+class _Class:
+    """The items of one class of sizes: an index of their shingles, and a table from (function, minimum) to items for each number of functions."""
+
+    def __init__(self, members: list[int], sets: list[np.ndarray], threshold: float):
+        self.members, self.sets, self.threshold = np.array(members), sets, threshold
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.least = int(size.min())
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.every, self.owner = every[order], np.repeat(np.arange(len(sets)), size)[order]
+        self.known = np.unique(self.every)
+        self.tables: dict[int, dict[int, np.ndarray]] = {}
+
+    def reduce(self, s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, s)
+        at[at == len(self.known)] = 0
+        return s[self.known[at] == s]
+
+    def table(self, k: int) -> dict[int, np.ndarray]:
+        if k not in self.tables:
+            found: dict[int, list[int]] = {}
+            seeds = _seeds(k)
+            for i, s in enumerate(self.sets):
+                for low in set(signature(s, seeds).tolist()):
+                    found.setdefault(low, []).append(i)
+            self.tables[k] = {x: np.array(v) for x, v in found.items()}
+        return self.tables[k]
+
+    def candidates(self, s: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Items that a text with shingles s may contain, and whether MinHash has found them."""
+        r = self.reduce(s)
+        if len(r) < self.threshold * self.least - 1e-9 or not len(r):
+            return np.zeros(0, dtype=np.int64), False
+        k = functions_needed(self.least, 1 << int(len(r) - 1).bit_length(), self.threshold)
+        if k < len(r):
+            table = self.table(k)
+            found = [table[x] for x in signature(r, _seeds(k)).tolist() if x in table]
+        else:
+            a, b = np.searchsorted(self.every, r, "left"), np.searchsorted(self.every, r, "right")
+            found = [self.owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        return (self.members[np.unique(np.concatenate(found))] if found else np.zeros(0, dtype=np.int64)), k < len(r)
+
+
+def signature(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The least value of each function; functions differ by a seed that is mixed in, so equal values mean equal function and shingle."""
+    return mix(s[None, :] ^ seeds[:, None]).min(axis=1)
+
+
 class Items:
-    """The items' shingles, and for each size partition the table from (function, minimum) to items."""
+    """The items by classes of sizes, behind a table of all their shingles."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: float = THRESHOLD):
         self.ids, self.sets, self.threshold = ids, sets, threshold
-        self.size = np.array([len(s) for s in sets], dtype=np.int64)
-        every = np.concatenate(sets) if sets else np.zeros(0, _U)
-        self.owner = np.repeat(np.arange(len(sets)), self.size)
-        order = np.argsort(every, kind="stable")
-        self.every, self.owner = every[order], self.owner[order]
-        self.known = np.unique(self.every)
+        self.known = np.unique(np.concatenate(sets)) if sets else np.zeros(0, _U)
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.known >> _U(44)).astype(np.int64)] = True
-        self.tables: dict[int, tuple[int, dict[int, np.ndarray]]] = {}
+        classes: dict[int, list[int]] = {}
+        for i, s in enumerate(sets):
+            if len(s):
+                classes.setdefault(len(s).bit_length(), []).append(i)
+        self.classes = [_Class(members, [sets[i] for i in members], threshold) for _, members in sorted(classes.items())]
 
     def reduce(self, s: np.ndarray) -> np.ndarray:
         """The shingles of a text that some item has."""
@@ -66,43 +117,20 @@ class Items:
         at[at == len(self.known)] = 0
         return s[self.known[at] == s]
 
-    def table(self, u: int) -> tuple[int, dict[int, np.ndarray]]:
-        if u not in self.tables:
-            k = max((functions_needed(int(n), u, self.threshold) for n in set(self.size.tolist()) if n), default=1)
-            found: dict[int, list[int]] = {}
-            if k < u:
-                seeds = _seeds(k)
-                for i, s in enumerate(self.sets):
-                    if len(s):
-                        for low in set(self.signature(s, seeds).tolist()):
-                            found.setdefault(low, []).append(i)
-            self.tables[u] = k, {x: np.array(v) for x, v in found.items()}
-        return self.tables[u]
-
-    @staticmethod
-    def signature(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        """The least value of each function; functions differ by a seed that is mixed in, so equal values mean equal function and shingle."""
-        return mix(s[None, :] ^ seeds[:, None]).min(axis=1)
-
-    def candidates(self, r: np.ndarray) -> np.ndarray:
-        u = 1 << max(0, int(len(r) - 1).bit_length())
-        k, table = self.table(u)
-        if k >= u:
-            a, b = np.searchsorted(self.every, r, "left"), np.searchsorted(self.every, r, "right")
-            return np.unique(np.concatenate([self.owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
-        found = [table[x] for x in self.signature(r, _seeds(k)).tolist() if x in table]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-
     def search(self, s: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, item shingles, shared shingles) of the items a text with shingles s contains."""
+        return [x[:3] for x in self.found(s)]
+
+    def found(self, s: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        """As ``search``, with whether MinHash has found the item."""
         r = self.reduce(s)
-        if not len(r):
-            return []
         out = []
-        for i in self.candidates(r).tolist():
-            shared = int(np.isin(self.sets[i], r, assume_unique=True).sum())  # r has every shingle of the text that an item has
-            if shared >= self.threshold * len(self.sets[i]) - 1e-9:
-                out.append((self.ids[i], len(self.sets[i]), shared))
+        for c in self.classes if len(r) else ():
+            some, by_minima = c.candidates(r)
+            for i in some.tolist():
+                shared = int(np.isin(self.sets[i], r, assume_unique=True).sum())  # r has every shingle of the text that an item has
+                if shared >= self.threshold * len(self.sets[i]) - 1e-9:
+                    out.append((self.ids[i], len(self.sets[i]), shared, by_minima))
         return out
 
 

@@ -5,8 +5,9 @@ windows that share it form a super-k-mer, which travels as one packed string (wi
 the bucket of that minimiser. All occurrences of a window meet in one bucket, where windows are sorted by hash and doc id and
 equal neighbours are compared byte for byte, so counts are exact.
 
-Skew. Bucket sizes are counted over all texts first. A bucket above the mean size of a key (a very common word run, or a passage
-that a large part of the texts share) is not sent to one place: its windows are reduced to 128-bit digests, the least and greatest
+Skew. There are at least 64 buckets for each key (as far as MOST_BUCKETS go), so a key's load is the sum of many. Bucket sizes are counted over all
+texts first. A bucket above WORKER_WINDOWS and above four times the mean of a key (a very common word run, or a passage that a large part of
+the texts share) is not sent to one place: its windows are reduced to 128-bit digests, the least and greatest
 doc id of each digest come from an aggregation that combines before it shuffles, and only digests with two documents are joined
 back to their occurrences (an equi-join whose large partitions adaptive execution may split).
 
@@ -34,7 +35,12 @@ from batchloom.llm.durable import id_filter, may_be_in, written
 from batchloom.llm.textblocks import Words, arrow_limits, keyed_blocks, mix, window_hashes
 
 _U = np.uint64
-BUCKETS = 1 << 14
+#: Buckets for each key; with many keys at most MOST_BUCKETS, whose counts a task holds.
+BUCKETS_PER_KEY = 64
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 22
+#: A bucket is common above this many windows, and above COMMON_KEYS times what a key holds on average.
+WORKER_WINDOWS = 1 << 16
+COMMON_KEYS = 4
 SPANS = "sk_id long, sk_text int, sk_start int, sk_end int"
 
 
@@ -82,14 +88,18 @@ def _single_spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out[keep].tobytes(), start, start + size
 
 
-def bucket_sizes(texts: DataFrame, k: int, m: int) -> DataFrame:
+def bucket_count(keys: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, BUCKETS_PER_KEY * keys))
+
+
+def bucket_sizes(texts: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
     """(bucket, windows): windows of all texts by bucket of their minimiser."""
 
     def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.int64)
         for _, _, block in keyed_blocks(batches):
             _, n, least = _super_kmers(Words(block), k, m)
-            total += np.bincount((mix(least) % _U(BUCKETS)).astype(np.int64), weights=n + k - 1, minlength=BUCKETS).astype(np.int64)
+            total += np.bincount((mix(least) % _U(buckets)).astype(np.int64), weights=n + k - 1, minlength=buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -97,21 +107,22 @@ def bucket_sizes(texts: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _common_buckets(texts: DataFrame, k: int, m: int, keys: int) -> frozenset[int]:
-    """Buckets larger than the mean of a key. At most ``keys`` and at most BUCKETS numbers reach the driver."""
-    found = [(r.bucket, r.n) for r in bucket_sizes(texts, k, m).collect()]
-    total = sum(n for _, n in found)
-    return frozenset(b for b, n in found if n > max(1, total // keys))
+    """Buckets too large for one worker. What reaches the driver is at most ``keys / COMMON_KEYS`` numbers."""
+    sizes = written(bucket_sizes(texts, k, m, bucket_count(keys)))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.bucket for r in sizes.where(F.col("n") > max(WORKER_WINDOWS, COMMON_KEYS * total // keys)).collect())
 
 
 def _send(keys: int, common: frozenset[int], k: int, m: int):
-    mark = np.zeros(BUCKETS, dtype=bool)
+    buckets = bucket_count(keys)
+    mark = np.zeros(buckets, dtype=bool)
     mark[list(common)] = True
 
     def send(batches):
         for ids, texts_key, texts in keyed_blocks(batches):
             words = Words(texts)
             first, count, least = _super_kmers(words, k, m)
-            bucket = (mix(least) % _U(BUCKETS)).astype(np.int64)
+            bucket = (mix(least) % _U(buckets)).astype(np.int64)
             usual = ~mark[bucket]
             first, count, bucket = first[usual], count[usual], bucket[usual]
             if not len(first):
@@ -187,16 +198,17 @@ def _receive(k: int):
     return receive
 
 
-def _common_windows(common: frozenset[int], k: int, m: int):
+def _common_windows(common: frozenset[int], keys: int, k: int, m: int):
     """Digest, id, text key and first word of each window whose bucket is common."""
-    mark = np.zeros(BUCKETS, dtype=bool)
+    buckets = bucket_count(keys)
+    mark = np.zeros(buckets, dtype=bool)
     mark[list(common)] = True
 
     def each(batches):
         for ids, texts_key, texts in keyed_blocks(batches):
             words = Words(texts)
             first, count, least = _super_kmers(words, k, m)
-            hot = mark[(mix(least) % _U(BUCKETS)).astype(np.int64)]
+            hot = mark[(mix(least) % _U(buckets)).astype(np.int64)]
             first, count = first[hot], count[hot]
             if not len(first):
                 continue
@@ -221,9 +233,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = _common_buckets(texts, k, m, keys)
     spans = packing.exchange(texts.mapInArrow(_send(keys, common, k, m), "key int, packed binary"), _receive(k), SPANS)
     if common:
-        windows = texts.mapInArrow(_common_windows(common, k, m), "digest binary, sk_id long, sk_text int, sk_start int")
-        least = windows.groupBy("digest").agg(F.min("sk_id").alias("least"), F.max("sk_id").alias("most")).where("least < most").drop("most")
-        again = windows.join(least.hint("merge"), "digest").where("sk_id > least")
+        windows = written(texts.mapInArrow(_common_windows(common, keys, k, m), "digest binary, sk_id long, sk_text int, sk_start int"))
+        least = written(windows.groupBy("digest").agg(F.min("sk_id").alias("least"), F.max("sk_id").alias("most")).where("least < most").drop("most"))
+        again = windows.join(least, "digest").where("sk_id > least")  # its own exchange, so that a hot digest's partition can be split
         spans = spans.unionByName(again.select("sk_id", "sk_text", "sk_start", (F.col("sk_start") + k).alias("sk_end")))
     return spans.groupBy("sk_id", "sk_text").agg(F.collect_list(F.struct("sk_start", "sk_end")).alias("spans"))
 

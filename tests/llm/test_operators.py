@@ -181,6 +181,25 @@ def test_decontamination(spark):
     assert contamination.contained_items(docs(spark, rows), it.limit(0)).count() == 0
 
 
+def test_minhash_finds_what_a_lookup_finds():
+    """Items of 20 to 400 shingles with four fifths of their shingles or a little less in texts; MinHash must find nearly all pairs of the larger ones."""
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in r.integers(20, 400, 300)]
+    items = contamination.Items(list(range(len(sets))), sets)
+    wanted = found = by_minima = large = 0
+    for i, s in enumerate(sets):
+        for share in (0.75, 0.8, 0.81, 0.9, 1.0):
+            n = int(np.ceil(share * len(s) - 1e-9))
+            text = np.unique(np.concatenate((r.permutation(s)[:n], r.integers(0, 1 << 63, 500).astype(np.uint64), sets[(i + 1) % 300][:3])))
+            want = {j for j, x in enumerate(sets) if len(np.intersect1d(x, text)) >= 0.8 * len(x) - 1e-9}
+            got = items.found(text)
+            assert {j for j, *_ in got} <= want
+            wanted, found = wanted + len(want), found + len(got)
+            by_minima += sum(m for *_, m in got)
+            large += sum(len(sets[j]) >= 64 for j in want)
+    assert found >= 0.999 * wanted and by_minima >= 0.9 * large and wanted > 1000
+
+
 def test_containment_in_parts(spark, monkeypatch):
     it = spark.createDataFrame([(i, prose(i, 30)) for i in range(8)], "item_id long, text string")
     rows = [(i, prose(i, 30) + " " + prose(90 + i, 50)) for i in range(8)]
@@ -450,11 +469,12 @@ def brute_windows(rows, k=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("keys", [None, 100_000])
-def test_substring_dedup(spark, monkeypatch, keys):
-    """With very many keys every bucket counts as common, so the digest path does all the work."""
-    if keys:
-        monkeypatch.setattr(packing, "key_count", lambda s: keys)
+@pytest.mark.parametrize("common", [False, True])
+def test_substring_dedup(spark, monkeypatch, common):
+    """Without a floor for common buckets nearly all are common, so the digest path does the work."""
+    if common:
+        monkeypatch.setattr(superkmers, "WORKER_WINDOWS", 1)
+        monkeypatch.setattr(superkmers, "COMMON_KEYS", 0)
     passage = prose(1, 55)
     rows = [(i, prose(100 + i, 30) + "\n" + passage + " " + prose(200 + i, 30)) for i in range(60)] + [(100 + i, prose(7, 90)) for i in range(10)]
     rows += [(200, None), (201, ""), (202, "short one"), (203, "same same " * 40), (204, "same same " * 40), (205, prose(7, 13)), (206, prose(7, 12)), (103, "other " + prose(7, 60)), (None, passage), (207, prose(5, 5000)), (208, "A" + prose(7, 30))]
@@ -463,6 +483,15 @@ def test_substring_dedup(spark, monkeypatch, keys):
     assert superkmers.with_repeats_removed(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_windows_travel_as_super_kmers_with_many_partitions():
+    """With 10,000 partitions and eight windows of text for each key, hardly any bucket is common."""
+    keys = packing.KEYS_PER_PARTITION * 10_000
+    least = np.random.default_rng(1).integers(0, 1 << 62, 2_000_000).astype(np.uint64)
+    sizes = np.bincount((superkmers.mix(least) % np.uint64(superkmers.bucket_count(keys))).astype(np.int64), minlength=superkmers.bucket_count(keys))
+    assert superkmers.bucket_count(keys) >= 50 * keys
+    assert sizes[sizes > superkmers.COMMON_KEYS * sizes.sum() // keys].sum() < 0.01 * sizes.sum()
+
+
 def test_equal_hashes_are_told_apart():
     raw = b"a b c a b d a b c"
     begin, finish = np.array([0, 6, 12]), np.array([5, 11, 17])
