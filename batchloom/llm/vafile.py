@@ -1,135 +1,185 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Method. Candidates are kept in blocks. A block stores for each component a small cell number (its approximation) beside the exact
-integers. A query first scans the cells: the cell's edges bound the component from both sides, so the sums bound the score from
-both sides. The k-th largest lower bound rules out candidates whose upper bound is below it; the rest are read exactly, best bound
-first, until the k-th score found is at least every bound left (ties are read too, so the smaller id wins). Each block of queries meets each
-block of candidates once; the k best of each pair of blocks are merged by a window with a partial limit.
-
-Scale. The search is the stated query set against all rows, in blocks: work grows with queries x candidates, memory with two blocks.
-
-Defined results. Vectors that are null or hold null or non-finite components take no part. Only vectors of the same length are compared.
-With fewer than k candidates a query gets all of them; a query without candidates has no rows. Components are clipped to 64-bit integers.
-Repeated rows count as that many candidates, but never for a query with the same id; equal query rows are one query, and
-query rows with one id and different vectors share one list.
+Method. The approximation file holds, for each block of candidates, a small cell number for each component (CELL_BITS bits) and the cells' edges.
+Phase 1 scans it: a cell's edges bound the component from both sides, so sums bound a query's score from both sides. In a block, and over
+the blocks that one task scans, a candidate whose upper bound is below the k-th largest lower bound is out. Over all survivors of a query the
+k-th largest lower bound is the threshold, and what lies below it goes. Phase 2 reads exact vectors in order of the bounds: the WAVE * k
+candidates of greatest upper bound first; their k-th score is then the threshold for all others, of which only those with an upper bound
+at least as large are read (equal ones too, so that the smaller id wins). Then the k-th result is certain.
+
+Scale. The search is the stated query set against all rows, in blocks. Queries are sent to the blocks of cells, an eighth of the vectors' size, in parts of
+QUERY_ROWS; cells are copied once for each part. Exact vectors stay where they are, but for those that survive: a bit set of their ids,
+whose size is fixed, picks them out. No list of a query's survivors is collected; thresholds come from ranks.
+
+Defined results. Vectors that are null or hold null or non-finite components take no part, nor do null ids. Only vectors of the same length are compared.
+With fewer than k candidates a query gets all of them; a query without candidates has no rows, nor has an empty table. Scores are exact
+whatever the size of the components; one beyond 64 bits counts as the nearest 64-bit integer. Repeated rows count as that many candidates, but
+never for a query with the same id; equal query rows are one query, and query rows with one id and different vectors share one list.
+Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.llm import packing
+from batchloom.llm.durable import id_filter, may_be_in, written
 from batchloom.llm.textblocks import arrow_limits
 
 BLOCK_ROWS = 2048
-QUERY_ROWS = 1024
+QUERY_ROWS = 2048
 CELL_BITS = 6
-_TOP = 1 << 62
+WAVE = 4
+_SMALL = float(1 << 25)  # products of smaller components are summed in 64 bits
+_MOST = (1 << 63) - 1
+_SLACK = 1e-9
 
 
 def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
-def integers(vectors: np.ndarray) -> np.ndarray:
-    """floor(256 * x), x as double."""
-    return np.clip(np.floor(vectors * 256.0), -float(_TOP), float(_TOP)).astype(np.int64)
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as doubles; what exceeds the range of doubles is left at its end."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(vectors * 256.0), -np.finfo(float).max, np.finfo(float).max)
+
+
+def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products, row by row, of scaled vectors."""
+    small = np.maximum(np.abs(queries).max(axis=1, initial=0), np.abs(vectors).max(axis=1, initial=0)) < _SMALL
+    out = np.zeros(len(queries), dtype=np.int64)
+    out[small] = (queries[small].astype(np.int64) * vectors[small].astype(np.int64)).sum(axis=1)
+    for i in np.flatnonzero(~small).tolist():
+        score = sum(int(a) * int(b) for a, b in zip(queries[i].tolist(), vectors[i].tolist(), strict=True))
+        out[i] = max(-_MOST - 1, min(_MOST, score))
+    return out
+
 
+def _by_length(batch: pa.RecordBatch, column: int):
+    """(length, rows, matrix of scaled vectors) for the vectors of a batch."""
+    lists = batch.column(column)
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(lists.offsets.to_numpy())
+    start = np.concatenate(([0], np.cumsum(size)))
+    for d, at in packing.split_by(size.astype(np.int64)):
+        yield d, at, scaled(flat[start[at][:, None] + np.arange(d)]) if d else np.zeros((len(at), 0))
 
-def _approximate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells, least value and cell width of each component over a block."""
-    low = x.min(axis=0)
-    width = (x.max(axis=0) - low) // (1 << CELL_BITS) + 1
-    return ((x - low) // width).astype(np.uint8), low, width
 
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _packed_blocks(batches, rows: int):
-    """One row for each length and up to ``rows`` vectors."""
+
+def _cells(batches):
+    """The approximation file: one row for each length and up to BLOCK_ROWS vectors of (id, hash, vector)."""
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        lists = b.column(1)
-        flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(lists.offsets.to_numpy())
-        start = np.concatenate(([0], np.cumsum(size)))
-        for d, at in packing.split_by(size.astype(np.int64)):
-            x = integers(flat[start[at][:, None] + np.arange(d)])
-            for a in range(0, len(at), rows):
-                part = x[a : a + rows]
-                cells, low, width = _approximate(part) if d else (part.astype(np.uint8), part[:1].sum(axis=0), part[:1].sum(axis=0))
-                yield d, packing.pack(ids[at[a : a + rows]].astype(np.int64), part, cells, low, width)
-
-
-def _blocks_of(rows: int):
-    def each(batches):
-        for d, value in _packed_blocks(batches, rows):
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([value], pa.binary())], ["d", "packed"])
+        ids, hashes = _longs(b.column(0)), _longs(b.column(1))
+        for d, at, x in _by_length(b, 2):
+            for a in range(0, len(at), BLOCK_ROWS):
+                part = x[a : a + BLOCK_ROWS]
+                low = part.min(axis=0) if d else np.zeros(0)
+                width = np.maximum((part.max(axis=0) / 2 - low / 2) / (1 << (CELL_BITS - 1)), 1.0) if d else low  # halves: their difference is in range
+                cells = np.clip(np.floor((part / 2 - low / 2) / (width / 2)), 0, (1 << CELL_BITS) - 1).astype(np.uint8)
+                value = packing.pack(ids[at[a : a + BLOCK_ROWS]], hashes[at[a : a + BLOCK_ROWS]], cells, low, width)
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([value], pa.binary())], ["d", "packed"])
+
+
+def _queries(batches):
+    """One row for each part and length of (part, id, hash, vector)."""
+    for b in batches:
+        parts, ids, hashes = _longs(b.column(0)), _longs(b.column(1)), _longs(b.column(2))
+        for d, at, x in _by_length(b, 3):
+            for part, rows in packing.split_by(parts[at]):
+                value = packing.pack(ids[at[rows]], hashes[at[rows]], x[rows])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([d], pa.int32()), pa.array([value], pa.binary())], ["part", "d", "asked"])
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of each query with each row of cells; wide enough for rounding."""
+    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        lo = low + cells * width
+        hi = lo + width
+        scale = np.abs(queries) @ (np.maximum(np.abs(lo), np.abs(hi)).T) * _SLACK + 1
+        upper = plus @ hi.T + minus @ lo.T + scale
+        lower = plus @ lo.T + minus @ hi.T - scale
+    return np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
 
-    return each
 
+def _scan(k: int):
+    """Survivors (query_id, qh, vec_id, h, upper, lower) of blocks of cells; a task keeps the k largest lower bounds of each query."""
 
-def _best(query_ids, queries, ids, exact, cells, low, width, k: int):
-    """(query, candidate, score) of the k best in a block for each query."""
-    lo = (low + cells.astype(np.int64) * width).astype(np.float64)
-    hi = lo + (width - 1)
-    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    upper = plus @ hi.T + minus @ lo.T
-    lower = plus @ lo.T + minus @ hi.T
-    if max(np.abs(upper).max(initial=0), np.abs(lower).max(initial=0)) > 2**52:  # bounds are not exact in doubles
-        upper[:], lower[:] = np.inf, -np.inf
-    own = query_ids[:, None] == ids[None, :]
-    upper[own] = lower[own] = -np.inf
-    found = []
-    for q in range(len(query_ids)):
-        open_ = np.flatnonzero(~own[q])
-        if not len(open_):
-            continue
-        if len(open_) > k:
-            open_ = open_[upper[q, open_] >= np.partition(lower[q, open_], len(open_) - k)[len(open_) - k]]
-        open_ = open_[np.argsort(-upper[q, open_], kind="stable")]
-        seen, step, score = 0, 4 * k, np.zeros(0, dtype=np.int64)
-        while seen < len(open_) and (seen < k or upper[q, open_[seen]] >= np.partition(score, len(score) - k)[len(score) - k]):
-            score = np.append(score, exact[open_[seen : seen + step]] @ queries[q])
-            seen, step = len(score), step * 2
-        read = open_[:seen]
-        first = np.lexsort((ids[read], -score))[:k]
-        found.append((np.full(len(first), query_ids[q]), ids[read[first]], score[first]))
-    return found
-
-
-def _search(k: int):
     def each(batches):
+        best: dict[bytes, np.ndarray] = {}
         for b in batches:
-            for d, left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                qi, q, *_ = packing.unpack(left, "int64", "int64", "uint8", "int64", "int64")
-                ci, c, cells, low, width = packing.unpack(right, "int64", "int64", "uint8", "int64", "int64")
-                found = _best(qi, q.reshape(len(qi), d), ci, c.reshape(len(ci), d), cells.reshape(len(ci), d), low, width, k)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+            for d, asked, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                qi, qh, q = packing.unpack(asked, "int64", "int64", "float64")
+                ci, ch, cells, low, width = packing.unpack(packed, "int64", "int64", "uint8", "float64", "float64")
+                lower, upper = bounds(q.reshape(len(qi), d), cells.reshape(len(ci), d), low, width)
+                own = qi[:, None] == ci[None, :]
+                lower[own] = -np.inf
+                known = best.get(asked)
+                every = lower if known is None else np.concatenate((known, lower), axis=1)
+                top = np.partition(every, every.shape[1] - k, axis=1)[:, -k:] if every.shape[1] > k else every
+                best[asked] = top
+                limit = top.min(axis=1) if top.shape[1] == k else np.full(len(qi), -np.inf)
+                row, at = np.nonzero((upper >= limit[:, None]) & ~own)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[row], qh[row], ci[at], ch[at], upper[row, at], lower[row, at])], ["query_id", "qh", "vec_id", "h", "upper", "lower"])
 
     return each
 
 
+def _score(batches):
+    """(query_id, vec_id, score) of pairs (query_id, vec_id, query vector, vector)."""
+    for b in batches:
+        out = np.zeros(b.num_rows, dtype=np.int64)
+        vectors = {d: (at, x) for d, at, x in _by_length(b, 3)}
+        for d, at, q in _by_length(b, 2):
+            out[at] = exact_scores(q, vectors[d][1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, its k best other rows by inner product of the integer vectors."""
     spark = vectors.sparkSession
     arrow_limits(spark)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     good = vectors.where(F.col(id_col).isNotNull() & usable(vector_col))
-    picked = F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")
-    asked = good.where(queries).select(id_col, vector_col).distinct()
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    blocks = good.select(*picked).mapInArrow(_blocks_of(BLOCK_ROWS), "d int, packed binary")
-    blocks = blocks.select("d", "packed", F.pmod(F.xxhash64("packed"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-
-    def gather(table: pa.Table) -> pa.Table:
-        values = [(table.column("part")[0].as_py(), d, value) for d, value in _packed_blocks(table.select(["i", "v"]).combine_chunks().to_batches(), QUERY_ROWS)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*values, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "d", "packed"])
-
-    asked = asked.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), *picked).groupBy("part").applyInArrow(gather, "part int, d int, packed binary")
-    asked = asked.select("part", "d", F.col("packed").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pairs = blocks.join(asked.hint("shuffle_hash"), ["part", "salt", "d"]).select("d", "asked", "packed")
-    best = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    columns = F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")
+    rows = good.select(*columns).select("i", F.xxhash64("v").alias("h"), "v")
+    asked = written(good.where(queries).select(*columns).distinct().select("i", F.xxhash64("v").alias("h"), "v"))
+    parts = max(1, math.ceil(asked.count() / QUERY_ROWS))
+    cells = rows.mapInArrow(_cells, "d int, packed binary").withColumn("salt", F.pmod(F.xxhash64("packed"), F.lit(salts)).cast("int"))
+    cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sent = asked.select(F.pmod(F.xxhash64("i", "h"), F.lit(parts)).cast("int").alias("part"), "i", "h", "v").mapInArrow(_queries, "part int, d int, asked binary")
+    sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = cells.join(sent.hint("shuffle_hash"), ["part", "salt", "d"]).select("d", "asked", "packed")
+    survivors = written(pairs.mapInArrow(_scan(k), "query_id long, qh long, vec_id long, h long, upper double, lower double"))
+
+    def best(order: Column, name: str):
+        return F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(order, "vec_id", "h")).alias(name)
+
+    limit = survivors.select("query_id", "qh", "lower", best(F.desc("lower"), "r")).where(F.col("r") <= k)
+    limit = limit.groupBy("query_id", "qh").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("limit"))
+    kept = survivors.join(limit, ["query_id", "qh"]).where("upper >= limit").drop("limit", "lower")
+    kept = written(kept.select("query_id", "qh", "vec_id", "h", "upper", best(F.desc("upper"), "place")))
+    read = may_be_in(rows, "i", written(id_filter(kept, "vec_id")), "hit").where("hit").dropDuplicates(["i", "h"]).select(F.col("i").alias("vec_id"), "h", "v")
+    exact = written(read)
+    asked = asked.select(F.col("i").alias("query_id"), F.col("h").alias("qh"), F.col("v").alias("q"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        both = some.select("query_id", "qh", "vec_id", "h").join(exact, ["vec_id", "h"]).join(asked, ["query_id", "qh"])
+        return both.select("query_id", "vec_id", "q", "v").mapInArrow(_score, "query_id long, vec_id long, score long")
+
+    first = written(scored(kept.where(F.col("place") <= WAVE * k)))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    certain = ranked.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    rest = kept.where(F.col("place") > WAVE * k).join(certain, "query_id").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    every = first.unionByName(scored(rest))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

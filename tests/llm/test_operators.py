@@ -433,24 +433,42 @@ def test_url_model_generalises():
 
 
 # 9 exact top-k
-def test_exact_top_k(spark, monkeypatch):
+def brute_top(rows, k=5):
+    good = [(i, [int(np.floor(256 * x)) if abs(x) < 1e300 else int(np.sign(x) * np.finfo(float).max) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, v in {(i, tuple(v)) for i, v in good if i % 50 == 0}:
+        scores = sorted([(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, c, strict=True)))), i) for i, c in good if i != q and len(c) == len(v)])[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("query_rows", [2, 1000])
+def test_exact_top_k(spark, monkeypatch, query_rows):
+    """Small blocks, so that several blocks of cells and of queries take part; nulls, ties, repeated rows, other lengths and huge components."""
     monkeypatch.setattr(vafile, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vafile, "QUERY_ROWS", query_rows)
     r = np.random.default_rng(2)
-    rows = [(int(i), [float(x) for x in r.normal(size=8).astype(np.float32)]) for i in range(200)] + [(300 + i, [0.5] * 8) for i in range(20)]
-    rows += [(500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (650, [float("inf")] * 8), (700, [1.0, 2.0]), (710, [3.0, -1.0]), (750, []), (800, [1e30] * 3), (801, [-1e30] * 3), (None, [0.1] * 8), (50, rows[50][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit(1))
-    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in vafile.top_k(df.where("vec_id is null or vec_id < 800"), F.col("vec_id") % 50 == 0).collect())
-    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and i < 800 and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for q, v in good:
-        if q % 50 == 0:
-            scores = sorted([(-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in good if i != q and len(c) == len(v)])[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    dup = [w for w in want if w[0] == 50]
-    assert [g for g in got if g[0] != 50] == sorted(w for w in want if w[0] != 50) and sorted(set(dup)) == [g for g in got if g[0] == 50]
+    rows = [(int(i), [float(x) for x in r.normal(size=8).astype(np.float32)]) for i in range(200)] + [(300 + i, [0.5] * 8) for i in range(20)] + [(301, [0.5] * 8)]
+    rows += [(500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (650, [float("inf")] * 8), (700, [1.0, 2.0]), (710, [3.0, -1.0]), (750, []), (None, [0.1] * 8), (50, rows[50][1])]
+    rows += [(800, [1e30] * 3), (801, [-1e30] * 3), (802, [1e300, 1e300, -1e300]), (803, [1.0, 1.0, 1.0]), (850, [float(1 << 40)] * 3), (851, [float(1 << 20), -7.0, 3.5]), (852, [1e308] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"part": F.lit(1), "h": F.lit(2), "upper": F.lit("x")})
+    got = sorted(tuple(x) for x in vafile.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_top(rows)
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_exact_vectors_are_read_by_bound(spark, monkeypatch):
+    """Few of the candidates survive the scan of the cells, and fewer are read exactly."""
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in r.normal(size=32)]) for i in range(4000)]
+    read, score = [], vafile.written
+    monkeypatch.setattr(vafile, "written", lambda df: read.append(score(df)) or read[-1])
+    out = vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert out.count() == 80 * 5
+    survivors = [f for f in read if "lower" in f.columns]
+    assert survivors[0].count() < 0.2 * 80 * 4000
+
+
 # 10 substring dedup
 def brute_windows(rows, k=13):
     split = [(i, WORD.findall(t or "")) for i, t in rows]
