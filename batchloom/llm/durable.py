@@ -6,6 +6,8 @@ re-read, not a recomputation. Where the setting is absent, a folder below the wa
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +25,30 @@ def discard(*frames: DataFrame) -> None:
 written = stored
 
 
-FILTER_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 FOREST_LINKS = 1_000_000
 
 
-def id_filter(ids: DataFrame, id_col: str) -> DataFrame:
-    """(f_word, f_bits): a bit set of FILTER_BITS that holds all ids (and by chance others); at most FILTER_BITS / 64 rows, however many ids."""
-    x = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+@dataclass(frozen=True)
+class IdFilter:
+    """A bit set that holds all of some ids (and by chance others), as rows of (f_word, f_bits)."""
+
+    rows: DataFrame
+    bits: int
+
+
+def id_filter(ids: DataFrame, id_col: str) -> IdFilter:
+    """A bit set with 16 bits for each id, from LEAST_BITS to MOST_BITS (2 million rows of 12 bytes); beyond 2^27 ids it rules out fewer and fewer."""
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * ids.count()).bit_length()))
+    x = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(size))
     bits = ids.select(x.alias("x")).select(F.shiftright("x", 6).cast("int").alias("f_word"), F.expr("shiftleft(1L, cast(x % 64 as int))").alias("b"))
-    return bits.groupBy("f_word").agg(F.bit_or("b").alias("f_bits"))
+    return IdFilter(written(bits.groupBy("f_word").agg(F.bit_or("b").alias("f_bits"))), size)
 
 
-def may_be_in(df: DataFrame, id_col: str, bits: DataFrame, flag: str) -> DataFrame:
-    """``df`` with a boolean column that is true for every id in the filter. The filter is broadcast; its size is fixed."""
-    x = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
-    seen = df.withColumns({"f_x": x}).withColumn("f_word", F.shiftright("f_x", 6).cast("int")).join(F.broadcast(bits), "f_word", "left")
+def may_be_in(df: DataFrame, id_col: str, found: IdFilter, flag: str) -> DataFrame:
+    """``df`` with a boolean column that is true for every id in the filter. The filter is broadcast; its size is bounded."""
+    x = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(found.bits))
+    seen = df.withColumns({"f_x": x}).withColumn("f_word", F.shiftright("f_x", 6).cast("int")).join(F.broadcast(found.rows), "f_word", "left")
     hit = F.coalesce(F.expr("(shiftrightunsigned(f_bits, cast(f_x % 64 as int)) & 1L) = 1L"), F.lit(False))
     return seen.withColumn(flag, hit).drop("f_x", "f_word", "f_bits")
 
@@ -47,7 +58,7 @@ def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     ids = written(ids.toDF("gone").where("gone is not null").distinct())
     names = [f"c{i}" for i in range(len(df.columns))]
     key = names[df.columns.index(id_col)]
-    seen = may_be_in(df.toDF(*names), key, written(id_filter(ids, "gone")), "f_hit")
+    seen = may_be_in(df.toDF(*names), key, id_filter(ids, "gone"), "f_hit")
     checked = seen.where("f_hit").join(ids, F.col(key) == F.col("gone"), "left_anti")
     return seen.where("not f_hit").unionByName(checked).select(*names).toDF(*df.columns)
 

@@ -439,7 +439,7 @@ def _links(texts: DataFrame, numbered: DataFrame, k: int) -> DataFrame:
     # each document's text goes to its regions, found again by id and hash; a bit set skips most other texts
     places = members.groupBy("doc").agg(F.collect_list(F.struct("lead", "part", "parts", "n", "wide")).alias("places")).withColumnRenamed("doc", "set")
     places = written(places.join(numbered.select(F.col("id").alias("set"), "doc", "h"), "set"))
-    found = may_be_in(texts, "id", written(id_filter(places, "doc")), "hit").where("hit").groupBy("id", "h").agg(F.first("t").alias("t"))
+    found = may_be_in(texts, "id", id_filter(places, "doc"), "hit").where("hit").groupBy("id", "h").agg(F.first("t").alias("t"))
     met = found.join(places, (F.col("id") == F.col("doc")) & (found["h"] == places["h"])).select(F.col("set").alias("doc"), "t", F.explode("places").alias("p")).select("doc", "t", "p.*")
     found = written(met.select("lead", "part", "doc", "wide", "t").groupBy("lead", "part").applyInArrow(lambda x: _region(x, k), "a long, b long, pivot boolean"))
     links = found.where("not pivot and a <> b").select("a", "b")
@@ -456,7 +456,7 @@ def _representatives(signed: DataFrame) -> DataFrame:
     """(digest, doc, h, n, prefix, copies): a row for each set. Prefixes of sets without copies are not shuffled."""
     signed = signed.where("n > 0").withColumn("d", F.xxhash64("digest"))
     first = written(signed.groupBy("digest", "d").agg(F.min(F.struct("id", "h")).alias("r"), F.count("*").alias("copies")).where("copies > 1"))
-    seen = may_be_in(signed, "d", written(id_filter(first, "d")), "hit")
+    seen = may_be_in(signed, "d", id_filter(first, "d"), "hit")
     cols = ["digest", F.col("id").alias("doc"), "h", "n", "prefix"]
     first = first.select(F.col("digest").alias("x"), "copies", "r")
     told = seen.where("hit").join(first, F.col("digest") == F.col("x"), "left").where(F.col("x").isNull() | (F.struct("id", "h") == F.col("r")))
@@ -501,7 +501,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         s = shingle_sets(Words([(t or "").encode()], lower=True), k)[0]
         return _digest(s) if len(s) else None
 
-    seen = may_be_in(docs.toDF(*names), key, written(id_filter(mixed, "id")), "m_hit")
+    seen = may_be_in(docs.toDF(*names), key, id_filter(mixed, "id"), "m_hit")
     plain = without_ids(seen.where("not m_hit").select(*names), key, gone.select("id"))
     told = seen.where("m_hit").withColumn("m_digest", F.udf(digest, "binary")(text))
     told = told.join(gone.toDF("g_id", "g_digest"), (F.col(key) == F.col("g_id")) & (F.col("m_digest") == F.col("g_digest")), "left_anti")

@@ -6,11 +6,11 @@ the greatest cosine. It is rejected when its cosine distance exceeds that langua
 of like length from their own language, plus a margin.
 
 Document frequencies come from all training texts (one pass, a vector of DIMENSIONS counts from each task, combined before the shuffle).
-Centroids are fitted on the driver on at most FIT_PER_LANG distinct texts of each of at most MAX_LANGS languages (those with the least hash of
-their text); whole texts of up to FIT_TEXT bytes are eligible. Prediction is one narrow pass without a shuffle.
+Centroids are fitted on the driver on the n-gram counts of at most FIT_PER_LANG distinct whole texts of each language (those with the least hash of
+their text), of any length: counts have a fixed size. More than MAX_LANGS languages raise. Prediction is one narrow pass without a shuffle.
 
-Defined results. Null text or no letter: ``und``, score 0, not rejected. No training rows: every text is ``und``. Equal cosines: the
-language that sorts first.
+Defined results. Null text or no letter: ``und``, score 0, not rejected. No training rows, or an empty table: every text is ``und``. Equal cosines: the
+language that sorts first. Repeated rows get the same result. Columns named lid_lang, lid_score or lid_rejected are replaced.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from batchloom.llm.textblocks import arrow_limits
+from batchloom.llm.durable import written
+from batchloom.llm.textblocks import arrow_limits, replaced
 
 DIMENSIONS = 1 << 12
 CENTROIDS = 4
 FIT_PER_LANG = 600
-MAX_LANGS = 200
-FIT_TEXT = 20_000
+MAX_LANGS = 1000
 _MARGIN = 0.1
 _U = np.uint32
 _FOLD = np.full(256, 32, dtype=np.uint8)  # everything that is no letter is a gap
@@ -128,19 +128,34 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     df, n = document_frequency(known.select("t"))
     if not n:
         return None
-    langs = sorted(r.l for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect())
-    short = known.where(F.octet_length("t").between(1, FIT_TEXT) & F.col("l").isin(langs) & F.col("t").rlike(r"\p{L}"))
+    lettered = known.where(F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    keys = short.select("l", F.xxhash64("t").alias("h")).distinct().withColumn("r", first).where(F.col("r") <= FIT_PER_LANG).select("l", "h")
-    rows = short.withColumn("h", F.xxhash64("t")).join(keys, ["l", "h"]).dropDuplicates(["l", "h"]).orderBy("l", "h")
+    keys = written(lettered.select("l", "h").distinct().withColumn("r", first).where(F.col("r") <= FIT_PER_LANG).select("l", "h"))
+    langs = keys.select("l").distinct().limit(MAX_LANGS + 1).count()
+    if langs > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    rows = lettered.join(F.broadcast(keys), ["l", "h"]).dropDuplicates(["l", "h"]).select("l", "h", "t")  # at most MAX_LANGS * FIT_PER_LANG keys
+
+    def sparse(batches):
+        for b in batches:
+            texts = [t or b"" for t in b.column(2).cast(pa.large_binary()).to_pylist()]
+            c = [_count(t) for t in texts]
+            at = [np.flatnonzero(x).astype(np.int32) for x in c]
+            n = [x[i].astype(np.int32) for x, i in zip(c, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["l", "h", "size", "at", "n"])
+
+    samples = rows.mapInArrow(sparse, "l string, h long, size long, at array<int>, n array<int>").orderBy("l", "h")
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     known_langs, found, limits = [], [], []
-    for lang, group in itertools.groupby(rows.select("l", "t").toLocalIterator(), key=lambda r: r.l):  # one language at a time in memory
-        texts = [r.t.encode() for r in group]
-        v = weighted(counts(texts), idf)
+    for lang, group in itertools.groupby(samples.toLocalIterator(), key=lambda r: r.l):  # one language at a time in memory
+        group = list(group)
+        c = np.zeros((len(group), DIMENSIONS), dtype=np.float32)
+        for i, r in enumerate(group):
+            c[i, r["at"]] = r["n"]
+        v = weighted(c, idf)
         centroids = k_means(v, CENTROIDS)
         far = 1 - (v @ centroids.T).max(axis=1)
-        size = _length_class(np.array([len(t) for t in texts], dtype=np.int64))
+        size = _length_class(np.array([r["size"] for r in group], dtype=np.int64))
         known_langs.append(lang)
         found.append(centroids)
         limits.append([min(1.0, np.quantile(far[size == s] if (size == s).sum() >= 20 else far, 0.995) + _MARGIN) for s in range(10)])
@@ -152,6 +167,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All rows and columns with lid_lang (nearest language), lid_score (its cosine) and lid_rejected."""
     arrow_limits(docs.sparkSession)
+    docs = replaced(docs, "lid_lang", "lid_score", "lid_rejected")
     own = docs.columns
     names = [f"c{i}" for i in range(len(own))]
     plain = docs.toDF(*names)

@@ -11,7 +11,8 @@ unigram model; a model file made for merge-rank encoding is read the same way, s
 
 Scale. One narrow pass over the texts; no shuffle. A worker holds a block, its units and the bounded cache.
 
-Defined results. Null or empty text: no ids. Decoding gives back the text exactly, but that U+2581 itself reads as a space.
+Defined results. Null or empty text: no ids. An empty table gives no rows; repeated rows get the same result. Columns named sp_ids or sp_text are
+replaced by the outputs of that name. Decoding gives back the text exactly, but that U+2581 itself reads as a space.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from batchloom.llm.textblocks import arrow_limits
+from batchloom.llm.textblocks import arrow_limits, replaced
 
 MARK = "▁"
 CACHE = 300_000
@@ -197,6 +198,7 @@ class Encoder:
 def _transform(docs: DataFrame, column: str, model: str | bytes, added: list[tuple[str, object]], each):
     arrow_limits(docs.sparkSession, 4)
     data = model if isinstance(model, bytes) else open(model, "rb").read()
+    docs = replaced(docs, *[n for n, _ in added if n.lower() != column.lower()])
     own = docs.columns
     names = [f"c{i}" for i in range(len(own))]
     plain = docs.toDF(*names)

@@ -7,12 +7,13 @@ hash. A message's parent is the original of its level-1 passages that covers mos
 other messages it quotes. Following parents gives the thread's root and the depth; a conversation in reply order is its rows
 by (root_turn, depth, turn), with the own text as body: quotes and the attribution lines before them are gone.
 
-Scale. Parsing is row-local (higher-order functions). Only passages are shuffled: originals are reduced to the least turn by
+Scale. Parsing is row-local (higher-order functions). Only passages that a bit set of the quoted ones cannot rule out are shuffled: originals are reduced to the least turn by
 (conversation, hash) with a map-side combine, and joined to the quoted passages on that pair, so a hot conversation spreads over its
 passages. Threads are resolved by pointer jumping over the quoting messages only, with lineage cut each round.
 
 Defined results. Null or empty text: no passages, empty body. A null conv_id or turn takes no part in linking; such rows are returned with no parent.
-A message that quotes nothing known is a root of depth 0. Rows with the same conv_id, turn and text are one message and get the same result.
+A message that quotes nothing known is a root of depth 0. An empty table
+gives no rows; columns named as the outputs (q_...) are replaced. Rows with the same conv_id, turn and text are one message and get the same result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.durable import written
+from batchloom.llm.durable import id_filter, may_be_in, written
+from batchloom.llm.textblocks import replaced
 
 _LEAD = r"^(?:[ \t]{0,3}>)+[ \t]?"
 _ATTRIBUTION = r"(?i)^(on\b.{1,200}\bwrote|.{1,200}\b(a écrit|schrieb|escribió))[ \t]*:[ \t]*$"
@@ -74,8 +76,11 @@ def linked_passages(parsed: DataFrame) -> DataFrame:
     quoting = parsed.where(F.col("q_level") > 0)
     quoted = _passages(quoting, ["c", "t", "m"]).where("level > 0").distinct()  # repeated rows are one message
     wanted = quoted.select("c", "hash").distinct()
-    own = _passages(parsed.join(quoting.select("c").distinct(), "c", "left_semi"), ["c", "t"]).where("level = 0").groupBy("c", "hash").agg(F.min("t").alias("source"))
-    return quoted.join(own.join(wanted, ["c", "hash"], "left_semi"), ["c", "hash"]).where("source < t").select("c", "t", "m", "level", "n", "source")
+    pair = F.xxhash64("c", "hash")
+    own = _passages(parsed, ["c", "t"]).where("level = 0").withColumn("pair", pair)
+    own = may_be_in(own, "pair", id_filter(written(wanted.select(pair.alias("pair"))), "pair"), "quoted").where("quoted")  # passages that nobody quotes stay where they are
+    own = own.groupBy("c", "hash").agg(F.min("t").alias("source"))
+    return quoted.join(own, ["c", "hash"]).where("source < t").select("c", "t", "m", "level", "n", "source")
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -92,6 +97,7 @@ def threads(parents: DataFrame) -> DataFrame:
 
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """All rows and columns with q_level, q_passages (linked), q_sources (turns quoted, sorted), q_parent, q_root, q_depth and q_body."""
+    messages = replaced(messages, "q_level", "q_passages", "q_sources", "q_parent", "q_root", "q_depth", "q_body")
     own = messages.columns
     names = [f"c{i}" for i in range(len(own))]
     conv, turn, text = (names[own.index(c)] for c in (conv_col, turn_col, text_col))

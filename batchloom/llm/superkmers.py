@@ -16,7 +16,7 @@ fixed size cannot rule out as unchanged; the others are passed on where they are
 
 Defined results. Null text: no words. Null id: the row is passed through unchanged. Fewer than k words: nothing is removed.
 A window that repeats only inside its own document, or in rows with the same id, stays. Rows with equal id are told apart by text.
-Words are maximal runs of bytes other than space and 0x09-0x0D, compared exactly.
+An empty table gives no rows. Columns named sk_kept, sk_words or sk_removed are replaced. Words are maximal runs of bytes other than space and 0x09-0x0D, compared exactly.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from batchloom.llm import packing
 from batchloom.llm.durable import id_filter, may_be_in, written
-from batchloom.llm.textblocks import Words, arrow_limits, keyed_blocks, mix, window_hashes
+from batchloom.llm.textblocks import Words, arrow_limits, keyed_blocks, mix, replaced, window_hashes
 
 _U = np.uint64
 #: Buckets for each key; with many keys at most MOST_BUCKETS, whose counts a task holds.
@@ -255,11 +255,12 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
 def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3) -> DataFrame:
     """All rows and columns of ``docs``, with columns sk_kept (kept words joined by one space), sk_words and sk_removed."""
     spans = written(repeated_spans(docs, id_col, text_col, k, m))
+    docs = replaced(docs, "sk_kept", "sk_words", "sk_removed")
     own = docs.columns
     names = [f"c{i}" for i in range(len(own))]
     plain = docs.toDF(*names)
     i, t = names[own.index(id_col)], names[own.index(text_col)]
-    plain = may_be_in(plain, i, written(id_filter(spans, "sk_id")), "sk_some")
+    plain = may_be_in(plain, i, id_filter(spans, "sk_id"), "sk_some")
     joined = plain.where("sk_some").withColumn("sk_id", F.col(i).cast("long")).withColumn("sk_text", text_key(t)).join(spans.hint("shuffle_hash"), ["sk_id", "sk_text"], "left")
     joined = joined.select(*names, "spans").unionByName(plain.where("not sk_some").select(*names, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     at, schema = len(own), joined.select(*names).schema

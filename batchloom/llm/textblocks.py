@@ -25,6 +25,12 @@ def arrow_limits(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def replaced(df: DataFrame, *outputs: str) -> DataFrame:
+    """The frame without columns that bear the name of an output (in any case): the output replaces them."""
+    names = {o.lower() for o in outputs}
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix64 finaliser, elementwise on uint64."""
     x = x ^ (x >> _U(30))

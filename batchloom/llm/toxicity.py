@@ -10,7 +10,8 @@ no text over a hundredth of that; the sample is
 the only thing that reaches the driver and its bound does not grow. Scoring is one narrow pass over whole texts without a shuffle.
 
 Defined results. Sentences end at ``.``, ``!``, ``?`` or a line end; words are runs of ASCII letters, digits and bytes above 0x7F, with
-A-Z lower-cased. A null, empty or wordless text scores 0 (no sentence). Without any labelled document every score is 0.
+A-Z lower-cased. A null, empty or wordless text scores 0 (no sentence). Without any labelled document every score is 0, and an
+empty table gives no rows. Repeated rows get the same result. Columns named tox_score or tox_sentences are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from batchloom.llm.textblocks import Words, arrow_limits, mix
+from batchloom.llm.textblocks import Words, arrow_limits, mix, replaced
 
 DIMENSIONS = 1 << 16
 FIT_ROWS = 8_000
@@ -115,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """All rows and columns with tox_score and tox_sentences: (start, end, score) of sentences with at least ``threshold``; start and end are byte offsets in the UTF-8 text."""
     arrow_limits(docs.sparkSession)
+    docs = replaced(docs, "tox_score", "tox_sentences")
     weights, bias = model[0].astype(np.float32), model[1]
     own = docs.columns
     names = [f"c{i}" for i in range(len(own))]

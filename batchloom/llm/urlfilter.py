@@ -1,43 +1,37 @@
 """URL filter: explicit rules first, else logistic regression on hashed character n-grams of host and path.
 
-The model is trained on the driver from a small labelled table (``LABELLED`` by default; the bound is MAX_LABELLED rows) by full-batch
+The model is trained on the driver from a small labelled table (``labelled_urls.tsv`` by default; the bound is MAX_LABELLED rows) by full-batch
 gradient descent; it is a vector of DIMENSIONS weights, sent to the executors with the task. Rules are DataFrame expressions.
 
 Defined results. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or
 the end. Null or no ``://``: both empty; the model then sees no n-gram and its bias decides. The longest rule (host and path together) wins,
-among equally long ones the longer host.
+among equally long ones the longer host. An empty path fits no rule. An empty table gives no rows; repeated rows get the same result.
+Columns named url_host, url_path, url_rule, url_score or url_verdict are replaced.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.textblocks import _BASE, mix
+from batchloom.llm.textblocks import _BASE, mix, replaced
 
 DIMENSIONS = 1 << 15
 SIZES = (3, 4, 5)
 MAX_LABELLED = 100_000
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: Hosts and paths that label a URL as wanted (0) or unwanted (1).
-_UNWANTED = (
-    "spam-farm.example/en/1", "www.spam-offers.test/win", "m.spam-mail.test/list", "casino-win.example/play", "online-casino.test/slots", "blog.casino-bonus.test/free",
-    "free-bets.example/odds", "sports-bets.test/live", "m.best-bets.test/today", "cheap-pills.example/buy", "pills-online.test/order", "www.diet-pills.test/shop",
-    "adult-x.example/video", "adult-chat.test/live", "m.xxx-adult.test/pics", "ads-track.example/pixel", "click-ads.test/banner", "track-ads.test/redirect",
-    "payday-loans.test/apply", "quick-loans.test/now", "replica-watches.test/sale", "essay-writer.test/order", "free-download-crack.test/keygen", "warez-torrent.test/get",
-    "hot-singles.test/meet", "dating-adult.test/join", "poker-win.test/bonus", "lottery-win.test/claim", "viagra-cheap.test/buy", "crypto-doubler.test/send",
-)
-_WANTED = (
-    "www.tion.example/en/12", "blog.ththan.example/de/7", "m.theria.example/fr/45", "news.example/en/2024/05/story", "en.library.test/wiki/History", "docs.python.test/3/tutorial",
-    "blog.garden.test/tomatoes", "www.university.test/courses/math", "m.weather.test/city", "recipes.test/soup", "www.museum.test/exhibits", "blog.travel.test/alps",
-    "thinger.example/es/31", "onther.example/en/993.html", "ingtion.example/fr/20/", "science.test/physics/waves", "www.city.test/council/minutes", "journal.test/volume/12",
-    "music.test/scores/bach", "history.test/rome", "blog.code.test/posts/sorting", "forum.test/thread/99", "health.test/first-aid", "www.school.test/homework",
-    "maps.test/country/norway", "books.test/novel/chapter-3", "m.train.test/timetable", "film.test/reviews/old", "language.test/grammar/verbs", "open.data.test/tables",
-)
-LABELLED = tuple((f"https://{u}", 1) for u in _UNWANTED) + tuple((f"https://{u}", 0) for u in _WANTED)
+#: The labelled table: lines of label (1 unwanted, 0 wanted) and URL, written by hand for this filter.
+LABELLED_FILE = Path(__file__).with_name("labelled_urls.tsv")
+
+
+def labelled_urls(path: str | Path = LABELLED_FILE) -> list[tuple[str, int]]:
+    """(url, label) of a file."""
+    lines = Path(path).read_text().splitlines()
+    return [(url, int(label)) for label, url in (line.split("\t") for line in lines if line and not line.startswith("#"))]
 
 
 def host(url: str) -> Column:
@@ -88,7 +82,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:stop]
 
 
-def train(labelled=LABELLED, rounds: int = 400, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
+def train(labelled, rounds: int = 400, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
     """Weights, with the bias last. Deterministic."""
     labelled = list(labelled)
     if len(labelled) > MAX_LABELLED:
@@ -106,9 +100,10 @@ def train(labelled=LABELLED, rounds: int = 400, rate: float = 2.0, decay: float
     return w
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", rules=RULES, labelled=None, threshold: float = 0.5) -> DataFrame:
     """All rows and columns with url_host, url_path, url_rule, url_score (chance of unwanted) and url_verdict."""
-    w = train(labelled)
+    w = train(labelled_urls() if labelled is None else labelled)
+    pages = replaced(pages, "url_host", "url_path", "url_rule", "url_score", "url_verdict")
     own = pages.columns
     plain = pages.toDF(*[f"c{i}" for i in range(len(own))])
     url = plain.columns[own.index(url_col)]

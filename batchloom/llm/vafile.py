@@ -168,7 +168,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     limit = limit.groupBy("query_id", "qh").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("limit"))
     kept = survivors.join(limit, ["query_id", "qh"]).where("upper >= limit").drop("limit", "lower")
     kept = written(kept.select("query_id", "qh", "vec_id", "h", "upper", best(F.desc("upper"), "place")))
-    read = may_be_in(rows, "i", written(id_filter(kept, "vec_id")), "hit").where("hit").dropDuplicates(["i", "h"]).select(F.col("i").alias("vec_id"), "h", "v")
+    read = may_be_in(rows, "i", id_filter(kept, "vec_id"), "hit").where("hit").dropDuplicates(["i", "h"]).select(F.col("i").alias("vec_id"), "h", "v")
     exact = written(read)
     asked = asked.select(F.col("i").alias("query_id"), F.col("h").alias("qh"), F.col("v").alias("q"))
 

@@ -78,6 +78,15 @@ def test_quotation_linking(spark):
     assert quotes.link_quotations(df.limit(0)).count() == 0
 
 
+def test_quotation_linking_of_a_hot_conversation(spark):
+    """One conversation of many turns, a very long message, and columns that bear the outputs' names."""
+    rows = [(1, i, "user", f"line {i} of this\n" + (f"> line {i - 1} of this" if i else "")) for i in range(200)] + [(2, 0, "user", "word " * 30_000), (2, 1, "user", "> " + "word " * 30_000 + "\nyes")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"q_parent": F.lit("mine"), "Q_BODY": F.lit("mine")})
+    out = {(r.conv_id, r.turn): r for r in quotes.link_quotations(df).collect()}
+    assert all(out[1, i].q_parent == i - 1 and out[1, i].q_root == 0 and out[1, i].q_depth == i for i in range(1, 200))
+    assert out[2, 1].q_parent == 0 and out[2, 1].q_body == "yes" and len(out) == len(rows)
+
+
 def test_quotation_linking_matches_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import pandas as pd
@@ -115,6 +124,43 @@ def test_language_identification(spark):
     assert held.where("lid_lang = lang").count() > 0.98 * len(rows) and held.where("lid_rejected").count() < 0.05 * len(rows)
 
 
+def brute_cosines(model, text):
+    """Cosines with all centroids, from n-grams counted one by one in Python."""
+    letters = [c if 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in b" " + text.encode() + b" "]
+    a = [c for i, c in enumerate(letters) if not i or c != 32 or letters[i - 1] != 32]
+    total, m = {}, 2**32
+    for i in range(len(a) if len(a) > 2 else 0):
+        slots = [(a[i] * 0x165667B1 % m) >> 20]
+        if i + 1 < len(a):
+            two = (a[i] * 0x9E3779B1 + a[i + 1] * 0x85EBCA6B) % m
+            slots.append(two >> 20)
+        if i + 2 < len(a):
+            three = (two * 0xC2B2AE35 + a[i + 2] * 0x27D4EB2F + 7) % m
+            slots.append((three ^ three >> 15) * 0x2C1B3C6D % m >> 20)
+        for s in slots:
+            total[s] = total.get(s, 0) + 1
+    v = {s: np.log1p(n) * float(model.idf[s]) for s, n in total.items()}
+    norm = sum(x * x for x in v.values()) ** 0.5 or 1
+    return [sum(x * float(c[s]) for s, x in v.items()) / norm for c in model.centroids]
+
+
+def test_language_prediction_matches_brute_force(spark):
+    """Very long texts, ties (two languages with the same texts), repeated rows and clashing names too."""
+    rows = [(i, prose(i % 40, 25, 60) if i % 3 else prose(i % 40, 25, 30).replace("w", "é"), "ab"[i % 3 == 0]) for i in range(120)]
+    rows += [(200 + i, t, "c") for i, (_, t, lang) in enumerate(rows) if lang == "b"] + [(300, prose(1, 60_000), "a")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = [(i, t) for i, (_, t, _) in enumerate(rows[:25])] + [(30, prose(7, 50_000)), (31, "É w1 x"), (32, "z"), (32, "z"), (33, None), (34, "..")]
+    out = langid.identify(spark.createDataFrame(test, "doc_id long, text string").withColumn("LID_SCORE", F.lit("mine")), model).collect()
+    for r in out:
+        if not r.text or not re.search(r"\w", r.text):
+            assert (r.lid_lang, r.lid_score, r.lid_rejected) == ("und", 0, False)
+            continue
+        cosines = brute_cosines(model, r.text.lower())
+        assert r.lid_score == pytest.approx(max(0, max(cosines)), abs=1e-4)
+        assert max(c for c, o in zip(cosines, model.owner, strict=True) if model.langs[o] == r.lid_lang) == pytest.approx(max(cosines), abs=1e-4)
+        assert r.lid_lang != "c"  # as near as b, which sorts first
+
+
 def test_language_sample_counts_copies_once(spark, monkeypatch):
     fitted, k_means = [], langid.k_means
     monkeypatch.setattr(langid, "FIT_PER_LANG", 10)
@@ -303,6 +349,27 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.fit(df, lab.limit(0))).where("tox_score >= 0.5").count() == 0
 
 
+def test_toxicity_scores_match_a_loop(spark):
+    """Noisy-or over sentences cut by a pattern, with each word's weight looked up alone; very long, empty and repeated texts."""
+    r = np.random.default_rng(3)
+    model = (r.normal(size=toxicity.DIMENSIONS) * 0.8, -2.0)
+    texts = [prose(1, 40).replace("w1", "W1!"), "One. Two?\nthree\r four, five", prose(2, 30_000).replace(" w7", ". w7"), "", None, "...", "É çà. A-b_c", "x", "x"]
+    out = toxicity.score(docs(spark, list(enumerate(texts))).withColumn("tox_score", F.lit("mine")), model).orderBy("doc_id").collect()
+
+    def logit(word):
+        return sum(float(np.float32(model[0][s[0]])) for s in toxicity.Bags([word.encode()]).slots)
+
+    known = {}
+    for got, text in zip(out, texts, strict=True):
+        clean, bad = 1.0, 0
+        for sentence in re.split(r"[.!?\n\r]", text or ""):
+            words = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", sentence)
+            if words:
+                p = 1 / (1 + np.exp(-np.clip(sum(known.setdefault(w, logit(w)) for w in words) + model[1], -30, 30)))
+                clean, bad = clean * (1 - p), bad + (p >= 0.5)
+        assert got.tox_score == pytest.approx(1 - clean, abs=1e-5) and abs(len(got.tox_sentences) - bad) <= 1
+
+
 def test_toxicity_sample_counts_copies_once(spark, monkeypatch):
     """Texts 0 to 11, each with 20 ids and one label; text 0 has both labels, and one row stands twice."""
     monkeypatch.setattr(toxicity, "train", lambda texts, y: list(zip(texts, y.tolist(), strict=True)))
@@ -423,13 +490,39 @@ def test_url_filter(spark):
     assert {r.url_verdict for r in out} == {"allow", "block"} and urlfilter.judge(df.limit(0)).count() == 0
 
 
-def test_url_model_generalises():
-    rows = list(urlfilter.LABELLED)
-    w = urlfilter.train(rows[::2] + rows[1::4])
+def url_accuracy(rows, w):
     hosts, paths = zip(*[urlfilter.split_url(u) for u, _ in rows], strict=True)
     row, slot = urlfilter.features(hosts, paths)
     z = np.bincount(row, weights=w[slot], minlength=len(rows)) / np.sqrt(np.bincount(row, minlength=len(rows))) + w[-1]
-    assert np.mean((z > 0) == np.array([y == 1 for _, y in rows])) > 0.85
+    return np.mean((z > 0) == np.array([y == 1 for _, y in rows]))
+
+
+def test_url_model_on_labels_that_it_has_not_seen():
+    """Four folds of the labelled table."""
+    rows = urlfilter.labelled_urls()
+    held = [url_accuracy([r for i, r in enumerate(rows) if i // 2 % 4 == f], urlfilter.train([r for i, r in enumerate(rows) if i // 2 % 4 != f])) for f in range(4)]
+    assert len(rows) >= 90 and np.mean(held) > 0.7 and url_accuracy(rows, urlfilter.train(rows)) > 0.97
+
+
+def test_url_scores_match_a_dictionary(spark):
+    """The logistic score from n-grams kept in Python sets."""
+    w = urlfilter.train(urlfilter.labelled_urls())
+    urls = ["https://free-bets.test/win?x", "http://Library.test/", "ftp://é.test/ü", "x://", "none", None, "http://" + "a" * 3000, "http://aa.test/b", "http://aa.test/b"]
+
+    def slot(field, gram):
+        h = 0
+        for c in gram:
+            h = (h * 0xD6E8FEB86659FD93 + c + 1) % 2**64
+        return int(urlfilter.mix(np.array([(h + 1000 * field + len(gram)) % 2**64], dtype=np.uint64))[0] % np.uint64(urlfilter.DIMENSIONS))
+
+    out = urlfilter.judge(spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, url_score string")).orderBy("page_id").collect()
+    for r, u in zip(out, urls, strict=True):
+        grams = set()
+        for field, text in enumerate(urlfilter.split_url(u)):
+            raw = b"^" + text.encode() + b"$"
+            grams |= {slot(field, raw[i : i + n]) + urlfilter.DIMENSIONS * 0 for n in urlfilter.SIZES for i in range(len(raw) - n + 1)}
+        z = sum(w[g] for g in grams) / max(1, len(grams)) ** 0.5 + w[-1]
+        assert r.url_score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
 
 # 9 exact top-k
