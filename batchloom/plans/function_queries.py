@@ -89,7 +89,7 @@ def fn_put_dates(t: Tables):
     return t.orders.select("o_orderkey", *[put(d, f).alias(a) for f, a in names.items()], put(F.lit(3723), "TIME8.").alias("time8"), put(F.lit(3723), "HHMM5.").alias("hhmm"))
 
 
-@query("""SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS dollar, format('{:,.2f}', o_totalprice) AS comma, printf('%.1f%%', 100 * (o_orderkey % 8) / 8.0) AS pct, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS z8, CAST(o_orderkey AS VARCHAR) AS best, substr(o_orderpriority, 1, 3) AS chr3, CASE WHEN o_orderkey < 1000000 THEN lpad(CAST(o_orderkey AS VARCHAR), 6, ' ') ELSE lpad(regexp_replace(regexp_replace(printf('%.2E', CAST(o_orderkey AS DOUBLE)), '\.?0*E', 'E'), 'E\+0*', 'E'), 6, ' ') END AS f6 FROM orders""")
+@query("""SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS dollar, format('{:,.2f}', o_totalprice) AS comma, printf('%.1f%%', 100 * (o_orderkey % 8) / 8.0) AS pct, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS z8, CAST(o_orderkey AS VARCHAR) AS best, substr(o_orderpriority, 1, 3) AS chr3, CASE WHEN o_orderkey < 1000000 THEN lpad(CAST(o_orderkey AS VARCHAR), 6, ' ') ELSE lpad(regexp_replace(regexp_replace(printf('%.2E', CAST(o_orderkey AS DOUBLE)), '[.]?0*E', 'E'), 'E[+]0*', 'E'), 6, ' ') END AS f6 FROM orders""")
 def fn_put_numeric(t: Tables):
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     return t.orders.select("o_orderkey", put(p, "DOLLAR12.2").alias("dollar"), put(p, "COMMA12.2").alias("comma"), put((k % 8) / 8, "PERCENT8.1").alias("pct"), put(k, "Z8.").alias("z8"), put(k, "BEST12.").alias("best"), put(F.col("o_orderpriority"), "$CHAR3.").alias("chr3"), put(k, "6.").alias("f6"))
