@@ -84,6 +84,12 @@ class Program:
             self.data[key] = Dataset(self.libraries[lib].read(member))
         return self.data[key]
 
+    def known(self, name: str) -> bool:
+        """Whether the program has made the dataset or its library holds it from an earlier run."""
+        key = self.key(name)
+        lib, _, member = key.rpartition(".")
+        return key in self.data or (lib in self.libraries and self.libraries[lib].has(member))
+
     def frame(self, name: str) -> DataFrame:
         return self.dataset(name).frame
 
@@ -332,9 +338,9 @@ class Program:
         self.result(o, out, order)
 
     def proc_append(self, o: dict[str, str], body: list[str]) -> None:
-        base = self.key(o["base"])
-        new = self.frame(o["data"])
-        self.bind(o["base"], new if base not in self.data else datastep.concatenate(self.frame(o["base"]), new))
+        """Adds rows to BASE=, also to one that its library holds from an earlier run. Where there is none it becomes a copy."""
+        new, _, _ = self._input(o, body)
+        self.bind(o["base"], datastep.concatenate(self.frame(o["base"]), new) if self.known(o["base"]) else new)
 
     def proc_import(self, o: dict[str, str], body: list[str]) -> None:
         path = o["datafile"].strip("'\"")
@@ -353,9 +359,10 @@ class Program:
         self.last = last
 
     def proc_copy(self, o: dict[str, str], body: list[str]) -> None:
-        """IN= and OUT= are libraries; SELECT names the members, or all datasets of IN= that the program knows."""
+        """IN= and OUT= are libraries; SELECT names the members, or all datasets of IN=, those of earlier runs too."""
         source, target = o["in"].lower(), o["out"].lower()
-        names = _words(_statement(body, "select").lower()) or [k.split(".")[-1] for k in self.data if (k.rpartition(".")[0] or "work") == source]
+        held = self.libraries[source].members() if source in self.libraries else []
+        names = _words(_statement(body, "select").lower()) or sorted({k.split(".")[-1] for k in self.data if (k.rpartition(".")[0] or "work") == source}.union(held))
         gone = _words(_statement(body, "exclude").lower())
         for n in names:
             if n not in gone:

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.stored import exists, move, remove, stored
+from batchloom.stored import exists, move, names, remove, stored
 
 #: Encodings tried in order.
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
@@ -54,6 +54,15 @@ class Library:
         remove(self.spark, old)
         self.spark.catalog.refreshByPath(path)
 
+    def has(self, member: str) -> bool:
+        return self.spark.catalog.tableExists(self.path(member)) if self.catalog else exists(self.spark, self.path(member))
+
+    def members(self) -> list[str]:
+        """Names of the datasets, sorted; versions that are being written are left out."""
+        if self.catalog:
+            return sorted(t.name for t in self.spark.catalog.listTables(self.place) if not t.isTemporary and "__new_" not in t.name)
+        return [n.removesuffix(".parquet") for n in names(self.spark, self.place) if n.endswith(".parquet")]
+
     def delete(self, member: str) -> None:
         if self.catalog:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.path(member)}")

@@ -46,6 +46,17 @@ def test_library_versions(spark, t, tmp_path):
     assert not [f for f in tmp_path.iterdir() if "__" in f.name]
 
 
+def test_append_and_copy_see_datasets_of_earlier_runs(spark, t, tmp_path):
+    """A new program has read nothing yet: APPEND must not replace the dataset, COPY must not miss it."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    Program(spark, {"t": t}).run(f"libname l '{a}'; data l.y; set t; run; data l.z; set t(where=(id = 1)); run;")
+    p = Program(spark, {"t": t}).run(f"libname l '{a}'; libname m '{b}'; proc append base=l.y data=t(where=(id > 2)); run; proc append base=l.new data=t; where id = 1; run; proc copy in=l out=m; exclude z; run;")
+    assert sorted(r.id for r in Library(spark, str(a)).read("y").collect()) == [1, 2, 3, 3, 4, 4]
+    assert p.frame("l.new").count() == 1 and Library(spark, str(a)).members() == ["new", "y", "z"]
+    assert Library(spark, str(b)).members() == ["new", "y"] and Library(spark, str(b)).read("y").count() == 6
+    assert Library(spark, str(tmp_path / "none")).members() == []
+
+
 def test_sql_comparisons_with_missing():
     assert with_missing("x < 6") == "coalesce(x < 6, x IS NULL)"
     assert with_missing("6 > x") == "coalesce(x < 6, x IS NULL)"
