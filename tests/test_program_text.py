@@ -57,6 +57,17 @@ def test_append_and_copy_see_datasets_of_earlier_runs(spark, t, tmp_path):
     assert Library(spark, str(tmp_path / "none")).members() == []
 
 
+def test_included_files_run(spark, t, tmp_path):
+    (tmp_path / "macros.sas").write_bytes("/* caf\xe9 */ %macro keep(n); data r; set t(where=(id > &n)); run; %mend;".encode("latin-1"))
+    (tmp_path / "start.sas").write_text(f"%let low = 2; %include '{tmp_path}/macros.sas';")
+    (tmp_path / "loop.sas").write_text(f"%include '{tmp_path}/loop.sas';")
+    p = Program(spark, {"t": t}).run(f"%let at = {tmp_path}; %include \"&at/start.sas\" / source2; %keep(&low);")
+    assert sorted(r.id for r in p.frame("r").collect()) == [3, 4]
+    for text in ("%include 'no/such/file.sas';", "%include fileref;", f"%include '{tmp_path}/loop.sas';"):
+        with pytest.raises(UnsupportedConstruct):
+            Program(spark, {"t": t}).run(text)
+
+
 def test_sql_comparisons_with_missing():
     assert with_missing("x < 6") == "coalesce(x < 6, x IS NULL)"
     assert with_missing("6 > x") == "coalesce(x < 6, x IS NULL)"
