@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import contamination, jaccard, langid, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
+from batchloom.llm import chatrepair, contamination, jaccard, langid, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
+from batchloom.llm.durable import written
 from batchloom.llm.textblocks import documents
 
 
@@ -89,6 +90,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("sk_words").alias("n_words"), F.col("sk_removed").alias("n_removed"), F.sha2("sk_kept", 256).alias("kept_sha256"))
 
 
+def damaged(messages: DataFrame) -> DataFrame:
+    """Conversations with planted faults; nulls become one space (a null turn or conversation only in the drawing of the fault)."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(x).cast("string"), F.lit(" ")) for x in ("conv_id", "turn")])
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(x), F.lit(" ")) for x in ("role", "text"))
+    rows = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault.alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "fault")
+    return rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy", "fault")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cost, edits and digest of its cheapest repair."""
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = written(chatrepair.repair(damaged(messages)))
+    found = chatrepair.report(repaired).join(chatrepair.digests(repaired).withColumnRenamed("c", "d"), F.col("c") == F.col("d"), "left").drop("c", "d")
+    found = found.withColumnRenamed("conv_id", "found")
+    out = messages.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -190,3 +213,66 @@ SELECT m.conv_id, m.turn, m.role, CAST(max_level AS INTEGER) AS max_level, coale
   sha256(trim(body, chr(32) || chr(9) || chr(10) || chr(13))) AS body_sha256
 FROM m JOIN b USING (k) LEFT JOIN f USING (k) LEFT JOIN e ON e.conv_id = m.conv_id AND e.turn = m.turn""",
 }
+
+def crc32_sql(text: str) -> str:
+    """DuckDB has no CRC-32: the unsigned checksum of an ASCII text, bit by bit."""
+    step = "lambda c, z: xor(c >> 1, CASE WHEN c % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)"
+    each = f"lambda a, b: list_reduce(range(0, 8), {step}, xor(a, b))"
+    return f"xor(list_reduce(list_transform(range(0, len({text})), lambda i: CAST(ascii(({text})[i + 1]) AS BIGINT)), {each}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+def _repair_sql() -> str:
+    """Backwards over a conversation's rows; four values (cost, labels, repaired lines), one for each grammar state, compared in that order."""
+    to = {"u": (3, 3, None, 3), "a": (None, None, 4, None), "s": (2, None, None, None)}  # next state (from 1) for each initial
+    forced = ("u", "u", "a", "u")
+    names = {"u": "user", "a": "assistant"}
+
+    def value(cost: str, label: str, line: str, after: str) -> str:
+        return f"{{'c': {cost} + {after}.c, 's': '{label}' || {after}.s, 't': {line} || {after}.t}}"
+
+    def inserted(bare: str, later: str) -> str:
+        """One insertion more before each state's best."""
+        each = [f"list_min([{bare}[{g + 1}], {value('3', 'I', chr(39) + names[forced[g]] + ':' + chr(39) + ' || chr(10)', f'{later}[{to[forced[g]][g]}]')}])" for g in range(4)]
+        return f"[{', '.join(each)}]"
+
+    def read(g: int) -> str:
+        w = "acc.v"
+        r = forced[g]
+        free, more = "r.f NOT IN (1, 2)", "CASE WHEN r.f = 3 THEN 3 ELSE 0 END"
+        found = [value("4", "D", "''", f"{w}[{g + 1}]")]
+        found += [f"CASE WHEN {free} AND left(r.role, 1) = '{i}' THEN {value(more, 'K', 'r.role || chr(58) || r.text || chr(10)', f'{w}[{t[g]}]')} END" for i, t in to.items() if t[g]]
+        found.append(f"CASE WHEN {free} THEN {value('3 + ' + more, 'R', chr(39) + names[r] + ':' + chr(39) + ' || r.text || chr(10)', f'{w}[{to[r][g]}]')} END")
+        return f"list_min([{', '.join(found)}])"
+
+    ends = ", ".join("{'c': %s, 's': '', 't': ''}" % c for c in ("CAST(0 AS BIGINT)", "CAST(1000000000 AS BIGINT)", "CAST(1000000000 AS BIGINT)", "CAST(0 AS BIGINT)"))
+    last = "list_transform(list_transform([v0], lambda b: [b, %s]), lambda p: %s)[1]" % (inserted("b", "b"), inserted("p[1]", "p[2]"))
+    step = "list_transform(list_transform([[%s]], lambda b: [b, %s]), lambda p: %s)[1]" % (", ".join(read(g) for g in range(4)), inserted("b", "b"), inserted("p[1]", "p[2]"))
+    crc = crc32_sql("k")
+    return rf"""
+WITH k AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), x AS MATERIALIZED (
+  SELECT *, {crc} % 20 AS f FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM x, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE f <> 0
+), o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS whole FROM d
+), f AS MATERIALIZED (
+  SELECT *, CASE WHEN whole = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(whole, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o
+), n AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'f': f, 'role': role, 'text': text}} ORDER BY i DESC) AS rows
+  FROM f GROUP BY conv_id
+), e AS (
+  SELECT *, list_reduce(list_transform(rows, lambda y: {{'r': y, 'v': z}}), lambda acc, w: list_transform([w.r], lambda r: {{'r': r, 'v': {step}}})[1], {{'r': rows[1], 'v': z}}).v[1] AS best
+  FROM (SELECT n.*, {last} AS z FROM n, (SELECT [{ends}] AS v0))
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.s, '') AS audit, sha256(coalesce(left(best.t, greatest(len(best.t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLES["op11_conversation_repair"] = _repair_sql()
