@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import chatrepair, contamination, jaccard, langid, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
+from batchloom.llm import chatrepair, chattrie, contamination, jaccard, langid, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
 from batchloom.llm.durable import written
 from batchloom.llm.textblocks import documents
 
@@ -112,6 +112,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of conversations, each rebuilt on the first turns of the first one of its twenty."""
+    c = F.col("c")
+    borrowed = F.crc32(c.cast("string").cast("binary")) % 4
+    rows = written(chattrie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    nodes = chattrie.trie(*chattrie.with_bases(rows, c - c % 20, borrowed, 3))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -276,3 +285,26 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS
 
 
 ORACLES["op11_conversation_repair"] = _repair_sql()
+ORACLES["op12_conversation_trie"] = rf"""
+WITH o AS MATERIALIZED (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i,
+    sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS x, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS MATERIALIZED (
+  SELECT c, own, c - c % 20 AS b, h FROM (SELECT c, count(*) AS own FROM o GROUP BY c) a JOIN (SELECT CAST(k AS BIGINT) AS c, {crc32_sql('k')} % 4 AS h FROM (SELECT DISTINCT CAST(c AS VARCHAR) AS k FROM o)) USING (c)
+), p AS MATERIALIZED (
+  SELECT s.c, s.b, s.h, least(s.h, coalesce(t.own, 0)) AS got FROM s LEFT JOIN s t ON t.c = s.b
+), r AS (
+  SELECT o.c, i - h + got AS i, x, words FROM o JOIN p ON p.c = o.c WHERE i > h UNION ALL SELECT p.c, i, x, words FROM o JOIN p ON p.b = o.c WHERE i <= got
+), l AS MATERIALIZED (
+  SELECT p.c, coalesce(list(x ORDER BY i) FILTER (x IS NOT NULL), []) AS xs, coalesce(list(words ORDER BY i) FILTER (x IS NOT NULL), []) AS ws FROM p LEFT JOIN r USING (c) GROUP BY p.c
+), m AS MATERIALIZED (
+  SELECT c, d, array_to_string(xs[1:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(xs[1:d - 1], ',') END AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(xs) AS ended, xs FROM l, unnest(range(0, len(xs) + 1)) AS u(d)
+), n AS MATERIALIZED (
+  SELECT k, d, min(c) AS conv_id, any_value(up) AS up, count(*) AS n_convs, (count(*) - 1) * max(w) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256, any_value(xs[1:d]) AS xs FROM m GROUP BY k, d
+), q AS MATERIALIZED (
+  SELECT n.k, n.d, n.conv_id, n.n_convs, n.saved, n.ends_sha256, n.xs, t.conv_id AS parent_conv_id, (SELECT count(*) FROM n b WHERE b.up = n.k AND b.d = n.d + 1) AS n_children FROM n LEFT JOIN n t ON t.k = n.up AND t.d = n.d - 1
+), z AS (
+  SELECT array_to_string(xs[1:e], ',') AS k, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM q, unnest(range(0, d + 1)) AS u(e) GROUP BY ALL
+)
+SELECT conv_id, CAST(q.d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM q JOIN z ON z.k = q.k AND z.d = q.d"""

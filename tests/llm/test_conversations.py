@@ -2,13 +2,15 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.llm import chatrepair
+from batchloom.llm import chatrepair, chattrie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +115,58 @@ def test_repair_of_nothing_and_of_a_very_long_text(spark):
     rows = [(1, 0, "user", "word " * 200_000 + "."), (1, 1, "assistant", "x" * 500_000)]
     got, _ = repaired(spark, rows, segment_bytes=1000)
     assert got == expected(rows)
+
+
+# prefix trie
+def brute_trie(rows):
+    own = {}
+    for c, t, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((t, role or "", text or ""))
+    own = {c: [r[1:] for r in sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha(r[2])))] for c, x in own.items()}
+    built = {}
+    for c, x in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + x[h:])
+    members = {}
+    for c, x in built.items():
+        for d in range(len(x) + 1):
+            members.setdefault(x[:d], []).append(c)
+    out = []
+    for node, ids in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        children = [n for n in below if len(n) == len(node) + 1]
+        leaves = sum(not any(len(m) == len(n) + 1 and m[: len(n)] == n for m in below) for n in below)
+        saved = sum((len(members[n]) - 1) * (len(WORD.findall(n[-1][1])) if n else 0) for n in below)
+        last = ",".join(map(str, sorted(c for c in ids if len(built[c]) == len(node))))
+        out.append((min(ids), len(node), min(members[node[:-1]]) if node else None, len(ids), len(children), leaves, saved, sha(last)))
+    return sorted(out, key=str)
+
+
+def nodes_of(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"c": F.lit("mine"), "i": F.lit(1), "depth": F.lit("x"), "words": F.lit(0)})
+    c = F.col("c")
+    made = chattrie.with_bases(chattrie.turns(df), c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4, 3)
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted((tuple(r) for r in chattrie.trie(*made).select(*names).collect()), key=str)
+
+
+def test_trie_matches_brute_force(spark):
+    r = random.Random(5)
+    texts = ["a b c", "d", "", None, "e  f\n"]
+    rows = [(r.randrange(20, 70), r.choice([None, *range(4)]), r.choice(["user", None, "assistant"]), r.choice(texts)) for _ in range(200)]
+    rows += [(c, t, "user", "hello there") for c in (0, 1, 2, 40, 41, -3) for t in range(3)] + [(None, 0, "user", "x"), (307, 0, "user", "alone")]
+    assert nodes_of(spark, rows) == brute_trie(rows)
+
+
+def test_trie_of_a_deep_conversation_and_of_many_copies(spark, monkeypatch):
+    """Depth 150 next to a first turn that most conversations share; ends of one node in several pieces."""
+    monkeypatch.setattr(chattrie, "PIECE_IDS", 7)
+    rows = [(5, t, "user", f"turn {t}") for t in range(150)] + [(c, t, "user", f"turn {t}") for c in range(100, 160) for t in range(2)] + [(c, 0, "user", "turn 0") for c in range(200, 240)]
+    got = nodes_of(spark, rows)
+    assert got == brute_trie(rows) and max(n[1] for n in got) >= 147
+
+
+def test_trie_of_nothing(spark):
+    assert nodes_of(spark, []) == [] and nodes_of(spark, [(None, 1, "user", "x")]) == []
+    assert [n[:6] for n in nodes_of(spark, [(307, 0, "user", "x")])] == [(307, 0, None, 1, 0, 1)] if zlib.crc32(b"307") % 4 else True
