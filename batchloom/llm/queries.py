@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import chatrepair, chattrie, contamination, jaccard, langid, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
+from batchloom.llm import chatrepair, chattrie, contamination, jaccard, langid, licences, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
 from batchloom.llm.durable import written
 from batchloom.llm.textblocks import documents
 
@@ -121,6 +121,16 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every text."""
+    out = licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    ends = [F.array_min(F.transform("lic_base", lambda b: b["i"])), F.array_max(F.transform("lic_base", lambda b: b["i"]))]
+    return out.select(
+        "doc_id", F.col("lic_words").alias("n_words"), F.size("lic_base").cast("long").alias("n_base"), ends[0].cast("long").alias("first_word"), ends[1].cast("long").alias("last_word"),
+        F.array_join("lic_base_labels", ",").alias("base_labels"), F.array_join("lic_labels", ",").alias("labels"), F.col("lic_score").alias("score"),
+    )
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -308,3 +318,44 @@ WITH o AS MATERIALIZED (
   SELECT array_to_string(xs[1:e], ',') AS k, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM q, unnest(range(0, d + 1)) AS u(e) GROUP BY ALL
 )
 SELECT conv_id, CAST(q.d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM q JOIN z ON z.k = q.k AND z.d = q.d"""
+
+
+def _licence_sql() -> str:
+    """The templates' words and key phrases as rows; frequencies, anchors, alignments and phrases by joins on positions."""
+    quoted = lambda x: "'" + x + "'"
+    known = licences.templates()
+    words = ", ".join(f"({t}, {i}, {quoted(w)})" for t, x in enumerate(known) for i, w in enumerate(x.words))
+    keys = ", ".join(f"({t}, {n}, {at + k}, {quoted(w)})" for t, x in enumerate(known) for n, (p, at) in enumerate(x.phrases) for k, w in enumerate(p.split(" ")))
+    names = ", ".join(f"({t}, {quoted(x.label)}, {sum(len(p.split(' ')) for p, _ in x.phrases)})" for t, x in enumerate(known))
+    base = ", ".join(f"({n}, {k}, {quoted(w)}, {quoted(label)}, {len(p.split(' '))})" for n, (p, label) in enumerate(licences.BASE.items()) for k, w in enumerate(p.split(" ")))
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), w AS MATERIALIZED (
+  SELECT k, i - 1 AS i, ws[i] AS w FROM d, unnest(range(1, len(ws) + 1)) AS u(i)
+), b AS (
+  SELECT k, i - q AS i, label FROM w JOIN (VALUES {base}) AS p(n, q, w, label, parts) USING (w) GROUP BY k, i - q, n, label, parts HAVING count(*) = parts
+), bases AS (
+  SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY k
+), t AS (
+  SELECT t, min(q) AS q, w FROM (VALUES {words}) AS p(t, q, w) GROUP BY t, w
+), f AS (
+  SELECT w, count(DISTINCT k) AS df FROM w WHERE w IN (SELECT w FROM t) GROUP BY w
+), a AS MATERIALIZED (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY weight DESC, w) AS r FROM (
+    SELECT t, q, t.w, greatest(1, CAST(round_even(1000 * ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1)), 0) AS BIGINT)) AS weight FROM t LEFT JOIN f ON f.w = t.w)) WHERE r <= {licences.ANCHORS}
+), h AS (
+  SELECT k, t, i - q AS start, sum(weight) AS held FROM w JOIN a USING (w) GROUP BY ALL
+), v AS (
+  SELECT k, t, i - q AS start, count(*) AS parts FROM w JOIN (VALUES {keys}) AS p(t, n, q, w) USING (w) GROUP BY ALL
+), m AS (
+  SELECT k, label, held / total AS share FROM h JOIN v USING (k, t, start) JOIN (VALUES {names}) AS x(t, label, needed) USING (t) JOIN (SELECT t, sum(weight) AS total FROM a GROUP BY t) USING (t) WHERE v.parts = needed AND held >= {licences.SHARE} * total
+), e AS (
+  SELECT k, list(DISTINCT label) AS labels, max(share) AS share FROM m GROUP BY k
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, array_to_string(list_sort(coalesce(bases.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(e.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(CAST(share AS DOUBLE), 0.0) END AS score
+FROM d LEFT JOIN bases USING (k) LEFT JOIN e USING (k)"""
+
+
+ORACLES["op13_license_scan"] = _licence_sql()
