@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.operators import orderstats
 from batchloom.stored import stored
 
 
@@ -36,6 +37,40 @@ STATISTICS = {
 }
 
 
+#: Statistics by rank: the quantiles that each is made of. MEANS and UNIVARIATE take them from ``orderstats``; the columns above serve cells of reports.
+QUANTILES = {"MEDIAN": (0.5,), "Q1": (0.25,), "Q3": (0.75,), "QRANGE": (0.25, 0.75), **{f"P{p}": (p / 100,) for p in (1, 5, 10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90, 95, 99)}}
+BY_RANK = (*QUANTILES, "MODE")
+
+
+def by_rank(df: DataFrame, wanted: Sequence[tuple[str, str, str]], by: Sequence[str]) -> DataFrame:
+    """(by.., names): statistics (keyword, variable, name) that need ranks, of all groups in one run."""
+    var = list(dict.fromkeys(v for _, v, _ in wanted))
+    probs = sorted({p for k, _, _ in wanted for p in QUANTILES.get(k, ())})
+    out = None
+    if probs:
+        found = orderstats.quantiles(df, var, probs, by)
+
+        def value(v: str, p: float) -> Column:
+            return F.max(F.when(F.col("v") == var.index(v), F.get("values", F.lit(probs.index(p)))))
+
+        cells = [((value(v, QUANTILES[k][-1]) - value(v, QUANTILES[k][0])) if k == "QRANGE" else value(v, QUANTILES[k][0])).alias(name) for k, v, name in wanted if k in QUANTILES]
+        out = found.groupBy(*by).agg(*cells)
+    if any(k == "MODE" for k, _, _ in wanted):
+        cells = [F.max(F.when(F.col("v") == var.index(v), F.col("mode"))).alias(name) for k, v, name in wanted if k == "MODE"]
+        most = orderstats.modes(df, var, by).groupBy(*by).agg(*cells)
+        out = most if out is None else beside(out, most, by)
+    return out
+
+
+def beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join on key columns where missing equals missing; without keys the right side is one row."""
+    if not by:
+        return left.join(F.broadcast(right), how="left")
+    names = [f"_k{i}_" for i in range(len(by))]
+    right = right.withColumnsRenamed(dict(zip(by, names, strict=True)))
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]), "left").drop(*names)
+
+
 #: Statistics that WEIGHT and FREQ variables change, from x, its weight and its count; MIN, MAX, RANGE stay as they are.
 WEIGHTED = ("N", "NMISS", "SUM", "SUMWGT", "MEAN", "USS", "CSS", "VAR", "STD", "CV", "MIN", "MAX", "RANGE")
 
@@ -66,33 +101,44 @@ def means(df: DataFrame, var: Sequence[str], stats: dict[str, Sequence[str] | st
     """
     if not isinstance(stats, dict):
         stats = dict.fromkeys(stats)
-    if by_class and not missing:
-        df = df.dropna(subset=list(by_class))
-    aggs: list[Column] = []
+    asked: list[tuple[str, str, str]] = []
     for keyword, names in stats.items():
         names = [f"{v}_{keyword.lower()}" for v in var] if names is None else [names.format(v) for v in var] if isinstance(names, str) else list(names)
-        for v, name in zip(var, names, strict=False):
-            aggs.append((weighted(keyword.upper(), v, weight, count) if weight or count else STATISTICS[keyword.upper()](F.col(v))).alias(name))
+        asked += [(keyword.upper(), v, name) for v, name in zip(var, names, strict=False)]
+    return named_means(df, asked, by_class, nway, types, missing, freq, type_, by, weight, count)
+
+
+def named_means(df: DataFrame, asked: Sequence[tuple[str, str, str]], by_class: Sequence[str] = (), nway: bool = True, types: Sequence[Sequence[str]] | None = None, missing: bool = False, freq: str | None = "_FREQ_", type_: str | None = "_TYPE_", by: Sequence[str] = (), weight: str | None = None, count: str | None = None) -> DataFrame:
+    """``means`` of single statistics (keyword, variable, output name)."""
+    if by_class and not missing:
+        df = df.dropna(subset=list(by_class))
+    ranked = [] if weight or count else [a for a in asked if a[0] in BY_RANK]
+    aggs = [(weighted(k, v, weight, count) if weight or count else STATISTICS[k](F.col(v))).alias(name) for k, v, name in asked if (k, v, name) not in ranked]
     if count:
         df = df.where(F.col(count) >= 1)
     if freq:
         aggs.append((F.sum(F.floor(count)) if count else F.count("*")).cast("long").alias(freq))
     k = len(by_class)
     every = (1 << k) - 1
-    if not by_class:
-        out = df.groupBy(*by).agg(*aggs)
-        return out.withColumn(type_, F.lit(0).cast("long")) if type_ else out
-    if nway:
-        out = df.groupBy(*by, *by_class).agg(*aggs)
-        return out.withColumn(type_, F.lit(every).cast("long")) if type_ else out
-    level = (F.lit(every) - F.grouping_id()).cast("long").alias(type_ or "_TYPE_")
-    if types is None and not by:
-        out = df.cube(*by_class).agg(level, *aggs)
+    whole = [*by, *by_class]
+    if nway or not by_class:
+        out = df.groupBy(*whole).agg(*(aggs or [F.count("*").alias("_rows_")])).drop("_rows_")
+        out = beside(out, by_rank(df, ranked, whole), whole) if ranked else out
+        out = out.withColumn(type_, F.lit(every).cast("long")) if type_ else out
     else:
+        level = (F.lit(every) - F.grouping_id()).cast("long").alias("_level_")
         types = types if types is not None else [c for n in range(k + 1) for c in itertools.combinations(by_class, n)]
-        cols = [F.col(c) for c in (*by, *by_class)]  # the by columns are in every set, so their bits of the grouping id are 0
+        cols = [F.col(c) for c in whole]  # the by columns are in every set, so their bits of the grouping id are 0
         out = df.groupingSets([[F.col(c) for c in (*by, *t)] for t in types], *cols).agg(level, *aggs)
-    return out if type_ else out.drop("_TYPE_")
+        if ranked:  # each row once for each set of class variables, as for the other statistics
+            kinds = dict(df.dtypes)
+            sets = [F.struct(F.lit(sum(1 << (k - 1 - i) for i, c in enumerate(by_class) if c in t)).cast("long").alias("_level_"), *[(F.col(c) if c in t else F.lit(None).cast(kinds[c])).alias(c) for c in by_class]) for t in types]
+            vars_ = list(dict.fromkeys(v for _, v, _ in ranked))
+            rows = df.select(*by, *[F.col(v).alias(f"_v{i}_") for i, v in enumerate(vars_)], F.explode(F.array(*sets)).alias("_s_")).select(*by, "_s_.*", *[f"_v{i}_" for i in range(len(vars_))])
+            out = beside(out, by_rank(rows, [(s, f"_v{vars_.index(v)}_", name) for s, v, name in ranked], [*whole, "_level_"]), [*whole, "_level_"])
+        out = out.withColumnRenamed("_level_", type_) if type_ else out.drop("_level_")
+    names = [*([] if nway or not by_class else [type_] if type_ else []), *[name for _, _, name in asked], *([freq] if freq else []), *([type_] if type_ and (nway or not by_class) else [])]
+    return out.select(*whole, *names) if whole or names else out
 
 
 def remerged(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -210,8 +256,15 @@ def format_value(x: str | Column, mapping: dict[object, str] | None = None, rang
     return out.otherwise(F.lit(other) if other is not None else x.cast("string"))
 
 
-def univariate(df: DataFrame, var: str, by: Sequence[str] = ()) -> DataFrame:
-    """PROC UNIVARIATE: moments, quantiles and extremes of a variable."""
-    names = ["N", "NMISS", "MEAN", "STD", "VAR", "SKEW", "KURT", "USS", "CSS", "CV", "STDERR", "MIN", "P1", "P5", "P10", "Q1", "MEDIAN", "Q3", "P90", "P95", "P99", "MAX", "RANGE", "QRANGE", "MODE"]
-    aggs = [STATISTICS[n](F.col(var)).alias(n) for n in names]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+#: What UNIVARIATE reports of a variable.
+UNIVARIATE = ("N", "NMISS", "MEAN", "STD", "VAR", "SKEW", "KURT", "USS", "CSS", "CV", "STDERR", "MIN", "P1", "P5", "P10", "Q1", "MEDIAN", "Q3", "P90", "P95", "P99", "MAX", "RANGE", "QRANGE", "MODE")
+
+
+def univariate(df: DataFrame, var: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """PROC UNIVARIATE: moments, quantiles and mode. Of several variables: a row for each group and variable, named in ``_VAR_``."""
+    names = [var] if isinstance(var, str) else list(var)
+    wide = named_means(df, [(k, v, f"_{i}_{k}") for i, v in enumerate(names) for k in UNIVARIATE], by, missing=True, freq=None, type_=None)
+    if isinstance(var, str):
+        return wide.select(*by, *[F.col(f"_0_{k}").alias(k) for k in UNIVARIATE])
+    rows = F.array(*[F.struct(F.lit(v).alias("_VAR_"), *[F.col(f"_{i}_{k}").cast("double").alias(k) for k in UNIVARIATE]) for i, v in enumerate(names)])
+    return wide.select(*by, F.explode(rows).alias("_x_")).select(*by, "_x_.*")

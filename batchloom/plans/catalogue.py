@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from batchloom.plans import function_queries, lineage_queries, program_queries, step_queries, summary_queries, text_queries  # noqa: F401  they register their queries
+from batchloom.plans import function_queries, lineage_queries, program_queries, state_queries, step_queries, summary_queries, text_queries  # noqa: F401  they register their queries
 from batchloom.plans.registry import ORACLES, QUERIES
 
 
