@@ -1,8 +1,9 @@
 """Compiles a DATA step to DataFrame operations.
 
 Statements run in order on the frame's columns; a condition is stored in a column when its IF is met, so later assignments can't change
-it. RETAIN and sum statements are recognised (running sum, counter, carry-forward, each with a reset at FIRST.key) and become windows over one
-(by, order) specification. Loops are unrolled; their bounds must be constants.
+it. RETAIN and sum statements are recognised (running sum, counter, carry-forward). With a reset at FIRST.key they become windows over one (by, order) specification; without one they run
+along all rows of the sorted dataset as carries over its range partitions, and so do LAG and DIF, whose queues span groups and count only the rows that reach them. ``s = a * s + b``, also
+inside MAX and MIN, is a recurrence composed run by run. Loops with constant bounds are unrolled; others fold their variables in a loop expression with a limit on turns.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.lang.expressions import Parser, Value
+from batchloom.lang.expressions import Parser, Value, tokens
+from batchloom.lang.loops import Loop
+from batchloom.lang.names import expanded
 from batchloom.lang.statements import UnsupportedConstruct
-from batchloom.operators import datastep, merging, shaping
+from batchloom.operators import datastep, merging, scans, shaping
 
 if TYPE_CHECKING:
     from batchloom.lang.program import Program
@@ -29,8 +32,8 @@ class DataStep:
         self.targets = _datasets(head.split(None, 1)[1])
         self.options_of, self.words, self.statement_of = _options, _words, _statement
         self.by = _by(_statement(body, "by"))
-        self.keep = [w.lower() for s in body if re.match(r"keep\b", s, re.I) for w in s.split()[1:]]
-        self.drop = [w.lower() for s in body if re.match(r"drop\b", s, re.I) for w in s.split()[1:]]
+        self.keep = " ".join(s[4:] for s in body if re.match(r"keep\b", s, re.I))
+        self.drop = " ".join(s[4:] for s in body if re.match(r"drop\b", s, re.I))
         self.arrays: dict[str, list[str]] = {}
         self.lengths: dict[str, int] = {}
         self.retained: set[str] = set()
@@ -39,7 +42,12 @@ class DataStep:
         self.outputs: list[tuple[str | None, DataFrame, Column | None]] = []
         self.index: dict[str, int] = {}
         self.guards = 0
-        self.inside = False
+        self.current: str | None = None  # guard of the statements that run now
+        self.initial: dict[str, Value] = {}
+        self.pending: dict[str, scans.Carry] = {}  # retained variables along all rows that no statement has read yet
+        self.returned: str | None = None
+        self.calls = 0
+        self.end: str | None = None
         self.hashes: dict[str, dict[str, list[str] | str]] = {}
         self.order: list[str] = []
         self.df: DataFrame | None = None
@@ -51,7 +59,12 @@ class DataStep:
         for s in self.body:
             m = re.match(r"(set|merge|update)\s+(.*)", s, re.I | re.S)
             if m:
-                opened = [self.p.opened(n, o) for n, o in _datasets(m[2])]
+                named = m[2]
+                if found := re.search(r"\bend\s*=\s*(\w+)", named, re.I):
+                    named, self.end = named[: found.start()] + named[found.end() :], found[1].lower()
+                if other := re.search(r"\b(key|point|nobs|curobs|indsname)\s*=", re.sub(r"\([^()]*\)", "", named), re.I):
+                    raise UnsupportedConstruct(f"{m[1].upper()} with {other[1].upper()}=")
+                opened = [self.p.opened(n, o) for n, o in _datasets(named)]
                 plain = [k.lstrip("-") for k in self.by]
                 self.order = opened[0][1]
                 for _, _, flag in opened:
@@ -76,9 +89,13 @@ class DataStep:
                     self.df = merging.update(opened[0][0], opened[1][0], plain)
         if self.df is None:
             self.df = self.p.spark.range(1).select()
-        where = self.statement_of(self.body, "where")
-        if where:
+        for where in self.p.conditions(self.body):
             self.df = self.df.where(self.value(where).test)
+        if self.end:  # 1 in the last row of the order
+            self.place()
+            last = self.df.agg(F.max(F.struct("_p_", "_k_")).alias("_last_"))  # one row
+            self.df = self.df.join(F.broadcast(last)).withColumn(self.end, (F.struct("_p_", "_k_") == F.col("_last_")).cast("int")).drop("_last_")
+            self.temporary.add(self.end)
         text = " ".join(self.body).lower()
         for i, k in enumerate(self.by):
             name = k.lstrip("-")
@@ -114,6 +131,8 @@ class DataStep:
     # expressions
     def resolve(self, name: str) -> Column:
         name = name.lower()
+        if name in self.pending:
+            self.flush()
         if name.startswith(("first.", "last.")):
             return F.col(f"_{name.replace('.', '_')}")
         if name == "_n_":
@@ -128,23 +147,38 @@ class DataStep:
         return F.col(name)
 
     def value(self, text: str) -> Value:
-        return Parser(text, self.resolve, self.arrays, self.index, self.p.formats, self.lagged).parse()
+        return Parser(text, self.resolve, self.arrays, self.index, self.p.formats, self.lagged, self.df.dtypes if re.search(r"\bof\b", text, re.I) else ()).parse()
+
+    def place(self) -> None:
+        """Range partitions of the sorted dataset, written once: what runs along all rows needs them."""
+        if "_p_" not in self.df.columns:
+            if not self.order:
+                raise UnsupportedConstruct("an order-sensitive step needs a sorted dataset (PROC SORT before it)")
+            self.df = scans.placed(self.df, shaping.keys(self.order)).rows
+            self.temporary |= {"_p_", "_k_"}
+
+    def flush(self) -> None:
+        waiting, self.pending = self.pending, {}
+        if waiting:
+            self.place()
+            self.df = scans.carried(self.df, waiting)
 
     def lagged(self, name: str, inner: Value, text: str) -> Value:
-        """LAGn and DIFn of an unconditional assignment: the value n rows before in the BY group. Inside IF the dialect's queue has no column form."""
-        if self.inside:
-            raise UnsupportedConstruct(f"{name.upper()}{text} inside IF: only the rows that reach it would count")
+        """LAGn and DIFn: what the call's queue holds, the value n calls before. Calls under a condition count only the rows that reach them; groups don't matter."""
         n = int(re.sub(r"\D", "", name) or 1)
-        if not self.by:
-            raise UnsupportedConstruct(f"{name.upper()}{text} without BY needs all rows in one order; name a BY group")
-        w = self.window([k.lstrip("-") for k in self.by][:1])
-        before = F.lag(inner.number, n).over(w)
-        return Value(before if name.startswith("lag") else inner.number - before)
+        self.flush()
+        self.place()
+        self.calls += 1
+        made = f"_call_{self.calls}_"
+        self.df = scans.queued(self.df, made, inner.number, n, F.col(self.current) if self.current else None)
+        self.temporary.add(made)
+        return Value(F.col(made) if name.startswith("lag") else inner.number - F.col(made))
 
     # statements
     def run(self) -> None:
         self.read()
         self.block(self.body, None)
+        self.flush()
         frames: dict[int, DataFrame] = {}
         explicit = bool(self.outputs)
         for n, (name, options) in enumerate(self.targets):
@@ -161,30 +195,39 @@ class DataStep:
             self.p.bind(name, self.p._output(df, options), [k for k in self.order if k.lstrip("-") in df.columns])
 
     def finish(self, df: DataFrame) -> DataFrame:
-        gone = self.temporary & set(df.columns) - set(self.keep)
+        keep = expanded(self.keep, df.dtypes)
+        gone = self.temporary & set(df.columns) - set(keep)
         gone |= {c for c in df.columns if c.startswith("_guard_")}
         df = df.drop(*gone)
         for name, n in self.lengths.items():
             if dict(df.dtypes).get(name) == "string":
                 df = df.withColumn(name, F.substring(name, 1, n))
         if self.keep:
-            df = df.select(*[c for c in df.columns if c.lower() in self.keep])
+            df = df.select(*[c for c in df.columns if c.lower() in keep])
         if self.drop:
-            df = df.drop(*self.drop)
+            df = df.drop(*expanded(self.drop, df.dtypes))
         names = {a: b for s in self.body if re.match(r"rename\b", s, re.I) for a, b in re.findall(r"(\w+)\s*=\s*(\w+)", s.lower())}
         return df.withColumnsRenamed(names) if names else df
 
     def block(self, statements: list[str], guard: str | None, first_of: str | None = None) -> None:
         """Runs statements under a guard column; ``first_of`` names the key when the guard is exactly FIRST.key."""
-        outside, self.inside = self.inside, guard is not None
+        outside, self.current = self.current, guard
         self.statements(statements, guard, first_of)
-        self.inside = outside
+        self.current = outside
 
     def statements(self, statements: list[str], guard: str | None, first_of: str | None) -> None:
         i, last = 0, None  # last: the guard of the IF before, for ELSE
         while i < len(statements):
             s = statements[i]
             low = s.lower()
+            if self.returned:  # the rows that met RETURN skip what follows
+                guard = self.guard(~F.col(self.returned), guard)
+                self.current, self.returned, first_of = guard, None, None
+            if re.match(r"select\s*(\(|$)", low):
+                stop = self.end_of(statements, i)
+                self.cases(s[6:].strip(), statements[i + 1 : stop], guard)
+                i, last = stop + 1, None
+                continue
             if re.match(r"if\b", low):
                 m = re.match(r"if\s+(.*?)\s+then\b\s*(.*)", s, re.I | re.S)
                 if not m:
@@ -238,26 +281,50 @@ class DataStep:
         level = 0
         for j in range(i, len(statements)):
             s = statements[j].lower()
-            level += bool(re.search(r"\bdo$", s) or re.match(r"do\b", s))
+            level += bool(re.search(r"\bdo$", s) or re.match(r"do\b", s) or re.match(r"select\s*(\(|$)", s) or re.search(r"\b(then|else|when\s*\(.*\)|otherwise)\s+do\b", s))
             level -= s == "end"
             if j > i and not level or j == i and level == 0:
                 return j
         raise ValueError("DO without END")
 
+    def cases(self, subject: str, body: list[str], guard: str | None) -> None:
+        """SELECT (subject); WHEN (values) statement; OTHERWISE statement; END. Without a subject WHEN holds a condition. A row that no branch takes raises, unless there is OTHERWISE."""
+        rest, i = guard, 0
+        while i < len(body):
+            s = body[i]
+            if m := re.match(r"when\s*(?=\()", s, re.I):
+                from batchloom.lang.sql import arguments
+
+                values, end = arguments(s, m.end())
+                test = " or ".join(f"({subject[1:-1]}) = ({v})" for v in values) if subject else ", ".join(values)
+                g = self.guard(self.value(test).test, rest)
+                i = self.branch(body, i, s[end:].strip(), g, None)
+                rest = self.df_not(g, rest)
+            elif re.match(r"otherwise\b", s, re.I):
+                i = self.branch(body, i, s[9:].strip(), rest, None) if s[9:].strip() else i + 1
+                rest = ""
+            else:
+                raise UnsupportedConstruct(f"{s} in SELECT")
+        if rest:
+            self.df = self.df.withColumn(rest, F.when(F.col(rest), F.raise_error(F.lit("no WHEN of a SELECT holds and there is no OTHERWISE")).cast("boolean")).otherwise(F.lit(False)))
+            self.df = self.df.where(F.coalesce(~F.col(rest), F.lit(True)))
+
     def loop(self, head: str, body: list[str], guard: str | None) -> None:
         m = re.fullmatch(r"do\s+(\w+)\s*=\s*(.+?)\s+to\s+(.+?)(?:\s+by\s+(.+?))?", head, re.I | re.S)
         if head.strip().lower() == "do":
             self.block(body, guard)
             return
-        if not m:
-            raise UnsupportedConstruct(head)
         bounds = []
-        for x in (m[2], m[3], m[4] or "1"):
-            d = re.fullmatch(r"dim\((\w+)\)", x.strip(), re.I)
-            v = len(self.arrays[d[1].lower()]) if d else self.value(x).literal
-            if not isinstance(v, int):
-                raise UnsupportedConstruct(f"{head}: loop bounds must be constants")
-            bounds.append(v)
+        if m and not re.search(r"\b(while|until)\s*\(|\bleave\b|\bcontinue\b", " ".join([head, *body]), re.I):
+            for x in (m[2], m[3], m[4] or "1"):
+                d = re.fullmatch(r"dim\((\w+)\)", x.strip(), re.I)
+                v = len(self.arrays[d[1].lower()]) if d else self.value(x).literal
+                if isinstance(v, int):
+                    bounds.append(v)
+        if len(bounds) < 3:
+            self.flush()
+            Loop(self, head, body).run(guard)
+            return
         a, b, step = bounds
         name = m[1].lower()
         for v in range(a, b + (1 if step > 0 else -1), step):
@@ -269,6 +336,7 @@ class DataStep:
 
     def subset(self, text: str, guard: str | None) -> None:
         test = self.value(text).test
+        self.flush()
         self.df = self.df.where(test if guard is None else ~F.col(guard) | test)
 
     def simple(self, s: str, guard: str | None, first_of: str | None) -> None:
@@ -291,11 +359,18 @@ class DataStep:
             for a, b in re.findall(r"(\w+)\s+\$\s*(\d+)", s[6:]):
                 self.lengths[a.lower()] = int(b)
         elif word == "retain":
-            for a in re.findall(r"[A-Za-z_]\w*", s[6:]):
-                self.retained.add(a.lower())
+            waiting: list[str] = []  # names that the next value is for
+            given = False
+            for w in re.findall(r"'[^']*'|\"[^\"]*\"|[^\s,()]+", re.sub(r"\s*-\s*(?=[A-Za-z_])", "-", s[6:])):
+                if re.match(r"[A-Za-z_]", w):
+                    waiting, given = [*([] if given else waiting), *expanded(w, self.df.dtypes)], False
+                    self.retained |= set(waiting)
+                else:
+                    self.initial |= {n: self.value(w) for n in waiting}
+                    given = True
         elif word == "array":
             m = re.match(r"array\s+(\w+)\s*[\[{(]\s*(\d+|\*)\s*[\]})]\s*(\$\s*\d*)?\s*(_temporary_)?\s*([^()]*)(?:\((.*)\))?", s, re.I | re.S)
-            names = m[5].lower().split()
+            names = expanded(m[5], self.df.dtypes)
             values = re.split(r"[,\s]+", m[6].strip()) if m[6] else []
             if m[4] or not names:
                 names = [f"_{m[1].lower()}_{k}" if m[4] else f"{m[1].lower()}{k}" for k in range(1, int(m[2] if m[2] != "*" else len(values)) + 1)]
@@ -306,18 +381,36 @@ class DataStep:
                 self.df = self.df.withColumn(name, self.value(v).col)
         elif word == "output":
             targets = s.split()[1:] or [None]
+            self.flush()
             for t in targets:
                 self.outputs.append((t, self.df, F.col(guard) if guard else None))
         elif word == "delete":
+            self.flush()
             self.df = self.df.where(~F.col(guard)) if guard else self.df.limit(0)
         elif word == "put":
             self.p.log.append(s)
         elif m := re.fullmatch(r"call\s+missing\s*\((.*)\)", s, re.I | re.S):
-            for name in m[1].split(","):
-                self.store(name.strip().lower(), F.lit(None).cast(dict(self.df.dtypes).get(name.strip().lower(), "double")), guard)
-        elif word not in ("end", "run", "stop", "return", ""):
+            for part in m[1].split(","):
+                for name in expanded(re.sub(r"^\s*of\b", "", part, flags=re.I), self.df.dtypes):
+                    self.store(name, F.lit(None).cast(dict(self.df.dtypes).get(name, "double")), guard)
+        elif word == "return" and s.lower().strip() == "return":
+            if guard is None:
+                raise UnsupportedConstruct("RETURN of every row: what follows would never run")
+            self.returned = guard
+        elif word == "stop" and s.lower().strip() == "stop":
+            self.stop(guard)
+        elif word not in ("end", "run", ""):
             raise UnsupportedConstruct(s)
 
+    def stop(self, guard: str | None) -> None:
+        """STOP ends the step at the first row of the order that reaches it; this row and those after it are not written."""
+        if self.outputs:
+            raise UnsupportedConstruct("STOP after OUTPUT")
+        self.flush()
+        self.place()
+        met = F.col(guard).cast("int") if guard else F.lit(1)
+        self.df = scans.carried(self.df, {"_stopped_": scans.Carry("sum", F.coalesce(met, F.lit(0)))}).where("_stopped_ = 0").drop("_stopped_")
+
     def hash_statement(self, s: str, guard: str | None) -> bool:
         """DECLARE HASH with DATASET:, defineKey, defineData, defineDone, and ``rc = h.find()``: a lookup of the first row of each key."""
         if m := re.fullmatch(r"declare\s+hash\s+(\w+)\s*(?:\(\s*dataset\s*:\s*['\"]([\w.]+)['\"]\s*\))?", s, re.I):
@@ -349,21 +442,55 @@ class DataStep:
             if first_of:
                 self.resets[name] = (first_of, self.value(text))
                 return
-            if add := re.fullmatch(rf"{name}\s*\+\s*(.+)", text, re.I | re.S):
-                self.accumulate(name, add[1], guard, False)
+            plain = re.fullmatch(rf"{name}\s*\+\s*(.+)", text, re.I | re.S)
+            if plain and not re.search(rf"\b{name}\b", plain[1], re.I):
+                self.accumulate(name, plain[1], guard, False)
+                return
+            if re.search(rf"\b{name}\b", text, re.I):
+                self.recur(name, text, guard)
                 return
             if guard:
-                value = self.value(text).number
-                part = self.reset_keys(name)
+                value, part = self.value(text).number, self.reset_keys(name)
+                if part is None:
+                    self.waits(name, scans.Carry("last", F.when(F.col(guard), value), self.initial[name].number if name in self.initial else None))
+                    return
                 self.df = self.df.withColumn("_carried_", F.when(F.col(guard), value))
                 w = self.window(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
                 self.df = self.df.withColumn(name, F.last("_carried_", ignorenulls=True).over(w)).drop("_carried_")
                 return
         self.store(name, self.value(text).number, guard)
 
-    def reset_keys(self, name: str) -> list[str]:
+    def waits(self, name: str, carry: scans.Carry) -> None:
+        """A retained variable along all rows; several that don't read each other share one pass."""
+        if name in self.pending:
+            self.flush()
+        self.pending[name] = carry
+
+    def recur(self, name: str, text: str, guard: str | None) -> None:
+        """``name = a * name + b`` of retained variables, also inside MAX and MIN with values that don't hold it."""
+        gain, add, low, high = _linear(name, text)
+        g, b = self.value(gain).number, self.value(add).number
+        bounds = [None if x is None else self.value(x).number for x in (low, high)]
+        part = self.reset_keys(name)
+        start = (self.resets[name][1] if part else self.initial[name] if name in self.initial else Value(F.lit(None).cast("double"))).literal
+        if not isinstance(start, (int, float)):
+            raise UnsupportedConstruct(f"{name} = {text}: the recurrence needs a constant start")
+        if low is not None or high is not None:  # MAX and MIN skip a missing value
+            missing = g.isNull() | b.isNull()
+            g, b = F.when(missing, 0.0).otherwise(g), F.when(missing, bounds[0] if low is not None else bounds[1]).otherwise(b)
+        if guard:
+            g, b = F.when(F.col(guard), g).otherwise(1.0), F.when(F.col(guard), b).otherwise(0.0)
+            bounds = [None if x is None else F.when(F.col(guard), x) for x in bounds]
+        self.flush()
+        order = self.rest_of_order(part) if part else self.order
+        if not order:
+            raise UnsupportedConstruct("an order-sensitive step needs a sorted dataset (PROC SORT before it)")
+        self.df = scans.bounded_recurrence(self.df, part or [], shaping.keys(order), g, b, name, float(start), *bounds)
+
+    def reset_keys(self, name: str) -> list[str] | None:
+        """BY variables of the group at whose start a variable is set back; None for a variable that runs along all rows."""
         if name not in self.resets:
-            raise UnsupportedConstruct(f"RETAIN {name} without a reset at FIRST.key")
+            return None
         plain = [k.lstrip("-") for k in self.by]
         return plain[: plain.index(self.resets[name][0]) + 1]
 
@@ -372,14 +499,66 @@ class DataStep:
         if guard:
             x = F.when(F.col(guard), x).otherwise(F.lit(0)) if not skip_missing else F.when(F.col(guard), x)
         part = self.reset_keys(name)
+        if part is None:
+            start = self.initial[name].number if name in self.initial else F.lit(0) if skip_missing else F.lit(None).cast("double")
+            self.waits(name, scans.Carry("sum" if skip_missing else "strict", x, start))
+            return
         start = self.resets[name][1]
         total = datastep.running_sum(x, self.window(part), skip_missing)
         self.df = self.df.withColumn(name, total if start.literal == 0 else total + start.number)
 
     def store(self, name: str, value: Column, guard: str | None) -> None:
+        if name in self.pending:
+            self.flush()
         if guard:
             before = F.col(name) if name in {c.lower() for c in self.df.columns} else F.lit(None)
             value = F.when(F.col(guard), value).otherwise(before)
         if name in self.lengths:
             value = F.substring(value, 1, self.lengths[name])
         self.df = self.df.withColumn(name, value)
+
+
+def _linear(name: str, text: str) -> tuple[str, str, str | None, str | None]:
+    """(gain, add, low, high) of an expression in which ``name`` stands once, as a product's factor in a sum, or of MAX and MIN of such an expression and others."""
+    from batchloom.lang.sql import arguments
+
+    text = text.strip()
+    holds = re.compile(rf"\b{name}\b", re.I)
+    if m := re.match(r"(max|min)\s*(?=\()", text, re.I):
+        args, end = arguments(text, m.end())
+        inner = [a for a in args if holds.search(a)]
+        if end == len(text) and len(inner) == 1 and len(args) == 2:
+            gain, add, low, high = _linear(name, inner[0])
+            bound = next(a for a in args if a is not inner[0])
+            if m[1].lower() == "max" and low is None and high is None:
+                return gain, add, bound, None
+            if m[1].lower() == "min" and high is None:
+                return gain, add, low, bound
+        raise UnsupportedConstruct(f"{name} = {text}: not a recurrence that can be composed")
+    parts: list[list[str]] = [[]]
+    signs, level = ["+"], 0
+    for k, w in tokens(text):
+        level += {"(": 1, ")": -1}.get(w, 0)
+        if k == "op" and w in "+-" and not level and parts[-1] and parts[-1][-1] not in ("*", "/", "**"):
+            parts.append([])
+            signs.append(w)
+        else:
+            parts[-1].append(w)
+    mine = [i for i, p in enumerate(parts) if any(w.lower() == name for w in p)]
+    rest = " ".join(f"{signs[i]} {' '.join(p)}" for i, p in enumerate(parts) if i not in mine) or "0"
+    if len(mine) == 1:
+        p = parts[mine[0]]
+        at = [i for i, w in enumerate(p) if w.lower() == name]
+        level = 0
+        depth = []
+        for w in p:
+            level -= w == ")"
+            depth.append(level)
+            level += w == "("
+        i = at[0]
+        before_ok = i == 0 or p[i - 1] == "*"
+        after_ok = i + 1 == len(p) or p[i + 1] in ("*", "/")
+        if len(at) == 1 and depth[i] == 0 and before_ok and after_ok:
+            gain = " ".join([*p[:i], "1", *p[i + 1 :]])
+            return f"{'-' if signs[mine[0]] == '-' else ''}({gain})", f"0 {rest}" if rest[0] in "+-" else rest, None, None
+    raise UnsupportedConstruct(f"{name} = {text}: not a recurrence that can be composed")

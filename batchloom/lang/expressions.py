@@ -7,17 +7,18 @@ text is missing; division by zero gives missing.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from batchloom import functions, missing
+from batchloom.lang.names import expanded
 from batchloom.operators import summaries
 
 _TOKEN = re.compile(
-    r"\s*(?:(?P<lit>'(?:[^']|'')*'(?:dt|d|t)?|\"(?:[^\"]|\"\")*\"(?:dt|d|t)?)|(?P<num>\d+\.?\d*(?:e[-+]?\d+)?|\.\d+)|(?P<name>(?:first|last)\.\w+|[A-Za-z_]\w*)|(?P<fmt>\$\w+\.\d*)|(?P<op>\*\*|\|\||<=|>=|\^=|~=|<>|[-+*/=<>(),{}\[\]&|^~.$]))",
+    r"\s*(?:(?P<lit>'(?:[^']|'')*'(?:dt|d|t)?|\"(?:[^\"]|\"\")*\"(?:dt|d|t)?)|(?P<num>\d+\.?\d*(?:e[-+]?\d+)?|\.\d+)|(?P<name>(?:first|last)\.\w+|[A-Za-z_]\w*)|(?P<fmt>\$\w+\.\d*)|(?P<op>\*\*|\|\||<=|>=|\^=|~=|<>|[-+*/=<>(),{}\[\]&|^~.$:]))",
     re.I,
 )
 #: Comparison operators by their words and signs.
@@ -60,8 +61,8 @@ def tokens(text: str) -> list[tuple[str, str]]:
 class Parser:
     """Recursive-descent parser over a column resolver; ``arrays`` maps array names to their member columns."""
 
-    def __init__(self, text: str, resolve: Callable[[str], Column], arrays: dict[str, list[str]] | None = None, index: dict[str, int] | None = None, formats: dict[str, dict] | None = None, call: Callable[[str, str], Value] | None = None):
-        self.formats, self.special = formats or {}, call
+    def __init__(self, text: str, resolve: Callable[[str], Column], arrays: dict[str, list[str]] | None = None, index: dict[str, int] | None = None, formats: dict[str, dict] | None = None, call: Callable[[str, str], Value] | None = None, columns: Sequence[tuple[str, str]] = ()):
+        self.formats, self.special, self.columns = formats or {}, call, columns
         self.t, self.i, self.resolve, self.arrays, self.index = tokens(text), 0, resolve, arrays or {}, index or {}
 
     def peek(self) -> str:
@@ -148,7 +149,7 @@ class Parser:
     def joined(self) -> Value:
         out = self.sum()
         while self.take("||"):
-            out = Value(F.concat(F.coalesce(out.number.cast("string"), F.lit("")), F.coalesce(self.sum().number.cast("string"), F.lit(""))))
+            out = Value(F.concat(_text(out), _text(self.sum())))
         return out
 
     def sum(self) -> Value:
@@ -196,7 +197,7 @@ class Parser:
         if kind == "name":
             name = word.lower()
             if name in self.arrays and self.peek() in ("{", "[", "("):
-                return Value(self.resolve(self.member(name)))
+                return self.member(name)
             if self.peek() == "(" and "." not in name:
                 return self.call(name)
             if name in self.index:
@@ -204,15 +205,15 @@ class Parser:
             return Value(self.resolve(word))
         raise ValueError(f"unexpected {word}")
 
-    def member(self, name: str) -> str:
-        """Column name of an array reference; the index must be known when the step is compiled."""
+    def member(self, name: str) -> Value:
+        """An array element; an index that is known only in the row picks from all members, and one outside the array raises."""
         close = {"{": "}", "[": "]", "(": ")"}[self.peek()]
         self.i += 1
-        at = self.sum().literal
+        at = self.sum()
         self.expect(close)
-        if not isinstance(at, int):
-            raise ValueError(f"the index of array {name} is not a constant or a loop variable")
-        return self.arrays[name][at - 1]
+        if isinstance(at.literal, int):
+            return Value(self.resolve(self.arrays[name][at.literal - 1]))
+        return Value(F.element_at(F.array(*[self.resolve(c) for c in self.arrays[name]]), at.number.cast("int")))
 
     def call(self, name: str) -> Value:
         if name in ("lag", "dif") or re.fullmatch(r"(lag|dif)\d+", name):
@@ -226,14 +227,16 @@ class Parser:
         self.expect("(")
         args: list[object] = []
         if self.take("of"):
+            plain = ""
             while self.peek() != ")":
                 word = self.t[self.i][1]
                 self.i += 1
                 if word.lower() in self.arrays:
                     self.i += 3 if self.peek() in ("{", "[", "(") else 0
                     args += [self.resolve(c) for c in self.arrays[word.lower()]]
-                elif word != ",":
-                    args.append(self.resolve(word))
+                else:
+                    plain += " " if word == "," else word if word in "-:" else f" {word}"
+            args += [self.resolve(c) for c in expanded(plain.replace("- ", "-"), self.columns)]
         else:
             while self.peek() != ")":
                 if name in _FORMATS and args:
@@ -259,6 +262,13 @@ class Parser:
         return out
 
 
+def _text(v: Value) -> Column:
+    """A value in a concatenation: a number is written by BEST12, right-aligned."""
+    x = v.number
+    number = F.lpad(functions.call("put", x.try_cast("double"), "best12."), 12, " ")
+    return F.coalesce(F.when(F.typeof(x).isin("double", "float", "int", "bigint", "smallint", "tinyint"), number).otherwise(x.cast("string")), F.lit(""))
+
+
 def user_format(name: str, formats: dict[str, dict]) -> dict | None:
     """The user format of a name like ``band.`` or ``$seg8.``."""
     base = name.lower().lstrip("$").split(".")[0]

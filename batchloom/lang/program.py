@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.lang.expressions import Parser, user_format
+from batchloom.lang.names import NUMBERS, expanded
 from batchloom.lang.sql import run_sql
 from batchloom.lang.statements import Macros, UnsupportedConstruct, split_statements, without_comments
 from batchloom.operators import datastep, merging, shaping, summaries
@@ -24,7 +25,6 @@ from batchloom.stored import stored
 
 #: Most columns that PROC TABULATE makes of a class variable.
 TABULATE_COLUMNS = 1000
-_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 @dataclass
@@ -33,6 +33,16 @@ class Dataset:
     order: list[str] = field(default_factory=list)
 
 
+#: Options that each procedure takes besides those it names itself; what only changes the printed page is accepted and has no effect.
+_PAGE = {"data", "noprint", "print", "label", "split", "noobs", "n", "headline", "headskip", "nowd", "nowindows", "maxdec", "fw", "format", "style", "missing", "order", "formchar", "details", "position", "varnum", "short", "page", "compress", "nolist"}
+OPTIONS = {
+    "sort": {"out", "nodupkey", "noduprecs", "nodup", "dupout", "tagsort", "force", "equals", "noequals", "threads", "nothreads", "sortsize"}, "means": {"nway", *(k.lower() for k in summaries.STATISTICS)}, "freq": set(), "transpose": {"out", "prefix", "let", "name"},
+    "report": {"out"}, "tabulate": {"out"}, "rank": {"out", "descending", "ties", "groups"}, "standard": {"out", "mean", "std", "replace"}, "append": {"base", "force"}, "import": {"datafile", "out", "dbms", "replace", "delimiter"}, "export": {"outfile", "dbms", "replace", "delimiter"},
+    "print": set(), "copy": {"in", "out", "memtype"}, "contents": {"out"}, "datasets": {"lib", "library"}, "univariate": {"out", "normal"}, "format": {"cntlin", "lib", "library"}, "sql": {"outobs", "inobs", "feedback", "stimer"},
+}
+OPTIONS["summary"] = OPTIONS["means"]
+
+
 _DATASET = re.compile(r"(?P<name>[A-Za-z_]\w*(?:\.\w+)?)\s*(?:\((?P<options>(?:[^()]|\([^()]*\))*)\))?")
 
 
@@ -98,7 +108,7 @@ class Program:
         d = self.dataset(name)
         found = _options(options)
         df = datastep.options(
-            d.frame, keep=_words(found.get("keep", "")), drop=_words(found.get("drop", "")), rename=_renames(found.get("rename", "")),
+            d.frame, keep=expanded(found.get("keep", ""), d.frame.dtypes), drop=expanded(found.get("drop", ""), d.frame.dtypes), rename=_renames(found.get("rename", "")),
             obs=int(found["obs"]) if "obs" in found else None, firstobs=int(found["firstobs"]) if "firstobs" in found else None, order=shaping.keys(d.order) if d.order else (),
         )
         if "where" in found:
@@ -113,7 +123,16 @@ class Program:
                 raise ValueError(f"variable {name} is not in the step: {text}")
             return F.col(f"`{name.lower()}`" if name.lower() in df.columns else name)
 
-        return Parser(text, resolve, formats=self.formats, **more).parse()
+        return Parser(text, resolve, formats=self.formats, columns=df.dtypes, **more).parse()
+
+    @staticmethod
+    def conditions(body: list[str]) -> list[str]:
+        """Conditions of a step's WHERE statements: a later one replaces those before it, WHERE ALSO adds to them."""
+        out: list[str] = []
+        for s in body:
+            if m := re.match(r"where\b\s*(also\b|same\s+and\b)?\s*(.*)", s, re.I | re.S):
+                out = [*out, m[2]] if m[1] else [m[2]]
+        return [x.strip() for x in out if x.strip()]
 
     # program
     def run(self, text: str) -> Program:
@@ -158,6 +177,9 @@ class Program:
         if run is None:
             raise UnsupportedConstruct(f"PROC {name.upper()}")
         rest = re.sub(r"^\s*proc\s+\w+", "", head, flags=re.I)
+        for option in _options(rest) if name in OPTIONS else ():
+            if option.split("(")[0] not in OPTIONS[name] | _PAGE:
+                raise UnsupportedConstruct(f"PROC {name.upper()} {option}")
         run({"data": re.sub(r"^\s*data\s*=", "", rest, flags=re.I)} if name == "delete" else _options(rest), body)
 
     def proc_sql(self, options: dict[str, str], body: list[str]) -> None:
@@ -171,7 +193,12 @@ class Program:
         if "nodupkey" in o:
             if not order:
                 raise UnsupportedConstruct("NODUPKEY needs a dataset sorted before, to say which row of a key is first")
+            if "dupout" in o:
+                target = _datasets(o["dupout"])[0]
+                self.bind(target[0], self._output(shaping.dupout(df, by, order), target[1]), by)
             df = shaping.nodupkey(df, by, order)
+        elif "dupout" in o:
+            raise UnsupportedConstruct("DUPOUT= without NODUPKEY")
         elif "noduprecs" in o or "nodup" in o:
             df = shaping.noduprecs(df)
         rest = [k for k in order if k.lstrip("-") not in plain] or [c for c in df.columns if c not in plain]
@@ -191,8 +218,9 @@ class Program:
             word = re.match(r"\w*", s)[0].lower()
             if word not in (*handled, "where", "format", "label", "title", "footnote", ""):
                 raise UnsupportedConstruct(s)
-        where = _statement(body, "where")
-        return (df.where(self.expression(where, df).test) if where else df), order, flag
+        for where in self.conditions(body):
+            df = df.where(self.expression(where, df).test)
+        return df, order, flag
 
     def formatted(self, df: DataFrame, body: list[str], names: list[str]) -> DataFrame:
         """Classification variables with the user formats of a FORMAT statement: groups are those of the formatted values."""
@@ -208,30 +236,26 @@ class Program:
 
     def proc_means(self, o: dict[str, str], body: list[str]) -> None:
         df, _, _ = self._input(o, body, "var", "class", "by", "output", "weight", "freq", "types", "ways")
-        by, cls = [k.lstrip("-") for k in _by(_statement(body, "by"))], _words(_statement(body, "class").lower())
+        chosen, _, flags = _statement(body, "class").lower().partition("/")
+        if set(flags.split()) - {"missing"}:
+            raise UnsupportedConstruct(f"CLASS /{flags}")
+        by, cls = [k.lstrip("-") for k in _by(_statement(body, "by"))], expanded(chosen, df.dtypes)
         weight, count = _statement(body, "weight").lower() or None, _statement(body, "freq").lower() or None
         used = {*by, *cls, weight, count}
-        var = _words(_statement(body, "var").lower()) or [c for c, t in df.dtypes if c not in used and t in _NUMBERS]
+        var = expanded(_statement(body, "var"), df.dtypes) or [c for c, t in df.dtypes if c not in used and t in NUMBERS]
         df = self.formatted(df, body, cls)
         types = None
         if spec := _statement(body, "types"):
             types = [[] if x.strip("()") == "" else [c for c in cls if c in x.lower().split("*")] for x in spec.split()]
         elif spec := _statement(body, "ways"):
             types = [list(c) for n in spec.split() for c in itertools.combinations(cls, int(n))]
-        nway, missing = "nway" in o and types is None, "missing" in o
+        nway, missing = "nway" in o and types is None, "missing" in o or "missing" in flags
         asked = {k.upper(): None for k in o if k.upper() in summaries.STATISTICS} or dict.fromkeys(("N", "MEAN", "STD", "MIN", "MAX"))
         more = {"nway": nway, "types": types, "missing": missing, "by": by, "weight": weight, "count": count, "type_": "_type_"}
         self.bind("_means_", summaries.means(df, var, asked, cls, freq="_freq_", **more), [*by, *cls])
         for out in [s for s in body if re.match(r"output\b", s, re.I)]:
-            found = _options(re.sub(r"^output\s*", "", out, flags=re.I))
-            stats: dict[str, object] = {}
-            for k, v in found.items():
-                base = k.split("(")[0].upper()
-                if base in summaries.STATISTICS or base == "SUMWGT":
-                    names = _words(v)
-                    stats[base] = [n.lower() for n in names] if names else [f"{x}" for x in var]
-            result = summaries.means(df, var, stats, cls, freq=found.get("_freq_", "_freq_").lower(), **more)
-            target = _datasets(found["out"])[0]
+            target, wanted, names = _output_statement(out, var, df.dtypes)
+            result = summaries.named_means(df, wanted, cls, freq=names.get("_freq_", "_freq_"), **more)
             self.bind(target[0], self._output(result, target[1]), [*by, *cls])
 
     proc_summary = proc_means
@@ -241,7 +265,7 @@ class Program:
         found = _options(options)
         if "where" in found:
             df = df.where(self.expression(found["where"], df).test)
-        return datastep.options(df, keep=_words(found.get("keep", "").lower()), drop=_words(found.get("drop", "").lower()), rename=_renames(found.get("rename", "")))
+        return datastep.options(df, keep=expanded(found.get("keep", ""), df.dtypes), drop=expanded(found.get("drop", ""), df.dtypes), rename=_renames(found.get("rename", "")))
 
     def proc_freq(self, o: dict[str, str], body: list[str]) -> None:
         df, _, _ = self._input(o, body, "tables", "table", "weight", "by")
@@ -249,15 +273,16 @@ class Program:
         for tables in [s for s in body if re.match(r"tables?\b", s, re.I)]:
             spec, _, flags = re.sub(r"^tables?\s+", "", tables, flags=re.I).partition("/")
             f = _options(flags)
-            for one in re.findall(r"\w+(?:\s*\*\s*\w+)*", spec):
-                vars_ = [v.strip().lower() for v in one.split("*")]
+            if unknown := set(f) - {"nocum", "nopercent", "norow", "nocol", "nofreq", "noprint", "list", "missing", "sparse", "chisq", "measures", "out"}:
+                raise UnsupportedConstruct(f"TABLES / {' '.join(sorted(unknown))}")
+            for vars_ in _requests(spec, df.dtypes):
                 d = self.formatted(df, body, vars_)
                 if len(vars_) == 1:
                     out = summaries.frequencies(d, vars_[0], "nocum" not in f, "missing" in f, by, weight)
-                elif "chisq" in f:
+                elif "chisq" in f or "measures" in f:
                     if by or weight or len(vars_) > 2:
                         raise UnsupportedConstruct(f"{tables} with BY or WEIGHT")
-                    out = summaries.chi_square(d, *vars_)
+                    out = summaries.chi_square(d, *vars_) if "chisq" in f else summaries.association(d, *vars_)
                 elif len(vars_) == 2:
                     out = summaries.crosstab(d, *vars_, sparse="sparse" in f, percents="nopercent" not in f, by=by, weight=weight)
                 else:
@@ -306,7 +331,13 @@ class Program:
                 raise UnsupportedConstruct(s)
         df = self.formatted(df, body, group)
         target = _datasets(o.get("out") or "_report_")[0]
-        out = summaries.report(df, group, analysis, totals=any(re.match(r"rbreak|break", s, re.I) for s in body), order=False)
+        levels = set()
+        for s in [s for s in body if re.match(r"r?break\b", s, re.I)]:
+            m = re.fullmatch(r"(?:break\s+(?:before|after)\s+(\w+)|rbreak\s+(?:before|after))\s*(?:/.*)?", s, re.I | re.S)
+            if not m or m[1] and m[1].lower() not in group:
+                raise UnsupportedConstruct(s)
+            levels.add(group.index(m[1].lower()) + 1 if m[1] else 0)
+        out = summaries.report(df, group, analysis, order=False, breaks=sorted(levels)) if levels else summaries.report(df, group, analysis, order=False)
         self.bind(target[0], self._output(out, target[1]), group)
 
     def proc_tabulate(self, o: dict[str, str], body: list[str]) -> None:
@@ -326,15 +357,18 @@ class Program:
 
     def proc_rank(self, o: dict[str, str], body: list[str]) -> None:
         df, order, _ = self._input(o, body, "var", "ranks", "by")
-        var, names = _words(_statement(body, "var").lower()), _words(_statement(body, "ranks").lower())
         by = [k.lstrip("-") for k in _by(_statement(body, "by"))]
+        var = expanded(_statement(body, "var"), df.dtypes) or [c for c, t in df.dtypes if t in NUMBERS and c not in by]
+        names = expanded(_statement(body, "ranks"), df.dtypes)
         for v, n in zip(var, names or var, strict=True):
             df = shaping.rank(df, v, n, by, "descending" in o, o.get("ties", "MEAN"), int(o["groups"]) if "groups" in o else None)
         self.result(o, df, order)
 
     def proc_standard(self, o: dict[str, str], body: list[str]) -> None:
         df, order, _ = self._input(o, body, "var", "by")
-        out = shaping.standardize(df, _words(_statement(body, "var").lower()), [k.lstrip("-") for k in _by(_statement(body, "by"))], float(o.get("mean", 0)), float(o.get("std", 1)))
+        if "replace" in o:
+            raise UnsupportedConstruct("PROC STANDARD REPLACE")
+        out = shaping.standardize(df, expanded(_statement(body, "var"), df.dtypes), [k.lstrip("-") for k in _by(_statement(body, "by"))], float(o.get("mean", 0)), float(o.get("std", 1)))
         self.result(o, out, order)
 
     def proc_append(self, o: dict[str, str], body: list[str]) -> None:
@@ -350,11 +384,14 @@ class Program:
         export_csv(self._input(o, body)[0], o["outfile"].strip("'\""), o.get("delimiter", ",").strip("'\""))
 
     def proc_print(self, o: dict[str, str], body: list[str]) -> None:
-        """The rows to be printed are the dataset ``_print_``; nothing is collected."""
+        """The rows to be printed are the dataset ``_print_``, the totals of SUM (of each BY group and of all rows) ``_print_sum_``; nothing is collected."""
         df, order, _ = self._input(o, body, "var", "by", "id", "sum")
-        var = _words(_statement(body, "var").lower())
+        var = expanded(_statement(body, "var"), df.dtypes)
         self.log.append(f"PRINT {o.get('data') or self.last}")
         last = self.last
+        if totals := expanded(_statement(body, "sum"), df.dtypes):
+            by = [k.lstrip("-") for k in _by(_statement(body, "by"))]
+            self.bind("_print_sum_", df.rollup(*by).agg(*[F.sum(v).alias(v) for v in totals]) if by else df.agg(*[F.sum(v).alias(v) for v in totals]), by)
         self.bind("_print_", df.select(*var) if var else df, order)
         self.last = last
 
@@ -385,17 +422,105 @@ class Program:
         self.bind(o.get("out", "_contents_"), contents(self._input(o, body)[0]))
 
     def proc_datasets(self, o: dict[str, str], body: list[str]) -> None:
+        lib = o.get("lib") or o.get("library")
+        place = f"{lib}." if lib else ""
         for s in body:
             word, *names = s.replace("/", " ").split()
-            if word.lower() == "delete":
+            word = word.lower()
+            if word == "delete":
                 for n in names:
-                    self.forget(f"{o['lib']}.{n}" if o.get("lib") else n)
+                    self.forget(place + n)
+            elif word in ("change", "exchange"):
+                pairs = re.findall(r"(\w+)\s*=\s*(\w+)", s)
+                if not pairs or re.sub(r"(\w+)\s*=\s*(\w+)", "", s).split() != [s.split()[0]]:
+                    raise UnsupportedConstruct(s)
+                for a, b in pairs:
+                    self.renamed(place + a, place + b, word == "exchange")
+            elif word == "age":  # each dataset takes the next one's name; the last is deleted
+                self.forget(place + names[-1])
+                for a, b in reversed(list(itertools.pairwise(names))):
+                    self.renamed(place + a, place + b)
+            elif word == "modify":
+                modified = place + names[0]
+            elif word == "index" and names[0].lower() == "create":
+                self.indexed(modified, s)
+            elif word in ("label", "format", "informat"):
+                self.log.append(s)  # attributes of the printed page
             else:
-                self.log.append(s)  # MODIFY, INDEX CREATE: no effect on results
+                raise UnsupportedConstruct(s)
+
+    def renamed(self, a: str, b: str, exchange: bool = False) -> None:
+        one, other = self.dataset(a), self.dataset(b) if exchange else None
+        if not exchange and self.known(b):
+            raise ValueError(f"there is already a dataset {b}")
+        frames = [Dataset(stored(d.frame), d.order) if d and self.key(a).rpartition(".")[0] else d for d in (one, other)]  # a library's files move
+        self.forget(a)
+        if other:
+            self.forget(b)
+            self.bind(a, frames[1].frame, frames[1].order)
+        self.bind(b, frames[0].frame, frames[0].order)
+
+    def indexed(self, name: str, statement: str) -> None:
+        self.log.append(statement)  # INDEX CREATE of a WORK dataset: no effect on results
 
     def proc_univariate(self, o: dict[str, str], body: list[str]) -> None:
-        df, _, _ = self._input(o, body, "var", "class", "output")
-        self.bind(o.get("out", "_univariate_"), summaries.univariate(df, _words(_statement(body, "var").lower())[0], _words(_statement(body, "class").lower())))
+        df, _, _ = self._input(o, body, "var", "class", "output", "by")
+        by = [*[k.lstrip("-") for k in _by(_statement(body, "by"))], *expanded(_statement(body, "class"), df.dtypes)]
+        var = expanded(_statement(body, "var"), df.dtypes) or [c for c, t in df.dtypes if c not in by and t in NUMBERS]
+        self.bind(o.get("out", "_univariate_"), summaries.univariate(df, var if len(var) > 1 else var[0], by))
+        for s in [s for s in body if re.match(r"output\b", s, re.I)]:
+            target, wanted, _ = _output_statement(s, var, df.dtypes)
+            self.bind(target[0], self._output(summaries.named_means(df, wanted, [], freq=None, type_=None, by=by), target[1]), by)
+
+
+def _requests(spec: str, columns: list[tuple[str, str]]) -> list[list[str]]:
+    """TABLES requests: ``a b*c a*(b c)``, parentheses multiplied out."""
+    text = re.sub(r"\s*\*\s*", "*", spec.strip().lower())
+    out: list[list[str]] = []
+    while text:
+        m = re.match(r"(?:\([^()]*\)|[\w:]+(?:--?\w+)?)(?:\*(?:\([^()]*\)|\w+))*(?=\s|$)", text)
+        if not m:
+            raise UnsupportedConstruct(f"TABLES {spec}")
+        factors = [expanded(f.strip("()"), columns) for f in m[0].split("*")]
+        out += [list(x) for x in itertools.product(*factors)]
+        text = text[m.end() :].lstrip()
+    return out
+
+
+def _output_statement(statement: str, var: list[str], columns: list[tuple[str, str]]) -> tuple[tuple[str, str], list[tuple[str, str, str]], dict[str, str]]:
+    """(OUT= dataset, statistics (keyword, variable, name), other names) of ``OUTPUT out=d stat(vars)=names .. / autoname``."""
+    text, _, flags = re.sub(r"^output\s*", "", statement, flags=re.I).partition("/")
+    flags_ = set(flags.lower().split())
+    if flags_ - {"autoname", "autolabel", "noinherit", "inherit"}:
+        raise UnsupportedConstruct(statement)
+    target, wanted, more, i = ("_output_", ""), [], {}, 0
+    text = text.strip()
+    while i < len(text):
+        m = re.compile(r"(\w+)\s*(?:\(([^()]*)\))?\s*=\s*").match(text, i)
+        if not m:
+            raise UnsupportedConstruct(statement)
+        word, i = m[1].lower(), m.end()
+        if word == "out":
+            d = _DATASET.match(text, i)
+            target, i = (d["name"], d["options"] or ""), d.end()
+        else:
+            n = re.compile(r"(?:[A-Za-z_]\w*(?:-\w+)?\b(?!\s*[=(])\s*)*").match(text, i)
+            names, i = expanded(n[0], columns), n.end()
+            if word == "_freq_":
+                more[word] = names[0]
+            elif word.upper() in summaries.STATISTICS or word.upper() == "SUMWGT":
+                of = expanded(m[2], columns) if m[2] is not None else var
+                if len(names) > len(of):
+                    raise UnsupportedConstruct(f"{statement}: more names than variables")
+                names = names or [f"{v}_{word}" if "autoname" in flags_ else v for v in of]
+                wanted += [(word.upper(), v, name) for v, name in zip(of, names, strict=False)]
+            else:
+                raise UnsupportedConstruct(f"{statement}: {word}")
+        i += len(text[i:]) - len(text[i:].lstrip())
+    made = [n for _, _, n in wanted]
+    if twice := {n for n in made if made.count(n) > 1}:
+        raise UnsupportedConstruct(f"{statement}: two statistics are called {', '.join(sorted(twice))}")
+    return target, wanted, more
 
 
 def _options(text: str) -> dict[str, str]:
@@ -422,7 +547,7 @@ def _options(text: str) -> dict[str, str]:
                     break
             out[key], i = text[i + 1 : j - 1], j
             continue
-        v = re.compile(r"'[^']*'|\"[^\"]*\"|(?:\.?[-\w.*$]+(?:\s*\((?:[^()]|\([^()]*\))*\))?)(?:\s+[\w*.]+(?!\s*=|\w|\())*").match(text, i)
+        v = re.compile(r"'[^']*'|\"[^\"]*\"|(?:\.?[-\w.*$:]+(?:\s*\((?:[^()]|\([^()]*\))*\))?)(?:\s+[-\w*.:]+(?!\s*=|[\w:-]|\())*").match(text, i)
         value = v[0] if v else ""
         if key not in ("keep", "drop") and key.upper() not in summaries.STATISTICS:
             first = re.match(r"'[^']*'|\"[^\"]*\"|[-\w.*$]+(?:\s*\((?:[^()]|\([^()]*\))*\))?", value)

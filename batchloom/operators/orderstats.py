@@ -2,7 +2,7 @@
 
 A number is mapped to a 64-bit integer in the same order (sign, exponent and mantissa, by arithmetic). A first pass counts each group's numbers by the upper 16 bits; the counts, summed in order, say
 which bins hold the wanted ranks. Only those bins are counted by 16 bits more, and so on, until a bin is one number: four histograms whatever the data, for all variables and quantiles of a
-call at once. A bin's counts are combined before they are shuffled, and no window holds more than the 65,536 bins of one prefix. After 32 bits the numbers left are few or equal;
+call at once. Where every wanted bin holds at most as many numbers as a histogram has bins, they are listed and the rest of the histograms is left out. A bin's counts are combined before they are shuffled, and no window holds more than the 65,536 bins of one prefix. After 32 bits the numbers left are few or equal;
 they are written once with their counts, so that the last two passes don't read the source again.
 
 Missing numbers (null, NaN) take no part. A group without numbers has no row.
@@ -20,6 +20,7 @@ from batchloom.stored import stored
 
 LEVELS = (48, 32, 16, 0)  # bits that a bin leaves out
 _STEP = 16
+BIN_NUMBERS = 1 << _STEP
 _MANTISSA = 1 << 52
 
 
@@ -73,20 +74,29 @@ def quantiles(df: DataFrame, var: Sequence[str], probs: Sequence[float], by: Seq
     at = [p * (F.col("n") - 1) for p in probs]
     ranks = F.array(*[F.struct(F.lit(j).alias("p"), F.lit(side).alias("side"), (F.ceil(x) if side else F.floor(x)).cast("long").alias("rank"), x.alias("at")) for j, x in enumerate(at) for side in (0, 1)])
     held = F.filter(ranks, lambda r: (r["rank"] >= F.col("upto") - F.col("c")) & (r["rank"] < F.col("upto")))
-    state = first.select(*place, "bin", (F.col("upto") - F.col("c")).alias("before"), F.explode(held).alias("r")).select(*place, "bin", "r.p", "r.side", "r.at", "r.rank", (F.col("r.rank") - F.col("before")).alias("rest"))
-    state = stored(state)
+    state = first.select(*place, "bin", "c", (F.col("upto") - F.col("c")).alias("before"), F.explode(held).alias("r"))
+    state = stored(state.select(*place, "bin", "c", "r.p", "r.side", "r.at", (F.col("r.rank") - F.col("before")).alias("rest")))
     names = [f"s_{x}" for x in (*place, "bin")]
-    left = rows
+    left, count = rows, F.count("*")
     for level in range(1, len(LEVELS)):
         wanted = state.select(*place, "bin").distinct().toDF(*names)
         wanted = wanted if by else F.broadcast(wanted)  # without groups: a row for each variable and rank
         inside = left.withColumn("b", F.shiftright("key", LEVELS[level - 1])).join(wanted, _same([*place, "b"], names)).drop("b", *names)
+        if (state.agg(F.max("c")).first()[0] or 0) <= BIN_NUMBERS:  # every wanted bin is as short as a histogram
+            k = F.col("k") if level > 2 else F.lit(1).cast("long")
+            listed = inside.groupBy(*place, F.shiftright("key", LEVELS[level - 1]).alias("bin")).agg(F.array_sort(F.collect_list(F.struct("key", k.alias("k")))).alias("list")).toDF(*names, "list")
+            at = F.aggregate("list", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("key")), lambda u, e: F.when(u["n"] > F.col("rest"), u).otherwise(F.struct((u["n"] + e["k"]).alias("n"), e["key"].alias("key"))), lambda u: u["key"])
+            picked = F.get("list", F.col("rest").cast("int"))["key"] if level <= 2 else at
+            state = state.join(listed, _same([*place, "bin"], names)).select(*place, picked.alias("bin"), "p", "side", "at")
+            break
         if level == 2:
             left = inside = stored(inside.groupBy(*place, "key").agg(F.count("*").alias("k")))
-        finer = histogram(inside, level, F.sum("k") if level >= 2 else F.count("*"))
-        finer = finer.select(*[F.col(c).alias(f"s_{c}") for c in place], F.col("up").alias("s_bin"), F.col("bin").alias("finer"), "c", "upto")
-        state = state.join(finer, _same([*place, "bin"], names)).where((F.col("rest") >= F.col("upto") - F.col("c")) & (F.col("rest") < F.col("upto")))
-        state = stored(state.select(*place, F.col("finer").alias("bin"), "p", "side", "at", "rank", (F.col("rest") - F.col("upto") + F.col("c")).alias("rest")))
+            count = F.sum("k")
+        finer = histogram(inside, level, count)
+        finer = finer.select(*[F.col(c).alias(f"s_{c}") for c in place], F.col("up").alias("s_bin"), F.col("bin").alias("finer"), F.col("c").alias("n_finer"), "upto")
+        begins = F.col("upto") - F.col("n_finer")
+        state = state.join(finer, _same([*place, "bin"], names)).where((F.col("rest") >= begins) & (F.col("rest") < F.col("upto")))
+        state = stored(state.select(*place, F.col("finer").alias("bin"), F.col("n_finer").alias("c"), "p", "side", "at", (F.col("rest") - begins).alias("rest")))
     value = value_of(F.col("bin"))
     low, high = F.max(F.when(F.col("side") == 0, value)), F.max(F.when(F.col("side") == 1, value))
     share = F.max(F.col("at") - F.floor("at"))

@@ -203,7 +203,11 @@ def crosstab(df: DataFrame, rows: str, cols: str, sparse: bool = False, percents
     if sparse:  # the values of two class variables, each distinct
         if by:
             raise ValueError("SPARSE with BY groups")
-        every = out.select(rows).distinct().crossJoin(out.select(cols).distinct())
+        out = stored(out)
+        one, other = out.select(rows).distinct(), out.select(cols).distinct()
+        if one.count() * other.count() > TABLE_CELLS:
+            raise ValueError(f"SPARSE would make more than {TABLE_CELLS} cells of {rows} and {cols}")
+        every = one.crossJoin(other)
         out = every.join(out, [rows, cols], "left").fillna(0, ["COUNT"])
     if percents:
         out = _with_totals(out, by, _t_=(), _r_=(rows,), _c_=(cols,))
@@ -212,11 +216,11 @@ def crosstab(df: DataFrame, rows: str, cols: str, sparse: bool = False, percents
 
 
 def chi_square(df: DataFrame, rows: str, cols: str) -> DataFrame:
-    """CHISQ and MEASURES of a two-way table: N, DF, CHISQ, PHI, CONTINGENCY and CRAMER_V, in one row."""
-    cells = crosstab(df, rows, cols, sparse=True, percents=False)
-    cells = _with_totals(cells, (), _n_=(), _r_=(rows,), _c_=(cols,))
-    cells = cells.withColumn("_e_", F.try_divide(F.col("_r_") * F.col("_c_"), F.col("_n_")))
-    out = cells.agg(F.sum(F.try_divide((F.col("COUNT") - F.col("_e_")) ** 2, F.col("_e_"))).alias("CHISQ"), F.max("_n_").alias("N"), F.countDistinct(rows).alias("r"), F.countDistinct(cols).alias("c"))
+    """CHISQ of a two-way table: N, DF, CHISQ, PHI, CONTINGENCY and CRAMER_V, in one row. From the cells that occur and the margins: cells without observations add nothing to the sum of O * O / E."""
+    cells = _with_totals(crosstab(df, rows, cols, percents=False), (), _n_=(), _r_=(rows,), _c_=(cols,))
+    share = F.try_divide(F.col("COUNT").cast("double") * F.col("COUNT"), F.col("_r_").cast("double") * F.col("_c_"))
+    out = cells.agg((F.max("_n_") * (F.sum(share) - 1)).alias("CHISQ"), F.max("_n_").alias("N"), F.countDistinct(rows).alias("r"), F.countDistinct(cols).alias("c"))
+    out = out.withColumn("CHISQ", F.greatest(F.col("CHISQ"), F.when(F.col("CHISQ").isNotNull(), 0.0)))
     phi = F.sqrt(F.try_divide(F.col("CHISQ"), F.col("N")))
     return out.select(
         "N", ((F.col("r") - 1) * (F.col("c") - 1)).alias("DF"), "CHISQ", phi.alias("PHI"), F.sqrt(F.try_divide(F.col("CHISQ"), F.col("CHISQ") + F.col("N"))).alias("CONTINGENCY"),
@@ -224,10 +228,80 @@ def chi_square(df: DataFrame, rows: str, cols: str) -> DataFrame:
     )
 
 
-def report(df: DataFrame, group: Sequence[str], analysis: dict[str, str], totals: bool = False, order: bool = True) -> DataFrame:
-    """PROC REPORT: GROUP columns with ANALYSIS statistics (name of the variable to keyword); ``totals`` adds break and grand-total rows."""
+def upper_gamma(a: Column, x: Column, terms: int = 400) -> Column:
+    """The regularised upper incomplete gamma function of a (a multiple of 1/2, at least 1/2) and x >= 0, by its series below a + 1 and its continued fraction above. Both have as many terms as stated and a more."""
+    half = F.pmod(a * 2, F.lit(2.0)) == 1.0
+    steps = F.sequence(F.lit(1).cast("int"), F.floor(a).cast("int"))
+    below = F.when(F.floor(a) >= F.when(half, 1).otherwise(2), F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.when(a - i > 0, F.log(F.greatest(a - i, F.lit(0.5)))).otherwise(0.0))).otherwise(0.0)
+    log_gamma = below + F.when(half, F.lit(0.5723649429247001)).otherwise(0.0)  # log of the gamma function at 1/2
+    front = F.exp(a * F.log(F.greatest(x, F.lit(1e-300))) - x - log_gamma)
+    count = F.sequence(F.lit(1), F.lit(terms) + F.ceil(a).cast("int"))
+    series = F.aggregate(count, F.struct((1 / a).alias("t"), (1 / a).alias("s")), lambda u, n: F.struct((u["t"] * x / (a + n)).alias("t"), (u["s"] + u["t"] * x / (a + n)).alias("s")), lambda u: u["s"])
+    tiny = F.lit(1e-300)
+
+    def safe(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def lentz(u: Column, n: Column) -> Column:
+        an = -n * (n - a)
+        b = u["b"] + 2
+        d = 1 / safe(an * u["d"] + b)
+        c = safe(b + an / u["c"])
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (u["h"] * d * c).alias("h"))
+
+    b0 = x + 1 - a
+    first = F.struct(b0.alias("b"), F.lit(1e300).alias("c"), (1 / safe(b0)).alias("d"), (1 / safe(b0)).alias("h"))
+    fraction = F.aggregate(count, first, lentz, lambda u: u["h"])
+    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - front * series)).otherwise(F.least(F.lit(1.0), front * fraction))
+
+
+#: Most cells (row values times column values) of a table that ``association`` and SPARSE fill.
+TABLE_CELLS = 4_000_000
+
+
+def association(df: DataFrame, rows: str, cols: str) -> DataFrame:
+    """MEASURES of a two-way table of ordered values: (STATISTIC, VALUE) with Pearson's chi-square and its p-value, gamma, Kendall's tau-b, Stuart's tau-c, Somers' D both ways, and Spearman's correlation of mid-ranks.
+
+    Concordant and discordant pairs come from sums over the cells above and to one side of each cell: two windows over the table, whose number of cells is checked first; rows are counted once.
+    """
+    cells = stored(crosstab(df, rows, cols, percents=False).select(F.col(rows).alias("i"), F.col(cols).alias("j"), F.col("COUNT").cast("double").alias("n")))
+    r, c = (stored(cells.groupBy(k).agg(F.sum("n").alias(f"n{k}"))) for k in "ij")
+    if r.count() * c.count() > TABLE_CELLS:
+        raise ValueError(f"MEASURES of a table of more than {TABLE_CELLS} cells")
+
+    def ranked(m: DataFrame, k: str) -> DataFrame:  # as many rows as the variable has values
+        w = Window.orderBy(k).rowsBetween(Window.unboundedPreceding, -1)
+        return m.withColumn(f"r{k}", F.coalesce(F.sum(f"n{k}").over(w), F.lit(0.0)) + (F.col(f"n{k}") + 1) / 2)
+
+    table = ranked(r, "i").join(F.broadcast(ranked(c, "j"))).join(cells, ["i", "j"], "left").fillna(0.0, ["n"])  # as many cells as checked above
+    left = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy("i").orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("j").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.withColumns({"_l_": F.sum("n").over(left), "_g_": F.sum("n").over(right)})
+    table = table.withColumns({"same": F.coalesce(F.sum("_l_").over(up), F.lit(0.0)), "against": F.coalesce(F.sum("_g_").over(up), F.lit(0.0))})
+    n, ri, rj = F.col("n"), F.col("ri"), F.col("rj")
+    one = table.agg(
+        F.sum(n).alias("N"), F.sum(n * F.col("same")).alias("C"), F.sum(n * F.col("against")).alias("D"), F.sum(n * F.col("ni")).alias("RR"), F.sum(n * F.col("nj")).alias("CC"), F.countDistinct("i").cast("double").alias("R"), F.countDistinct("j").cast("double").alias("K"),
+        F.sum(n * ri * rj).alias("xy"), F.sum(n * ri * ri).alias("xx"), F.sum(n * rj * rj).alias("yy"), (F.sum(n) * (F.sum(F.try_divide(n * n, F.col("ni") * F.col("nj"))) - 1)).alias("X"),
+    )
+    N, C, D, RR, CC, R, K = (F.col(x) for x in ("N", "C", "D", "RR", "CC", "R", "K"))
+    m, mean = F.least(R, K), (N + 1) / 2
+    spearman = F.try_divide(F.col("xy") - N * mean * mean, F.sqrt((F.col("xx") - N * mean * mean) * (F.col("yy") - N * mean * mean)))
+    free = (R - 1) * (K - 1)
+    values = {
+        "CHISQ": F.col("X"), "DF": free, "PROB": F.when(free > 0, upper_gamma(F.greatest(free, F.lit(1.0)) / 2, F.col("X") / 2)), "GAMMA": F.try_divide(C - D, C + D), "KENDALL_TAU_B": F.try_divide(2 * (C - D), F.sqrt((N * N - RR) * (N * N - CC))),
+        "STUART_TAU_C": F.try_divide(2 * m * (C - D), N * N * (m - 1)), "SOMERS_D_C_R": F.try_divide(2 * (C - D), N * N - RR), "SOMERS_D_R_C": F.try_divide(2 * (C - D), N * N - CC), "SPEARMAN": spearman,
+    }
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("STATISTIC"), v.cast("double").alias("VALUE")) for k, v in values.items()])).alias("x")).select("x.*")
+
+
+def report(df: DataFrame, group: Sequence[str], analysis: dict[str, str], totals: bool = False, order: bool = True, breaks: Sequence[int] = ()) -> DataFrame:
+    """PROC REPORT: GROUP columns with ANALYSIS statistics (name of the variable to keyword). ``totals`` adds all break rows and the grand total, ``breaks`` those of single
+    BREAK and RBREAK statements: summaries by the first n group columns (0: the grand total). ``_BREAK_`` tells the rows apart."""
     aggs = [STATISTICS[k.upper()](F.col(v)).alias(v) for v, k in analysis.items()]
-    out = (df.rollup(*group) if totals else df.groupBy(*group)).agg(*aggs, *([F.grouping_id().cast("long").alias("_BREAK_")] if totals else []))
+    sets = [[F.col(g) for g in group[:n]] for n in dict.fromkeys((len(group), *breaks))]
+    grouped = df.rollup(*group) if totals else df.groupingSets(sets, *[F.col(g) for g in group]) if breaks else df.groupBy(*group)
+    out = grouped.agg(*aggs, *([F.grouping_id().cast("long").alias("_BREAK_")] if totals or breaks else []))
     return out.orderBy(*[F.col(g).asc_nulls_last() for g in group]) if order else out
 
 
@@ -268,3 +342,75 @@ def univariate(df: DataFrame, var: str | Sequence[str], by: Sequence[str] = ())
         return wide.select(*by, *[F.col(f"_0_{k}").alias(k) for k in UNIVARIATE])
     rows = F.array(*[F.struct(F.lit(v).alias("_VAR_"), *[F.col(f"_{i}_{k}").cast("double").alias(k) for k in UNIVARIATE]) for i, v in enumerate(names)])
     return wide.select(*by, F.explode(rows).alias("_x_")).select(*by, "_x_.*")
+
+
+#: Most ranges that are broadcast; longer tables are merged with the values in order.
+FORMAT_RANGES = 20_000
+GROUP_RANGES = 64
+
+
+def range_table(ranges: DataFrame, start: str, end: str, label: str, with_start: str | None = None, with_end: str | None = None) -> DataFrame:
+    """(low, high, closed_low, closed_high, label) of a table of ranges, written once; a null start or end is open. Ranges that overlap are refused."""
+    from batchloom.operators import scans
+
+    lows, highs = (F.coalesce(F.col(c).cast("double"), F.lit(x)) for c, x in ((start, float("-inf")), (end, float("inf"))))
+    closed = [F.lit(True) if c is None else F.coalesce(F.col(c).cast("boolean"), F.lit(True)) for c in (with_start, with_end)]
+    table = ranges.select(lows.alias("low"), highs.alias("high"), closed[0].alias("closed_low"), closed[1].alias("closed_high"), F.col(label).cast("string").alias("label"))
+    rows = scans.placed(table, ["low", F.desc("closed_low"), "high"]).rows
+    before = scans.queued(rows, "before", F.struct("high", "closed_high"), 1)
+    touch = (F.col("before.high") == F.col("low")) & F.col("before.closed_high") & F.col("closed_low")
+    bad = before.where((F.col("before.high") > F.col("low")) | touch | (F.col("high") < F.col("low"))).select("low", "high").limit(1).collect()
+    if bad:
+        raise ValueError(f"the range from {bad[0][0]} to {bad[0][1]} overlaps the one before it or is empty")
+    return rows.drop("_p_", "_k_")
+
+
+def format_ranges(df: DataFrame, x: str, table: DataFrame, out: str, other: str | None = None) -> DataFrame:
+    """Adds the label of the range that holds ``x`` (``other`` where none does) from a table that ``range_table`` made.
+
+    Up to FORMAT_RANGES ranges are sorted and cut into groups of GROUP_RANGES, which are broadcast; bisection finds the group among the groups' first ranges, a literal array, then the range in its group. Beyond that, ranges and values are put in one order and each value takes the last range that begins
+    at or before it, carried over range partitions, so neither side is held whole.
+    """
+    from batchloom.operators import scans
+
+    n = table.count()
+    missing = F.lit(other).cast("string")
+    v = F.col(x).cast("double")
+    if 0 < n <= FORMAT_RANGES:
+        place = F.row_number().over(Window.orderBy("low", F.desc("closed_low"))) - 1  # FORMAT_RANGES rows at most
+        groups = table.withColumn("_g_", F.floor(place / GROUP_RANGES).cast("int")).groupBy("_g_").agg(F.array_sort(F.collect_list(F.struct("low", (~F.col("closed_low")).alias("open"), "high", "closed_high", "label"))).alias("_r_"))
+        groups = stored(groups)
+        heads = groups.select("_g_", F.get("_r_", F.lit(0)).alias("h")).select("_g_", "h.low", "h.open").orderBy("_g_").collect()  # FORMAT_RANGES / GROUP_RANGES rows at most
+        lows = F.split(F.lit(",".join(repr(h.low) for h in heads)), ",").cast("array<double>")
+        opens = F.split(F.lit(",".join(str(h.open).lower() for h in heads)), ",").cast("array<boolean>")
+
+        def last(size: Column, turns: int, begins) -> Column:
+            """The last place whose range begins at or before v, by bisection; -1 if none does."""
+
+            def step(s: Column, _: Column) -> Column:
+                mid = F.shiftright(s["a"] + s["b"], 1)
+                return F.when(s["a"] >= s["b"], s).when(begins(mid), F.struct((mid + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), mid.alias("b")))
+
+            return F.aggregate(F.sequence(F.lit(0), F.lit(turns)), F.struct(F.lit(0).alias("a"), size.alias("b")), step, lambda s: s["a"] - 1)
+
+        def before(low: Column, open_: Column) -> Column:
+            return (low < v) | (low == v) & ~open_
+
+        number = v.isNotNull() & ~F.isnan(v)
+        joined = df.withColumn("_at_", F.when(number, last(F.lit(len(heads)), len(heads).bit_length(), lambda i: before(F.get(lows, i), F.get(opens, i)))))
+        joined = joined.join(F.broadcast(groups), F.col("_at_") == F.col("_g_"), "left")
+        inner = last(F.size("_r_"), GROUP_RANGES.bit_length(), lambda i: before(F.get("_r_", i)["low"], F.get("_r_", i)["open"]))
+        found = F.get("_r_", F.when(F.col("_r_").isNotNull(), inner))
+        inside = (found["high"] > v) | (found["high"] == v) & found["closed_high"]
+        return joined.select(*df.columns, F.when(inside, found["label"]).otherwise(missing).alias(out))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    values = df.toDF(*names).withColumn("_v_", F.col(names[df.columns.index(x)]).cast("double"))
+    known = values.where(F.col("_v_").isNotNull() & ~F.isnan("_v_"))
+    # at one number: ranges that begin there, then values, then ranges that begin just above it
+    marks = table.select(F.col("low").alias("_v_"), F.when(F.col("closed_low"), 0).otherwise(2).alias("_o_"), F.struct("high", "closed_high", "label").alias("_mark_"))
+    every = known.withColumn("_o_", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("_h_", F.xxhash64(*names))
+    rows = scans.carried(scans.placed(every, ["_v_", "_o_", "_h_"]).rows, {"_last_": scans.Carry("last", F.col("_mark_"))}).where("_o_ = 1")
+    inside = (F.col("_last_.high") > F.col("_v_")) | (F.col("_last_.high") == F.col("_v_")) & F.col("_last_.closed_high")
+    done = rows.select(*names, F.when(inside, F.col("_last_.label")).otherwise(missing).alias(out))
+    rest = values.where(F.col("_v_").isNull() | F.isnan("_v_")).select(*names, missing.alias(out))
+    return done.unionByName(rest).toDF(*df.columns, out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchloom.lang.program import Program
 from batchloom.operators import orderstats, scans
 from batchloom.operators import summaries as s
 from batchloom.plans.registry import Tables, query, rounded
@@ -68,3 +69,104 @@ def recurrence_over_all_rows(t: Tables):
     """A decaying level between 0 and 300 along all events: one group that holds every row."""
     out = scans.bounded_recurrence(t.events, [], ["ts", "event_id"], F.lit(0.9), F.col("value") - 10, "s", 50.0, F.lit(0.0), F.lit(300.0))
     return out.select("event_id", F.round("s", 6).alias("s"))
+
+
+# program text
+def _text(t: Tables, program: str, result: str, *names: str):
+    return Program(t.spark, {n: getattr(t, n) for n in names}).run(program).frame(result)
+
+
+@query(f"""SELECT event_id, round(100 + sum(value) OVER w, 4) AS total, CAST(row_number() OVER w AS DOUBLE) AS n, coalesce(last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w, -1) AS last_error FROM events {_ALL}""")
+def retain_text(t: Tables):
+    """RETAIN and sum statements without BY run along the whole sorted dataset."""
+    out = _text(t, f"{_BY_TIME} data r; set s; retain total 100 last_error -1; total + value; n + 1; if event_type = 'error' then last_error = event_id; keep event_id total n last_error; run;", "r", "events")
+    return out.select("event_id", F.round("total", 4).alias("total"), F.col("n").cast("double").alias("n"), "last_error")
+
+
+@query("""WITH x AS (SELECT *, CASE WHEN event_type = 'error' THEN lag(value) OVER (PARTITION BY event_type = 'error' ORDER BY user_id, ts, event_id) END AS d FROM events) SELECT event_id, lag(value, 2) OVER (ORDER BY user_id, ts, event_id) AS a, d FROM x""")
+def lag_text_guarded(t: Tables):
+    """LAG2 spans the groups of BY; LAG inside IF counts the rows that reach it."""
+    return _text(t, "proc sort data=events out=s; by user_id ts event_id; run; data r; set s; by user_id; a = lag2(value); if event_type = 'error' then d = lag(value); keep event_id a d; run;", "r", "events")
+
+
+@query("""WITH RECURSIVE x AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, i, greatest(0.0, 5 * 0.8 + value / 2 - 40) AS s FROM x WHERE i = 1 UNION ALL SELECT x.event_id, x.i, greatest(0.0, r.s * 0.8 + x.value / 2 - 40) FROM r JOIN x ON x.i = r.i + 1) SELECT event_id, round(s, 6) AS s FROM r""")
+def recurrence_text(t: Tables):
+    out = _text(t, f"{_BY_TIME} data r; set s; retain s 5; s = max(0, s * 0.8 + value / 2 - 40); keep event_id s; run;", "r", "events")
+    return out.select("event_id", F.round("s", 6).alias("s"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_totalprice, 1 + CAST(floor(ln(o_totalprice / 1000) / ln(2)) AS INTEGER) AS k FROM orders WHERE o_totalprice >= 1000)
+SELECT o_orderkey, CAST(coalesce(k, 0) AS DOUBLE) AS halvings, o_totalprice / power(2, coalesce(k, 0)) AS rest FROM orders LEFT JOIN n USING (o_orderkey, o_totalprice)""")
+def do_while_text(t: Tables):
+    """How often a price can be halved before it is below 1000."""
+    return _text(t, "data r; set orders; rest = o_totalprice; halvings = 0; do while (rest >= 1000); rest = rest / 2; halvings = halvings + 1; end; keep o_orderkey halvings rest; run;", "r", "orders")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(i AS DOUBLE) AS i, l_extendedprice / l_quantity * i AS part FROM lineitem, unnest(range(1, CAST(l_quantity AS BIGINT) + 1, 7)) AS u(i) WHERE l_extendedprice / l_quantity * i <= 20000")
+def do_bounds_text(t: Tables):
+    """A loop bounded by a column, with OUTPUT and LEAVE inside."""
+    return _text(t, "data r; set lineitem; do i = 1 to l_quantity by 7; part = l_extendedprice / l_quantity * i; if part > 20000 then leave; output; end; keep l_orderkey l_linenumber i part; run;", "r", "lineitem")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus IN ('O', 'P') AND o_totalprice > 200000 THEN 'large' WHEN o_orderstatus IN ('O', 'P') THEN 'open' ELSE 'none' END AS state, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_totalprice * 2 END AS twice FROM orders""")
+def select_when_text(t: Tables):
+    """SELECT/WHEN, and RETURN, which skips the rest of the step for a row."""
+    program = """data r; length state $ 8; set orders;
+    select (o_orderstatus); when ('F') state = 'done'; when ('O', 'P') do; if o_totalprice > 200000 then state = 'large'; else state = 'open'; end; otherwise state = 'none'; end;
+    if substr(o_orderpriority, 1, 1) = '1' then return; twice = o_totalprice * 2; keep o_orderkey state twice; run;"""
+    return _text(t, program, "r", "orders")
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER () AS n FROM orders), s AS (SELECT min(i) AS stop FROM x WHERE o_totalprice > 350000)
+SELECT o_orderkey, CAST(i = n AS INTEGER) AS is_last FROM x, s WHERE i < coalesce(stop, n + 1)""")
+def stop_text(t: Tables):
+    """STOP at the first large order; END= marks the last row of the input."""
+    return _text(t, "proc sort data=orders out=s; by o_orderdate o_orderkey; run; data r; set s end=eof; is_last = eof; if o_totalprice > 350000 then stop; keep o_orderkey is_last; run;", "r", "orders")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 6) AS x1, round(l_tax * 2, 6) AS x2, round(l_discount, 6) AS x3, round(l_quantity * 2 + l_tax * 2 + l_discount, 6) AS total FROM lineitem WHERE l_quantity > 10 AND l_tax < 0.05")
+def variable_lists_text(t: Tables):
+    """Numbered and prefix lists in KEEP, DROP, ARRAY and SUM(OF), and WHERE ALSO."""
+    program = """data a; set lineitem; x1 = l_quantity; x2 = l_tax; x3 = l_discount; yy = 1; yz = 2; keep l_orderkey l_linenumber l_quantity l_tax x1-x3 y:; run;
+    data r; set a(drop=y:); where l_quantity > 10; where also l_tax < 0.05; array v{*} x1-x2; do i = 1 to dim(v); v{i} = v{i} * 2; end; total = sum(of x1-x3); drop l_quantity l_tax; run;"""
+    return rounded(_text(t, program, "r", "lineitem").drop("i"), 6).select("l_orderkey", "l_linenumber", "x1", "x2", "x3", "total")
+
+
+# tables and formats
+@query("""WITH x AS (SELECT l_returnflag AS i, CAST(l_quantity / 10 AS INTEGER) AS j, l_linestatus FROM lineitem), c AS MATERIALIZED (SELECT i, j, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY ALL),
+r AS (SELECT i, sum(n) AS n, sum(sum(n)) OVER (ORDER BY i) - (sum(n) - 1) / 2 AS k FROM c GROUP BY i), k AS (SELECT j, sum(n) AS n, sum(sum(n)) OVER (ORDER BY j) - (sum(n) - 1) / 2 AS k FROM c GROUP BY j),
+p AS (SELECT sum(CASE WHEN (a.i < b.i AND a.j < b.j) THEN a.n * b.n ELSE 0 END) AS con, sum(CASE WHEN a.i < b.i AND a.j > b.j THEN a.n * b.n ELSE 0 END) AS dis FROM c a, c b),
+t AS (SELECT (SELECT sum(n) FROM c) AS n, (SELECT sum(n * n) FROM r) AS rr, (SELECT sum(n * n) FROM k) AS kk, (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM k) AS nk, (SELECT sum(c.n * c.n / (r.n * k.n)) FROM c JOIN r USING (i) JOIN k USING (j)) AS s,
+ (SELECT corr(r.k, k.k) FROM x JOIN r USING (i) JOIN k USING (j)) AS rho)
+SELECT s.* FROM p, t, (VALUES (1)) o, LATERAL (SELECT * FROM (VALUES ('CHISQ', round(t.n * (t.s - 1), 4)), ('DF', CAST((nr - 1) * (nk - 1) AS DOUBLE)), ('GAMMA', round((con - dis) / (con + dis), 8)), ('KENDALL_TAU_B', round(2 * (con - dis) / sqrt((n * n - rr) * (n * n - kk)), 8)),
+ ('STUART_TAU_C', round(2 * least(nr, nk) * (con - dis) / (n * n * (least(nr, nk) - 1)), 8)), ('SOMERS_D_C_R', round(2 * (con - dis) / (n * n - rr), 8)), ('SOMERS_D_R_C', round(2 * (con - dis) / (n * n - kk), 8)), ('SPEARMAN', round(rho, 8))) AS v(STATISTIC, VALUE)) s""")
+def freq_measures(t: Tables):
+    """Rank association of return flag and quantity band, as program text."""
+    x = t.lineitem.select("l_returnflag", F.bround(F.col("l_quantity") / 10, 0).cast("int").alias("band"))
+    out = Program(t.spark, {"x": x}).run("proc freq data=x; tables l_returnflag*band / measures out=r; run;").frame("r")
+    return out.where("STATISTIC <> 'PROB'").select("STATISTIC", F.when(F.col("STATISTIC") == "CHISQ", F.round("VALUE", 4)).otherwise(F.round("VALUE", 8)).alias("VALUE"))
+
+
+_BANDS = "SELECT o_orderkey AS k, CAST(o_orderkey * 25 AS DOUBLE) AS low, CAST(o_orderkey * 25 + 20 AS DOUBLE) AS high, 'band ' || o_orderkey AS label FROM orders"
+_BANDED = f"""WITH b AS ({_BANDS}) SELECT l_orderkey, l_linenumber, coalesce(label, 'none') AS band FROM lineitem LEFT JOIN b ON k = CAST(floor(l_extendedprice / 25) AS BIGINT) AND l_extendedprice <= high"""
+
+
+def _bands(t: Tables):
+    return s.range_table(t.orders.selectExpr("o_orderkey * 25.0D AS low", "o_orderkey * 25.0D + 20 AS high", "concat('band ', o_orderkey) AS label"), "low", "high", "label")
+
+
+@query(_BANDED)
+def format_ranges_from_table(t: Tables):
+    """A format with a range for each order, searched by bisection in sorted arrays."""
+    return s.format_ranges(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", _bands(t), "band", "none").drop("l_extendedprice")
+
+
+@query(_BANDED)
+def format_ranges_in_order(t: Tables):
+    """The same with ranges and values merged in order, as for range tables of any size."""
+    most, s.FORMAT_RANGES = s.FORMAT_RANGES, 0
+    try:
+        return s.format_ranges(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", _bands(t), "band", "none").drop("l_extendedprice")
+    finally:
+        s.FORMAT_RANGES = most

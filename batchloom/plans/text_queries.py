@@ -190,7 +190,7 @@ def sql_insert_update_delete(t: Tables):
 
 
 # DATA steps
-@query("SELECT event_id, lag(value) OVER w AS a, lag(value, 2) OVER w AS b, value - lag(value) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("SELECT event_id, lag(value) OVER w AS a, lag(value, 2) OVER w AS b, value - lag(value) OVER w AS d FROM events WINDOW w AS (ORDER BY user_id, ts, event_id)")
 def lag_text(t: Tables):
     return _run(t, "proc sort data=events out=s; by user_id ts event_id; run; data r; set s; by user_id; a = lag(value); b = lag2(value); d = dif(value); keep event_id a b d; run;", "r", "events")
 

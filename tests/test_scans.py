@@ -20,7 +20,10 @@ def test_keys_keep_the_order_of_numbers(spark):
     assert [g.key for g in sorted(got, key=lambda g: g.x)] == sorted(g.key for g in got)
 
 
-def test_quantiles_modes_and_extremes(spark):
+@pytest.mark.parametrize("listed", [0, 20, 1 << 16])
+def test_quantiles_modes_and_extremes(spark, monkeypatch, listed):
+    """With all histograms, with some, and with the numbers of the first bins listed."""
+    monkeypatch.setattr(orderstats, "BIN_NUMBERS", listed)
     r = random.Random(2)
     rows = [(r.choice(["a", "b", None]), r.choice([None, float("nan"), r.gauss(0, 5), float(r.randint(0, 3)), -1e9]), float(r.randint(0, 9)), i) for i in range(700)] + [("hot", 7.25, 1.0, 1000 + i) for i in range(500)] + [("none", None, None, 5000)]
     df = spark.createDataFrame(rows, "g string, x double, y double, id long")
