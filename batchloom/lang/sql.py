@@ -64,7 +64,7 @@ def _function(name: str, a: list[str], program: Program) -> str | None:
         if name in ("put", "input") and i == 1:
             values.append(x.replace(" ", ""))
         elif re.fullmatch(r"'(?:\\'|[^'])*'", x):
-            values.append(x[1:-1].replace("\\'", "'"))
+            values.append(x[1:-1].replace("\\u0027", "'").replace("\\u005C", "\\"))
         elif re.fullmatch(r"-?\d+", x):
             values.append(int(x))
         elif re.fullmatch(r"-?\d*\.\d+", x):
@@ -84,29 +84,34 @@ def _function(name: str, a: list[str], program: Program) -> str | None:
     return re.sub(r"_a(\d+)_", lambda m: f"({a[int(m[1])]})", sql)
 
 
-#: An operand of a comparison that stands alone: a name or a number.
-_OPERAND = r"(?:[A-Za-z_]\w*(?:\.\w+)?|\d+(?:\.\d+)?)"
-_WORDS = {"and", "or", "not", "when", "then", "else", "where", "on", "having", "between", "in", "is", "null", "select", "case", "end", "as", "by", "like"}
+_WORDS = {"and", "or", "not", "when", "then", "else", "where", "on", "having", "between", "in", "is", "null", "select", "case", "end", "as", "by", "like", "exists", "any", "all", "from", "distinct"}
+#: An operand of a comparison: names, numbers, held literals and calls without inner parentheses, and sums and products of them.
+_ATOM = r"(?:[A-Za-z_]\w*(?:\.\w+)?(?:\([^()]*\))?|\d+(?:\.\d+)?|\x00\d+\x00)"
+_OPERAND = rf"{_ATOM}(?:\s*[-+*/]\s*{_ATOM})*"
 
 
 def with_missing(text: str) -> str:
-    """Comparisons of names and numbers with the dialect's rule: a missing value is less than every number, and unequal to it."""
+    """Comparisons with the dialect's rule: a missing value is less than every number, equal to itself and unequal to all others; it is in no list."""
+
+    def constant(x: str) -> bool:
+        return not re.search(r"[A-Za-z_]", re.sub(r"\x00\d+\x00", "", x))
 
     def test(m: re.Match) -> str:
         a, sign, b = m["a"], m["sign"], m["b"]
-        if {a.lower(), b.lower()} & _WORDS or a[0].isdigit() and b[0].isdigit():
+        if any(w.lower() in _WORDS for w in re.findall(r"[A-Za-z_]\w*", f"{a} {b}")) or constant(a) and constant(b):
             return m[0]
         if sign in (">", ">="):
             a, b, sign = b, a, sign.replace(">", "<")
         whole = f"{a} {sign} {b}"
-        if sign == "<>":
-            return f"(NOT ({a} <=> {b}))"
-        if a[0].isdigit():
+        if sign in ("<>", "="):
+            return f"(NOT ({a} <=> {b}))" if sign == "<>" else f"({a} <=> {b})"
+        if constant(a):
             return f"coalesce({whole}, false)"
-        return f"coalesce({whole}, {a} IS NULL{'' if b[0].isdigit() or sign == '<=' else f' AND {b} IS NOT NULL'})"
+        return f"coalesce({whole}, ({a}) IS NULL{'' if constant(b) or sign == '<=' else f' AND ({b}) IS NOT NULL'})"
 
-    pattern = rf"(?<![\w.'+*/\-)`])(?P<a>{_OPERAND})\s*(?P<sign><=|>=|<>|<|>)\s*(?P<b>{_OPERAND})(?![\w.('`]|\s*[-+*/(])(?<!\bdate)(?<!\btimestamp)"
-    return re.sub(pattern, test, text, flags=re.I)
+    pattern = rf"(?<![\w.'+*/\-)`\x00])(?P<a>{_OPERAND})\s*(?P<sign><=|>=|<>|<|>|=)\s*(?P<b>{_OPERAND})(?![\w.('`]|\s*[-+*/(])(?<!\bdate)(?<!\btimestamp)"
+    text = re.sub(pattern, test, text, flags=re.I)
+    return re.sub(rf"(?<![\w.'+*/\-)`\x00])({_OPERAND})\s+not\s+in\s*(\((?!\s*select\b)[^()]*\))", lambda m: f"coalesce({m[1]} NOT IN {m[2]}, true)", text, flags=re.I)
 
 
 def rewrite(text: str, program: Program) -> str:
@@ -123,10 +128,11 @@ def rewrite(text: str, program: Program) -> str:
             d = re.fullmatch(r"(\d{1,2})([A-Za-z]{3})(\d{4})(?::(.+))?", body.strip())
             day = f"{d[3]}-{_MONTHS[d[2].upper()]:02d}-{int(d[1]):02d}"
             return hold(f"DATE'{day}'" if kind == "d" else f"TIMESTAMP'{day} {d[4]}'")
-        return hold("'" + body.replace("'", "\\'") + "'")
+        return hold("'" + body.replace("\\", "\\u005C").replace("'", "\\u0027") + "'")  # the dialect has no escapes
 
     text = re.sub(r"(['\"])((?:(?!\1).)*)\1(dt|d)?(?!\w)", literal, text + " ", flags=re.I | re.S) if "'" in text or '"' in text else text
     text = re.sub(r"\bcalculated\s+", "", text, flags=re.I)
+    text = re.sub(rf"({_ATOM})\s+(not\s+)?(?:contains\b|\?)\s*(\x00\d+\x00)", lambda m: f"({'NOT ' if m[2] else ''}contains(coalesce({m[1]}, ''), {m[3]}))", text, flags=re.I)
     text = re.sub(r"(\^=|~=|<>|\bne\b)\s*\.(?![\w.])", " IS NOT NULL", text, flags=re.I)
     text = re.sub(r"(=|\beq\b)\s*\.(?![\w.])", " IS NULL", text, flags=re.I)
     for word, sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
@@ -221,7 +227,7 @@ def remerged(text: str) -> str:
     keys = {re.sub(r"\s+", " ", k.strip().lower().rsplit(".", 1)[-1]) for k in c.get("group by", "").split(",") if k.strip()}
     keys = {re.sub(r"^calculated ", "", k) for k in keys}
     named = [(re.sub(r"\s+as\s+\w+$", "", x, flags=re.I).strip(), m[1].lower() if (m := re.search(r"\s+as\s+(\w+)$", x, re.I)) else "") for x in items]
-    some = any(_aggregates(x) for x, _ in named)
+    some = any(_aggregates(x) for x, _ in named) or bool(_aggregates(c.get("having", "")))
 
     def free(x: str, alias: str) -> bool:
         outside = x
@@ -235,6 +241,16 @@ def remerged(text: str) -> str:
     if not some or not any(free(x, a) for x, a in named):
         return text
     by = c.get("group by", "")
+    if not by:  # one row of statistics, not a window over all rows
+        source = f"from {c['from']}" + (f" where {c['where']}" if "where" in c else "")
+
+        def scalar(x: str) -> str:
+            for a, b in reversed(_aggregates(x)):
+                x = f"{x[:a]}(select {x[a:b]} {source}){x[b:]}"
+            return x
+
+        kept = f" where ({c['where']}) and ({scalar(c['having'])})" if "having" in c and "where" in c else f" where {scalar(c['having'])}" if "having" in c else f" where {c['where']}" if "where" in c else ""
+        return f"select {', '.join(map(scalar, items))} from {c['from']}{kept}" + (f" order by {c['order by']}" if "order by" in c else "")
     made = ", ".join(_over(x, by) for x in items)
     out = f"select {made}" + (f", ({_over(c['having'], by)}) as _having_" if "having" in c else "") + f" from {c['from']}" + (f" where {c['where']}" if "where" in c else "")
     if "having" in c:
@@ -242,8 +258,41 @@ def remerged(text: str) -> str:
     return out + (f" order by {c['order by']}" if "order by" in c else "")
 
 
+def with_calculated(text: str) -> str:
+    """CALCULATED names in WHERE become their expressions."""
+    c = _clauses(text.strip())
+    if not re.search(r"\bcalculated\b", c.get("where", ""), re.I):
+        return text
+    named = {m[2].lower(): m[1].strip() for x in arguments(f"({c['select']})", 0)[0] if (m := re.fullmatch(r"(.*?)\s+as\s+(\w+)", x.strip(), re.I | re.S))}
+    where = c["where"]
+    for _ in range(len(named) + 1):
+        where = re.sub(r"\bcalculated\s+(\w+)", lambda m: f"({named[m[1].lower()]})" if m[1].lower() in named else m[0], where, flags=re.I)
+    return text.replace(c["where"], where, 1)
+
+
+def corresponding(parts: list[DataFrame], kind: str, every: bool) -> DataFrame:
+    """UNION, EXCEPT and INTERSECT CORR: by the columns that both sides have."""
+    out = parts[0]
+    for other in parts[1:]:
+        common = [c for c in out.columns if c.lower() in {x.lower() for x in other.columns}]
+        a, b = out.select(*common), other.select(*common)
+        if kind == "union":
+            out = a.unionByName(b) if every else a.unionByName(b).distinct()
+        elif kind == "except":
+            out = a.exceptAll(b) if every else a.subtract(b)
+        else:
+            out = a.intersectAll(b) if every else a.intersect(b)
+    return out
+
+
 def select(program: Program, text: str, inobs: int | None = None) -> DataFrame:
     """The frame of a SELECT."""
+    for kind in ("union", "except", "intersect"):
+        for every in (True, False):
+            found = re.split(rf"(?<!outer )\b{kind}\s+{'(?:all|corr(?:esponding)?)' if every else ''}{chr(92) + 's+' if every else ''}{'(?:all|corr(?:esponding)?)' if every else 'corr(?:esponding)?'}\b", text, flags=re.I)
+            if len(found) > 1:
+                return corresponding([select(program, p, inobs) for p in found], kind, every)
+    text = with_calculated(text)
     parts = re.split(r"\bouter\s+union\s+corr(?:esponding)?\b", text, flags=re.I)
     if len(parts) > 1:
         return merging.outer_union_corr(*[select(program, p, inobs) for p in parts])
@@ -318,21 +367,77 @@ def ordered(program: Program, text: str, limits: dict[str, int]) -> tuple[DataFr
     return df, order
 
 
+#: Most values that INTO reads into macro variables.
+INTO_VALUES = 10_000
+
+
+def into(program: Program, df: DataFrame, targets: str) -> None:
+    """INTO :a, :b SEPARATED BY 'x', :c1 - :c9. More than INTO_VALUES rows for a list are refused; without a list the first rows are read."""
+    names = re.findall(r":\s*(\w+)(?:\s*-\s*:?\s*(\w+))?(?:\s+separated\s+by\s+(?:'([^']*)'|\"([^\"]*)\"))?(?:\s+notrim)?\s*(?:,|$)", targets, re.I)
+    if len(names) != len(arguments(f"({targets})", 0)[0]) or len(names) > len(df.columns):
+        raise UnsupportedConstruct(f"INTO {targets}")
+    many = bool(re.search(r"\bseparated\s+by\b", targets, re.I))
+    count = 0 if many else max((int(re.sub(r"\D", "", b)) for _, b, _, _ in names if b), default=1)
+    rows = df.limit(INTO_VALUES + 1 if many else count).collect()
+    if len(rows) > INTO_VALUES:
+        raise UnsupportedConstruct(f"INTO {targets}: more than {INTO_VALUES} values")
+    for i, ((name, last, one, two), part) in enumerate(zip(names, arguments(f"({targets})", 0)[0], strict=True)):
+        values = ["" if r[i] is None else str(r[i]) for r in rows]
+        if re.search(r"\bseparated\s+by\b", part, re.I):
+            program.macros.variables[name.lower()] = (one or two).join(v for r, v in zip(rows, values, strict=True) if r[i] is not None)
+        elif last:
+            base, first = re.fullmatch(r"(\w*?)(\d+)", name).groups()
+            for k, v in enumerate(values[: int(re.sub(r"\D", "", last)) - int(first) + 1]):
+                program.macros.variables[f"{base.lower()}{int(first) + k}"] = v
+        elif values:
+            program.macros.variables[name.lower()] = values[0]
+
+
+def insert(program: Program, name: str, columns: str | None, rest: str) -> None:
+    """INSERT INTO with VALUES or SET, once or several times; columns that are not named are missing."""
+    base = program.frame(name)
+    named = [c.strip().lower() for c in columns.strip("()").split(",")] if columns else [c.lower() for c in base.columns]
+    rows: list[dict[str, str]] = []
+    while rest := rest.strip().lstrip(","):
+        if m := re.match(r"values\s*(?=\()", rest, re.I):
+            values, end = arguments(rest, m.end())
+            if len(values) != len(named):
+                raise UnsupportedConstruct(f"INSERT INTO {name}: {len(values)} values for {len(named)} columns")
+            rows.append(dict(zip(named, values, strict=True)))
+        elif m := re.match(r"set\s+((?:(?!\bset\s+\w+\s*=)(?:'[^']*'|\"[^\"]*\"|.))*)", rest, re.I | re.S):
+            rows.append({k.strip().lower(): v.strip() for k, _, v in (x.partition("=") for x in arguments(f"({m[1]})", 0)[0])})
+            end = m.end()
+        else:
+            raise UnsupportedConstruct(f"INSERT INTO {name} {rest}")
+        rest = rest[end:]
+    unknown = {k for r in rows for k in r} - {c.lower() for c in base.columns}
+    if unknown:
+        raise UnsupportedConstruct(f"INSERT INTO {name}: no column {', '.join(sorted(unknown))}")
+    value = lambda r, c: F.lit(None) if r.get(c.lower(), ".") == "." else F.expr(rewrite(r[c.lower()], program))
+    new = [F.struct(*[value(r, c).cast(t).alias(c) for c, t in base.dtypes]) for r in rows]
+    program.bind(name, concatenate(base, program.spark.range(1).select(F.inline(F.array(*new)))))
+
+
 def run_sql(program: Program, statement: str, limits: dict[str, int] | None = None) -> None:
     s, limits = statement.strip(), limits or {}
     if m := re.fullmatch(r"create\s+(?:table|view)\s+([\w.]+)\s*(?:\([^)]*\)\s*)?as\s+(.*)", s, re.I | re.S):
         df, order = ordered(program, m[2], limits)
         program.bind(m[1], df, order)
+    elif m := re.fullmatch(r"create\s+table\s+([\w.]+)\s+like\s+([\w.]+)", s, re.I):
+        program.bind(m[1], program.frame(m[2]).limit(0))
+    elif m := re.fullmatch(r"create\s+table\s+([\w.]+)\s*(\(.*\))", s, re.I | re.S):
+        kinds = {"num": "double", "numeric": "double", "float": "double", "double": "double", "integer": "double", "int": "double", "smallint": "double", "char": "string", "character": "string", "varchar": "string", "date": "date", "datetime": "timestamp"}
+        columns = []
+        for part in arguments(m[2], 0)[0]:
+            d = re.match(r"(\w+)\s+(\w+)\s*(?:\(\s*\d+(?:\s*,\s*\d+)?\s*\))?\s*((?:(?:format|informat|label)\s*=\s*\S+\s*)*)$", part, re.I)
+            if not d or d[2].lower() not in kinds:
+                raise UnsupportedConstruct(f"{part} in CREATE TABLE")
+            columns.append(f"{d[1].lower()} {kinds[d[2].lower()]}")
+        program.bind(m[1], program.spark.createDataFrame([], ", ".join(columns)))
     elif m := re.fullmatch(r"select\s+(.*?)\s+into\s+(:.*?)\s+(from\b.*)", s, re.I | re.S):
-        df = select(program, f"select {m[1]} {m[3]}")
-        if sep := re.search(r"separated\s+by\s+['\"](.*?)['\"]", m[2], re.I):
-            name = re.match(r":\s*(\w+)", m[2])[1]
-            values = df.select(F.array_join(F.collect_list(F.col(f"`{df.columns[0]}`").cast("string")), sep[1])).first()
-            program.macros.variables[name.lower()] = values[0]
-        else:
-            row = df.first()
-            for name, value in zip(re.findall(r":\s*(\w+)", m[2]), row or [], strict=False):
-                program.macros.variables[name.lower()] = "" if value is None else str(value)
+        into(program, select(program, f"select {m[1]} {m[3]}"), m[2])
+    elif m := re.fullmatch(r"insert\s+into\s+([\w.]+)\s*(\([^()]*\))?\s*((?:values|set)\b.*)", s, re.I | re.S):
+        insert(program, m[1], m[2], m[3])
     elif m := re.fullmatch(r"insert\s+into\s+([\w.]+)\s+(select\b.*)", s, re.I | re.S):
         new = select(program, m[2])
         program.bind(m[1], concatenate(program.frame(m[1]), new.toDF(*program.frame(m[1]).columns)))

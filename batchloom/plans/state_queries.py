@@ -170,3 +170,120 @@ def format_ranges_in_order(t: Tables):
         return s.format_ranges(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", _bands(t), "band", "none").drop("l_extendedprice")
     finally:
         s.FORMAT_RANGES = most
+
+
+# procedures whose options used to be lost
+@query("SELECT o_orderstatus, round(avg(o_shippriority), 6) AS ship, round(sum(o_totalprice), 2) AS total, max(o_shippriority) AS top, round(quantile_cont(o_totalprice, 0.5), 4) AS mid, count(*) AS _freq_ FROM (SELECT *, CAST(o_orderkey % 7 AS DOUBLE) AS o_shippriority FROM orders) GROUP BY 1")
+def proc_means_named(t: Tables):
+    """OUTPUT with statistics of single variables, each named."""
+    program = "proc means data=o nway; class o_orderstatus; var o_totalprice p; output out=r(drop=_type_) mean(p)=ship sum=total max(p)=top median(o_totalprice)=mid; run;"
+    o = t.orders.drop("o_shippriority").withColumn("p", (F.col("o_orderkey") % 7).cast("double"))
+    return rounded(Program(t.spark, {"o": o}).run(program).frame("r"), ship=6, total=2)
+
+
+@query("SELECT round(avg(l_quantity), 6) AS l_quantity_mean, round(avg(l_tax), 6) AS l_tax_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_std, round(stddev_samp(l_tax), 6) AS l_tax_std FROM lineitem")
+def proc_means_autoname(t: Tables):
+    return rounded(_text(t, "proc means data=lineitem; var l_quantity l_tax; output out=r(drop=_freq_ _type_) mean= std= / autoname; run;", "r", "lineitem"), 6)
+
+
+@query("""SELECT 'status' AS tab, o_orderstatus AS v, o_orderpriority AS p, count(*) AS COUNT FROM orders GROUP BY ALL UNION ALL SELECT 'year', CAST(year(o_orderdate) AS VARCHAR), o_orderpriority, count(*) FROM orders GROUP BY ALL""")
+def proc_freq_parentheses(t: Tables):
+    """``tables p*(status y)`` makes two crosstabs."""
+    p = Program(t.spark, {"orders": t.orders}).run("data o; set orders; y = year(o_orderdate); run; proc freq data=o; tables o_orderpriority*(o_orderstatus y) / nopercent; run;")
+    parts = [p.frame(f"freq_o_orderpriority_{n}").select(F.lit(tab).alias("tab"), F.col(n).cast("string").alias("v"), F.col("o_orderpriority").alias("p"), "COUNT") for n, tab in (("o_orderstatus", "status"), ("y", "year"))]
+    return parts[0].unionByName(parts[1])
+
+
+_REPORT = "proc report data=orders out=r; column o_orderstatus o_orderpriority o_totalprice; define o_orderstatus / group; define o_orderpriority / group; define o_totalprice / analysis sum; {} run;"
+_REPORT_SQL = "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS _BREAK_ FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority){})"
+
+
+@query(_REPORT_SQL.format(", (o_orderstatus)"))
+def proc_report_break(t: Tables):
+    return rounded(_text(t, _REPORT.format("break after o_orderstatus / summarize;"), "r", "orders"), 2)
+
+
+@query(_REPORT_SQL.format(", ()"))
+def proc_report_rbreak(t: Tables):
+    return rounded(_text(t, _REPORT.format("rbreak after / summarize;"), "r", "orders"), 2)
+
+
+@query(_REPORT_SQL.format(", (o_orderstatus), ()"))
+def proc_report_breaks(t: Tables):
+    return rounded(_text(t, _REPORT.format("break before o_orderstatus / summarize; rbreak before / summarize;"), "r", "orders"), 2)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > 1")
+def proc_sort_dupout(t: Tables):
+    program = "proc sort data=orders out=s; by o_custkey o_orderdate o_orderkey; run; proc sort data=s nodupkey out=u dupout=d(keep=o_custkey o_orderkey); by o_custkey; run;"
+    return _text(t, program, "d", "orders")
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS m1, round(avg(l_tax), 6) AS m2, round(quantile_cont(l_quantity, 0.99), 6) AS p1, round(quantile_cont(l_tax, 0.99), 6) AS p2 FROM lineitem GROUP BY 1")
+def proc_univariate_output(t: Tables):
+    return rounded(_text(t, "proc univariate data=lineitem; class l_returnflag; var l_quantity l_tax; output out=r mean=m1 m2 p99=p1 p2; run;", "r", "lineitem"), 6)
+
+
+@query("SELECT r_name AS a, n_name AS b FROM region JOIN nation ON r_regionkey = n_regionkey")
+def proc_datasets_rename(t: Tables):
+    """CHANGE and EXCHANGE of dataset names."""
+    program = "data x; set nation; k = n_regionkey; b = n_name; keep k b; run; data y; set region; k = r_regionkey; a = r_name; keep k a; run; proc datasets; change x=z; exchange z=y; quit; proc sort data=y; by k; run; data r; merge y z; by k; keep a b; run;"
+    return _text(t, program, "r", "nation", "region")
+
+
+# SQL: missing values, literals, INTO, INSERT, CORR
+def _gaps(t: Tables):
+    return t.customer.selectExpr("c_custkey", "c_nationkey", "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS v", "concat(c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN '\\\\x' ELSE '' END) AS s")
+
+
+_GAPS = "x AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS v, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN '\\x' ELSE '' END AS s FROM customer)"
+
+
+def _sql(t: Tables, text: str, result: str = "r"):
+    return Program(t.spark, {"x": _gaps(t), "nation": t.nation, "region": t.region, "orders": t.orders}).run(f"proc sql noprint; {text} quit;").frame(result)
+
+
+@query(f"WITH {_GAPS} SELECT c_custkey FROM x WHERE v IS NULL OR v + 1 < 2000 AND c_nationkey NOT IN (3, 4)")
+def sql_missing_expressions(t: Tables):
+    """A missing value is less than every number in sums too, and in no list."""
+    return _sql(t, "create table r as select c_custkey from x where v + 1 < 2000 and (v = . or c_nationkey not in (3, 4));")
+
+
+@query(f"WITH {_GAPS}, k AS (SELECT DISTINCT v FROM x WHERE c_custkey % 3 = 0) SELECT c_custkey FROM x SEMI JOIN k ON x.v IS NOT DISTINCT FROM k.v")
+def sql_missing_equals_missing(t: Tables):
+    return _sql(t, "create table k as select distinct v from x where mod(c_custkey, 3) = 0; create table r as select p.c_custkey from x p, k q where p.v = q.v;")
+
+
+@query(f"WITH {_GAPS} SELECT c_custkey, s FROM x WHERE s = 'BUILDING\\x' OR contains(s, 'MACH')")
+def sql_literals_contains(t: Tables):
+    """A backslash is an ordinary character; CONTAINS."""
+    return _sql(t, "create table r as select c_custkey, s from x where s = 'BUILDING\\x' or s contains 'MACH';")
+
+
+@query(f"WITH {_GAPS} SELECT c_custkey, v * 2 AS twice FROM x WHERE v * 2 > 9000")
+def sql_calculated_where(t: Tables):
+    return _sql(t, "create table r as select c_custkey, v * 2 as twice from x where calculated twice > 9000;")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus IN (SELECT DISTINCT o_orderstatus FROM orders WHERE o_totalprice > 300000) AND o_custkey >= (SELECT min(o_custkey) FROM orders WHERE o_totalprice > 300000)""")
+def sql_into_lists(t: Tables):
+    """Two targets of INTO, one of them a list."""
+    p = Program(t.spark, {"orders": t.orders}).run("proc sql noprint; select distinct quote(o_orderstatus) as q, m.k into :states separated by ',', :least from orders, (select min(o_custkey) as k from orders where o_totalprice > 300000) m where o_totalprice > 300000; quit;")
+    return p.run("data r; set orders; where o_orderstatus in (&states) and o_custkey >= &least; keep o_orderkey; run;").frame("r")
+
+
+@query("SELECT CAST(n_nationkey AS DOUBLE) AS k, n_name AS n FROM nation UNION ALL SELECT 100, 'it''s' UNION ALL SELECT NULL, 'two' UNION ALL SELECT 101, NULL")
+def sql_insert_values(t: Tables):
+    """CREATE TABLE with columns, INSERT by SELECT, VALUES and SET."""
+    return _sql(t, "create table r (k num, n char(30)); insert into r select n_nationkey, n_name from nation; insert into r values (100, 'it''s') values (., 'two'); insert into r set k = 101;")
+
+
+@query("SELECT n_regionkey AS k FROM nation WHERE n_nationkey > 12 EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey < 2")
+def sql_except_corr(t: Tables):
+    return _sql(t, "create table r as select n_regionkey as k, n_name from nation where n_nationkey > 12 except corr select r_regionkey as k, r_name from region where r_regionkey < 2;")
+
+
+@query(f"WITH {_GAPS} SELECT c_custkey, round(v - (SELECT avg(v) FROM x WHERE c_nationkey > 3), 6) AS d FROM x WHERE c_nationkey > 3 AND v > (SELECT avg(v) FROM x WHERE c_nationkey > 3)")
+def sql_remerge_scalar(t: Tables):
+    """Statistics of all rows beside every row: one row is aggregated, no window holds the table."""
+    return rounded(_sql(t, "create table r as select c_custkey, v - avg(v) as d from x where c_nationkey > 3 having v > avg(v);"), 6)
