@@ -1,9 +1,9 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Method. The approximation file holds, for each block of candidates, a small cell number for each component (CELL_BITS bits) and the cells' edges.
-Phase 1 scans it: a cell's edges bound the component from both sides, so sums bound a query's score from both sides. In a block, and over
-the blocks that one task scans, a candidate whose upper bound is below the k-th largest lower bound is out. Over all survivors of a query the
-k-th largest lower bound is the threshold, and what lies below it goes. Phase 2 reads exact vectors in order of the bounds: the WAVE * k
+Method. The approximation file holds, for blocks of candidates of one order of magnitude, a small cell number for each component (CELL_BITS bits) and the cells' edges, which are placed by
+quantiles of the block: each cell holds equally many values, between the least and the greatest of them. So neither an outlier nor a skewed component widens the cells of other rows.
+Phase 1 scans it: a cell's edges bound the component from both sides, so sums bound a query's score from both sides. A first scan keeps each task's k largest lower bounds of each query; the k-th largest
+of them all is the query's limit. A second scan of the cells, with the limits, lets only candidates pass whose upper bound reaches it: nothing else is written. Phase 2 reads exact vectors in order of the bounds: the WAVE * k
 candidates of greatest upper bound first; their k-th score is then the threshold for all others, of which only those with an upper bound
 at least as large are read (equal ones too, so that the smaller id wins). Then the k-th result is certain.
 
@@ -74,66 +74,88 @@ def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def cut(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of a block by quantiles: (cell of each row and component, least and greatest value of each component's cells)."""
+    n, d = x.shape
+    k = min(1 << CELL_BITS, n)
+    edge = np.arange(k + 1) * n // k
+    order = np.argsort(x, axis=0, kind="stable")
+    ranked = np.take_along_axis(x, order, axis=0)
+    cells = np.empty((n, d), dtype=np.uint8)
+    np.put_along_axis(cells, order, np.repeat(np.arange(k, dtype=np.uint8), np.diff(edge))[:, None], axis=0)
+    return cells, ranked[edge[:-1]].T, ranked[edge[1:] - 1].T
+
+
 def _cells(batches):
-    """The approximation file: one row for each length and up to BLOCK_ROWS vectors of (id, hash, vector)."""
+    """The approximation file: one row for each length, magnitude and up to BLOCK_ROWS vectors of (id, hash, vector)."""
     for b in batches:
         ids, hashes = _longs(b.column(0)), _longs(b.column(1))
         for d, at, x in _by_length(b, 2):
-            for a in range(0, len(at), BLOCK_ROWS):
-                part = x[a : a + BLOCK_ROWS]
-                low = part.min(axis=0) if d else np.zeros(0)
-                width = np.maximum((part.max(axis=0) / 2 - low / 2) / (1 << (CELL_BITS - 1)), 1.0) if d else low  # halves: their difference is in range
-                cells = np.clip(np.floor((part / 2 - low / 2) / (width / 2)), 0, (1 << CELL_BITS) - 1).astype(np.uint8)
-                value = packing.pack(ids[at[a : a + BLOCK_ROWS]], hashes[at[a : a + BLOCK_ROWS]], cells, low, width)
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([value], pa.binary())], ["d", "packed"])
+            for _, alike in packing.split_by(np.frexp(np.abs(x).max(axis=1, initial=0))[1].astype(np.int64)):
+                for a in range(0, len(alike), BLOCK_ROWS):
+                    rows = alike[a : a + BLOCK_ROWS]
+                    value = packing.pack(ids[at[rows]], hashes[at[rows]], *cut(x[rows]))
+                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([value], pa.binary())], ["d", "packed"])
 
 
 def _queries(batches):
-    """One row for each part and length of (part, id, hash, vector)."""
+    """One row for each part and length of (part, id, hash, vector, limit)."""
     for b in batches:
         parts, ids, hashes = _longs(b.column(0)), _longs(b.column(1)), _longs(b.column(2))
+        limits = b.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
         for d, at, x in _by_length(b, 3):
             for part, rows in packing.split_by(parts[at]):
-                value = packing.pack(ids[at[rows]], hashes[at[rows]], x[rows])
+                value = packing.pack(ids[at[rows]], hashes[at[rows]], x[rows], limits[at[rows]])
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([d], pa.int32()), pa.array([value], pa.binary())], ["part", "d", "asked"])
 
 
-def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the scores of each query with each row of cells; wide enough for rounding."""
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     with np.errstate(over="ignore", invalid="ignore"):
-        lo = low + cells * width
-        hi = lo + width
+        lo, hi = (np.take_along_axis(edge, cells.T.astype(np.int64), axis=1).T for edge in (low, high))
         scale = np.abs(queries) @ (np.maximum(np.abs(lo), np.abs(hi)).T) * _SLACK + 1
         upper = plus @ hi.T + minus @ lo.T + scale
         lower = plus @ lo.T + minus @ hi.T - scale
     return np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
 
 
-def _scan(k: int):
-    """Survivors (query_id, qh, vec_id, h, upper, lower) of blocks of cells; a task keeps the k largest lower bounds of each query."""
+def _blocks(batches):
+    """Blocks of cells with the queries sent to them: (packed queries, ids, hashes and limits of the queries, ids and hashes of the candidates, lower and upper bounds, same id)."""
+    for b in batches:
+        for d, asked, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            qi, qh, q, limit = packing.unpack(asked, "int64", "int64", "float64", "float64")
+            ci, ch, cells, low, high = packing.unpack(packed, "int64", "int64", "uint8", "float64", "float64")
+            k = min(1 << CELL_BITS, len(ci))
+            lower, upper = bounds(q.reshape(len(qi), d), cells.reshape(len(ci), d), low.reshape(d, k), high.reshape(d, k))
+            yield asked, (qi, qh, limit), (ci, ch), lower, upper, qi[:, None] == ci[None, :]
+
+
+def _limits(k: int):
+    """(query_id, qh, lower): the k largest lower bounds of each query over the blocks of a task."""
 
     def each(batches):
-        best: dict[bytes, np.ndarray] = {}
-        for b in batches:
-            for d, asked, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                qi, qh, q = packing.unpack(asked, "int64", "int64", "float64")
-                ci, ch, cells, low, width = packing.unpack(packed, "int64", "int64", "uint8", "float64", "float64")
-                lower, upper = bounds(q.reshape(len(qi), d), cells.reshape(len(ci), d), low, width)
-                own = qi[:, None] == ci[None, :]
-                lower[own] = -np.inf
-                known = best.get(asked)
-                every = lower if known is None else np.concatenate((known, lower), axis=1)
-                top = np.partition(every, every.shape[1] - k, axis=1)[:, -k:] if every.shape[1] > k else every
-                best[asked] = top
-                limit = top.min(axis=1) if top.shape[1] == k else np.full(len(qi), -np.inf)
-                row, at = np.nonzero((upper >= limit[:, None]) & ~own)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[row], qh[row], ci[at], ch[at], upper[row, at], lower[row, at])], ["query_id", "qh", "vec_id", "h", "upper", "lower"])
+        best: dict[bytes, tuple] = {}
+        for asked, (qi, qh, _), _, lower, _, own in _blocks(batches):
+            lower[own] = -np.inf
+            every = np.concatenate((best[asked][2], lower), axis=1) if asked in best else lower
+            top = np.partition(every, every.shape[1] - k, axis=1)[:, -k:] if every.shape[1] > k else every
+            best[asked] = qi, qh, top
+        for qi, qh, top in best.values():
+            n = top.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(np.repeat(qh, n)), pa.array(top.ravel())], ["query_id", "qh", "lower"])
 
     return each
 
 
+def _survivors(batches):
+    """(query_id, qh, vec_id, h, upper) of the candidates whose upper bound reaches the query's limit."""
+    for _, (qi, qh, limit), (ci, ch), _, upper, own in _blocks(batches):
+        row, at = np.nonzero((upper >= limit[:, None]) & ~own)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[row], qh[row], ci[at], ch[at], upper[row, at])], ["query_id", "qh", "vec_id", "h", "upper"])
+
+
 def _score(batches):
     """(query_id, vec_id, score) of pairs (query_id, vec_id, query vector, vector)."""
     for b in batches:
@@ -156,18 +178,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     parts = max(1, math.ceil(asked.count() / QUERY_ROWS))
     cells = rows.mapInArrow(_cells, "d int, packed binary").withColumn("salt", F.pmod(F.xxhash64("packed"), F.lit(salts)).cast("int"))
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sent = asked.select(F.pmod(F.xxhash64("i", "h"), F.lit(parts)).cast("int").alias("part"), "i", "h", "v").mapInArrow(_queries, "part int, d int, asked binary")
-    sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = cells.join(sent.hint("shuffle_hash"), ["part", "salt", "d"]).select("d", "asked", "packed")
-    survivors = written(pairs.mapInArrow(_scan(k), "query_id long, qh long, vec_id long, h long, upper double, lower double"))
 
-    def best(order: Column, name: str):
-        return F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(order, "vec_id", "h")).alias(name)
+    def pairs(limits: DataFrame) -> DataFrame:
+        asking = limits.select(F.pmod(F.xxhash64("i", "h"), F.lit(parts)).cast("int").alias("part"), "i", "h", "v", "limit").mapInArrow(_queries, "part int, d int, asked binary")
+        sent = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return cells.join(sent.hint("shuffle_hash"), ["part", "salt", "d"]).select("d", "asked", "packed")
 
-    limit = survivors.select("query_id", "qh", "lower", best(F.desc("lower"), "r")).where(F.col("r") <= k)
-    limit = limit.groupBy("query_id", "qh").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("limit"))
-    kept = survivors.join(limit, ["query_id", "qh"]).where("upper >= limit").drop("limit", "lower")
-    kept = written(kept.select("query_id", "qh", "vec_id", "h", "upper", best(F.desc("upper"), "place")))
+    def best(order: Column, name: str):
+        return F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(order, *(["vec_id", "h"] if name == "place" else []))).alias(name)
+
+    none = F.lit(float("-inf"))
+    lowest = pairs(asked.withColumn("limit", none)).mapInArrow(_limits(k), "query_id long, qh long, lower double")
+    limit = lowest.select("query_id", "qh", "lower", best(F.desc("lower"), "r")).where(F.col("r") <= k)
+    limit = limit.groupBy("query_id", "qh").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(none).alias("limit"))
+    limit = limit.select(F.col("query_id").alias("i"), F.col("qh").alias("h"), "limit")
+    limited = written(asked.join(limit, ["i", "h"], "left").select("i", "h", "v", F.coalesce("limit", none).alias("limit")))
+    kept = written(pairs(limited).mapInArrow(_survivors, "query_id long, qh long, vec_id long, h long, upper double"))
+    foremost = written(kept.select("*", best(F.desc("upper"), "place")).where(F.col("place") <= WAVE * k).drop("place"))
     read = may_be_in(rows, "i", id_filter(kept, "vec_id"), "hit").where("hit").dropDuplicates(["i", "h"]).select(F.col("i").alias("vec_id"), "h", "v")
     exact = written(read)
     asked = asked.select(F.col("i").alias("query_id"), F.col("h").alias("qh"), F.col("v").alias("q"))
@@ -176,10 +203,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         both = some.select("query_id", "qh", "vec_id", "h").join(exact, ["vec_id", "h"]).join(asked, ["query_id", "qh"])
         return both.select("query_id", "vec_id", "q", "v").mapInArrow(_score, "query_id long, vec_id long, score long")
 
-    first = written(scored(kept.where(F.col("place") <= WAVE * k)))
+    first = written(scored(foremost))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     certain = ranked.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    rest = kept.where(F.col("place") > WAVE * k).join(certain, "query_id").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    rest = kept.exceptAll(foremost).join(certain, "query_id").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
     every = first.unionByName(scored(rest))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -558,7 +559,7 @@ def test_exact_vectors_are_read_by_bound(spark, monkeypatch):
     monkeypatch.setattr(vafile, "written", lambda df: read.append(score(df)) or read[-1])
     out = vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
     assert out.count() == 80 * 5
-    survivors = [f for f in read if "lower" in f.columns]
+    survivors = [f for f in read if "upper" in f.columns]
     assert survivors[0].count() < 0.2 * 80 * 4000
 
 
@@ -613,3 +614,34 @@ def test_window_hash_depends_on_order():
     h = np.array([1, 2, 3, 2, 1], dtype=np.uint64)
     g = window_hashes(h, 3)
     assert len(set(g.tolist())) == 3 and hashlib.sha256(g.tobytes()).digest()
+
+
+# one message, one row of unusual size
+def test_quotation_linking_of_a_message_of_100000_lines(spark):
+    """Alternating levels make as many passages as lines; time must not grow with their square."""
+    text = "\n".join(f"> log line {i}" if i % 2 else f"answer {i}" for i in range(100_000))
+    rows = [(1, 0, "user", "\n".join(f"log line {i}" for i in range(1, 100, 2))), (1, 1, "user", text)]
+    began = time.time()
+    out = {r.turn: r for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out[1].q_parent == 0 and out[1].q_passages == 50 and time.time() - began < 60
+
+
+def test_top_k_with_outliers_keeps_few_survivors(spark):
+    """Rows of a thousand times the others' size must not widen the cells of the rest."""
+    r = np.random.default_rng(8)
+    v = r.normal(0, 1, (3000, 32)) * np.where(np.arange(3000) % 700 == 3, 1000, 1)[:, None]
+    v[::5] = np.round(v[::5], 1)
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in vafile.top_k(df, F.col("vec_id") % 50 == 0, k=5).collect()}
+    w = np.floor(256 * v).astype(np.int64)
+    for q in range(0, 3000, 50):
+        s = w @ w[q]
+        best = sorted((i for i in range(3000) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, int(s[i])) for i in best]
+    x = vafile.scaled(v[np.arange(3000) % 700 != 3])[:2048]
+    cells, low, high = vafile.cut(x)
+    lower, upper = vafile.bounds(vafile.scaled(v[:60]), cells, low, high)
+    limit = np.sort(lower, axis=1)[:, -5]
+    assert (upper >= limit[:, None]).mean() < 0.05
+    exact = vafile.scaled(v[:60]) @ x.T
+    assert (lower <= exact).all() and (exact <= upper).all()
