@@ -73,11 +73,7 @@ class Program:
         self.data[key] = Dataset(frame, order or [])
         self.last = key
         if lib and lib != "work" and lib in self.libraries:
-            library = self.libraries[lib]
-            for name, d in self.data.items():  # steps before this one have read the version that goes now
-                if name != key and library.holds(d.frame, member):
-                    self.data[name] = Dataset(stored(d.frame), d.order)
-            library.write(frame, member)
+            self.libraries[lib].write(frame, member)
             self.data[key] = Dataset(self.libraries[lib].read(member), order or [])
 
     @staticmethod
@@ -374,6 +370,11 @@ class Program:
     def proc_append(self, o: dict[str, str], body: list[str]) -> None:
         """Adds rows to BASE=, also to one that its library holds from an earlier run. Where there is none it becomes a copy."""
         new, _, _ = self._input(o, body)
+        lib, _, member = self.key(o["base"]).rpartition(".")
+        if lib in self.libraries and self.libraries[lib].has(member):
+            self.libraries[lib].write(new, member, "append")
+            self.data[self.key(o["base"])] = Dataset(self.libraries[lib].read(member))
+            return
         self.bind(o["base"], datastep.concatenate(self.frame(o["base"]), new) if self.known(o["base"]) else new)
 
     def proc_import(self, o: dict[str, str], body: list[str]) -> None:
@@ -461,7 +462,14 @@ class Program:
         self.bind(b, frames[0].frame, frames[0].order)
 
     def indexed(self, name: str, statement: str) -> None:
-        self.log.append(statement)  # INDEX CREATE of a WORK dataset: no effect on results
+        """INDEX CREATE column, or name=(columns): of a library's dataset an index by its first column; a WORK dataset is a plan and has no files to index."""
+        lib, _, member = self.key(name).rpartition(".")
+        m = re.fullmatch(r"index\s+create\s+(\w+)\s*(?:=\s*\(([^()]*)\))?\s*(?:/.*)?", statement, re.I)
+        if not m:
+            raise UnsupportedConstruct(statement)
+        if lib in self.libraries and not self.libraries[lib].catalog:
+            self.libraries[lib].versions(member).create_index((m[2].split()[0] if m[2] else m[1]).lower())
+        self.log.append(statement)
 
     def proc_univariate(self, o: dict[str, str], body: list[str]) -> None:
         df, _, _ = self._input(o, body, "var", "class", "output", "by")

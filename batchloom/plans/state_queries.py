@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from batchloom.lang.program import Program
 from batchloom.operators import orderstats, scans
 from batchloom.operators import summaries as s
 from batchloom.plans.registry import Tables, query, rounded
+from batchloom.sources import Library
+from batchloom.stored import shared_folder
 
 _RANKED = {"P1": "quantile_cont({0}, 0.01)", "P5": "quantile_cont({0}, 0.05)", "Q1": "quantile_cont({0}, 0.25)", "MEDIAN": "quantile_cont({0}, 0.5)", "Q3": "quantile_cont({0}, 0.75)", "P99": "quantile_cont({0}, 0.99)", "QRANGE": "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"}
 _LINE_VARS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -287,3 +291,27 @@ def sql_except_corr(t: Tables):
 def sql_remerge_scalar(t: Tables):
     """Statistics of all rows beside every row: one row is aggregated, no window holds the table."""
     return rounded(_sql(t, "create table r as select c_custkey, v - avg(v) as d from x where c_nationkey > 3 having v > avg(v);"), 6)
+
+
+# versioned libraries
+@query("""WITH b AS (SELECT c_custkey AS k, c_name AS n, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier),
+u AS (SELECT c_custkey AS k, 'new' AS n, -c_acctbal AS v FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT c_custkey + 2000000, 'added', c_acctbal FROM customer WHERE c_custkey % 13 = 0)
+SELECT * FROM u UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM u)""")
+def library_upsert(t: Tables):
+    """Overwrite, append, index and keyed upsert of a library's dataset, each a version."""
+    d = Library(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}").versions("x")
+    d.overwrite(t.customer.selectExpr("c_custkey AS k", "c_name AS n", "c_acctbal AS v").repartitionByRange(4, "k"))
+    d.append(t.supplier.selectExpr("s_suppkey + 1000000 AS k", "s_name AS n", "s_acctbal AS v"))
+    d.create_index("k")
+    new = t.customer.where("c_custkey % 11 = 0").selectExpr("c_custkey AS k", "'new' AS n", "-c_acctbal AS v")
+    d.upsert(new.unionByName(t.customer.where("c_custkey % 13 = 0").selectExpr("c_custkey + 2000000 AS k", "'added' AS n", "c_acctbal AS v")), ["k"])
+    return d.read()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")
+def library_index_lookup(t: Tables):
+    """Orders of one customer through an index of the sorted dataset: only matching files are opened."""
+    d = Library(t.spark, f"{shared_folder(t.spark)}/{uuid.uuid4().hex}").versions("o")
+    d.overwrite(t.orders.repartitionByRange(8, "o_custkey"))
+    d.create_index("o_custkey")
+    return d.lookup("o_custkey", t.orders.agg(F.min("o_custkey")).first()[0]).select("o_orderkey", "o_totalprice")

@@ -13,7 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.stored import exists, move, names, remove, stored
+from batchloom.sources.versions import Versions
+from batchloom.stored import exists, names, remove, stored
 
 #: Encodings tried in order.
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
@@ -28,31 +29,30 @@ class Library:
     def path(self, member: str) -> str:
         return f"{self.place}.{member}" if self.catalog else f"{self.place}/{member.lower()}.parquet"
 
+    def versions(self, member: str) -> Versions:
+        if self.catalog:
+            raise ValueError("a catalog keeps its own versions")
+        return Versions(self.spark, self.path(member))
+
     def read(self, member: str) -> DataFrame:
-        return self.spark.read.table(self.path(member)) if self.catalog else self.spark.read.parquet(self.path(member))
+        """The newest version; the frame stays on it whatever is written later."""
+        return self.spark.read.table(self.path(member)) if self.catalog else self.versions(member).read()
 
     def write(self, df: DataFrame, member: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
-        """Overwrites by default, so a job can run again. A sort of the whole frame is not kept."""
+        """Overwrites by default, so a job can run again; ``append`` adds rows without reading the base. A sort of the whole frame is not kept."""
         path = self.path(member)
+        if not self.catalog:
+            adds = mode == "append" and self.has(member)
+            (self.versions(member).append if adds else self.versions(member).overwrite)(df, partition_by)
+            return
         if mode != "overwrite":
-            writer = df.write.mode(mode).partitionBy(*partition_by)
-            writer.saveAsTable(path) if self.catalog else writer.parquet(path)
+            df.write.mode(mode).partitionBy(*partition_by).saveAsTable(path)
             return
-        # the frame may read the dataset it replaces: the new version is written beside it, then takes its place
+        # the frame may read the table it replaces: the new one is written beside it, then takes its place
         new = f"{path}__new_{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*partition_by)
-        if self.catalog:
-            writer.saveAsTable(new)
-            self.spark.sql(f"DROP TABLE IF EXISTS {path}")
-            self.spark.sql(f"ALTER TABLE {new} RENAME TO {path}")
-            return
-        writer.parquet(new)
-        old = f"{path}__old_{uuid.uuid4().hex}"
-        if exists(self.spark, path):
-            move(self.spark, path, old)
-        move(self.spark, new, path)
-        remove(self.spark, old)
-        self.spark.catalog.refreshByPath(path)
+        df.write.partitionBy(*partition_by).saveAsTable(new)
+        self.spark.sql(f"DROP TABLE IF EXISTS {path}")
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {path}")
 
     def has(self, member: str) -> bool:
         return self.spark.catalog.tableExists(self.path(member)) if self.catalog else exists(self.spark, self.path(member))
@@ -69,10 +69,6 @@ class Library:
         else:
             remove(self.spark, self.path(member))
 
-    def holds(self, df: DataFrame, member: str) -> bool:
-        """Whether a frame's plan reads this dataset."""
-        return not self.catalog and any(f"/{member.lower()}.parquet/" in f and self.place in f for f in df.inputFiles())
-
     def append(self, df: DataFrame, member: str, key: Sequence[str], order: Sequence[str] = ()) -> None:
         """Adds the rows whose key the dataset doesn't have, so a repeated run adds nothing. Keys match null-safely.
 

@@ -42,3 +42,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver's in the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
