@@ -72,12 +72,18 @@ class DataStep:
                         self.temporary.add(flag.lower())
                 if m[1].lower() == "set":
                     frames = [df.withColumn(f.lower(), F.lit(1)) if f else df for df, _, f in opened]
+                    if len(frames) > 1 and self.by:  # interleaved: equal keys in order of the datasets
+                        frames = [f.withColumn("_source_", F.lit(i)) for i, f in enumerate(frames)]
+                        rest = [k for _, order, _ in opened for k in order if k.lstrip("-") not in plain]
+                        self.order = list(dict.fromkeys([*self.by, "_source_", *rest])) if all(order for _, order, _ in opened) else []
+                        self.temporary.add("_source_")
                     self.df = datastep.concatenate(*frames)
                     flags = [f.lower() for _, _, f in opened if f]
                     self.df = self.df.fillna(0, flags) if flags else self.df
                 elif m[1].lower() == "merge":
                     if not plain:
-                        raise UnsupportedConstruct("MERGE without BY; use operators.merging.merge_one_to_one")
+                        self.one_to_one(opened)
+                        continue
                     self.df, names = opened[0][0], [f.lower() if f else None for _, _, f in opened]
                     if names[0]:
                         self.df = self.df.withColumn(names[0], F.lit(1))
@@ -106,6 +112,25 @@ class DataStep:
                     self.df = self.df.withColumn(f"_{which}_{name}", (F.row_number().over(w) == 1).cast("int"))
                     self.temporary.add(f"_{which}_{name}")
 
+    def one_to_one(self, opened: list) -> None:
+        """MERGE without BY pairs the rows by their places; a later dataset's variables replace an earlier one's where it has a row."""
+        if not all(order for _, order, _ in opened):
+            raise UnsupportedConstruct("MERGE without BY needs sorted datasets")
+        out = None
+        for i, (df, order, flag) in enumerate(opened):
+            df = datastep.numbered(df, shaping.keys(order), "_place_")
+            df = df.withColumn(flag.lower(), F.lit(1)) if flag else df
+            if out is None:
+                out = df
+                continue
+            both = [c for c in df.columns if c in out.columns and c != "_place_"]
+            df = df.withColumnsRenamed({c: f"_later_{c}" for c in both}).withColumn("_here_", F.lit(True))
+            out = out.join(df, "_place_", "full")
+            out = out.withColumns({c: F.when(F.col("_here_"), F.col(f"_later_{c}")).otherwise(F.col(c)) for c in both}).drop("_here_", *[f"_later_{c}" for c in both])
+        flags = [f.lower() for _, _, f in opened if f]
+        self.df, self.order = out.fillna(0, flags) if flags else out, ["_place_"]
+        self.temporary.add("_place_")
+
     def merged(self, left, right, by: list[str], opened: list):
         """MERGE with BY: a join where the keys of one side are unique, else the dialect's pairing row by row, which needs both orders."""
         if not merging.duplicate_keys(right, by).limit(1).count() or not merging.duplicate_keys(left, by).limit(1).count():
@@ -388,7 +413,7 @@ class DataStep:
             self.flush()
             self.df = self.df.where(~F.col(guard)) if guard else self.df.limit(0)
         elif word == "put":
-            self.p.log.append(s)
+            self.put(s, guard)
         elif m := re.fullmatch(r"call\s+missing\s*\((.*)\)", s, re.I | re.S):
             for part in m[1].split(","):
                 for name in expanded(re.sub(r"^\s*of\b", "", part, flags=re.I), self.df.dtypes):
@@ -411,6 +436,32 @@ class DataStep:
         met = F.col(guard).cast("int") if guard else F.lit(1)
         self.df = scans.carried(self.df, {"_stopped_": scans.Carry("sum", F.coalesce(met, F.lit(0)))}).where("_stopped_ = 0").drop("_stopped_")
 
+    def put(self, s: str, guard: str | None) -> None:
+        """PUT 'text' name= name format.: a line for each row that reaches it, in the dataset ``_log_`` (statement, line); the program's log keeps the statement."""
+        self.p.log.append(s)
+        self.flush()
+        parts: list[Column] = []
+        items = re.findall(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[A-Za-z_][\w.]*=?\s*(?:\$?\w+\.\d*(?=\s|$))?", s[3:])
+        if "".join(items).replace(" ", "") != s[3:].replace(" ", ""):
+            raise UnsupportedConstruct(s)
+        for x in items:
+            x = x.strip()
+            if x[0] in "'\"":
+                parts.append(F.lit(x[1:-1].replace(x[0] * 2, x[0])))
+                continue
+            m = re.fullmatch(r"([A-Za-z_][\w.]*?)(=?)\s*(\$?\w+\.\d*)?", x)
+            text = self.value(f"put({m[1]}, {m[3]})" if m[3] else m[1]).number
+            kind = self.df.select(text.alias("x")).dtypes[0][1]
+            if kind != "string":
+                text = self.value(f"put({m[1]}, best12.)").number if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") else text.cast("string")
+            parts.append(F.concat(F.lit(f"{m[1]}=" if m[2] else ""), F.coalesce(F.trim(text), F.lit("." if kind != "string" else ""))))
+        rows = self.df.where(F.col(guard)) if guard else self.df
+        lines = rows.select(F.lit(" ".join(s.split())).alias("statement"), F.concat_ws(" ", *parts).alias("line"))
+        known = self.p.data.get("_log_")
+        last = self.p.last
+        self.p.bind("_log_", datastep.concatenate(known.frame, lines) if known else lines)
+        self.p.last = last
+
     def hash_statement(self, s: str, guard: str | None) -> bool:
         """DECLARE HASH with DATASET:, defineKey, defineData, defineDone, and ``rc = h.find()``: a lookup of the first row of each key."""
         if m := re.fullmatch(r"declare\s+hash\s+(\w+)\s*(?:\(\s*dataset\s*:\s*['\"]([\w.]+)['\"]\s*\))?", s, re.I):
@@ -426,13 +477,25 @@ class DataStep:
         elif what == "definedata":
             table["data"] = names
         elif what == "find":
-            if guard or m[4].strip():
-                raise UnsupportedConstruct(f"{s}: find() under a condition or with KEY:")
+            keys = re.findall(r"key\s*:\s*([^,]+)", m[4], re.I)
+            if m[4].strip() and len(keys) != len(table["key"]):
+                raise UnsupportedConstruct(f"{s}: as many KEY: as the table has keys")
             d = self.p.dataset(table["dataset"])
-            self.df = merging.hash_lookup(self.df.drop(*[c for c in table["data"] if c in self.df.columns]), d.frame, table["key"], table["data"], shaping.keys(d.order) if d.order else (), found="_hash_found_")
+            self.flush()
+            asked = {f"_key{i}_": self.value(k).number for i, k in enumerate(keys)} or {f"_key{i}_": self.resolve(k) for i, k in enumerate(table["key"])}
+            found = [f"_found{i}_" for i in range(len(table["data"]))]
+            here = d.frame.select(*[F.col(k).alias(n) for k, n in zip(table["key"], asked, strict=True)], *[F.col(x).alias(n) for x, n in zip(table["data"], found, strict=True)], *[F.col(k.lstrip("-")).alias(f"_by{i}_") for i, k in enumerate(d.order)])
+            order = shaping.keys([f"{'-' if k.startswith('-') else ''}_by{i}_" for i, k in enumerate(d.order)])
+            df = merging.hash_lookup(self.df.withColumns(asked), here, list(asked), found, order, found="_hash_found_")
+            reached = F.coalesce(F.col(guard), F.lit(False)) if guard else F.lit(True)
+            hit = reached & (F.col("_hash_found_") == 1)
+            kinds = dict(df.dtypes)
+            before = {x: F.col(x) if x in self.df.columns else F.lit(None).cast(kinds[n]) for x, n in zip(table["data"], found, strict=True)}
+            df = df.withColumns({x: F.when(hit, F.col(n)).otherwise(before[x]) for x, n in zip(table["data"], found, strict=True)})
             if m[1]:
-                self.df = self.df.withColumn(m[1].lower(), F.when(F.col("_hash_found_") == 1, 0).otherwise(1))
-            self.df = self.df.drop("_hash_found_")
+                rc = m[1].lower()
+                df = df.withColumn(rc, F.when(reached, F.when(hit, 0).otherwise(1)).otherwise(F.col(rc) if rc in self.df.columns else F.lit(None).cast("int")))
+            self.df = df.drop("_hash_found_", *asked, *found)
         return True
 
     def assign(self, target: str, text: str, guard: str | None, first_of: str | None) -> None:

@@ -337,12 +337,16 @@ class Program:
         self.bind(target[0], self._output(out, target[1]), group)
 
     def proc_tabulate(self, o: dict[str, str], body: list[str]) -> None:
-        """TABLE row, column*var*statistic: a column for each value of the column class (a class variable has few), and for ALL over all."""
+        """TABLE row, column*var*statistic: a column for each value of the column class (a class variable has few), and for ALL over all. Any other table is OUT='s list of its crossings."""
         df, _, _ = self._input(o, body, "class", "var", "table", "keylabel")
-        cls, var = _words(_statement(body, "class").lower()), _words(_statement(body, "var").lower())
+        cls, var = expanded(_statement(body, "class"), df.dtypes), expanded(_statement(body, "var"), df.dtypes)
         m = re.fullmatch(r"\(?\s*(\w+)(\s+all)?\s*\)?\s*,\s*(\(?\s*(\w+)(\s+all)?\s*\)?)\s*\*\s*(\w+)\s*(?:\*\s*(\w+))?", _statement(body, "table"), re.I)
         if not m or m[2] or m[1].lower() not in cls or m[4].lower() not in cls or m[6].lower() not in var:
-            raise UnsupportedConstruct(f"TABLE {_statement(body, 'table')}; use operators.summaries.tabulate")
+            cells = _crossings(_statement(body, "table"), cls, var)
+            used = [c for c in cls if any(c in x.classes for x in cells)]
+            target = _datasets(o.get("out") or "_tabulate_")[0]
+            self.bind(target[0], self._output(summaries.tabulate_cells(self.formatted(df, body, used).dropna(subset=cls), used, cells), target[1]), used)
+            return
         df = self.formatted(df, body, cls).dropna(subset=cls)
         values = [r[0] for r in df.select(m[4].lower()).distinct().limit(TABULATE_COLUMNS + 1).collect()]
         if len(values) > TABULATE_COLUMNS:
@@ -481,6 +485,67 @@ class Program:
             self.bind(target[0], self._output(summaries.named_means(df, wanted, [], freq=None, type_=None, by=by), target[1]), by)
 
 
+def _crossings(text: str, cls: list[str], var: list[str]) -> list[summaries.Cell]:
+    """Cells of a TABLE statement: dimensions by commas; in each, blanks concatenate, ``*`` crosses, parentheses group; ALL stands for no class variable."""
+    text = re.sub(r"=\s*(?:'[^']*'|\"[^\"]*\"|[\w.]+)", " ", text.partition("/")[0].lower())
+    text = re.sub(r"\*\s*f\b", "", text)
+    words = re.findall(r"\w+|[*(),]", text)
+    if "".join(words) != re.sub(r"\s", "", text):
+        raise UnsupportedConstruct(f"TABLE {text}")
+    i = 0
+
+    def items() -> list[tuple[str, ...]]:
+        out: list[tuple[str, ...]] = []
+        while i < len(words) and words[i] not in ",)":
+            out += crossed()
+        return out
+
+    def crossed() -> list[tuple[str, ...]]:
+        nonlocal i
+        out = one()
+        while i < len(words) and words[i] == "*":
+            i += 1
+            out = [a + b for a, b in itertools.product(out, one())]
+        return out
+
+    def one() -> list[tuple[str, ...]]:
+        nonlocal i
+        word = words[i] if i < len(words) else ""
+        i += 1
+        if word == "(":
+            out = items()
+            if i >= len(words) or words[i] != ")":
+                raise UnsupportedConstruct(f"TABLE {text}")
+            i += 1
+            return out
+        if word in cls or word in var or word == "all" or word.upper() in summaries.STATISTICS or word.upper() in summaries.PERCENTS:
+            return [(word,)]
+        raise UnsupportedConstruct(f"TABLE {text}: {word}")
+
+    dimensions = [items()]
+    while i < len(words) and words[i] == ",":
+        i += 1
+        dimensions.append(items())
+    if i < len(words) or len(dimensions) > 3:
+        raise UnsupportedConstruct(f"TABLE {text}")
+    cells = []
+    for parts in itertools.product(*dimensions):
+        flat = [w for p in parts for w in p]
+        classes = tuple(c for c in cls if c in flat)
+        xs, stats = [w for w in flat if w in var], [w.upper() for w in flat if w not in var and w not in cls and w != "all"]
+        if len(xs) > 1 or len(stats) > 1:
+            raise UnsupportedConstruct(f"TABLE {text}: two variables or statistics are crossed")
+        stat = stats[0] if stats else "SUM" if xs else "N"
+        if not xs and stat not in ("N", "PCTN", "ROWPCTN", "COLPCTN"):
+            raise UnsupportedConstruct(f"TABLE {text}: {stat} without a variable")
+        rows = {w for p in parts[:-1] for w in p}
+        of = None
+        if stat in summaries.PERCENTS:
+            of = () if stat.startswith("PCT") else tuple(c for c in classes if (c in rows) == stat.startswith("ROW"))
+        cells.append(summaries.Cell(classes, xs[0] if xs and stat not in ("PCTN", "ROWPCTN", "COLPCTN") else None, stat, of))
+    return list(dict.fromkeys(cells))
+
+
 def _requests(spec: str, columns: list[tuple[str, str]]) -> list[list[str]]:
     """TABLES requests: ``a b*c a*(b c)``, parentheses multiplied out."""
     text = re.sub(r"\s*\*\s*", "*", spec.strip().lower())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -313,6 +314,60 @@ def tabulate(df: DataFrame, rows: str, cols: str, values: Sequence[str | int], v
     return df.groupBy(rows).agg(*aggs)
 
 
+@dataclass(frozen=True)
+class Cell:
+    """A crossing of a table: class variables, analysis variable (None for counts), statistic, and for percents the class variables of the denominator."""
+
+    classes: tuple[str, ...]
+    var: str | None
+    stat: str
+    of: tuple[str, ...] | None = None
+
+    @property
+    def name(self) -> str:
+        return "_".join(x for x in (self.var, self.stat.lower()) if x)
+
+
+PERCENTS = ("PCTN", "PCTSUM", "ROWPCTN", "ROWPCTSUM", "COLPCTN", "COLPCTSUM")
+
+
+def tabulate_cells(df: DataFrame, by_class: Sequence[str], cells: Sequence[Cell]) -> DataFrame:
+    """All crossings of a table: a row for each combination of class values of each crossing, the class variables, ``_type_`` (a digit for each, 1 where it takes part) and a column for each statistic.
+
+    One GROUPING SETS pass makes all crossings and the denominators of percents, which are coarser sets; it is written once, as it has as many rows as the table has cells. Rows with a missing class value take no part.
+    """
+    df = df.dropna(subset=list(by_class)) if by_class else df
+    sets = list(dict.fromkeys(x for c in cells for x in (c.classes, c.of) if x is not None))
+
+    def base(c: Cell) -> str:  # what a percent is a percent of
+        return f"{c.var}_sum" if c.stat.endswith("SUM") and c.stat in PERCENTS else "n" if c.stat in PERCENTS else c.name
+
+    aggs = {"n": F.count("*").cast("long")}
+    for c in cells:
+        if base(c) not in aggs:
+            aggs[base(c)] = STATISTICS["SUM" if c.stat in PERCENTS else c.stat](F.col(c.var)) if c.var else F.count("*").cast("long")
+    key = F.concat(*[(1 - F.grouping(c)).cast("string") for c in by_class]) if by_class else F.lit("")
+    grouped = df.groupingSets([[F.col(c) for c in x] for x in sets], *map(F.col, by_class)) if by_class else df.groupBy()
+    table = stored(grouped.agg(key.alias("_type_"), *[v.alias(f"_{k}_") for k, v in aggs.items()]))
+
+    def kind(classes: Sequence[str]) -> str:
+        return "".join("1" if c in classes else "0" for c in by_class)
+
+    out = None
+    names = list(dict.fromkeys(c.name for c in cells))
+    for classes in dict.fromkeys(c.classes for c in cells):
+        part = table.where(F.col("_type_") == kind(classes))
+        mine = {c.name: c for c in cells if c.classes == classes}
+        for of in dict.fromkeys(c.of for c in mine.values() if c.of is not None):
+            wanted = [c for c in mine.values() if c.of == of]
+            whole = table.where(F.col("_type_") == kind(of)).select(*of, *[F.col(f"_{base(c)}_").alias(f"_of_{c.name}_") for c in wanted])
+            part = beside(part, whole, list(of))
+        value = {n: (F.try_divide(F.col(f"_{base(c)}_") * 100, F.col(f"_of_{n}_")) if c.of is not None else F.col(f"_{base(c)}_")) for n, c in mine.items()}
+        part = part.select(*by_class, "_type_", *[value[n].alias(n) for n in names if n in value])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.select(*by_class, "_type_", *names)
+
+
 def format_value(x: str | Column, mapping: dict[object, str] | None = None, ranges: Sequence[tuple[float | None, float | None, bool, bool, str]] = (), other: str | None = None) -> Column:
     """A user format: single values, or ranges (low, high, low included, high included, label) with None for LOW and HIGH."""
     x = F.col(x) if isinstance(x, str) else x

@@ -315,3 +315,42 @@ def library_index_lookup(t: Tables):
     d.overwrite(t.orders.repartitionByRange(8, "o_custkey"))
     d.create_index("o_custkey")
     return d.lookup("o_custkey", t.orders.agg(F.min("o_custkey")).first()[0]).select("o_orderkey", "o_totalprice")
+
+
+# tables, merges, lookups and lines as text
+@query("""WITH s AS (SELECT o_orderstatus, o_orderpriority, CAST(1 - grouping(o_orderstatus) AS VARCHAR) || CAST(1 - grouping(o_orderpriority) AS VARCHAR) AS _type_, round(sum(o_totalprice), 2) AS o_totalprice_sum, round(avg(o_totalprice), 4) AS o_totalprice_mean,
+ round(100 * sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS o_totalprice_pctsum, round(CASE WHEN grouping(o_orderpriority) = 0 THEN 100.0 * count(*) / sum(CASE WHEN grouping(o_orderpriority) = 0 THEN count(*) END) OVER (PARTITION BY o_orderstatus) ELSE 100 END, 6) AS rowpctn FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))) SELECT * FROM s""")
+def proc_tabulate_algebra(t: Tables):
+    """Nesting, concatenation, several statistics and percents of coarser crossings in one pass."""
+    program = "proc tabulate data=orders out=r; class o_orderstatus o_orderpriority; var o_totalprice; table o_orderstatus, (o_orderpriority all)*(o_totalprice*(sum mean pctsum) rowpctn); run;"
+    return rounded(_text(t, program, "r", "orders"), o_totalprice_sum=2, o_totalprice_pctsum=6, rowpctn=6)
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS n, row_number() OVER (ORDER BY c_custkey) AS i FROM customer), b AS (SELECT s_suppkey AS k, s_name AS m, row_number() OVER (ORDER BY s_suppkey DESC) AS i FROM supplier)
+SELECT CASE WHEN b.i IS NOT NULL THEN b.k ELSE a.k END AS k, n, m FROM a FULL JOIN b USING (i)""")
+def merge_text_one_to_one(t: Tables):
+    """MERGE without BY pairs rows by place."""
+    program = "data a; set customer; k = c_custkey; n = c_name; keep k n; run; data b; set supplier; k = s_suppkey; m = s_name; keep k m; run; proc sort data=a; by k; run; proc sort data=b; by descending k; run; data r; merge a b; run;"
+    return _text(t, program, "r", "customer", "supplier")
+
+
+@query("""WITH x AS (SELECT c_nationkey AS k, 0 AS src, c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, 1, s_suppkey FROM supplier) SELECT k, src, id, CAST(row_number() OVER w AS DOUBLE) AS n, CAST(row_number() OVER (PARTITION BY k ORDER BY src, id) = 1 AS INTEGER) AS start FROM x WINDOW w AS (ORDER BY k, src, id)""")
+def set_by_text(t: Tables):
+    """SET of two datasets with BY interleaves them; a counter runs along the result."""
+    program = """data a; set customer; k = c_nationkey; id = c_custkey; src = 0; keep k id src; run; data b; set supplier; k = s_nationkey; id = s_suppkey; src = 1; keep k id src; run;
+    proc sort data=a; by k id; run; proc sort data=b; by k id; run; data r; set a b; by k; n + 1; start = first.k; run;"""
+    return _text(t, program, "r", "customer", "supplier").withColumn("n", F.col("n").cast("double"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN n_name END AS n_name, CAST(CASE WHEN s_acctbal > 0 THEN CASE WHEN n_name IS NULL THEN 1 ELSE 0 END END AS INTEGER) AS rc FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey + 3""")
+def hash_find_guarded(t: Tables):
+    """find() under IF, with an expression as KEY:."""
+    program = "data r; set supplier; declare hash h(dataset: 'nation'); h.definekey('n_nationkey'); h.definedata('n_name'); h.definedone(); if s_acctbal > 0 then rc = h.find(key: s_nationkey + 3); keep s_suppkey n_name rc; run;"
+    return _text(t, program, "r", "supplier", "nation")
+
+
+@query("SELECT 'large ' || CAST(o_orderkey AS VARCHAR) || ' status=' || o_orderstatus || ' day ' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders WHERE o_totalprice > 300000")
+def put_lines(t: Tables):
+    """PUT of values under a condition, as rows of the dataset _log_."""
+    program = Program(t.spark, {"orders": t.orders}).run("data _null_; set orders; if o_totalprice > 300000 then put 'large' o_orderkey o_orderstatus= 'day' o_orderdate yymmdd10.; run;")
+    return program.frame("_log_").select(F.regexp_replace("line", "o_orderstatus=", "status=").alias("line"))

@@ -18,7 +18,7 @@ def t(spark):
 
 @pytest.mark.parametrize("text", [
     "proc freq data=t; tables g; exact chisq; run;", "proc report data=t; compute x; run;", "proc sort data=t nodupkey out=u; by g; run;", "proc sql outobs=2; create table r as select id from t; quit;",
-    "proc sql; create table r as select monotonic() as n from t; quit;", "data r; set t; y = lag(x); run;", "proc tabulate data=t; class g; var x; table g, x*mean*sum; run;", "proc sql; create table r as select propcase(g, 'a', 'b') as p from t; quit;",
+    "proc sql; create table r as select monotonic() as n from t; quit;", "data r; set t; y = lag(x); run;", "proc tabulate data=t; class g; var x; table g, x*mean*sum; run;", "proc tabulate data=t; class g; var x; table g*(x, mean; run;", "proc tabulate data=t; class g; var x; table g, nosuch; run;", "proc sql; create table r as select propcase(g, 'a', 'b') as p from t; quit;",
     "proc transpose data=t out=r; var x; copy id; run;", "data r; set t end=e key=k; run;", "proc sort data=t; by g; run; data r; set t; retain s 0; s = s * s + x; run;", "proc means data=t; var x; output out=r mean(x)=a b; run;",
     "proc means data=t; var x; output out=r idgroup(max(x)=y); run;", "proc means data=t nosuch; run;", "proc freq data=t; tables g id / nosuch; run;", "proc freq data=t; tables g * / out=r; run;", "proc sort data=t nosuch; by g; run;",
     "proc rank data=t nosuch; run;", "proc univariate data=t; var x; output out=r pctlpts=2.5; run;", "proc datasets; rebuild t; quit;", "proc report data=t; column g x; define g / group; define x / sum; break between g; run;", "data r; set t; return; run;",
