@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchloom.plans import lineage_tables as lt
 from batchloom.plans.lineage import JobGraph, inventory
 from batchloom.plans.reconcile import reconcile
 from batchloom.plans.registry import Tables, query
@@ -54,3 +55,63 @@ def windowed_means(t: Tables):
 
     out = windowed(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["N", "SUM"], ["event_type"], every="1 hour")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("sum", 4).alias("sum"), "_FREQ_")
+
+
+# lineage of a table of programs: one for each nation, customer and order
+def _programs(t: Tables):
+    load = t.nation.selectExpr("concat('load_', n_nationkey) AS job", "concat('/* data x; */ libname raw ''/in''; data stage.nation', n_nationkey, '; set raw.region', n_regionkey, '; run;') AS text")
+    cust = t.customer.selectExpr("concat('cust_', c_custkey) AS job", "concat('data mart.cust', c_custkey, '; set stage.nation', c_nationkey, '; by k; retain n 0; run;') AS text")
+    order = t.orders.selectExpr("concat('order_', o_orderkey) AS job", "concat('proc sql; create table mart.order', o_orderkey, ' as select * from mart.cust', o_custkey, ' c, raw.rates r where c.id ne r.id; quit; proc means data=mart.order', o_orderkey, '; run;') AS text")
+    return load.unionByName(cust).unionByName(order)
+
+
+_USES = """u AS (SELECT 'load_' || n_nationkey AS job, 'RAW.REGION' || n_regionkey AS r, 'STAGE.NATION' || n_nationkey AS w FROM nation UNION ALL SELECT 'cust_' || c_custkey, 'STAGE.NATION' || c_nationkey, 'MART.CUST' || c_custkey FROM customer
+ UNION ALL SELECT 'order_' || o_orderkey, 'MART.CUST' || o_custkey, 'MART.ORDER' || o_orderkey FROM orders UNION ALL SELECT 'order_' || o_orderkey, 'RAW.RATES', NULL FROM orders UNION ALL SELECT 'order_' || o_orderkey, 'MART.ORDER' || o_orderkey, NULL FROM orders),
+i AS (SELECT dataset, sum(r) AS readers, sum(w) AS writers FROM (SELECT r AS dataset, 1 AS r, 0 AS w FROM u UNION ALL SELECT w, 0, 1 FROM u WHERE w IS NOT NULL) GROUP BY 1),
+inv AS (SELECT dataset, CASE WHEN readers > 0 AND writers > 0 THEN 'INTERMEDIATE' WHEN readers > 0 THEN 'SOURCE' ELSE 'TARGET' END AS role, CAST(readers AS BIGINT) AS readers, CAST(writers AS BIGINT) AS writers FROM i)"""
+
+
+@query("""SELECT construct, tier, count(*) AS n, count(DISTINCT job) AS jobs FROM (SELECT 'load_' || n_nationkey AS job, unnest(['LIBNAME', 'DATA_STEP_SIMPLE']) AS construct, 'RULE' AS tier FROM nation UNION ALL SELECT 'cust_' || c_custkey, 'DATA_STEP_COMPLEX', 'LLM' FROM customer
+UNION ALL SELECT 'order_' || o_orderkey, 'PROC_SQL', 'RULE' FROM orders UNION ALL SELECT 'order_' || o_orderkey, 'PROC_MEANS', 'LLM' FROM orders) GROUP BY ALL""")
+def program_blocks(t: Tables):
+    """Blocks of every program by construct."""
+    return lt.block_table(_programs(t)).groupBy("construct", "tier").agg(F.count("*").alias("n"), F.countDistinct("job").alias("jobs"))
+
+
+@query(f"WITH {_USES} SELECT * FROM inv")
+def program_inventory(t: Tables):
+    """Role, readers and writers of every dataset that the programs name."""
+    return lt.inventory_table(lt.uses(lt.block_table(_programs(t))))
+
+
+@query("""SELECT 'load_' || n_nationkey AS job, 1 AS level FROM nation UNION ALL SELECT 'cust_' || c_custkey, CASE WHEN n_nationkey IS NULL THEN 1 ELSE 2 END FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'order_' || o_orderkey, CASE WHEN c_custkey IS NULL THEN 1 WHEN n_nationkey IS NULL THEN 2 ELSE 3 END FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def program_levels(t: Tables):
+    """The level of every job: what can run together, in which order."""
+    return lt.job_levels(lt.uses(lt.block_table(_programs(t))))
+
+
+@query("SELECT 'cust_' || c_custkey AS job, 'order_sensitive' AS lint FROM customer UNION ALL SELECT 'order_' || o_orderkey, 'null_filter' FROM orders")
+def program_lints(t: Tables):
+    return lt.lint_table(_programs(t)).select("job", "lint")
+
+
+def _preflight(t: Tables):
+    known = t.region.where("r_regionkey <> 2").selectExpr("concat('raw.region', r_regionkey) AS dataset").unionByName(t.orders.where("o_orderkey % 5 = 0").selectExpr("concat('mart.order', o_orderkey) AS dataset"))
+    return lt.preflight_table(lt.inventory_table(lt.uses(lt.block_table(_programs(t)))), known)
+
+
+_PREFLIGHT = f"""WITH {_USES}, k AS (SELECT 'RAW.REGION' || r_regionkey AS dataset FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'MART.ORDER' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0),
+p AS (SELECT inv.dataset, CASE WHEN k.dataset IS NOT NULL THEN 'present' WHEN writers > 0 THEN 'missing_upstream' ELSE 'missing_source' END AS status FROM inv LEFT JOIN k USING (dataset) WHERE readers > 0)"""
+
+
+@query(_PREFLIGHT + " SELECT * FROM p")
+def program_preflight(t: Tables):
+    """Whether everything that the programs read is there, comes from another job, or from nowhere."""
+    return _preflight(t)
+
+
+@query(_PREFLIGHT + """, c AS (SELECT count(*) FILTER (status = 'missing_source') AS missing, count(*) AS total FROM p)
+SELECT mode, missing, total, CASE WHEN mode = 'SKIP' THEN 'SKIP' WHEN missing = 0 THEN 'PASS' WHEN mode = 'FORCE' OR mode = 'LENIENT' AND missing < 0.2 * total THEN 'WARN' ELSE 'BLOCK' END AS result FROM c, (VALUES ('STRICT'), ('LENIENT'), ('FORCE'), ('SKIP')) AS m(mode)""")
+def program_gate(t: Tables):
+    return lt.gate_table(_preflight(t))
