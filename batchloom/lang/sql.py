@@ -86,7 +86,7 @@ def _function(name: str, a: list[str], program: Program) -> str | None:
 
 _WORDS = {"and", "or", "not", "when", "then", "else", "where", "on", "having", "between", "in", "is", "null", "select", "case", "end", "as", "by", "like", "exists", "any", "all", "from", "distinct"}
 #: An operand of a comparison: names, numbers, held literals and calls without inner parentheses, and sums and products of them.
-_ATOM = r"(?:[A-Za-z_]\w*(?:\.\w+)?(?:\([^()]*\))?|\d+(?:\.\d+)?|\x00\d+\x00)"
+_ATOM = r"(?:[A-Za-z_]\w*(?:\.\w+)?(?:\([^()]*\))?|\d+(?:\.\d+)?|\.\d+|\x00\d+\x00)"
 _OPERAND = rf"{_ATOM}(?:\s*[-+*/]\s*{_ATOM})*"
 
 
@@ -107,7 +107,8 @@ def with_missing(text: str) -> str:
             return f"(NOT ({a} <=> {b}))" if sign == "<>" else f"({a} <=> {b})"
         if constant(a):
             return f"coalesce({whole}, false)"
-        return f"coalesce({whole}, ({a}) IS NULL{'' if constant(b) or sign == '<=' else f' AND ({b}) IS NOT NULL'})"
+        one, other = (x if re.fullmatch(r"[\w.]+", x) else f"({x})" for x in (a, b))
+        return f"coalesce({whole}, {one} IS NULL{'' if constant(b) or sign == '<=' else f' AND {other} IS NOT NULL'})"
 
     pattern = rf"(?<![\w.'+*/\-)`\x00])(?P<a>{_OPERAND})\s*(?P<sign><=|>=|<>|<|>|=)\s*(?P<b>{_OPERAND})(?![\w.('`]|\s*[-+*/(])(?<!\bdate)(?<!\btimestamp)"
     text = re.sub(pattern, test, text, flags=re.I)

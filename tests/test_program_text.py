@@ -76,7 +76,7 @@ def test_sql_comparisons_with_missing():
     assert with_missing("x < 6") == "coalesce(x < 6, x IS NULL)"
     assert with_missing("6 > x") == "coalesce(x < 6, x IS NULL)"
     assert with_missing("a.x >= b.y") == "coalesce(b.y <= a.x, b.y IS NULL)"
-    assert with_missing("x + 1 < 6") == "x + 1 < 6" and with_missing("x <> 6") == "(NOT (x <=> 6))"
+    assert with_missing("x + 1 < 6") == "coalesce(x + 1 < 6, (x + 1) IS NULL)" and with_missing("a.x = b.x") == "(a.x <=> b.x)" and with_missing("x <> 6") == "(NOT (x <=> 6))"
 
 
 def test_remerge_leaves_plain_grouping_alone():
