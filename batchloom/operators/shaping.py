@@ -64,14 +64,24 @@ def transpose(df: DataFrame, var: Sequence[str], by: Sequence[str] = (), id_: st
         if len(found) > ID_VALUES:
             raise ValueError(f"TRANSPOSE would make more than {ID_VALUES} columns of {id_}")
         values = sorted(r[0] for r in found)
-    long = df.select(*by, id_, *[F.col(v).cast(kind) for v in var], *[o.lstrip("-") for o in order if let and o.lstrip("-") not in (*by, id_, *var)])
+    last: list[str] = []
+    if let:  # the last row by order stays; a descending key counts backwards
+        kinds = dict(df.dtypes)
+        for i, o in enumerate(order):
+            plain = o.lstrip("-")
+            if o.startswith("-") and kinds[plain] == "string":
+                raise ValueError("LET needs an order without descending text")
+            backwards = kinds[plain] in ("date", "timestamp")
+            x = F.unix_micros(F.col(plain).cast("timestamp")) if o.startswith("-") and backwards else F.col(plain)
+            df = df.withColumn(f"_o{i}_", -x if o.startswith("-") else x)
+            last.append(f"_o{i}_")
+    long = df.select(*by, id_, *[F.col(v).cast(kind) for v in var], *last)
     long = long.unpivot([c for c in long.columns if c not in var], list(var), name, "_v_")
 
     def cell(v: object) -> Column:
         here = F.col(id_) == v
         if let:
-            last = F.max_by(F.when(here, F.col("_v_")), F.when(here, F.struct(*[o.lstrip("-") for o in order]))) if order else F.max(F.when(here, F.col("_v_")))
-            return last
+            return F.max_by(F.when(here, F.col("_v_")), F.when(here, F.struct(*last))) if last else F.max(F.when(here, F.col("_v_")))
         return F.when(F.count(F.when(here, 1)) > 1, F.raise_error(F.lit(f"ID value {v} occurs twice in a BY group")).cast(kind)).otherwise(F.max(F.when(here, F.col("_v_"))))
 
     return long.groupBy(*by, name).agg(*[cell(v).alias(f"{prefix}{v}") for v in values])

@@ -354,3 +354,32 @@ def put_lines(t: Tables):
     """PUT of values under a condition, as rows of the dataset _log_."""
     program = Program(t.spark, {"orders": t.orders}).run("data _null_; set orders; if o_totalprice > 300000 then put 'large' o_orderkey o_orderstatus= 'day' o_orderdate yymmdd10.; run;")
     return program.frame("_log_").select(F.regexp_replace("line", "o_orderstatus=", "status=").alias("line"))
+
+
+# functions and informats that had no query
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(l_quantity, l_tax, l_discount) - least(l_quantity, l_tax, l_discount), 6) AS r, round(l_quantity * l_quantity + l_tax * l_tax + l_discount * l_discount, 6) AS u,
+round(l_quantity * l_quantity + l_tax * l_tax + l_discount * l_discount - (l_quantity + l_tax + l_discount) * (l_quantity + l_tax + l_discount) / 3, 4) AS c FROM lineitem""")
+def fn_wanted_numbers(t: Tables):
+    """RANGE, USS and CSS of a row's values."""
+    out = _text(t, "data r; set lineitem; r = range(l_quantity, l_tax, l_discount); u = uss(l_quantity, l_tax, l_discount); c = css(l_quantity, l_tax, l_discount); keep l_orderkey l_linenumber r u c; run;", "r", "lineitem")
+    return rounded(out, 6, c=4)
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS h, CAST(round(o_totalprice, 2) AS DOUBLE) AS e, CAST((o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 50 AS DOUBLE) AS s, round(o_orderkey % 1000 / 1000.0, 6) AS p FROM orders""")
+def fn_input_wanted(t: Tables):
+    """Informats HEX, COMMAX, TIME and PERCENT over text made from the orders."""
+    x = t.orders.selectExpr("o_orderkey", "hex(o_orderkey) AS a", "translate(format_number(o_totalprice, 2), '.,', ',.') AS b", "format_string('%02d:%02d:%02d', o_orderkey % 24, o_orderkey % 60, o_orderkey % 50) AS c", "concat(cast(o_orderkey % 1000 / 10 AS decimal(10, 1)), '%') AS d")
+    out = Program(t.spark, {"x": x}).run("data r; set x; h = input(a, hex8.); e = input(b, commax20.2); s = input(c, time8.); p = input(d, percent8.); keep o_orderkey h e s p; run;").frame("r")
+    return rounded(out, e=2, p=6)
+
+
+@query("SELECT c_custkey, substr(c_name, 3, 5) AS a, rtrim(c_mktsegment) AS b, c_mktsegment || '-' || trim(c_name) AS c FROM customer")
+def sql_text_functions(t: Tables):
+    """SUBSTR, TRIM and CATX in SQL."""
+    return _text(t, "proc sql; create table r as select c_custkey, substr(c_name, 3, 5) as a, trim(c_mktsegment) as b, catx('-', c_mktsegment, c_name) as c from customer; quit;", "r", "customer")
+
+
+@query("""SELECT o_custkey, 'o_totalprice' AS _name_, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS F, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'O') AS O, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
+def transpose_let(t: Tables):
+    """LET keeps the last of the rows with one ID value."""
+    return _text(t, "proc sort data=orders out=s; by o_custkey o_orderdate o_orderkey; run; proc transpose data=s out=r let; by o_custkey; id o_orderstatus; var o_totalprice; run;", "r", "orders")
