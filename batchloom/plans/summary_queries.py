@@ -32,9 +32,8 @@ def means_types(t: Tables):
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 4) AS median, round(quantile_cont(l_quantity, 0.25), 4) AS q1, round(quantile_cont(l_quantity, 0.75), 4) AS q3, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, count(*) AS _FREQ_ FROM lineitem GROUP BY 1""")
 def means_median_pctl(t: Tables):
-    a = s.means(t.lineitem, ["l_quantity"], {"MEDIAN": ["median"], "Q1": ["q1"], "Q3": ["q3"]}, ["l_returnflag"], type_=None)
-    b = s.means(t.lineitem, ["l_extendedprice"], {"P90": ["p90"]}, ["l_returnflag"], type_=None, freq=None)
-    return rounded(a.join(b, "l_returnflag"))
+    asked = [("MEDIAN", "l_quantity", "median"), ("Q1", "l_quantity", "q1"), ("Q3", "l_quantity", "q3"), ("P90", "l_extendedprice", "p90")]
+    return rounded(s.named_means(t.lineitem, asked, ["l_returnflag"], type_=None))
 
 
 @query("""WITH x AS (SELECT o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)
