@@ -66,8 +66,9 @@ def parsed_messages(messages: DataFrame, text_col: str = "text") -> DataFrame:
 def _passages(parsed: DataFrame, key: list[str]) -> DataFrame:
     """(key columns, level, hash, n): normalised passages, runs and single lines. Those that a message repeats fall together in the aggregations that follow."""
     every = F.concat("q_runs", F.transform("q_lines", lambda x: F.struct(x["level"].alias("level"), x["rest"].alias("text"))))
-    out = parsed.select(*key, F.explode(every).alias("x")).select(*key, F.col("x.level").alias("level"), normalised(F.col("x.text")).alias("text")).where("text <> ''")
-    return out.select(*key, "level", F.sha2("text", 256).alias("hash"), F.length("text").alias("n"))
+    clean = F.transform(every, lambda x: F.struct(x["level"].alias("level"), normalised(x["text"]).alias("text")))
+    out = parsed.select(*key, F.explode(F.filter(clean, lambda x: x["text"] != "")).alias("x"))
+    return out.select(*key, F.col("x.level").alias("level"), F.sha2("x.text", 256).alias("hash"), F.length("x.text").alias("n"))
 
 
 def linked_passages(parsed: DataFrame) -> DataFrame:
