@@ -14,11 +14,11 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.lang.expressions import Parser, Value, tokens
+from batchloom.lang.expressions import Parser, Value, tokens, user_format
 from batchloom.lang.loops import Loop
 from batchloom.lang.names import expanded
 from batchloom.lang.statements import UnsupportedConstruct
-from batchloom.operators import datastep, merging, scans, shaping
+from batchloom.operators import datastep, merging, scans, shaping, summaries
 
 if TYPE_CHECKING:
     from batchloom.lang.program import Program
@@ -190,11 +190,17 @@ class DataStep:
 
     def lagged(self, name: str, inner: Value, text: str) -> Value:
         """LAGn and DIFn: what the call's queue holds, the value n calls before. Calls under a condition count only the rows that reach them; groups don't matter."""
-        n = int(re.sub(r"\D", "", name) or 1)
         self.flush()
-        self.place()
         self.calls += 1
         made = f"_call_{self.calls}_"
+        if name.startswith("put "):  # a format of ranges that are a table
+            found = user_format(name[4:], self.p.formats)
+            self.df = summaries.format_ranges(self.df.withColumn("_x_", inner.number), "_x_", found["table"], made, found["other"])
+            self.df = self.df.withColumn(made, F.coalesce(made, F.col("_x_").cast("string"))).drop("_x_")
+            self.temporary.add(made)
+            return Value(F.col(made))
+        n = int(re.sub(r"\D", "", name) or 1)
+        self.place()
         self.df = scans.queued(self.df, made, inner.number, n, F.col(self.current) if self.current else None)
         self.temporary.add(made)
         return Value(F.col(made) if name.startswith("lag") else inner.number - F.col(made))

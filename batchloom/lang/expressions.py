@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from batchloom import functions, missing
 from batchloom.lang.names import expanded
+from batchloom.lang.statements import UnsupportedConstruct
 from batchloom.operators import summaries
 
 _TOKEN = re.compile(
@@ -251,6 +252,10 @@ class Parser:
         if name == "dim":
             raise ValueError("DIM needs an array name")
         if name == "put" and (found := user_format(args[1], self.formats)):
+            if "table" in found:
+                if self.special is None:
+                    raise UnsupportedConstruct(f"PUT with the format {args[1]} outside a DATA step's assignments")
+                return self.special(f"put {args[1]}", Value(args[0] if isinstance(args[0], Column) else F.lit(args[0])), "")
             return Value(summaries.format_value(args[0] if isinstance(args[0], Column) else F.lit(args[0]), **found))
         return Value(functions.call(name, *args))
 

@@ -23,6 +23,8 @@ from batchloom.sources import Library, contents, export_csv, import_csv
 from batchloom.stored import stored
 
 
+#: Most formats that one CNTLIN= dataset makes; their ranges are not limited.
+FORMATS = 1000
 #: Most columns that PROC TABULATE makes of a class variable.
 TABULATE_COLUMNS = 1000
 
@@ -225,7 +227,11 @@ class Program:
             if "." not in w:
                 pending.append(w.lower())
                 continue
-            if found := user_format(w, self.formats):
+            if (found := user_format(w, self.formats)) and "table" in found:
+                for c in [c for c in pending if c in names]:
+                    label = summaries.format_ranges(df, c, found["table"], "_label_", found["other"])
+                    df = label.withColumn(c, F.coalesce("_label_", F.col(c).cast("string"))).drop("_label_")
+            elif found:
                 df = df.withColumns({c: summaries.format_value(c, **found) for c in pending if c in names})
             pending = []
         return df
@@ -296,6 +302,11 @@ class Program:
         self.bind(name, self._output(out, options))
 
     def proc_format(self, o: dict[str, str], body: list[str]) -> None:
+        if "cntlin" in o:
+            self.formats_of(self.frame(o["cntlin"]))
+        for s in body:
+            if not re.match(r"value\b", s, re.I):
+                raise UnsupportedConstruct(f"{s} in PROC FORMAT")
         for s in [s for s in body if re.match(r"value\b", s, re.I)]:
             name, _, rest = re.sub(r"^value\s+", "", s, flags=re.I).partition(" ")
             mapping, ranges, other = {}, [], None
@@ -312,6 +323,25 @@ class Program:
                         mapping[v[1:-1] if v[0] in "'\"" else float(v)] = label
             self.formats[name.lower().strip("$")] = {"mapping": mapping, "ranges": ranges, "other": other}
 
+    def formats_of(self, table: DataFrame) -> None:
+        """CNTLIN=: formats of numeric ranges from a dataset (fmtname, start, end, label, and if they are there sexcl, eexcl, hlo). The ranges stay a table; those of one format must not overlap."""
+        have = {c.lower() for c in table.columns}
+        if not {"fmtname", "start", "label"} <= have or have & {"type"} and table.where("lower(type) = 'c'").limit(1).count():
+            raise UnsupportedConstruct("CNTLIN= needs fmtname, start and label, and numeric formats")
+        hlo = F.upper(F.coalesce("hlo", F.lit(""))) if "hlo" in have else F.lit("")
+        low, high = F.col("start").try_cast("double"), F.coalesce(F.col("end") if "end" in have else F.col("start"), F.col("start")).try_cast("double")
+        closed = [F.coalesce(F.upper(c) != "Y", F.lit(True)) if c in have else F.lit(True) for c in ("sexcl", "eexcl")]
+        rows = table.select(
+            F.lower("fmtname").alias("name"), F.when(~F.contains(hlo, F.lit("L")), low).alias("low"), F.when(~F.contains(hlo, F.lit("H")), high).alias("high"), closed[0].alias("from_"), closed[1].alias("to_"), "label", F.contains(hlo, F.lit("O")).alias("other"),
+        )
+        names = [r[0] for r in rows.select("name").distinct().limit(FORMATS + 1).collect()]
+        if len(names) > FORMATS:
+            raise UnsupportedConstruct(f"CNTLIN= with more than {FORMATS} formats")
+        for name in names:
+            mine = rows.where(F.col("name") == name)
+            rest = mine.where("other").select("label").first()
+            self.formats[name.strip("$")] = {"table": summaries.range_table(mine.where("not other"), "low", "high", "label", "from_", "to_"), "other": rest[0] if rest else None}
+
     def proc_report(self, o: dict[str, str], body: list[str]) -> None:
         """The report's rows go to OUT=, or to the dataset ``_report_``."""
         df, _, _ = self._input(o, body, "column", "columns", "define", "break", "rbreak")

@@ -73,6 +73,8 @@ def _function(name: str, a: list[str], program: Program) -> str | None:
             values.append(F.col(f"_a{i}_"))
     try:
         found = user_format(values[1], program.formats) if name == "put" else None
+        if found and "table" in found:
+            raise UnsupportedConstruct(f"PUT with the format {values[1]} in SQL: its ranges are a table")
         column = summaries.format_value(values[0] if isinstance(values[0], Column) else F.lit(values[0]), **found) if found else functions.call(name, *values)
     except TypeError as e:
         raise UnsupportedConstruct(f"{name.upper()}({', '.join(a)}): {e}") from None

@@ -383,3 +383,21 @@ def sql_text_functions(t: Tables):
 def transpose_let(t: Tables):
     """LET keeps the last of the rows with one ID value."""
     return _text(t, "proc sort data=orders out=s; by o_custkey o_orderdate o_orderkey; run; proc transpose data=s out=r let; by o_custkey; id o_orderstatus; var o_totalprice; run;", "r", "orders")
+
+
+_CNTLIN = """data f; set orders; length label $ 20; fmtname = 'band'; start = o_orderkey * 25; end = start + 20; label = 'band ' || strip(put(o_orderkey, 12.)); keep fmtname start end label; run;
+proc format cntlin=f; run;"""
+
+
+@query(_BANDED.replace("'none'", "CAST(l_extendedprice AS VARCHAR)").replace("coalesce(label, CAST(l_extendedprice AS VARCHAR))", "coalesce(label, 'none')"))
+def format_cntlin_text(t: Tables):
+    """A format with a range for each order, read from a dataset and used by PUT."""
+    out = _text(t, _CNTLIN + " data r; set lineitem; band = put(l_extendedprice, band.); if substr(band, 1, 4) ne 'band' then band = 'none'; keep l_orderkey l_linenumber band; run;", "r", "orders", "lineitem")
+    return out
+
+
+@query(f"WITH b AS ({_BANDS}), x AS (SELECT coalesce(label, 'none') AS band, l_quantity FROM lineitem LEFT JOIN b ON k = CAST(floor(l_extendedprice / 25) AS BIGINT) AND l_extendedprice <= high) SELECT band, count(*) AS n, round(sum(l_quantity), 2) AS total FROM x WHERE band <> 'none' GROUP BY 1")
+def class_format_cntlin(t: Tables):
+    """Classes are the labels of a format whose ranges are a table."""
+    out = _text(t, _CNTLIN + " proc means data=lineitem nway; class l_extendedprice; format l_extendedprice band.; var l_quantity; output out=r(drop=_type_ _freq_) n=n sum=total; run;", "r", "orders", "lineitem")
+    return out.where("l_extendedprice LIKE 'band%'").select(F.col("l_extendedprice").alias("band"), "n", F.round("total", 2).alias("total"))

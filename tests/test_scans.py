@@ -89,3 +89,50 @@ def test_recurrence_of_a_hot_group_and_of_many(spark):
         assert got[g, i] == (None if state[g] is None else pytest.approx(state[g], rel=1e-6, abs=1e-6))
         assert g == "gap" or streamed[g, i] == pytest.approx(state[g], rel=1e-9, abs=1e-9)
     assert scans.bounded_recurrence(df.limit(0), [], ["id"], F.col("a"), F.col("b"), "s").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_format_ranges_with_open_and_closed_ends(spark, monkeypatch, most):
+    """By bisection in groups, and merged in order; ranges that touch, points, open starts and infinite ends."""
+    monkeypatch.setattr(summaries, "FORMAT_RANGES", most)
+    monkeypatch.setattr(summaries, "GROUP_RANGES", 3)
+    rows = [(None, -5.0, True, False, "low"), (-5.0, -5.0, True, True, "point"), (-5.0, 0.0, False, True, "a"), (0.0, 1.0, False, False, "b"), (1.0, 1.0, True, True, "one"), (2.0, 3.0, True, True, "c"), (3.0, 4.0, False, False, "d"), (5.0, None, False, True, "high")]
+    table = summaries.range_table(spark.createDataFrame(rows, "lo double, hi double, s boolean, e boolean, label string"), "lo", "hi", "label", "s", "e")
+    values = [-100.0, -5.0, -4.9, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 3.5, 4.0, 4.5, 5.0, 5.1, 1e300, None, float("nan")] * 3
+    df = spark.createDataFrame(list(enumerate(values)), "id long, x double")
+    got = {r.id: r.f for r in summaries.format_ranges(df, "x", table, "f", "none").collect()}
+
+    def label(x):
+        for lo, hi, s, e, name in rows:
+            lo, hi = -math.inf if lo is None else lo, math.inf if hi is None else hi
+            if x is not None and (lo < x or lo == x and s) and (x < hi or x == hi and e):
+                return name
+        return "none"
+
+    assert got == {i: label(x) for i, x in enumerate(values)}
+    assert summaries.format_ranges(df, "x", table.limit(0), "f", "none").where("f <> 'none'").count() == 0
+
+
+@pytest.mark.parametrize("bad", [[(0.0, 2.0), (1.0, 3.0)], [(0.0, 1.0), (1.0, 2.0)], [(2.0, 1.0)], [(0.0, 9.0), (1.0, 2.0)]])
+def test_overlapping_ranges_are_refused(spark, bad):
+    with pytest.raises(ValueError):
+        summaries.range_table(spark.createDataFrame([(a, b, "x") for a, b in bad], "lo double, hi double, label string"), "lo", "hi", "label")
+
+
+def test_association_matches_pairs(spark):
+    """Concordant and discordant pairs one by one; the p-value against the integral."""
+    r = random.Random(6)
+    rows = [(r.randint(0, 3), r.randint(0, 4)) for _ in range(120)]
+    got = {x.STATISTIC: x.VALUE for x in summaries.association(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
+    pairs = [(np.sign(x[0] - y[0]), np.sign(x[1] - y[1])) for i, x in enumerate(rows) for y in rows[:i]]
+    c, d = sum(p * q > 0 for p, q in pairs), sum(p * q < 0 for p, q in pairs)
+    ta, tb = sum(p != 0 for p, _ in pairs), sum(q != 0 for _, q in pairs)
+    assert got["GAMMA"] == pytest.approx((c - d) / (c + d)) and got["KENDALL_TAU_B"] == pytest.approx((c - d) / math.sqrt(ta * tb)) and got["SOMERS_D_C_R"] == pytest.approx((c - d) / ta)
+    x, k = got["CHISQ"], got["DF"]
+    t = np.linspace(0, x, 400_001)[1:]
+    density = t ** (k / 2 - 1) * np.exp(-t / 2) / (2 ** (k / 2) * math.gamma(k / 2))
+    assert got["PROB"] == pytest.approx(1 - float(np.sum((density[1:] + density[:-1]) / 2) * (t[1] - t[0])), abs=1e-4)
+    values = spark.range(1).select(summaries.upper_gamma(F.lit(0.5), F.lit(0.02)).alias("a"), summaries.upper_gamma(F.lit(0.5), F.lit(8.0)).alias("b"), summaries.upper_gamma(F.lit(3.0), F.lit(1.5)).alias("c"), summaries.upper_gamma(F.lit(50.0), F.lit(60.0)).alias("d")).first()
+    assert values.a == pytest.approx(math.erfc(math.sqrt(0.02)), rel=1e-9) and values.b == pytest.approx(math.erfc(math.sqrt(8)), rel=1e-9)
+    assert values.c == pytest.approx(math.exp(-1.5) * (1 + 1.5 + 1.5**2 / 2), rel=1e-9)
+    assert values.d == pytest.approx(math.exp(-60) * sum(60.0**i / math.factorial(i) for i in range(50)), rel=1e-7)
