@@ -40,7 +40,7 @@ def extreme_observations(t: Tables):
     return orderstats.extremes(t.events, ["value"], 5, ["event_type"], ["event_id"]).drop("v")
 
 
-# state along all rows
+# state along all rows; 1e-10 keeps decimal ties from falling to either side when they are rounded
 _ALL = "WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
 _BY_TIME = "proc sort data=events out=s; by ts event_id; run;"
 
@@ -68,11 +68,11 @@ def lag_queue(t: Tables):
 
 @query("""WITH RECURSIVE x AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT event_id, i, least(300.0, greatest(0.0, 50 * 0.9 + value - 10)) AS s FROM x WHERE i = 1 UNION ALL SELECT x.event_id, x.i, least(300.0, greatest(0.0, r.s * 0.9 + x.value - 10)) FROM r JOIN x ON x.i = r.i + 1)
-SELECT event_id, round(s, 6) AS s FROM r""")
+SELECT event_id, round(s + 1e-10, 6) AS s FROM r""")
 def recurrence_over_all_rows(t: Tables):
     """A decaying level between 0 and 300 along all events: one group that holds every row."""
     out = scans.bounded_recurrence(t.events, [], ["ts", "event_id"], F.lit(0.9), F.col("value") - 10, "s", 50.0, F.lit(0.0), F.lit(300.0))
-    return out.select("event_id", F.round("s", 6).alias("s"))
+    return out.select("event_id", F.round(F.col("s") + 1e-10, 6).alias("s"))
 
 
 # program text
@@ -94,10 +94,10 @@ def lag_text_guarded(t: Tables):
 
 
 @query("""WITH RECURSIVE x AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT event_id, i, greatest(0.0, 5 * 0.8 + value / 2 - 40) AS s FROM x WHERE i = 1 UNION ALL SELECT x.event_id, x.i, greatest(0.0, r.s * 0.8 + x.value / 2 - 40) FROM r JOIN x ON x.i = r.i + 1) SELECT event_id, round(s, 6) AS s FROM r""")
+r AS (SELECT event_id, i, greatest(0.0, 5 * 0.8 + value / 2 - 40) AS s FROM x WHERE i = 1 UNION ALL SELECT x.event_id, x.i, greatest(0.0, r.s * 0.8 + x.value / 2 - 40) FROM r JOIN x ON x.i = r.i + 1) SELECT event_id, round(s + 1e-10, 6) AS s FROM r""")
 def recurrence_text(t: Tables):
     out = _text(t, f"{_BY_TIME} data r; set s; retain s 5; s = max(0, s * 0.8 + value / 2 - 40); keep event_id s; run;", "r", "events")
-    return out.select("event_id", F.round("s", 6).alias("s"))
+    return out.select("event_id", F.round(F.col("s") + 1e-10, 6).alias("s"))
 
 
 @query("""WITH n AS (SELECT o_orderkey, o_totalprice, 1 + CAST(floor(ln(o_totalprice / 1000) / ln(2)) AS INTEGER) AS k FROM orders WHERE o_totalprice >= 1000)
@@ -122,11 +122,11 @@ def select_when_text(t: Tables):
     return _text(t, program, "r", "orders")
 
 
-@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER () AS n FROM orders), s AS (SELECT min(i) AS stop FROM x WHERE o_totalprice > 350000)
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER () AS n FROM orders), s AS (SELECT min(i) AS stop FROM x WHERE o_totalprice > 350000 AND o_orderdate >= TIMESTAMP '1996-01-01')
 SELECT o_orderkey, CAST(i = n AS INTEGER) AS is_last FROM x, s WHERE i < coalesce(stop, n + 1)""")
 def stop_text(t: Tables):
-    """STOP at the first large order; END= marks the last row of the input."""
-    return _text(t, "proc sort data=orders out=s; by o_orderdate o_orderkey; run; data r; set s end=eof; is_last = eof; if o_totalprice > 350000 then stop; keep o_orderkey is_last; run;", "r", "orders")
+    """STOP at the first large order from 1996 on; END= marks the last row of the input."""
+    return _text(t, "proc sort data=orders out=s; by o_orderdate o_orderkey; run; data r; set s end=eof; is_last = eof; if o_totalprice > 350000 and datepart(o_orderdate) >= '01JAN1996'd then stop; keep o_orderkey is_last; run;", "r", "orders")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 6) AS x1, round(l_tax * 2, 6) AS x2, round(l_discount, 6) AS x3, round(l_quantity * 2 + l_tax * 2 + l_discount, 6) AS total FROM lineitem WHERE l_quantity > 10 AND l_tax < 0.05")
