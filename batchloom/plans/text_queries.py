@@ -205,10 +205,11 @@ def merge_text_many_to_many(t: Tables):
     return _run(t, program, "r", "customer", "supplier")
 
 
-@query("SELECT c_custkey, n_name, CASE WHEN n_name IS NULL THEN 1 ELSE 0 END AS rc FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, n_name, CASE WHEN n_name IS NULL THEN 1 ELSE 0 END AS rc FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey + 5")
 def hash_text(t: Tables):
-    program = """data few; set nation; where n_nationkey < 20; c_nationkey = n_nationkey; run; proc sort data=few; by n_nationkey; run;
-    data r; set customer; declare hash h(dataset: 'few'); h.defineKey('c_nationkey'); h.defineData('n_name'); h.defineDone(); rc = h.find(); keep c_custkey n_name rc; run;"""
+    """Keys are shifted, so that some customers find no nation."""
+    program = """data later; set nation; c_nationkey = n_nationkey + 5; run; proc sort data=later; by n_nationkey; run;
+    data r; set customer; declare hash h(dataset: 'later'); h.defineKey('c_nationkey'); h.defineData('n_name'); h.defineDone(); rc = h.find(); keep c_custkey n_name rc; run;"""
     return _run(t, program, "r", "customer", "nation")
 
 
@@ -350,5 +351,8 @@ def run_report_rows(t: Tables):
 
 @query("SELECT user_id, CAST(sum(new) AS BIGINT) AS n FROM (SELECT user_id, CASE WHEN coalesce(value, 0) > 10 THEN 1 ELSE 0 END AS new FROM events) GROUP BY 1")
 def put_log_count(t: Tables):
-    return _run(t, "data e; set events; big = (value > 10); run; proc means data=e nway; class user_id; var big; output out=r(drop=_type_ _freq_) sum=n; run;", "r", "events").withColumn("n", F.col("n").cast("long"))
+    """PUT under a condition: lines of the log, counted by the user they name."""
+    log = Program(t.spark, {"events": t.events}).run("data _null_; set events; if value > 10 then put user_id=; run;").frame("_log_")
+    lines = log.select(F.regexp_extract("line", r"^user_id=(\d+)$", 1).cast("long").alias("user_id")).groupBy("user_id").agg(F.count("*").alias("n"))
+    return t.events.select("user_id").distinct().join(lines, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("n"))
 
