@@ -103,7 +103,8 @@ class Versions:
             return self.publish([part], schema, {}, m["number"])
         gone = {r[0] for r in files.collect()}  # names of touched files, which are as many as the task rewrites
         rest = [f for f in self._files(m) if f not in gone]
-        relative = [f.split(f"/{self.path.rsplit('/', 1)[-1]}/", 1)[1] for f in rest]
+        name = self.path.rsplit("/", 1)[-1]
+        relative = [f.rsplit(f"/{name}/", 1)[1] for f in rest]
         return self.publish([*relative, part], schema, m["indexes"], m["number"])
 
     def _files(self, m: dict) -> list[str]:
