@@ -51,47 +51,76 @@ def _plain_number(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _exponent(x: Column, q: int) -> Column:
+    """Exponent notation with at most ``q`` decimals, without trailing zeros."""
+    text = F.format_string(f"%.{q}E", x)
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0*E", "$1E"), r"\.?E(?:\+|(-))0*", "E$1")
+
+
 def _fixed(x: Column, width: int | None, d: int) -> Column:
     """w.d: right-aligned. What does not fit loses decimals, then goes to an exponent, as BESTw. does; else asterisks."""
     if width is None:
         return F.format_string(f"%1.{d}f", x)
     tries = [F.format_string(f"%.{q}f", x) for q in range(d, -1, -1)]
-    for q in range(max(0, width - 4), -1, -1):
-        tries.append(F.regexp_replace(F.regexp_replace(F.format_string(f"%.{q}E", x), r"(\.\d*?)0*E", "$1E"), r"\.?E(?:\+|(-))0*", "E$1"))
+    tries += [_exponent(x, q) for q in range(max(0, width - 4), -1, -1)]
     fitting = F.coalesce(*[F.when(F.length(text) <= width, text) for text in tries], F.lit("*" * width))
     return F.lpad(fitting, width, " ")
 
 
 def _best(x: Column, width: int) -> Column:
-    """BESTw.: as many significant digits as fit the width, without trailing zeros; an exponent where a plain number would lose more. Not padded."""
-    size = F.when(x == 0, 0.0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")  # of the first digit
-    sign = F.when(x < 0, 1).otherwise(0)
-    out = F.lit("*" * width)
-
-    def trimmed(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-    for q in range(width):  # plain numbers: the most decimals that fit
-        text = trimmed(F.format_string(f"%.{min(q, 15)}f", x))
-        out = F.when((F.length(text) <= width) & (F.format_string(f"%.{min(q, 15)}f", x).rlike("[1-9]") | (x == 0)), text).otherwise(out)
-    scientific = F.lit("*" * width)
-    for q in range(max(0, min(width - 5, 14)) + 1):
-        text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{q}E", x), r"(\.\d*?)0*E", "$1E"), r"\.?E(?:\+|(-))0*", "E$1")
-        scientific = F.when(F.length(text) <= width, text).otherwise(scientific)
-    # a plain small number loses its leading digits to zeros: it has width - 1 decimals at most
-    small = (x != 0) & (size < -4) & (F.length(trimmed(F.format_string("%.15f", x))) > width - sign)
-    return F.when(small | out.startswith("*") | ~out.rlike("[1-9]") & (x != 0), scientific).otherwise(out)
+    """BESTw.: as many significant digits as fit the width, without trailing zeros; an exponent where a plain number would lose more. Not padded.
+
+    The number's size tells how many decimals fit, so a row is formatted once; each branch stands once in the expression, as branches that hold each other grow with every width tried.
+    """
+
+    def trimmed(q: int) -> Column:
+        text = F.format_string(f"%.{q}f", x)
+        return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if q else text
+
+    def below(digits: int) -> Column:
+        """At most so many digits, a minus counted, stand before the point."""
+        return (x < 10.0**digits) & (x > -(10.0 ** (digits - 1)) if digits > 1 else x >= 0)
+
+    tries = [_exponent(x, q) for q in range(max(0, min(width - 5, 14)), -1, -1)]
+    scientific = F.coalesce(*[F.when(F.length(text) <= width, text) for text in tries], F.lit("*" * width))
+    plain = F.when(x == 0, "0")
+    for q in range(min(width - 2, 15), 0, -1):  # the most decimals that fit
+        plain = plain.when(below(width - 1 - q), trimmed(q))
+    plain = plain.otherwise(trimmed(0))
+    fits = (x < 10.0**width - 0.5) & (x > (-(10.0 ** (width - 1)) + 0.5 if width > 1 else -0.5))
+    # numbers that would show as zero, and small ones that lose leading digits to zeros
+    zero = (x != 0) & (x < 0.5 * 10.0 ** -max(width - 2, 0)) & (x > -0.5 * 10.0 ** -max(width - 3, 0))
+    small = (x != 0) & (F.abs(x) < 1e-4) & (F.length(trimmed(15)) > width - F.when(x < 0, 1).otherwise(0))
+    return F.when(fits & ~zero & ~small, plain).otherwise(scientific)
 
 
 def _fraction(x: Column) -> Column:
-    """FRACTw.: the fraction of least denominator up to 1000 that equals the number to 1e-6; else the plain number."""
+    """FRACTw.: the fraction of least denominator up to 1000 that equals the number to 1e-6; else the plain number.
+
+    The fraction of least denominator between two numbers is found by their continued fractions: while they share a whole part, it is taken off and the rests are turned over. 17 turns pass the denominator 1000.
+    """
     whole, rest = F.floor(F.abs(x)), F.abs(x) - F.floor(F.abs(x))
-    q = F.expr("sequence(1, 1000)")
-    found = F.get(F.filter(q, lambda k: F.abs(rest * k - F.round(rest * k)) < 1e-6 * k), F.lit(0))
-    top = F.round(rest * found).cast("long")
-    text = F.when(found == 1, (whole + top).cast("string")).when(whole == 0, F.concat(top.cast("string"), F.lit("/"), found.cast("string")))
-    text = text.otherwise(F.concat(whole.cast("string"), F.lit("+"), top.cast("string"), F.lit("/"), found.cast("string")))
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(text, _plain_number(F.abs(x))))
+    names = ("lo", "hi", "p0", "q0", "p", "q", "done")
+
+    def state(*values) -> Column:
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in zip(names, values, strict=True)])
+
+    def step(s: Column, _: Column) -> Column:
+        a = F.floor(s["lo"])
+        last = a + 1 < s["hi"]
+        part = F.when(last, a + 1).otherwise(a)
+        turned = F.when(last | (s["lo"] == a), float("inf")).otherwise(F.try_divide(F.lit(1.0), s["lo"] - a))
+        made = state(F.when(last, 0.0).otherwise(F.try_divide(F.lit(1.0), s["hi"] - a)), turned, s["p"], s["q"], part * s["p"] + s["p0"], part * s["q"] + s["q0"], last)
+        return F.when(s["done"] | (s["q"] > 1000), s).otherwise(made)
+
+    def text(s: Column) -> Column:
+        ratio = F.concat(s["p"].cast("string"), F.lit("/"), s["q"].cast("string"))
+        found = F.when(s["q"] == 1, (whole + s["p"]).cast("string")).when(whole == 0, ratio).otherwise(F.concat(whole.cast("string"), F.lit("+"), ratio))
+        return F.when(s["done"] & (s["q"] <= 1000), found)
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    found = F.when(rest < 1e-6, whole.cast("string")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(17)), state(rest - 1e-6, rest + 1e-6, zero, one, one, zero, False), step, text))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(found, _plain_number(F.abs(x))))
 
 
 def put(x, fmt: str) -> Column:
