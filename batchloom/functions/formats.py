@@ -52,8 +52,9 @@ def _plain_number(x: Column) -> Column:
 
 
 def _exponent(x: Column, q: int) -> Column:
-    """Exponent notation with at most ``q`` decimals, without trailing zeros."""
-    text = F.format_string(f"%.{q}E", x)
+    """Exponent notation with at most ``q`` decimals, without trailing zeros. Ties go to the even digit, as in C's printf; Java's formatter rounds them up."""
+    whole, kept = F.format_string("%.16E", x), r"^(-?[02468])\.50*E" if q == 0 else rf"^(-?\d\.\d{{{q - 1}}}[02468])50*E"
+    text = F.when(whole.rlike(kept), F.regexp_replace(whole, kept, "$1E")).otherwise(F.format_string(f"%.{q}E", x))
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0*E", "$1E"), r"\.?E(?:\+|(-))0*", "E$1")
 
 

@@ -74,6 +74,11 @@ def test_put_numeric_keeps_large_keys(spark, tmp_path):
     assert got == {999999: ("00999999", "999999", "999999"), 1000000: ("01000000", "1000000", "   1E6"), 1234567: ("01234567", "1234567", "1.23E6")}
 
 
+def test_exponents_round_ties_to_the_even_digit(spark):
+    cases = [(1005000.0, "6.", "   1E6"), (1015000.0, "6.", "1.02E6"), (2045000.0, "6.", "2.04E6"), (-1250000.0, "6.", "-1.2E6"), (1005001.0, "6.", "1.01E6"), (2500000.0, "3.", "2E6"), (9995000.0, "6.", "   1E7")]
+    assert [value(spark, put(F.lit(x), fmt)) for x, fmt, _ in cases] == [want for _, _, want in cases]
+
+
 def test_best_and_fractions_of_a_column(spark):
     numbers = [0.0, -0.0, 12.5, -12.5, 1 / 3, -1 / 3, 99999999999.9, 999999999999.9, 1e-12, 5e-5, 0.30000000000000004, 1.75, 9.9999999999999]
     best = ["0", "0", "12.5", "-12.5", "0.3333333333", "-0.333333333", "100000000000", "1E12", "1E-12", "0.00005", "0.3", "1.75", "10"]
