@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from batchloom.stored import stored
 
 RUN_ROWS = 4096
+#: About the rows of a block; the number of blocks grows with the rows, so that no task sorts or buffers more than a few blocks.
+BLOCK_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -29,9 +32,11 @@ class Placed:
 
 
 def placed(df: DataFrame, order: Sequence[str | Column]) -> Placed:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = -(-df.count() // BLOCK_ROWS)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), full)
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m_", F.monotonically_increasing_id())
-    return Placed(stored(ranged.select(*df.columns, F.shiftright("_m_", 33).cast("int").alias("_p_"), F.col("_m_").bitwiseAND((1 << 33) - 1).alias("_k_"))))
+    rows = stored(ranged.select(*df.columns, F.shiftright("_m_", 33).cast("int").alias("_p_"), F.col("_m_").bitwiseAND((1 << 33) - 1).alias("_k_")))
+    return Placed(rows.withMetadata("_p_", {"tasks": min(parts, max(full, df.sparkSession.sparkContext.defaultParallelism))}))
 
 
 @dataclass(frozen=True)
@@ -43,17 +48,27 @@ class Carry:
     start: Column | None = None
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Placed rows with each block in one partition, in as many partitions as there are full blocks; once for several calls, which the metadata of ``_p_`` tell."""
+    known = rows.schema["_p_"].metadata
+    if known.get("dealt"):
+        return rows
+    return rows.repartition(known.get("tasks") or rows.select("_p_").distinct().count() or 1, "_p_").withMetadata("_p_", {"dealt": True})
+
+
 def carried(rows: DataFrame, carries: dict[str, Carry]) -> DataFrame:
     """Adds retained variables to placed rows; all of them share one pass over the blocks and one window."""
     values = {f"_x{i}_": c.value for i, c in enumerate(carries.values())}
     rows = rows.withColumns(values)
-    sums, folds, adds = [], [], []
+    sums, folds, adds, ends = [], [], [], []
     inside = Window.partitionBy("_p_").orderBy("_k_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = Window.orderBy("_p_").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     for i, (name, c) in enumerate(carries.items()):
         x = F.col(f"_x{i}_")
         if c.kind == "last":
-            sums.append(F.max_by(x, F.when(x.isNotNull(), F.col("_k_"))).alias(f"_s{i}_"))
+            # a block's last value is looked up at its place: max_by of text or structs would sort all rows that a task reads
+            at = rows.where(x.isNotNull()).groupBy("_p_").agg(F.max("_k_").alias("_k_"))
+            ends.append(rows.select("_p_", "_k_", x.alias(f"_s{i}_")).join(F.broadcast(at), ["_p_", "_k_"]).select("_p_", f"_s{i}_"))
             folds.append(F.last(f"_s{i}_", ignorenulls=True).over(blocks).alias(f"_s{i}_"))
             here = F.coalesce(F.last(x, ignorenulls=True).over(inside), F.col(f"_s{i}_"))
             adds.append((F.coalesce(here, c.start) if c.start is not None else here).alias(name))
@@ -66,9 +81,10 @@ def carried(rows: DataFrame, carries: dict[str, Carry]) -> DataFrame:
             adds.append((total if c.kind == "sum" else F.when(gaps == 0, total)).alias(name))
         else:
             raise ValueError(c.kind)
-    before = rows.groupBy("_p_").agg(*sums).select("_p_", *folds)
+    totals = rows.groupBy("_p_").agg(F.count("*").alias("_n_"), *sums)  # one row a block, as are the ends
+    before = reduce(lambda a, b: a.join(F.broadcast(b), "_p_", "left"), ends, totals).select("_p_", *folds)
     keep = [c for c in rows.columns if c not in values and c not in carries]
-    return rows.join(F.broadcast(before), "_p_").select(*keep, *adds)
+    return _dealt(rows).join(F.broadcast(before), "_p_").select(*keep, *adds)
 
 
 def queued(rows: DataFrame, name: str, x: Column, n: int = 1, reached: Column | None = None) -> DataFrame:
@@ -77,7 +93,7 @@ def queued(rows: DataFrame, name: str, x: Column, n: int = 1, reached: Column |
     Inside a block it is a window; a block's first ``n`` calls take the last ``n`` calls of the blocks before, which are n rows a block. Rows that don't reach the call get null.
     """
     here = F.lit(True) if reached is None else F.coalesce(reached, F.lit(False))
-    rows = rows.withColumns({"_g_": here, "_x_": x})
+    rows = _dealt(rows.withColumns({"_g_": here, "_x_": x}))
     w = Window.partitionBy("_p_", "_g_").orderBy("_k_")
     rows = rows.withColumns({"_i_": (F.row_number().over(w) - 1).cast("long"), "_l_": F.lag("_x_", n).over(w)})
     calls = rows.where("_g_").groupBy("_p_").agg(F.count("*").alias("_c_"))

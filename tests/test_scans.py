@@ -136,3 +136,16 @@ def test_association_matches_pairs(spark):
     assert values.a == pytest.approx(math.erfc(math.sqrt(0.02)), rel=1e-9) and values.b == pytest.approx(math.erfc(math.sqrt(8)), rel=1e-9)
     assert values.c == pytest.approx(math.exp(-1.5) * (1 + 1.5 + 1.5**2 / 2), rel=1e-9)
     assert values.d == pytest.approx(math.exp(-60) * sum(60.0**i / math.factorial(i) for i in range(50)), rel=1e-7)
+
+
+def test_blocks_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    """A task held a fixed share of all rows before: as many blocks as shuffle partitions, and a sort of what it read for each block's last value."""
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 100)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 == 0, F.struct(F.col("id").cast("string").alias("t"))).alias("mark"))
+    rows = scans.placed(df, ["id"]).rows
+    assert rows.groupBy("_p_").count().agg(F.max("count")).first()[0] < 400 and rows.select("_p_").distinct().count() >= 25
+    out = scans.queued(scans.carried(rows, {"last": scans.Carry("last", F.col("mark"))}), "before", F.col("id"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in plan
+    got = out.select("id", "last.t", "before").orderBy("id").collect()
+    assert [(r.t, r.before) for r in got] == [(str(i - i % 7), i - 1 if i else None) for i in range(3000)]
