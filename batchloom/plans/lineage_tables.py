@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from batchloom.plans.lineage import CONFIDENCE, IGNORED_LIBRARIES, TIER_OF, blocks, lint
 from batchloom.stored import stored
 
+#: More readers than this make a dataset a heavy one; there are at most rows / HEAVY_READERS of them.
+HEAVY_READERS = 100_000
+
 _BLOCKS = "job string, n int, construct string, tier string, confidence double, inputs array<string>, outputs array<string>"
 
 
@@ -51,8 +54,13 @@ def lint_table(programs: DataFrame) -> DataFrame:
 
 def uses(block_rows: DataFrame) -> DataFrame:
     """(job, dataset, reads, writes): one row for each job and dataset."""
-    sides = [block_rows.select("job", F.explode(c).alias("dataset"), F.lit(c == "inputs").alias("reads"), F.lit(c == "outputs").alias("writes")) for c in ("inputs", "outputs")]
-    return sides[0].unionByName(sides[1]).groupBy("job", "dataset").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes"))
+
+    def named(c: str):
+        return F.transform(c, lambda d: F.struct(d.alias("dataset"), F.lit(c == "inputs").alias("reads"), F.lit(c == "outputs").alias("writes")))
+
+    # both lists in one explode: a union of two would parse every program twice
+    rows = block_rows.select("job", F.explode(F.concat(named("inputs"), named("outputs"))).alias("u")).select("job", "u.*")
+    return rows.groupBy("job", "dataset").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes"))
 
 
 def inventory_table(use: DataFrame) -> DataFrame:
@@ -68,13 +76,20 @@ def job_levels(use: DataFrame) -> DataFrame:
     jobs = use.select("job").distinct()
     writes = use.where("writes").select("dataset", F.col("job").alias("writer"))
     many = writes.groupBy("dataset").agg(F.count("*").alias("n"), F.min("writer").alias("one"))
+    # datasets with so many readers that their rows would fill one task of a join: they meet a broadcast of themselves instead
+    heavy = F.broadcast(stored(use.where("reads").groupBy("dataset").count().where(F.col("count") > HEAVY_READERS).select("dataset")))
+
+    def on_dataset(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        light = rows.join(heavy, "dataset", "left_anti").join(table, "dataset", how)
+        return light.unionByName(rows.join(heavy, "dataset", "left_semi").join(F.broadcast(table.join(heavy, "dataset", "left_semi")), "dataset", how))
+
     # what a job waits for: datasets that another job writes
-    waits = stored(use.where("reads").join(many, "dataset").where((F.col("n") > 1) | (F.col("one") != F.col("job"))).select("job", "dataset", F.col("writes").alias("own")))
+    waits = stored(on_dataset(use.where("reads"), many, "inner").where((F.col("n") > 1) | (F.col("one") != F.col("job"))).select("job", "dataset", "n", F.col("writes").alias("own")))
     settled = stored(jobs.join(waits.select("job").distinct(), "job", "left_anti").withColumn("level", F.lit(1)))
     round_ = 1
     while True:
         done = writes.join(settled.select(F.col("job").alias("writer")), "writer").groupBy("dataset").agg(F.count("*").alias("done"))
-        left = waits.join(settled, "job", "left_anti").join(many.select("dataset", "n"), "dataset").join(done, "dataset", "left")
+        left = on_dataset(waits.join(settled, "job", "left_anti"), done, "left")
         ready = left.groupBy("job").agg(F.min(F.coalesce(F.col("done"), F.lit(0)) + F.col("own").cast("int") >= F.col("n")).alias("ready")).where("ready").select("job")
         round_ += 1
         ready = stored(ready.withColumn("level", F.lit(round_)))

@@ -131,3 +131,47 @@ def test_transpose_refuses_too_many_columns(spark, monkeypatch):
     monkeypatch.setattr(shaping, "ID_VALUES", 3)
     with pytest.raises(ValueError):
         shaping.transpose(spark.range(9).withColumn("v", F.lit(1)), ["v"], [], "id")
+
+
+def test_comments_are_found_as_one_character_after_another():
+    import random
+
+    from batchloom.lang.statements import without_comments
+
+    def plainly(text):
+        out, i, start = [], 0, True
+        while i < len(text):
+            c = text[i]
+            if text.startswith("/*", i):
+                end = text.find("*/", i + 2)
+                i = len(text) if end < 0 else end + 2
+                out.append(" ")
+            elif start and (c == "*" or text.startswith("%*", i)):
+                end = text.find(";", i)
+                i = len(text) if end < 0 else end + 1
+            elif c in "'\"":
+                end = text.find(c, i + 1)
+                end = len(text) if end < 0 else end + 1
+                out.append(text[i:end])
+                i, start = end, False
+            else:
+                out.append(c)
+                start = c == ";" or (start and c.isspace())
+                i += 1
+        return "".join(out)
+
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choices("a ;*/%'\"\n", k=draw.randint(0, 14)))
+        assert without_comments(text) == plainly(text), text
+
+
+def test_programs_are_parsed_once_and_heavy_datasets_do_not_meet_in_one_task(spark, monkeypatch):
+    from batchloom.plans import lineage_tables as lt
+
+    texts = [(f"w{i}", f"data lib.hub; set raw.a{i}; run;") for i in range(2)] + [(f"r{i}", f"data lib.out{i}; set lib.hub raw.rates; run;") for i in range(30)] + [("end", "data lib.end; set lib.out1; run;")]
+    use = lt.uses(lt.block_table(spark.createDataFrame(texts, "job string, text string")))
+    assert use._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    monkeypatch.setattr(lt, "HEAVY_READERS", 10)
+    got = {r.job: r.level for r in lt.job_levels(use).collect()}
+    assert got == {"w0": 1, "w1": 1, "end": 3} | {f"r{i}": 2 for i in range(30)}
