@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from batchloom.llm.textblocks import arrow_limits, replaced
 
@@ -229,23 +230,41 @@ def _ids(state: Encoder, column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), dtype=np.int32)))
 
 
+def _crc(ids: pa.Array) -> pa.Array:
+    """The checksum of each list of ids, as little-endian unsigned 32-bit integers."""
+    raw, at = memoryview(ids.flatten().to_numpy().astype("<u4").tobytes()), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+    return pa.array([zlib.crc32(raw[a:z]) for a, z in zip(at, at[1:], strict=False)], pa.int64())
+
+
+def _texts(state: Encoder, column: pa.Array) -> pa.Array:
+    """The text of each list of ids; null for null."""
+    sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    ids, at, out, a = column.flatten().to_numpy(), 0, [], 0
+    while a < len(sizes):  # about a million ids at a time
+        z = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 1 << 20, "right")) + a)
+        n = int(sizes[a:z].sum())
+        out += state.pieces.decode(ids[at : at + n].astype(np.int64), sizes[a:z])
+        at, a = at + n, z
+    valid = column.is_valid().to_pylist()
+    return pa.array([x if v else None for x, v in zip(out, valid, strict=True)], pa.string())
+
+
 def encode(docs: DataFrame, text_col: str = "text", model: str | bytes | None = None) -> DataFrame:
     """All rows and columns with sp_ids."""
     return _transform(docs, text_col, model or default_model(), [("sp_ids", ArrayType(IntegerType()))], lambda state, c: [_ids(state, c)])
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", model: str | bytes | None = None) -> DataFrame:
+    """All rows and columns with sp_ids, sp_crc (checksum of the ids) and sp_text (the ids decoded), in one pass: one Python worker a task."""
+
+    def each(state, column):
+        ids = _ids(state, column)
+        return [ids, _crc(ids), _texts(state, ids)]
+
+    return _transform(docs, text_col, model or default_model(), [("sp_ids", ArrayType(IntegerType())), ("sp_crc", LongType()), ("sp_text", StringType())], each)
+
+
 def decode(docs: DataFrame, ids_col: str = "sp_ids", model: str | bytes | None = None) -> DataFrame:
     """All rows and columns with sp_text; null ids give null."""
 
-    def each(state, column):
-        sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
-        ids, at, out, a = column.flatten().to_numpy(), 0, [], 0
-        while a < len(sizes):  # about a million ids at a time
-            z = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 1 << 20, "right")) + a)
-            n = int(sizes[a:z].sum())
-            out += state.pieces.decode(ids[at : at + n].astype(np.int64), sizes[a:z])
-            at, a = at + n, z
-        valid = column.is_valid().to_pylist()
-        return [pa.array([x if v else None for x, v in zip(out, valid, strict=True)], pa.string())]
-
-    return _transform(docs, ids_col, model or default_model(), [("sp_text", StringType())], each)
+    return _transform(docs, ids_col, model or default_model(), [("sp_text", StringType())], lambda state, c: [_texts(state, c)])

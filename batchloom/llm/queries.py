@@ -31,20 +31,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by count and checksum, and whether decoding gives the text back."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("long")
-    def crc(ids):
-        import zlib
-
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in ids])
-
-    out = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    out = pieces.round_trip(documents(spark, sf_dir).select("doc_id", "text"))
     same = F.col("sp_text") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
-    return out.select("doc_id", F.size("sp_ids").cast("long").alias("n_tokens"), crc("sp_ids").alias("ids_crc32"), same.alias("round_trip"))
+    return out.select("doc_id", F.size("sp_ids").cast("long").alias("n_tokens"), F.col("sp_crc").alias("ids_crc32"), same.alias("round_trip"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
