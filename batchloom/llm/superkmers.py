@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from batchloom.llm import packing
 from batchloom.llm.durable import id_filter, may_be_in, written
-from batchloom.llm.textblocks import Words, arrow_limits, keyed_blocks, mix, replaced, window_hashes
+from batchloom.llm.textblocks import BLOCK_BYTES, Words, arrow_limits, keyed_blocks, mix, replaced, window_hashes
 
 _U = np.uint64
 #: Buckets for each key; with many keys at most MOST_BUCKETS, whose counts a task holds.
@@ -144,20 +145,23 @@ def _send(keys: int, common: frozenset[int], k: int, m: int):
 
 def _repeats(raw: bytes, begin: np.ndarray, finish: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows also start in a document with a smaller id. Windows are raw[begin:finish]; exact."""
-    order = np.lexsort((doc, h))
+    out = np.zeros(len(h), dtype=bool)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    some = np.zeros(len(h), dtype=bool)
+    some[order[1:][same]] = some[order[:-1][same]] = True
+    some = np.flatnonzero(some)  # the others have a hash of their own
+    order = some[np.lexsort((doc[some], h[some]))]
     hs, ds = h[order], doc[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = hs[1:] != hs[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    out = np.zeros(len(order), dtype=bool)
-    mixed = set()
     again = np.flatnonzero(~new)
     me, top = order[again], order[head[again]]
-    for g, i, a, b, c, d in zip(head[again].tolist(), again.tolist(), begin[me].tolist(), finish[me].tolist(), begin[top].tolist(), finish[top].tolist(), strict=True):
-        if raw[a:b] != raw[c:d]:
-            mixed.add(g)  # different windows with one hash
-        elif ds[i] > ds[g]:
-            out[order[i]] = True
+    pairs = zip(begin[me].tolist(), finish[me].tolist(), begin[top].tolist(), finish[top].tolist(), strict=True)
+    equal = np.fromiter((raw[a:b] == raw[c:d] for a, b, c, d in pairs), dtype=bool, count=len(again))
+    out[me] = equal & (ds[again] > doc[top])
+    mixed = np.unique(head[again[~equal]]).tolist()  # different windows with one hash
     for g in mixed:
         least: dict[bytes, int] = {}
         stop = g + 1
@@ -240,16 +244,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.groupBy("sk_id", "sk_text").agg(F.collect_list(F.struct("sk_start", "sk_end")).alias("spans"))
 
 
-def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
-    """Kept words joined by a space, words, removed words."""
-    words = Words([text])
+def _cut(texts: list[bytes], spans: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """For each text of a block: kept words joined by a space, words, removed words. ``spans`` has lists of (first word, end), or null."""
+    words = Words(texts)
     n = len(words)
-    gone = np.zeros(n + 1, dtype=np.int32)
-    if spans is not None and len(spans):
-        np.add.at(gone, spans[0], 1)
-        np.add.at(gone, spans[1], -1)
+    at = np.repeat(words.first[:-1], spans.value_lengths().fill_null(0).to_numpy())
+    begin, end = (c.to_numpy() for c in spans.flatten().flatten())
+    gone = np.bincount(at + begin, minlength=n + 1) - np.bincount(at + end, minlength=n + 1)
     keep = np.cumsum(gone[:n]) == 0
-    return b" ".join([words.raw[a:b] for a, b in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)]), n, n - int(keep.sum())
+    doc, a, z = words.doc[keep], words.start[keep], words.end[keep]
+    inner = np.ones(len(doc), dtype=bool)
+    inner[:-1] = doc[1:] == doc[:-1]
+    inner[-1:] = False
+    step = np.zeros(len(words.buf) + 1, dtype=np.int8)
+    step[a] += 1
+    step[z + inner] -= 1  # a space follows all but a text's last word
+    buf = words.buf.copy()
+    buf[z] = 32
+    kept = buf[np.cumsum(step[:-1], dtype=np.int8) > 0]
+    offset = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=z - a + inner, minlength=len(texts))))).astype(np.int32)
+    have, left = np.diff(words.first), np.bincount(doc, minlength=len(texts))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offset), pa.py_buffer(kept)), have, have - left
 
 
 def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3) -> DataFrame:
@@ -267,13 +282,14 @@ def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def cut(batches):
         for b in batches:
-            text = b.column(names.index(t)).cast(pa.large_binary()).to_pylist()
-            found = b.column(at)
-            made = []
-            for j, x in enumerate(text):
-                spans = found[j]
-                made.append(_cut(x or b"", [c.to_numpy() for c in spans.values.flatten()] if spans.is_valid else None))
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x[0].decode() for x in made], pa.string()), pa.array([x[1] for x in made], pa.int64()), pa.array([x[2] for x in made], pa.int64())], [*names, "sk_kept", "sk_words", "sk_removed"])
+            text = b.column(names.index(t)).cast(pa.large_binary())
+            size = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy())
+            a, done = 0, 0
+            while a < len(b):
+                z = max(a + 1, int(np.searchsorted(size, done + BLOCK_BYTES, side="right")))
+                kept, have, gone = _cut([x or b"" for x in text.slice(a, z - a).to_pylist()], b.column(at).slice(a, z - a))
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, z - a) for c in b.columns[:at]], kept, pa.array(have), pa.array(gone)], [*names, "sk_kept", "sk_words", "sk_removed"])
+                a, done = z, size[z - 1]
 
     out = StructType(list(schema.fields)).add("sk_kept", StringType()).add("sk_words", LongType()).add("sk_removed", LongType())
     return joined.select(*names, "spans").mapInArrow(cut, out).toDF(*own, "sk_kept", "sk_words", "sk_removed")

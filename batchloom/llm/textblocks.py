@@ -6,6 +6,7 @@ All kernels work on the UTF-8 bytes of a *block* of whole texts laid end to end.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 2 << 20
+#: Bytes of text, and numbers, that a kernel takes at a time: its arrays stay in a core's cache.
+SLICE = 1 << 16
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
@@ -34,7 +37,7 @@ def replaced(df: DataFrame, *outputs: str) -> DataFrame:
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix64 finaliser, elementwise on uint64."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
+    x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
     x *= _U(0x94D049BB133111EB)
     x ^= x >> _U(31)
@@ -96,6 +99,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, 2 * SLICE), _powers(_BASE_INV, 2 * SLICE)
+
+
 class Words:
     """The words of a block of texts: maximal runs of bytes outside a separator class.
 
@@ -126,13 +134,14 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same wherever the word stands."""
         out = np.empty(len(self.start), dtype=_U)
-        step = 1 << 20  # words a slice: bounds what the byte-wise arrays take
-        for a in range(0, len(out), step):
-            s, e = self.start[a : a + step], self.end[a : a + step]
+        edges = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(self.buf), SLICE)), len(out)))
+        for a, z in itertools.pairwise(edges.tolist()):
+            s, e = self.start[a:z], self.end[a:z]
             lo, hi = int(s[0]), int(e[-1])
+            up, down = _slice_powers() if hi - lo <= 2 * SLICE else (_powers(_BASE, hi - lo), _powers(_BASE_INV, hi - lo))
             total = np.zeros(hi - lo + 1, dtype=_U)
-            np.cumsum((self.buf[lo:hi].astype(_U) + _U(1)) * _powers(_BASE, hi - lo), out=total[1:])
-            out[a : a + step] = (total[e - lo] - total[s - lo]) * _powers(_BASE_INV, hi - lo)[s - lo]
+            np.cumsum((self.buf[lo:hi].astype(_U) + _U(1)) * up[: hi - lo], out=total[1:])
+            out[a:z] = (total[e - lo] - total[s - lo]) * down[s - lo]
         return mix(out + (self.end - self.start).astype(_U) * _U(_MULT))
 
 
@@ -142,10 +151,14 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=_U)
     out = np.zeros(n, dtype=_U)
-    for i in range(k):
-        out = out * _U(_MULT) + h[i : i + n]
-        out ^= out >> _U(29)
-    return mix(out)
+    for a in range(0, n, SLICE):
+        x = out[a : a + SLICE]
+        for i in range(a, a + k):
+            x *= _U(_MULT)
+            x += h[i : i + len(x)]
+            x ^= x >> _U(29)
+        x[:] = mix(x)
+    return out
 
 
 def shingle_sets(words: Words, k: int = 5) -> list[np.ndarray]:

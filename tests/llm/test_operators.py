@@ -1,17 +1,19 @@
 """The training-data operators against brute force on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from batchloom.llm import contamination, durable, idcoder, jaccard, langid, packing, pieces, quotes, superkmers, tokenfiles, toxicity, urlfilter, vafile
+from batchloom.llm import contamination, durable, idcoder, jaccard, langid, packing, pieces, quotes, superkmers, textblocks, tokenfiles, toxicity, urlfilter, vafile
 from batchloom.llm.textblocks import Words, shingle_sets, window_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -595,6 +597,26 @@ def test_substring_dedup(spark, monkeypatch, common):
     assert superkmers.with_repeats_removed(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_are_cut_by_the_block():
+    r = random.Random(8)
+    texts = [b"", b" ", " \té  ünd b\r\n".encode(), b"x"] + [b" \n".join(r.choice((b"aa", b"b", "ö".encode())) for _ in range(r.randrange(20))) for _ in range(200)]
+    spans = [None if r.random() < 0.3 else [{"sk_start": a, "sk_end": r.randint(a + 1, n)} for a in (r.randrange(n) for _ in range(r.randrange(4)))] if (n := len(t.split())) else [] for t in texts]
+    kept, have, gone = superkmers._cut(texts, pa.array(spans, pa.list_(pa.struct([("sk_start", pa.int32()), ("sk_end", pa.int32())]))))
+    want = [[w for i, w in enumerate(t.split()) if not any(x["sk_start"] <= i < x["sk_end"] for x in s or ())] for t, s in zip(texts, spans, strict=True)]
+    assert [x.encode() for x in kept.to_pylist()] == [b" ".join(w) for w in want]
+    assert have.tolist() == [len(t.split()) for t in texts]
+    assert gone.tolist() == [len(t.split()) - len(w) for t, w in zip(texts, want, strict=True)]
+
+
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    texts = [b"one two " * 40, b"y" * 300 + b" one", b"", b"two"]
+    whole = Words(texts).hashes(), window_hashes(Words(texts).hashes(), 5)
+    monkeypatch.setattr(textblocks, "SLICE", 16)
+    monkeypatch.setattr(textblocks, "_slice_powers", textblocks._slice_powers.__wrapped__)
+    h = Words(texts).hashes()
+    assert np.array_equal(h, whole[0]) and np.array_equal(window_hashes(h, 5), whole[1])
+
+
 def test_windows_travel_as_super_kmers_with_many_partitions():
     """With 10,000 partitions and eight windows of text for each key, hardly any bucket is common."""
     keys = packing.KEYS_PER_PARTITION * 10_000
