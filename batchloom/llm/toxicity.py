@@ -16,6 +16,9 @@ empty table gives no rows. Repeated rows get the same result. Columns named tox_
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,9 @@ DIMENSIONS = 1 << 16
 FIT_ROWS = 8_000
 FIT_BYTES = 10 << 20
 BEGINNINGS = (4, 5)
+#: Bytes of the sample that are cut into words at a time; sentences whose words are weighed at a time.
+PART_BYTES = 1 << 20
+PART_SENTENCES = 1 << 14
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STOP = np.zeros(256, dtype=bool)
@@ -52,7 +58,7 @@ class Bags:
             w.end = np.minimum(end, w.start + n)
             kinds.append(mix(w.hashes() + np.uint64(n)))
         w.end = end
-        self.slots = np.stack([(h % np.uint64(DIMENSIONS)).astype(np.int32) for h in kinds]) if len(w) else np.zeros((1 + len(BEGINNINGS), 0), np.int32)
+        self.slots = np.stack([(h % np.uint64(DIMENSIONS)).astype(np.uint16) for h in kinds])  # DIMENSIONS fit 16 bits
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         """Chance of each sentence."""
@@ -62,6 +68,48 @@ class Bags:
         return 1 / (1 + np.exp(-np.clip(np.add.reduceat(each, self.first) + bias, -30, 30)))
 
 
+class _Sample:
+    """Bags of many texts, without their words, made and worked on a part at a time: the driver holds 6 bytes a word, a text number a sentence and one part's arrays."""
+
+    def __init__(self, texts: list[bytes]):
+        slots, sizes, doc, starts, words, a = [], [], [], [np.zeros(1, np.int64)], 0, 0
+        ends = np.cumsum([len(t) for t in texts])
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES, side="right")))
+            part = Bags(texts[a:z])
+            slots.append(part.slots)
+            sizes.append(np.diff(np.append(part.first, len(part.words))).astype(np.int32))
+            doc.append((part.doc + a).astype(np.int32))
+            starts.append(part.words.first[1:] + words)
+            words += len(part.words)
+            a = z
+        self.slots, self.sizes, self.doc, self.starts = np.concatenate(slots, axis=1), np.concatenate(sizes), np.concatenate(doc), np.concatenate(starts)
+
+    def _parts(self) -> Iterator[tuple[slice, slice]]:
+        """Sentences, and their words, of a part."""
+        first = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        for a in range(0, len(self.sizes), PART_SENTENCES):
+            z = min(a + PART_SENTENCES, len(self.sizes))
+            yield slice(a, z), slice(int(first[a]), int(first[z]))
+
+    def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """Chance of each sentence."""
+        out = np.zeros(len(self.sizes))
+        for some, words in self._parts():
+            each = sum(weights[s[words]] for s in self.slots)
+            out[some] = np.add.reduceat(each, np.cumsum(self.sizes[some]) - self.sizes[some])
+        return 1 / (1 + np.exp(-np.clip(out + bias, -30, 30)))
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """Sum, for each slot, of the values of its words' sentences."""
+        out = np.zeros((len(self.slots), DIMENSIONS))
+        for some, words in self._parts():
+            each = np.repeat(values[some], self.sizes[some])
+            for total, s in zip(out, self.slots, strict=True):
+                np.add.at(total, s[words], each)
+        return sum(out)
+
+
 def noisy_or(chance: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, weights=np.log1p(-np.minimum(chance, 1 - 1e-13)), minlength=docs))
 
@@ -71,11 +119,11 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 60, rate: float
     weights, bias = np.zeros(DIMENSIONS), -5.0
     if not len(labels):
         return weights, -30.0
-    bags = Bags(texts)
+    bags = _Sample(texts)
     y, n = labels.astype(np.float64), len(labels)
     keep = np.zeros(DIMENSIONS, dtype=np.int32)
     for s in bags.slots:
-        for a, z in zip(bags.words.first[:-1].tolist(), bags.words.first[1:].tolist(), strict=True):
+        for a, z in itertools.pairwise(bags.starts.tolist()):
             keep[np.unique(s[a:z])] += 1
     keep = keep >= least_docs
     m, v, mb, vb = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0
@@ -84,8 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 60, rate: float
         doc = np.clip(noisy_or(p, bags.doc, n), 1e-6, 1 - 1e-6)
         # d(-log likelihood)/d(sentence logit): y=1: -(1-P)/P * p, y=0: p
         g = np.where(y == 1, -(1 - doc) / doc, 1.0)[bags.doc] * p / n
-        each = g[bags.sentence]
-        grad = sum(np.bincount(s, weights=each, minlength=DIMENSIONS) for s in bags.slots) * keep
+        grad = bags.summed(g) * keep
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -373,6 +374,23 @@ def test_toxicity_scores_match_a_loop(spark):
         assert got.tox_score == pytest.approx(1 - clean, abs=1e-5) and abs(len(got.tox_sentences) - bad) <= 1
 
 
+def test_toxicity_is_trained_on_a_part_at_a_time(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(("stuff", "fine.", "awful", "day!")) + str(r.randrange(300)) for _ in range(r.randrange(300))).encode() for _ in range(3000)]
+    y = np.array([b"awful7" in t for t in texts], dtype=np.int64)
+    found = []
+    for size in (1 << 16, 1 << 30):
+        monkeypatch.setattr(toxicity, "PART_BYTES", size)
+        monkeypatch.setattr(toxicity, "PART_SENTENCES", size // 64)
+        tracemalloc.start()
+        found.append((*toxicity.train(texts, y, rounds=3), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    (weights, bias, peak), (whole, at_once, most) = found
+    assert np.array_equal(weights, whole) and bias == at_once
+    assert peak < most / 3
+    assert not toxicity.train([b"", b"."], np.array([0, 1]), rounds=1)[0].any()
+
+
 def test_toxicity_sample_counts_copies_once(spark, monkeypatch):
     """Texts 0 to 11, each with 20 ids and one label; text 0 has both labels, and one row stands twice."""
     monkeypatch.setattr(toxicity, "train", lambda texts, y: list(zip(texts, y.tolist(), strict=True)))
