@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from batchloom.lang.program import Program
 from batchloom.operators import orderstats, scans, summaries
 
 NUMBERS = [0.0, -0.0, 1.0, -1.0, 0.1, 1e-320, -1e-320, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 1e300, 3.0, 2.9999999999999996, 4.0, 3.9999999999999996, 1024.0, 1023.9999999999999, float("inf"), -float("inf")]
@@ -149,3 +150,25 @@ def test_blocks_grow_with_the_rows(spark, monkeypatch, tmp_path):
     assert "max_by" not in plan
     got = out.select("id", "last.t", "before").orderBy("id").collect()
     assert [(r.t, r.before) for r in got] == [(str(i - i % 7), i - 1 if i else None) for i in range(3000)]
+
+
+def test_formats_of_ranges_merge_in_blocks_that_grow(spark, monkeypatch):
+    """PUT and CLASS with a format of ranges from a dataset: no block holds a fixed share of the values."""
+    seen, placed = [], scans.placed
+
+    def watched(df, order):
+        seen.append(placed(df, order))
+        return seen[-1]
+
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(summaries, "FORMAT_RANGES", 0)
+    monkeypatch.setattr(scans, "placed", watched)
+    spark.range(1000).selectExpr("'band' AS fmtname", "id * 10.0D AS start", "id * 10.0D + 5 AS end", "concat('b', id) AS label").createOrReplaceTempView("block_ranges")
+    tables = {"f": spark.table("block_ranges"), "x": spark.range(3000).selectExpr("id * 1.0D AS v")}
+    put = Program(spark, tables).run("proc format cntlin=f; run; data r; set x; b = put(v, band.); run;").frame("r")
+    assert {r.b.strip() for r in put.where("v % 10 <= 5").collect()} == {f"b{i}" for i in range(300)}
+    classes = Program(spark, tables).run("proc format cntlin=f; run; proc means data=x nway; class v; format v band.; var v; output out=r(drop=_type_ _freq_) n=n; run;").frame("r")
+    assert classes.where("v LIKE 'b%' AND n = 6").count() == 300
+    assert len(seen) == 4
+    for p in seen:
+        assert p.rows.groupBy("_p_").count().agg(F.max("count")).first()[0] < 400
