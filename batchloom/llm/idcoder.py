@@ -1,15 +1,19 @@
 """Token-ID files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-Model. Order-2 and order-1 contexts (the last two ids, the last id) each remember the id that followed last time, in hashed slots with a
-confidence. For each id the coder first asks "is it the order-2 prediction?", then "is it the order-1 prediction?"; the chance of yes mixes the
-adaptive estimates of both orders' confidences and of order 0 in the logistic domain with weights learned on the way. An id that neither
-predicts is coded by order-0 frequencies, high byte then low byte given the high byte. Everything drives one carry-less 32-bit range coder.
-
-Every block starts from the same blank model, so blocks decode alone and in any order. Blocks are coded side by side in numpy lanes: step t
-codes the t-th id of every block of a batch. All model arithmetic is in integers, so encoder and decoder agree bit for bit.
-
-Block format (little endian): magic ``CMR1``; uint32 number of ids, number of documents, bytes of the document table, bytes of
-code, crc32 of the ids as uint32; the document table (zlib: int64 first row number, int64 ids of the documents, uint32 ids of each in this block); the code.
+Model. Order-2 and order-1 contexts (the last two ids, the last id) each remember the id that followed last time, with a confidence. For each
+id the model asks "is it the order-2 prediction?", then "is it the order-1 prediction?"; the chance of yes mixes the adaptive estimates of both
+orders' confidences and of order 0 in the logistic domain with weights learned on the way. An id that neither predicts is coded by order-0
+frequencies. Both answers and the order-0 frequency make one interval of a 64-bit range coder.
+
+Every block starts from the same blank model, so blocks decode alone and in any order. A block is cut into runs of equal length, coded side by
+side in numpy lanes with a range coder each: step t codes the t-th id of every run. The lanes share one model, so it learns from all of them and
+stays in a core's cache. Each order's states are few, so the mixed chances are tables, which are mixed and learned anew every ``REFRESH``
+steps from what the lanes saw, as are the order-0 frequencies at steps that double, then every ``RECOUNT``. All model arithmetic is in integers, so
+encoder and decoder agree bit for bit. Of lanes with one context in one step the last one's id is remembered.
+
+Block format (little endian): magic ``CMR2``; uint32 number of ids, number of documents, bytes of the document table, bytes of
+code, crc32 of the ids as uint32; the document table (zlib: int64 first row number, int64 ids of the documents, uint32 ids of each in this block); the code:
+uint32 number of lanes and of ids in the alphabet, uint32 words of each lane, the lanes' 16-bit words.
 """
 
 from __future__ import annotations
@@ -19,224 +23,230 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
-BLOCK_IDS = 1 << 11
-_SLOTS = 1 << 12
-_CONFIDENCE = 8
+MAGIC = b"CMR2"
+BLOCK_IDS = 1 << 20
+LANES = 2048
+RUN_IDS = 256  # a lane's ids at least, where a block has as many
+REFRESH, RECOUNT = 8, 64
+_SLOTS = 1 << 17
+_BITS = 20  # order-0 frequencies sum to 1 << _BITS
 _ONE = 1 << 12  # chances are in 1/4096
-_HEAD = struct.Struct("<4s5I")
+_LEAST = 64  # least chance of either answer: the intervals of all ids stay open
+_LEVELS = 2 ** np.arange(4, 19)
+_HEAD, _CODE = struct.Struct("<4s5I"), struct.Struct("<2I")
+_U = np.uint64
 
 # stretch(p) = ln(p / (1 - p)) in 1/256 for p in 1/4096, and its inverse, as integer tables
-_STRETCH = np.round(256 * np.log((np.arange(_ONE) + 0.5) / (_ONE - np.arange(_ONE) - 0.5))).astype(np.int32)
-_SQUASH = np.clip(np.round(_ONE / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 32, _ONE - 32).astype(np.int32)
-
-
-class _Model:
-    """The model's state for ``lanes`` blocks. ``hit`` and ``miss`` arrays of chances are indexed by lane."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.id2 = np.zeros((lanes, _SLOTS), dtype=np.int32)
-        self.id1 = np.zeros((lanes, _SLOTS), dtype=np.int32)
-        self.sure2 = np.zeros((lanes, _SLOTS), dtype=np.int8)
-        self.sure1 = np.zeros((lanes, _SLOTS), dtype=np.int8)
-        self.chance = np.full((lanes, 2, 3, _CONFIDENCE * 2), _ONE // 3, dtype=np.int32)  # question, order, state
-        self.weight = np.full((lanes, 2, 3), 22000, dtype=np.int64)  # in 1/65536
-        self.high = np.ones((lanes, 257), dtype=np.int32)
-        self.low = np.ones((lanes, 256, 256), dtype=np.uint8)
-        self.low_n = np.full((lanes, 256), 256, dtype=np.int32)
-        self.last1 = np.zeros(lanes, dtype=np.int64)
-        self.last2 = np.zeros(lanes, dtype=np.int64)
-
-    def contexts(self, n: int):
-        lane = self.lane[:n]
-        c1 = (self.last1[:n] * 40503 >> 3) & (_SLOTS - 1)
-        c2 = ((self.last1[:n] * 40503 ^ self.last2[:n] * 60493) >> 2) & (_SLOTS - 1)
-        return lane, c1, c2, self.id1[lane, c1], self.id2[lane, c2], self.sure1[lane, c1], self.sure2[lane, c2]
-
-    def states(self, q: int, p, sure1, sure2, p1, p2):
-        """State of each order for question q about the prediction p."""
-        n = len(p)
-        agree = (p1 == p2).astype(np.int64)
-        seen = np.minimum(self.high[:n][self.lane[:n], p >> 8] >> 2, 2 * _CONFIDENCE - 1)
-        return (sure2.astype(np.int64) * 2 + agree, sure1.astype(np.int64) * 2 + agree, seen.astype(np.int64))
-
-    def mix(self, q: int, states):
-        n = len(states[0])
-        lane = self.lane[:n]
-        parts = [self.chance[lane, q, o, s] for o, s in enumerate(states)]
-        inputs = [_STRETCH[p] for p in parts]
-        dot = sum(self.weight[:n, q, o] * x for o, x in enumerate(inputs)) >> 16
-        return _SQUASH[np.clip(dot + 2048, 0, 4095)], parts, inputs
-
-    def learn(self, q: int, asked, states, chance, parts, inputs, yes):
-        """``asked``: lanes for which the question was put."""
-        n = len(yes)
-        lane = self.lane[:n][asked]
-        target = yes[asked].astype(np.int64) * (_ONE - 1)
-        error = target - chance[asked]
-        for o in range(3):
-            s, p = states[o][asked], parts[o][asked]
-            self.chance[lane, q, o, s] = np.clip(p + ((target - p) >> 5), 16, _ONE - 17)
-            self.weight[lane, q, o] += inputs[o][asked].astype(np.int64) * error >> 9
-
-    def update(self, n: int, c1, c2, sure1, sure2, p1, p2, ids):
-        lane = self.lane[:n]
-        for table, trust, c, sure, p in ((self.id1, self.sure1, c1, sure1, p1), (self.id2, self.sure2, c2, sure2, p2)):
-            right = p == ids
-            trust[lane, c] = np.where(right, np.minimum(sure + 1, _CONFIDENCE - 1), np.where(sure > 1, sure >> 1, 0))
-            table[lane, c] = np.where(right | (sure > 1), p, ids)
-        self.last2[:n], self.last1[:n] = self.last1[:n], ids
-
-    def count_high(self, lanes, high):
-        self.high[lanes, high] += 24
-        full = lanes[self.high[lanes].sum(axis=1) > 30_000]
-        self.high[full] = (self.high[full] >> 1) | 1
-
-    def count_low(self, lanes, high, low):
-        self.low[lanes, high, low] += 8
-        self.low_n[lanes, high] += 8
-        over = self.low[lanes, high, low] > 240
-        at, h = lanes[over], high[over]
-        self.low[at, h] = (self.low[at, h] >> 1) | 1
-        self.low_n[at, h] = self.low[at, h].sum(axis=1, dtype=np.int32)
-
-
-class _Coder:
-    """Carry-less range coder, many lanes. Encoding appends bytes to ``out``; decoding reads from ``data``."""
-
-    TOP, BOTTOM, MASK = 1 << 24, 1 << 16, (1 << 32) - 1
-
-    def __init__(self, lanes: int, room: int = 0, data: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, self.MASK, np.int64)
-        self.at = np.zeros(lanes, np.int64)
-        if data is None:
-            self.out = np.zeros((lanes, room), np.uint8)
-        else:
-            width = max(map(len, data)) + 8
-            self.data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in data), np.uint8).reshape(lanes, width)
-            self.code = np.zeros(lanes, np.int64)
-            for _ in range(4):
-                self.code = self.code << 8 | self.data[:, self.at[0]]
-                self.at += 1
-
-    def narrow(self, lanes, start, size, total):
-        step = self.range[lanes] // total
-        self.low[lanes] = (self.low[lanes] + start * step) & self.MASK
-        self.range[lanes] = step * size
-        self.settle(lanes)
-
-    def point(self, lanes, total):
-        """Where the code stands in the present range, in units of range / total."""
-        step = self.range[lanes] // total
-        return np.minimum(((self.code[lanes] - self.low[lanes]) & self.MASK) // step, total - 1)
-
-    def settle(self, lanes):
-        while len(lanes):
-            low, size = self.low[lanes], self.range[lanes]
-            same = (low ^ (low + size)) < self.TOP
-            small = size < self.BOTTOM
-            go = same | small
-            if not go.any():
-                return
-            lanes, low, size, cut = lanes[go], low[go], size[go], (small & ~same)[go]
-            size = np.where(cut, -low & (self.BOTTOM - 1), size)
-            if hasattr(self, "out"):
-                self.out[lanes, self.at[lanes]] = low >> 24
-            else:
-                self.code[lanes] = (self.code[lanes] << 8 & self.MASK) | self.data[lanes, np.minimum(self.at[lanes], self.data.shape[1] - 1)]
-            self.at[lanes] += 1
-            self.low[lanes], self.range[lanes] = low << 8 & self.MASK, size << 8
-
-    def finish(self) -> list[bytes]:
+_STRETCH = np.round(256 * np.log((np.arange(_ONE) + 0.5) / (_ONE - np.arange(_ONE) - 0.5))).astype(np.int64)
+_SQUASH = np.clip(np.round(_ONE / (1 + np.exp(-np.arange(-2048, 2048) / 256))), _LEAST, _ONE - _LEAST).astype(np.int64)
+
+# a state is (confidence of order 2, of order 1, whether they agree, level of the prediction in order 0); each order sees a part of it
+_STATES = 1 << 11
+_STATE = np.arange(_STATES)
+_SEEN = (_STATE >> 8 << 1 | _STATE >> 4 & 1, _STATE >> 4 & 15, _STATE & 15)
+
+
+class _Question:
+    """The chance of yes in each state: three orders' adaptive chances, mixed with learned weights."""
+
+    def __init__(self):
+        self.chance = np.full((3, 16), _ONE // 3, dtype=np.int64)
+        self.weight = np.full(3, 22000, dtype=np.int64)  # in 1/65536
+        self.mix()
+
+    def mix(self):
+        self.inputs = [_STRETCH[self.chance[o][s]] for o, s in enumerate(_SEEN)]
+        dot = sum(w * x for w, x in zip(self.weight.tolist(), self.inputs, strict=True)) >> 16
+        self.mixed = _SQUASH[np.clip(dot + 2048, 0, 4095)]
+
+    def learn(self, seen: np.ndarray):
+        """``seen``: state * 2 + yes of each time the question was put."""
+        found = np.bincount(seen, minlength=2 * _STATES)[: 2 * _STATES].reshape(_STATES, 2)
+        yes, n = found[:, 1], found.sum(axis=1)
+        total = int(n.sum())
+        if not total:
+            return
+        error = yes * (_ONE - 1) - n * self.mixed
+        for o, s in enumerate(_SEEN):
+            y, k = np.zeros(16, np.int64), np.zeros(16, np.int64)
+            np.add.at(y, s, yes)
+            np.add.at(k, s, n)
+            self.chance[o] = np.clip((self.chance[o] * 32 + y * _ONE) // (32 + k), 16, _ONE - 17)
+            self.weight[o] += int((self.inputs[o] * error).sum()) * min(total, 16) // total >> 9
+        self.mix()
+
+
+class _Encoder:
+    """A range coder a lane; ``out`` has the lanes' words, where a carry may stand on top of the 16 bits until ``finish``."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.lanes = lanes
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        self.at = np.arange(lanes)  # place of the next word
+        self.out = np.zeros((2 * steps + 4) * lanes, np.uint32)
+
+    def narrow(self, start, size):
+        step = self.range >> _U(32)
+        low = self.low + step * start
+        over = np.flatnonzero(low < self.low)
+        if len(over):
+            self.out[self.at[over] - self.lanes] += np.uint32(1)
+        self.low, self.range = low, step * size
+        while len(go := np.flatnonzero(self.range < _U(1 << 48))):
+            self.put(go)
+            self.range[go] <<= _U(16)
+
+    def put(self, go):
+        low, at = self.low[go], self.at[go]
+        self.out[at] = low >> _U(48)
+        self.low[go] = low << _U(16)
+        self.at[go] = at + self.lanes
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words of each lane, the words lane by lane). Two words name a value in the range, whatever follows them."""
+        low = self.low + _U((1 << 32) - 1)
+        over = np.flatnonzero(low < self.low)
+        self.out[self.at[over] - self.lanes] += np.uint32(1)
+        self.low = low & ~_U((1 << 32) - 1)
+        for _ in range(2):
+            self.put(np.arange(self.lanes))
+        n = self.at // self.lanes
+        rows = self.out.reshape(-1, self.lanes)[: int(n.max())]
+        for i in range(len(rows) - 1, 0, -1):
+            rows[i - 1] += rows[i] >> 16
+        return n, (rows & 0xFFFF).astype("<u2").T[np.arange(len(rows)) < n[:, None]]
+
+
+class _Decoder:
+    def __init__(self, lanes: int, n: np.ndarray, words: np.ndarray):
+        self.words = np.concatenate((words.astype(_U), np.zeros(8, _U)))
+        self.at = np.concatenate(([0], np.cumsum(n[:-1], dtype=np.int64)))
+        self.code, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
         for _ in range(4):
-            self.out[np.arange(len(self.at)), self.at] = self.low >> 24
-            self.at += 1
-            self.low = self.low << 8 & self.MASK
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.at.tolist())]
-
-
-def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarray:
-    """Codes (ids given) or decodes; lanes are sorted by falling length, so lanes still running are the first ones."""
-    model, steps = _Model(len(lengths)), int(lengths[0]) if len(lengths) else 0
-    out = np.zeros((len(lengths), steps), dtype=np.int64)
-    ends = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes with more than t ids
+            self.code = self.code << _U(16) | self.next(np.arange(lanes))
+
+    def next(self, go):
+        at = self.at[go]
+        self.at[go] = at + 1
+        return self.words[np.minimum(at, len(self.words) - 1)]
+
+    def point(self):
+        """Where each lane's code stands in its range, in units of range / 2**32."""
+        self.step = self.range >> _U(32)
+        return np.minimum(self.code // self.step, _U((1 << 32) - 1)).view(np.int64)
+
+    def narrow(self, start, size):
+        self.code -= self.step * start
+        self.range = self.step * size
+        if not self.range.all():
+            raise ValueError("a block of ids does not decode")
+        while len(go := np.flatnonzero(self.range < _U(1 << 48))):
+            self.code[go] = self.code[go] << _U(16) | self.next(go)
+            self.range[go] <<= _U(16)
+
+
+class _Frequencies:
+    """Order 0: ``upto[i]`` sums the frequencies of the ids below i, each at least 1; ``at`` has the id at each place of the sum."""
+
+    def __init__(self, size: int, places: bool):
+        self.size, self.places = size, places
+        self.count = np.zeros(size, np.int64)
+        self.fit()
+
+    def fit(self):
+        weight = self.count * 16 + 1
+        size = 1 + weight * ((1 << _BITS) - self.size) // int(weight.sum())
+        size[int(self.count.argmax())] += (1 << _BITS) - int(size.sum())
+        self.upto = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        self.level = np.digitize(size, _LEVELS).astype(np.uint8)
+        if self.places:
+            self.at = np.repeat(np.arange(self.size, dtype=np.uint16), size)
+
+
+def _run(steps: int, lanes: int, alphabet: int, coder: _Encoder | _Decoder, ids: np.ndarray | None) -> np.ndarray:
+    """Codes (ids given) or decodes a table of ids, a row a step."""
+    out = np.zeros((steps, lanes), dtype=np.int64) if ids is None else ids
+    one, two = np.zeros(1 << 16, np.int32), np.zeros(_SLOTS, np.int32)  # id * 8 + confidence
+    order0, questions = _Frequencies(alphabet, ids is None), (_Question(), _Question())
+    seen = np.full((2, REFRESH, lanes), 2 * _STATES, dtype=np.int64)
+    last1, last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    counted, recount = 0, 1
     for t in range(steps):
-        n = int(ends[t])
-        lane, c1, c2, p1, p2, sure1, sure2 = model.contexts(n)
-        p1, p2 = p1.astype(np.int64), p2.astype(np.int64)
-        real = ids[:n, t] if ids is not None else np.zeros(n, np.int64)
-        open_ = np.ones(n, dtype=bool)
-        for q, p in ((0, p2), (1, p1)):
-            asked = open_ if q == 0 else open_ & (p1 != p2)
-            if not asked.any():
-                continue
-            states = model.states(q, p, sure1, sure2, p1, p2)
-            chance, parts, inputs = model.mix(q, states)
-            at = lane[asked]
-            c = chance[asked].astype(np.int64)
-            yes = np.zeros(n, dtype=bool)
-            yes[asked] = real[asked] == p[asked] if ids is not None else coder.point(at, _ONE) < c
-            coder.narrow(at, np.where(yes[asked], 0, c), np.where(yes[asked], c, _ONE - c), _ONE)
-            model.learn(q, asked, states, chance, parts, inputs, yes)
-            real = np.where(yes, p, real)
-            open_ = open_ & ~yes
-        at = lane[open_]
-        if len(at):
-            sums = np.cumsum(model.high[at, :256], axis=1)
-            if ids is not None:
-                high = real[open_] >> 8
-            else:
-                high = (sums <= coder.point(at, sums[:, -1].astype(np.int64))[:, None]).sum(axis=1)
-            rows = np.arange(len(at))
-            size = model.high[at, high].astype(np.int64)
-            coder.narrow(at, sums[rows, high].astype(np.int64) - size, size, sums[:, -1].astype(np.int64))
-            sums = np.cumsum(model.low[at, high], axis=1, dtype=np.int32)
-            if ids is not None:
-                low = real[open_] & 255
-            else:
-                low = (sums <= coder.point(at, sums[:, -1].astype(np.int64))[:, None]).sum(axis=1)
-            size = model.low[at, high, low].astype(np.int64)
-            coder.narrow(at, sums[rows, low].astype(np.int64) - size, size, sums[:, -1].astype(np.int64))
-            model.count_low(at, high, low)
-            real = real.copy()
-            real[open_] = high << 8 | low
-        model.count_high(lane, real >> 8)
-        model.update(n, c1, c2, sure1, sure2, p1, p2, real)
-        out[:n, t] = real
+        c2 = (last1 * 0x9E3779B1 + last2 * 0x85EBCA77 >> 13) & (_SLOTS - 1)
+        e1, e2 = one[last1].astype(np.int64), two[c2].astype(np.int64)
+        p1, p2, s1, s2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+        agree = p1 == p2
+        state = s2 << 8 | s1 << 5
+        state2, state1 = state | agree << 4 | order0.level[p2], state | order0.level[p1]
+        a, b = questions[0].mixed[state2], questions[1].mixed[state1] * ~agree
+        no = _ONE - a
+        w2, w1, rest = a << 20, no * b << 8, no * (_ONE - b) << 8
+        known = w2 + w1
+        if ids is not None:
+            x = ids[t]
+            yes2, yes1 = x == p2, x == p1
+        else:
+            point = coder.point()
+            yes2, yes1 = point < w2, point < known
+            place = ((np.maximum(point - known, 0) + 1 << _BITS) - 1) // rest
+            x = np.where(yes2, p2, np.where(yes1, p1, order0.at[np.minimum(place, (1 << _BITS) - 1)]))
+            yes1 = x == p1
+            out[t] = x
+        start = rest * order0.upto[x] >> _BITS
+        size = (rest * order0.upto[x + 1] >> _BITS) - start
+        start = np.where(yes2, 0, np.where(yes1, w2, known + start))
+        size = np.where(yes2, w2, np.where(yes1, w1, size))
+        coder.narrow(start.view(_U), size.view(_U))
+        i = t % REFRESH
+        seen[0, i] = state2 << 1 | yes2
+        seen[1, i] = np.where(agree | yes2, 2 * _STATES, state1 << 1 | yes1)
+        new = x << 3
+        one[last1] = np.where(yes1, e1 + (s1 < 7), np.where(s1 > 1, p1 << 3 | s1 >> 1, new))
+        two[c2] = np.where(yes2, e2 + (s2 < 7), np.where(s2 > 1, p2 << 3 | s2 >> 1, new))
+        last1, last2 = x, last1
+        if i == REFRESH - 1:
+            for question, what in zip(questions, seen, strict=True):
+                question.learn(what.ravel())
+        if t + 1 == recount:
+            order0.count += np.bincount(out[counted : t + 1].ravel(), minlength=alphabet)
+            order0.fit()
+            counted, recount = t + 1, t + 1 + min(t + 1, RECOUNT)
     return out
 
 
-LANES = 1024
+def _encoded(ids: np.ndarray) -> bytes:
+    if not len(ids):
+        return b""
+    lanes = max(1, min(LANES, len(ids) // RUN_IDS))
+    steps = -(-len(ids) // lanes)
+    table = np.zeros(lanes * steps, np.int64)  # the last run is filled up with zeros
+    table[: len(ids)] = ids
+    alphabet, coder = int(ids.max()) + 1, _Encoder(lanes, steps)
+    _run(steps, lanes, alphabet, coder, np.ascontiguousarray(table.reshape(lanes, steps).T))
+    sizes, words = coder.finish()
+    return _CODE.pack(lanes, alphabet) + sizes.astype("<u4").tobytes() + words.tobytes()
+
+
+def _decoded(code: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    lanes, alphabet = _CODE.unpack_from(code) if len(code) >= _CODE.size else (0, 0)
+    if not (0 < lanes <= n and 0 < alphabet <= 1 << 16 and len(code) >= _CODE.size + 4 * lanes):
+        raise ValueError("not the code of a block of ids")
+    sizes = np.frombuffer(code, "<u4", lanes, _CODE.size).astype(np.int64)
+    words = np.frombuffer(code[_CODE.size + 4 * lanes :], "<u2")
+    if sizes.sum() != len(words):
+        raise ValueError("not the code of a block of ids")
+    return _run(-(-n // lanes), lanes, alphabet, _Decoder(lanes, sizes, words), None).T.ravel()[:n]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The code of each block of ids below 65536."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for a in range(0, len(order), LANES):
-        some = order[a : a + LANES]
-        lengths = np.array([len(blocks[i]) for i in some])
-        table = np.zeros((len(some), max(1, int(lengths[0]))), dtype=np.int64)
-        for row, i in enumerate(some):
-            table[row, : lengths[row]] = blocks[i]
-        coder = _Coder(len(some), room=8 * int(lengths[0]) + 64)
-        _run(lengths, coder, table)
-        for i, code in zip(some, coder.finish(), strict=True):
-            out[i] = code
-    return out
+    return [_encoded(np.asarray(b, dtype=np.int64)) for b in blocks]
 
 
 def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(codes)
-    order = sorted(range(len(codes)), key=lambda i: -lengths[i])
-    for a in range(0, len(order), LANES):
-        some = order[a : a + LANES]
-        n = np.array([lengths[i] for i in some])
-        found = _run(n, _Coder(len(some), data=[codes[i] for i in some]), None)
-        for row, i in enumerate(some):
-            out[i] = found[row, : n[row]]
-    return out
+    return [_decoded(c, n) for c, n in zip(codes, lengths, strict=True)]
 
 
 def pack_blocks(blocks: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) -> list[bytes]:
@@ -250,17 +260,14 @@ def pack_blocks(blocks: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) ->
 
 def unpack_blocks(values: list[bytes]) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """What ``pack_blocks`` was given. A block that doesn't match its checksum raises ValueError."""
-    heads, tables, codes = [], [], []
+    out = []
     for v in values:
         magic, n, docs, table, code, crc = _HEAD.unpack_from(v)
         if magic != MAGIC or len(v) != _HEAD.size + table + code:
             raise ValueError("not a block of ids")
-        heads.append((n, docs, crc))
-        tables.append(zlib.decompress(v[_HEAD.size : _HEAD.size + table]))
-        codes.append(v[_HEAD.size + table :])
-    out = []
-    for (_, docs, crc), table, ids in zip(heads, tables, decode(codes, [h[0] for h in heads]), strict=True):
+        rows = zlib.decompress(v[_HEAD.size : _HEAD.size + table])
+        ids = _decoded(v[_HEAD.size + table :], n)
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("a block of ids does not match its checksum")
-        out.append((ids, struct.unpack_from("<q", table)[0], np.frombuffer(table, "<i8", docs, 8), np.frombuffer(table, "<u4", docs, 8 + 8 * docs)))
+        out.append((ids, struct.unpack_from("<q", rows)[0], np.frombuffer(rows, "<i8", docs, 8), np.frombuffer(rows, "<u4", docs, 8 + 8 * docs)))
     return out

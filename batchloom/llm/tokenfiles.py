@@ -2,7 +2,7 @@
 
 Texts are range-partitioned and sorted by document id; then one task tokenises them, codes the ids in blocks of at most ``idcoder.BLOCK_IDS``
 and writes the blocks as rows of a Parquet folder by Spark's committer, so a lost executor costs a task. The tokenizer's pre-tokenizer never
-joins across ASCII white space, so the distinct words between it are encoded once and kept (at most CACHE words a task), and a block of texts
+joins across ASCII white space, so the distinct words between it are encoded once, many as one text, and kept (about CACHE words a worker), and a block of texts
 is looked up at once by the words' hashes; a text that holds the string of a special token is encoded whole, as the library finds it.
 Reading back needs no shuffle of ids: a task sums up the documents' pieces in its blocks, and the few pieces of a document that
 ends in another task are joined by their checksums. The place of a partition's first id needs the number of ids of each partition:
@@ -14,6 +14,7 @@ texts' hash. An empty table gives no blocks and no rows. Ids of 65536 and above
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import zlib
@@ -28,10 +29,11 @@ from batchloom.llm import idcoder
 from batchloom.llm.durable import written
 from batchloom.llm.textblocks import Words, arrow_limits
 
-CACHE = 1_000_000
-BATCH_BLOCKS = idcoder.LANES
+CACHE = 2_000_000
 TEXT_BYTES = 1 << 20
 LONG_WORD = 64
+#: Stands between words that are encoded as one text: a word of one id that no other word without this character holds.
+MARK, JOINED = b"^", 1000
 FILES = "part int, seq int, n_ids long, block binary"
 
 
@@ -42,7 +44,7 @@ def default_tokenizer() -> str:
 
 
 class Tokens:
-    """Encodes texts word by word; the ids of known words stand one after the other in ``flat``."""
+    """Encodes texts word by word; the ids of known words stand one after the other in ``flat``, and their hashes in an open table."""
 
     def __init__(self, spec: str, end_id: int | None = None):
         from tokenizers import Tokenizer
@@ -50,41 +52,107 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
         self.end = np.zeros(0, np.int64) if end_id is None else np.array([end_id], np.int64)
+        mark = self.whole([MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.start, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.words = 0
+        self.flat, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+        self.keys, self.number = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def several(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each). Words are encoded as texts of many, with MARK between them; a word that holds it is encoded alone."""
+        alone = [i for i, w in enumerate(words) if self.mark is None or MARK in w]
+        n, parts = np.zeros(len(words), np.int64), self.whole([words[i] for i in alone])
+        n[alone] = [len(x) for x in parts]
+        rest = [w for w in words if self.mark is not None and MARK not in w]
+        ids = [np.zeros(0, np.int64), *self.whole([b" ".join(x for w in rest[a : a + JOINED] for x in (w, MARK)) for a in range(0, len(rest), JOINED)])]
+        ids = np.concatenate(ids)
+        ends = np.flatnonzero(ids == self.mark)
+        together = np.ones(len(words), dtype=bool)
+        together[alone] = False
+        n[together] = np.diff(ends, prepend=-1) - 1
+        out = np.empty(int(n.sum()), np.int64)
+        own = np.repeat(together, n)
+        out[own] = ids[ids != self.mark]
+        if alone:
+            out[~own] = np.concatenate(parts)
+        return out, n
+
+    def added(self, words: list[bytes]) -> np.ndarray:
+        """Encodes the words; returns their numbers."""
+        ids, n = self.several(words)
+        at, used = self.words, int(self.start[self.words])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while at + len(n) + 1 > len(self.start):
+            self.start = np.append(self.start, np.zeros_like(self.start))
+        self.flat[used : used + len(ids)] = ids
+        self.start[at + 1 : at + 1 + len(n)] = used + np.cumsum(n)
+        self.words += len(words)
+        return np.arange(at, self.words)
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the word of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        mask, left = len(self.keys) - 1, np.arange(len(hashes))
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            key = self.keys[at]
+            same = key == hashes[left]
+            out[left[same]] = self.number[at[same]]
+            on = ~same & (key != 0)
+            left, at = left[on], (at[on] + 1) & mask
+        return out
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def keep(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Puts distinct hashes that are not there yet into the table, which stays half empty."""
+        if 2 * self.words > len(self.keys):
+            old, old_numbers = self.keys[self.keys != 0], self.number[self.keys != 0]
+            size = 2 * len(self.keys)
+            while 2 * self.words > size:
+                size *= 2
+            self.keys, self.number = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            hashes, numbers = np.concatenate((old, hashes)), np.concatenate((old_numbers, numbers))
+        mask = len(self.keys) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]
+            won = self.keys[at] == hashes
+            self.number[at[won]] = numbers[won]
+            hashes, numbers, at = hashes[~won], numbers[~won], (at[~won] + 1) & mask
+
+    def numbers(self, w: Words) -> np.ndarray:
         """The number of each word; words not seen before are encoded."""
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, ids in zip(new, self.whole(new), strict=True):
-            n, at = len(known), self.used
-            if at + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros(max(len(self.flat), len(ids)), np.int64))
-            if n + 2 > len(self.start):
-                self.start = np.append(self.start, np.zeros_like(self.start))
-            self.flat[at : at + len(ids)] = ids
-            self.used = self.start[n + 1] = at + len(ids)
-            known[w] = n
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        hashes = np.maximum(w.hashes(), np.uint64(1))
+        out = self.found(hashes)
+        long = np.flatnonzero(w.end - w.start > LONG_WORD)  # equal hashes of different long words can be constructed
+        out[long] = 0
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            kinds, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[first]
+            numbers = self.added([w.raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            self.keep(kinds, numbers)
+            out[new] = numbers[which]
+        if len(long):
+            texts = [w.raw[a:b] for a, b in zip(w.start[long].tolist(), w.end[long].tolist(), strict=True)]
+            place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            out[long] = self.added(list(place))[[place[t] for t in texts]]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         plain = [not any(s in t for s in self.special) for t in texts]
-        if len(self.known) > CACHE:
+        if self.words > CACHE or self.start[self.words] > 8 * CACHE:
             self.clear()
         w = Words([t if p else b"" for t, p in zip(texts, plain, strict=True)])
-        size = w.end - w.start
-        _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        word = self.numbers([w.raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])[which]
-        if len(at := np.flatnonzero(size > LONG_WORD)):  # equal hashes of different long words can be constructed
-            word[at] = self.numbers([w.raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        word = self.numbers(w)
         n = self.start[word + 1] - self.start[word]
         upto = np.concatenate(([0], np.cumsum(n)))
         ids = self.flat[np.repeat(self.start[word] - upto[:-1], n) + np.arange(int(upto[-1]))]
@@ -95,12 +163,18 @@ class Tokens:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _tokens(spec: str, end_id: int | None) -> Tokens:
+    """A worker's words, for all of its tasks."""
+    return Tokens(spec, end_id)
+
+
 def tokenised(batches: Iterator[pa.RecordBatch], spec: str, end_id: int | None) -> Iterator[tuple[int | None, np.ndarray]]:
     """(document id, ids) for batches of (id, text), in their order."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    state = Tokens(spec, end_id)
+    state = _tokens(spec, end_id)
     docs: list[int | None] = []
     texts: list[bytes] = []
     held = 0
@@ -156,42 +230,19 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     def each(batches):
         from pyspark import TaskContext
 
-        part, seq, held = TaskContext.get().partitionId(), 0, []
-
-        def flush():
-            nonlocal seq
-            out = idcoder.pack_blocks(held)
-            n = [len(x[0]) for x in held]
-            held.clear()
-            seq += len(out)
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array(range(seq - len(out), seq), pa.int32()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["part", "seq", "n_ids", "block"])
-
-        for block in _blocks(tokenised(batches, spec, end_id)):
-            held.append(block)
-            if len(held) == BATCH_BLOCKS:
-                yield flush()
-        if held:
-            yield flush()
+        part = TaskContext.get().partitionId()
+        for seq, block in enumerate(_blocks(tokenised(batches, spec, end_id))):
+            columns = ((part, pa.int32()), (seq, pa.int32()), (len(block[0]), pa.int64()), (idcoder.pack_blocks([block])[0], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], ["part", "seq", "n_ids", "block"])
 
     return written(ordered.mapInArrow(each, FILES))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, int, np.ndarray, np.ndarray]]:
-    """(part, seq, ids, first row, document ids, sizes) of each block of (part, seq, block), decoded BATCH_BLOCKS at a time."""
-    held: list[tuple[int, int, bytes]] = []
-
-    def flush():
-        for (part, seq, _), block in zip(held, idcoder.unpack_blocks([x[2] for x in held]), strict=True):
-            yield part, seq, *block
-        held.clear()
-
+    """(part, seq, ids, first row, document ids, sizes) of each block of (part, seq, block)."""
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            held.append(row)
-            if len(held) == BATCH_BLOCKS:
-                yield from flush()
-    if held:
-        yield from flush()
+        for part, seq, block in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            yield part, seq, *idcoder.unpack_blocks([block])[0]
 
 
 def _doc_id(d: int) -> int | None:
@@ -268,8 +319,6 @@ def documents_of(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def crc(pieces):
-        import functools
-
         import pandas as pd
 
         return pd.Series([functools.reduce(lambda a, p: (joined_crc(a[0], p["crc"], 4 * p["n"]), 0), found[1:], (found[0]["crc"], 0))[0] for found in pieces])
