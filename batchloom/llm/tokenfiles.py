@@ -34,6 +34,23 @@ TEXT_BYTES = 1 << 20
 LONG_WORD = 64
 #: Stands between words that are encoded as one text: a word of one id that no other word without this character holds.
 MARK, JOINED = b"^", 1000
+#: The normalizer and pre-tokenizer for which ``Pieces`` knows where words are cut.
+CUT_BY = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+_LETTER, _OTHER, _UNSURE, _GAP = range(4)
+_KIND = np.full(256, _UNSURE, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[[39, *range(48, 58)]] = _UNSURE
+_KIND[[*range(9, 14), 32]] = _GAP
 FILES = "part int, seq int, n_ids long, block binary"
 
 
@@ -43,14 +60,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Pieces(Words):
+    """Words cut further, where every text is cut by CUT_BY: into runs of letters, lower-cased, and runs of other characters.
+
+    That holds for words of ASCII and of the letters U+00C0 to U+00FF, which no normalisation joins; words with an apostrophe, a digit
+    or any other character stay whole and unchanged. ``sure``: whether a word is such a run, which nothing cuts or changes any more.
+    Where texts are not cut by CUT_BY, ``finer`` is false and all words stay whole.
+    """
+
+    def __init__(self, texts: list[bytes], finer: bool):
+        super().__init__(texts)
+        if not finer:
+            self.sure = np.zeros(len(self), bool)
+            return
+        kind, buf = _KIND[self.buf], self.buf.copy()
+        second = np.flatnonzero(buf == 0xC3) + 1
+        kind[second] = np.where((buf[second] == 0x97) | (buf[second] == 0xB7), _UNSURE, _LETTER)  # the signs of multiplication and division
+        whole = np.unique(np.searchsorted(self.start, np.flatnonzero(kind == _UNSURE), "right")) - 1
+        inside = np.zeros(len(kind), np.int8)
+        inside[self.start[whole]], inside[self.end[whole]] = 1, -1
+        kind[np.cumsum(inside, dtype=np.int8).view(bool)] = _UNSURE
+        buf[(buf - np.uint8(65) < 26) & (kind == _LETTER)] += np.uint8(32)
+        second = second[(kind[second] == _LETTER) & (buf[second] < 0x9F)]
+        buf[second] += np.uint8(32)
+        cut = np.append(np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))), len(kind))
+        word = kind[cut[:-1]] != _GAP
+        self.start, self.end = cut[:-1][word], cut[1:][word]
+        self.sure = kind[self.start] != _UNSURE
+        self.raw, self.buf = buf.tobytes(), buf
+        self.first = np.searchsorted(self.start, self.offset)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+
+def _ids(tokenizer, texts: list[bytes]) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype=np.int64) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
 class Tokens:
     """Encodes texts word by word; the ids of known words stand one after the other in ``flat``, and their hashes in an open table."""
 
     def __init__(self, spec: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
+        self.tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
+        self.special = [t["content"].encode() for t in parts.get("added_tokens", [])]
+        self.finer = (parts.get("normalizer"), parts.get("pre_tokenizer")) == CUT_BY
+        runs = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, CUT_BY[1]["pretokenizers"][1]]}
+        self.of_runs = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": runs})) if self.finer else self.tokenizer
         self.end = np.zeros(0, np.int64) if end_id is None else np.array([end_id], np.int64)
         mark = self.whole([MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
@@ -62,15 +118,16 @@ class Tokens:
         self.keys, self.number = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        return _ids(self.tokenizer, texts)
 
-    def several(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, ids of each). Words are encoded as texts of many, with MARK between them; a word that holds it is encoded alone."""
+    def several(self, words: list[bytes], sure: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each); ``sure``: those of ``Pieces``. Words are encoded as texts of many, with MARK between them; a word that holds it is encoded alone."""
+        encode = functools.partial(_ids, self.of_runs) if sure else self.whole
         alone = [i for i, w in enumerate(words) if self.mark is None or MARK in w]
-        n, parts = np.zeros(len(words), np.int64), self.whole([words[i] for i in alone])
+        n, parts = np.zeros(len(words), np.int64), encode([words[i] for i in alone])
         n[alone] = [len(x) for x in parts]
         rest = [w for w in words if self.mark is not None and MARK not in w]
-        ids = [np.zeros(0, np.int64), *self.whole([b" ".join(x for w in rest[a : a + JOINED] for x in (w, MARK)) for a in range(0, len(rest), JOINED)])]
+        ids = [np.zeros(0, np.int64), *encode([(b" " + MARK + b" ").join([*rest[a : a + JOINED], b""]) for a in range(0, len(rest), JOINED)])]
         ids = np.concatenate(ids)
         ends = np.flatnonzero(ids == self.mark)
         together = np.ones(len(words), dtype=bool)
@@ -83,9 +140,9 @@ class Tokens:
             out[~own] = np.concatenate(parts)
         return out, n
 
-    def added(self, words: list[bytes]) -> np.ndarray:
+    def added(self, words: list[bytes], sure: bool = False) -> np.ndarray:
         """Encodes the words; returns their numbers."""
-        ids, n = self.several(words)
+        ids, n = self.several(words, sure)
         at, used = self.words, int(self.start[self.words])
         while used + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
@@ -127,17 +184,20 @@ class Tokens:
             self.number[at[won]] = numbers[won]
             hashes, numbers, at = hashes[~won], numbers[~won], (at[~won] + 1) & mask
 
-    def numbers(self, w: Words) -> np.ndarray:
+    def numbers(self, w: Pieces) -> np.ndarray:
         """The number of each word; words not seen before are encoded."""
         hashes = np.maximum(w.hashes(), np.uint64(1))
         out = self.found(hashes)
         long = np.flatnonzero(w.end - w.start > LONG_WORD)  # equal hashes of different long words can be constructed
         out[long] = 0
-        new = np.flatnonzero(out < 0)
-        if len(new):
+        unseen = np.flatnonzero(out < 0)
+        for sure in (True, False):
+            new = unseen[w.sure[unseen] == sure]
+            if not len(new):
+                continue
             kinds, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
             at = new[first]
-            numbers = self.added([w.raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            numbers = self.added([w.raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], sure)
             self.keep(kinds, numbers)
             out[new] = numbers[which]
         if len(long):
@@ -148,10 +208,12 @@ class Tokens:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        plain = [not any(s in t for s in self.special) for t in texts]
+        raw = b"\n".join(texts)
+        special = [s for s in self.special if s in raw]
+        plain = [not any(s in t for s in special) for t in texts]
         if self.words > CACHE or self.start[self.words] > 8 * CACHE:
             self.clear()
-        w = Words([t if p else b"" for t, p in zip(texts, plain, strict=True)])
+        w = Pieces([t if p else b"" for t, p in zip(texts, plain, strict=True)], self.finer)
         word = self.numbers(w)
         n = self.start[word + 1] - self.start[word]
         upto = np.concatenate(([0], np.cumsum(n)))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -358,6 +359,45 @@ def test_words_are_encoded_many_at_a_time(monkeypatch):
     assert state.encode([b"again  again"])[0].tolist() == tk.encode("again again", add_special_tokens=False).ids + [2] and state.words == 1
 
 
+def test_variants_of_a_word_are_encoded_once():
+    """Case and punctuation made each variant a word of its own for the library; ids stay those of the library where cutting or lower-casing first would change them."""
+    tokenizers = pytest.importorskip("tokenizers")
+    spec = open(tokenfiles.default_tokenizer()).read()
+    tk, state = tokenizers.Tokenizer.from_str(spec), tokenfiles.Tokens(spec, 2)
+    texts = [f"{x}Stra\u00dfe{y} {x}\u00c9T\u00c9{y} {x.lower()}\u00e9t\u00e9{y}" for x in ("", "(", '"', "--") for y in ("", ",", ".", ")...", "!?", "/STRA\u00dfe")]
+    for t, ids in zip(texts, state.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == tk.encode(t, add_special_tokens=False).ids + [2], t
+    assert state.words <= 2 + 9
+    parts = ["H\u0331", "h\u0331", "E\u0301", "\u00dc\u0304", "\u00d7", "\u00f7", "\u00aa", "\u0130", "\u00ff", "\u00de", "\u00c0", "=", "\u0338", "'S", "'ll", "'", "T", "s", "7", "\u00b2", "^", "<|", "ENDOFTEXT", "|>", "_", "\u0000", "\u001c", "\u007f", "\u00a0", "\u4e2d", "\U0001f600", " "]
+    r = np.random.default_rng(7)
+    texts = ["".join(r.choice(parts, int(n))) for n in r.integers(1, 12, 4000)]
+    for t, ids in zip(texts, state.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == tk.encode(t, add_special_tokens=False).ids + [2], repr(t)
+
+
+def test_other_tokenizers_get_whole_words():
+    """Where texts are cut in another way, case and punctuation stay with the word."""
+    tokenizers = pytest.importorskip("tokenizers")
+    spec = json.loads(open(tokenfiles.default_tokenizer()).read())
+    spec["normalizer"]["normalizers"].pop()
+    tk, state = tokenizers.Tokenizer.from_str(json.dumps(spec)), tokenfiles.Tokens(json.dumps(spec), 2)
+    text = "the The THE the, The, (THE)"
+    assert state.encode([text.encode()])[0].tolist() == tk.encode(text, add_special_tokens=False).ids + [2] and state.words == 6
+
+
+def test_a_step_puts_out_one_word_a_lane_at_most(monkeypatch):
+    """Lanes went through rounds of 16 bits in each step; rare and frequent ids over many lanes come back."""
+    r, asked = np.random.default_rng(3), []
+    put = idcoder._Encoder.put
+    monkeypatch.setattr(idcoder._Encoder, "put", lambda self, go: asked.append(len(go)) or put(self, go))
+    for likely in (0.0, 0.5, 0.999, 1.0):
+        ids = np.where(r.random(1 << 17) < likely, 7, r.integers(0, 65536, 1 << 17))
+        asked.clear()
+        code = idcoder.encode([ids])
+        assert np.array_equal(idcoder.decode(code, [len(ids)])[0], ids)
+        assert len(asked) <= idcoder.RUN_IDS + 1 and max(asked) <= len(ids) // idcoder.RUN_IDS
+
+
 # 6 toxicity
 def test_toxicity(spark):
     r = np.random.default_rng(1)
